@@ -35,11 +35,15 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def corpus(spark: SparkSession, sf: str) -> DataFrame:
-    return fx.load(spark, sf, fx.CORPUS)
+    return tables.balanced(fx.load(spark, sf, fx.CORPUS), "resume_id")
 
 
 def resumes(spark: SparkSession, sf: str) -> DataFrame:
-    return fx.load(spark, sf, fx.RESUMES)
+    return tables.balanced(fx.load(spark, sf, fx.RESUMES), "resume_id")
+
+
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    return tables.balanced(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
 
 
 def jobs(spark: SparkSession, sf: str) -> DataFrame:
@@ -175,7 +179,7 @@ def category_options(spark, sf):
 
 @query
 def dead_letter(spark, sf):
-    parsed = analysis.parse_scores(responses_of(spark, sf, "score"))
+    parsed = analysis.parse_scores(responses_of(spark, sf, "score")).drop("response")
     return intake.split_failures(parsed)[1].select("resume_id", "error")
 
 
@@ -260,7 +264,7 @@ def full_resume_text(spark, sf):
 
 @query
 def extract_keywords(spark, sf):
-    return table(spark, sf, "documents").select(
+    return documents(spark, sf).select(
         "doc_id", F.posexplode(text.keywords(F.col("text"))).alias("pos", "keyword")
     ).withColumn("pos", F.col("pos").cast("bigint"))
 
@@ -282,7 +286,7 @@ def prompt_missing(spark, sf):
 
 @query
 def prompt_jd(spark, sf):
-    texts = table(spark, sf, "documents").select("doc_id", F.col("text").alias("jd_text"))
+    texts = documents(spark, sf).select("doc_id", F.col("text").alias("jd_text"))
     return analysis_requests(texts, fx.load(spark, sf, fx.CATEGORIES), "doc_id")
 
 
@@ -413,14 +417,14 @@ def category_topk(spark, sf):
 
 @query
 def term_vectors(spark, sf):
-    vectors = similarity.term_vectors(table(spark, sf, "documents"), "doc_id", "text")
+    vectors = similarity.term_vectors(documents(spark, sf), "doc_id", "text")
     return vectors.withColumn("weight", F.round("weight", 6))
 
 
 @query
 def text_topk(spark, sf):
     asked = similarity.term_arrays(table(spark, sf, "benchmark"), "item_id", "text")
-    known = similarity.term_arrays(table(spark, sf, "documents"), "doc_id", "text")
+    known = similarity.term_arrays(documents(spark, sf), "doc_id", "text")
     return similarity.inner_product_topk(asked, known, "item_id", "doc_id", 5)
 
 

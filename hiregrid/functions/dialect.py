@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 # Insides of character classes, to be put between brackets.
 SPACE = r"\t-\r\x1c-\x1f\x{85}\p{Z}"
 BREAK = r"\n-\r\x1c-\x1e\x{85}\x{2028}\x{2029}"
+# Everything but BREAK, the common characters first; Java matches this many times
+# faster than the negated class.
+NOT_BREAK = r"\x1f-\x84\x00-\t\x0e-\x1b\x86-\x{2027}\x{202a}-\x{10ffff}"
 INLINE_SPACE = r"\t\x1f\p{Zs}"  # SPACE without BREAK
 WORD = r"\p{L}\p{N}_"
 DIGIT = r"\p{Nd}"
@@ -31,8 +34,17 @@ SPACE_CHARS = (
 )
 
 
-def whole_word(pattern: str) -> str:
-    return rf"(?<![{WORD}])(?:{pattern})(?![{WORD}])"
+def any_case(pattern: str, first: str) -> str:
+    """``pattern`` in any case; ``first`` holds every character a match can begin with.
+
+    Testing the first character against a plain class before trying the
+    alternatives is what most positions of a text come down to.
+    """
+    return f"(?=[{first}])(?iu:{pattern})"
+
+
+def whole_word(words: tuple[str, ...], first: str) -> str:
+    return rf"(?=[{first}])(?<![{WORD}])(?iu:{'|'.join(words)})(?![{WORD}])"
 
 
 def strip(col: Column) -> Column:
@@ -45,10 +57,14 @@ def is_blank(col: Column) -> Column:
     return ~col.rlike(rf"[^{SPACE}]")
 
 
+def or_null(col: Column) -> Column:
+    """``col`` with '' as null. Unlike ``nullif`` this evaluates ``col`` only once."""
+    return F.get(F.array_remove(F.array(col), ""), F.lit(0))
+
+
 def first_match(col: Column, pattern: str, group: int = 0) -> Column:
     """The first match, or null where Spark's ``regexp_extract`` gives ''."""
-    found = F.regexp_extract(col, pattern, group)
-    return F.nullif(found, F.lit(""))
+    return or_null(F.regexp_extract(col, pattern, group))
 
 
 @lru_cache(maxsize=1)

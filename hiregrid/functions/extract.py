@@ -17,9 +17,12 @@ from hiregrid.functions.dialect import (
     DIGIT,
     INLINE_SPACE,
     LINE_END,
+    NOT_BREAK,
     SPACE,
     WORD,
+    any_case,
     first_match,
+    or_null,
     strip,
     to_int,
     whole_word,
@@ -54,7 +57,7 @@ DEGREES = (
     r"Bachelor of Arts",
 )
 EXPERIENCE_HEADERS = ("Experience", "Work History")  # "Professional Experience" contains the first
-SKILLS_HEADER = "Skills"
+SKILLS_HEADERS = ("Skills",)
 PROFILE = r"https?://(?:www\.)?linkedin\.com/in/[A-Za-z0-9\-_]+"
 LOCATION_LINES = 10
 SKILL_LENGTH_LIMIT = 40
@@ -80,19 +83,19 @@ _NAME_LINE = (
 )
 
 _YEARS = rf"(?iu)([{DIGIT}]{{1,2}})\+?[{SPACE}]+years? (?:of )?experience"
-_EDUCATION = "(?iu)" + "|".join(DEGREES)
+_EDUCATION = any_case("|".join(DEGREES), "PDMBpdmb")
 
-_EXPERIENCE = whole_word("|".join(EXPERIENCE_HEADERS))
-_REST_OF_LINE = rf"[^{BREAK}]*+"
-_TITLE = rf"(?iu){_EXPERIENCE}{_REST_OF_LINE}[{SPACE}]*+([^{BREAK}]++)"
+_EXPERIENCE = whole_word(EXPERIENCE_HEADERS, "EWew")
+_REST_OF_LINE = rf"[{NOT_BREAK}]*+"
+_TITLE = rf"{_EXPERIENCE}{_REST_OF_LINE}[{SPACE}]*+([{NOT_BREAK}]++)"
 
 _TOP_LINES = rf"\A(?:{_REST_OF_LINE}{LINE_END}){{0,{LOCATION_LINES - 1}}}+{_REST_OF_LINE}"
 _LOCATION = rf"(?<![A-Za-z])[A-Za-z]++,[{INLINE_SPACE}]*+[A-Z]{{2}}"
 
 _BLANK_AHEAD = rf"[{INLINE_SPACE}]*+(?:[{BREAK}]|\z)"
-_EXPERIENCE_AHEAD = rf"[^{BREAK}]*?{_EXPERIENCE}"
+_EXPERIENCE_AHEAD = rf"[{NOT_BREAK}]*?{_EXPERIENCE}"
 _SKILLS_BLOCK = (
-    rf"(?iu){whole_word(SKILLS_HEADER)}{_REST_OF_LINE}"
+    rf"{whole_word(SKILLS_HEADERS, 'Ss\u017f')}{_REST_OF_LINE}"
     rf"((?:{LINE_END}(?!{_BLANK_AHEAD})(?!{_EXPERIENCE_AHEAD}){_REST_OF_LINE})*+)"
 )
 
@@ -125,7 +128,7 @@ def education_level(text: Column) -> Column:
 
 def last_position_title(text: Column) -> Column:
     """The first non-blank line after the first experience header."""
-    return F.nullif(strip(F.regexp_extract(text, _TITLE, 1)), F.lit(""))
+    return or_null(strip(F.regexp_extract(text, _TITLE, 1)))
 
 
 def current_location(text: Column) -> Column:

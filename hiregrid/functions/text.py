@@ -49,14 +49,15 @@ def display_name(name: Column, email: Column) -> Column:
 
 def sorted_tokens(text: Column) -> Column:
     """Lower-cased word tokens in sorted order."""
-    return F.array_sort(F.filter(F.split(F.lower(text), rf"[^{WORD}]+", -1), lambda t: t != ""))
+    return F.sort_array(F.array_remove(F.split(F.lower(text), rf"[^{WORD}]+", -1), ""))
 
 
 def run_starts(tokens: Column) -> Column:
     """0-based positions at which a new token begins in a sorted array."""
-    positions = F.sequence(F.lit(0), F.size(tokens) - 1)
-    first_of_run = F.filter(positions, lambda i: (i == 0) | (F.get(tokens, i) != F.get(tokens, i - 1)))
-    return F.when(F.size(tokens) > 0, first_of_run).otherwise(F.array().cast("array<int>"))
+    changed = F.transform(
+        tokens, lambda token, i: F.when((i == 0) | (token != F.get(tokens, i - 1)), i)
+    )
+    return F.array_compact(changed)
 
 
 def run_lengths(starts: Column, total: Column) -> Column:

@@ -6,15 +6,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def l2_norm(vector: Column) -> Column:
-    return F.sqrt(F.aggregate(vector, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
+def to_unit(vector: Column) -> Column:
+    """``vector`` divided by its Euclidean length, as doubles.
 
+    The length is the accumulator handed to the final step, so it is computed
+    once per row; as a column of its own the optimizer would inline it into the
+    per-element function. A zero vector stays as it is. Null and empty vectors
+    give null: they are errors, to be split off by the caller.
+    """
 
-def scale_to_unit(vector: Column, norm: Column) -> Column:
-    """``vector`` divided by ``norm``, a column computed beforehand.
+    def scaled(squares: Column) -> Column:
+        divisor = F.when(squares == 0, F.lit(1.0)).otherwise(F.sqrt(squares))
+        return F.transform(vector, lambda x: x.cast("double") / divisor)
 
-    A zero vector stays as it is. Null and empty vectors give null: they are
-    errors, to be split off by the caller.
-    """
-    divisor = F.when(norm == 0, F.lit(1.0)).otherwise(norm)
-    return F.when(F.size(vector) > 0, F.transform(vector, lambda x: x.cast("double") / divisor))
+    def add_square(total: Column, x: Column) -> Column:
+        return total + x.cast("double") * x.cast("double")
+
+    return F.when(F.size(vector) > 0, F.aggregate(vector, F.lit(0.0), add_square, scaled))

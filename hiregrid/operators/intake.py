@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hiregrid.functions.dialect import is_blank
 from hiregrid.functions.text import basename
+from hiregrid.session import materialize
 
 PDF_SUFFIX = ".pdf"
 
@@ -50,5 +51,10 @@ def nonblank(docs: DataFrame, text: str) -> DataFrame:
 
 
 def split_failures(df: DataFrame, error: str = "error") -> tuple[DataFrame, DataFrame]:
-    """(rows without an error, rows with one): a bad document never stops the rest."""
-    return df.where(F.col(error).isNull()).drop(error), df.where(F.col(error).isNotNull())
+    """(rows without an error, rows with one): a bad document never stops the rest.
+
+    ``df`` is written once, so that whatever found the errors runs once for both
+    sides and the split is a pushed-down filter of the written table.
+    """
+    checked = materialize(df, "checked")
+    return checked.where(F.col(error).isNull()).drop(error), checked.where(F.col(error).isNotNull())

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hiregrid.functions.text import run_lengths, run_starts, sorted_tokens
-from hiregrid.functions.vectors import l2_norm, scale_to_unit
+from hiregrid.functions.vectors import to_unit
 
 if TYPE_CHECKING:
     import pandas as pd
@@ -28,9 +28,7 @@ SLICE_SCORES = 4_000_000  # scores a task holds at a time
 def normalized(vectors: DataFrame, vector: str = "embedding") -> tuple[DataFrame, DataFrame]:
     """(rows with a unit vector, rows whose vector is null or empty)."""
     usable = F.coalesce(F.size(vector) > 0, F.lit(False))
-    good = vectors.where(usable).withColumn("_norm", l2_norm(F.col(vector)))
-    good = good.withColumn(vector, scale_to_unit(F.col(vector), F.col("_norm"))).drop("_norm")
-    return good, vectors.where(~usable)
+    return vectors.where(usable).withColumn(vector, to_unit(F.col(vector))), vectors.where(~usable)
 
 
 def term_arrays(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -43,12 +41,11 @@ def term_arrays(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
         docs.select(doc_id, sorted_tokens(F.col(text)).alias("_sorted"))
         .withColumn("_starts", run_starts(F.col("_sorted")))
         .withColumn("_tf", run_lengths(F.col("_starts"), F.size("_sorted")))
-        .withColumn("_norm", l2_norm(F.col("_tf")))
     )
     return counted.select(
         doc_id,
         F.transform("_starts", lambda i: F.get("_sorted", i)).alias("tokens"),
-        F.transform("_tf", lambda x: x / F.col("_norm")).alias("weights"),
+        F.coalesce(to_unit(F.col("_tf")), F.array().cast("array<double>")).alias("weights"),
     )
 
 

@@ -25,6 +25,17 @@ def append(df: DataFrame, path: str, partition_by: list[str] | None = None) -> N
     writer.parquet(path)
 
 
+def balanced(scan: DataFrame, key: str) -> DataFrame:
+    """Spread a small scan over all cores.
+
+    Text extraction is bound by the processor, and a file of one row group is
+    one task however large the cluster. Only scans of at most two waves of
+    tasks are shuffled; larger ones are parallel enough and stay as they are.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores, key) if scan.rdd.getNumPartitions() <= 2 * cores else scan
+
+
 class SnapshotTable:
     """A table under ``path`` with ``schema``, empty until its first batch. One writer at a time."""
 
