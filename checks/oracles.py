@@ -284,9 +284,9 @@ def _filled(field: str) -> str:
     return f"coalesce({field}, {offered}) AS {field}"
 
 
-def _fill(with_members: str) -> str:
+def _fill(source: str, with_members: str) -> str:
     pivot = ", ".join(f"{member(f)} AS v_{f}" for f in FIELDS)
-    return f"""{_RESUMES}, {with_members},
+    return f"""{source}, {with_members},
 answers AS (SELECT t.resume_id, any_value(t.valid) AS valid, {pivot}
   FROM typed t LEFT JOIN members m ON t.resume_id = m.resume_id GROUP BY t.resume_id)
 SELECT d.resume_id, {", ".join(_filled(f) for f in FIELDS)},
@@ -295,7 +295,7 @@ FROM details d LEFT JOIN answers a ON d.resume_id = a.resume_id"""
 
 
 _HOOK_MEMBERS = f"""
-found AS (SELECT resume_id, CASE WHEN resume_id % 4 = 3 THEN 'sorry' ELSE '{{"current_location":"'
+found AS (SELECT resume_id, CASE WHEN length(resume_text) % 4 = 3 THEN '' ELSE '{{"current_location":"'
   || CAST(length(resume_text) AS VARCHAR) || ' chars","skills":["asked"],"name":""}}' END AS json FROM details WHERE len({_MISSING}) > 0),
 typed AS (SELECT *, CASE WHEN json_valid(json) THEN json END AS valid,
   coalesce(CASE WHEN json_valid(json) THEN json_type(json) = 'OBJECT' END, false) AS is_object FROM found),
@@ -343,8 +343,8 @@ ORACLES: dict[str, str] = {
     },
     "missing_fields": f"{_CORPUS} SELECT resume_id, array_to_string({_MISSING}, '|') AS missing_fields FROM details",
     "candidate_details": f"{_CORPUS} SELECT resume_id, {', '.join(FIELDS[:-1])}, {_SKILL_TEXT} AS skills FROM details",
-    "fill_missing": _fill(_FENCED),
-    "model_hook": _fill(_HOOK_MEMBERS),
+    "fill_missing": _fill(_RESUMES, _FENCED),
+    "model_hook": _fill(_CORPUS, _HOOK_MEMBERS),
     # text helpers
     "normalize_section": f"""{_RESUMES} SELECT resume_id, array_to_string(skills, ' ') AS skills_text,
         coalesce(last_position_title, '') AS title_text, coalesce(CAST(years_of_experience AS VARCHAR), '') AS years_text FROM details""",
@@ -354,9 +354,9 @@ ORACLES: dict[str, str] = {
     "result_identity": f"""{_CORPUS} SELECT resume_id, regexp_extract(resume_path, '[^/]*$', 0) AS resume_filename,
         coalesce(nullif(name, ''), email) AS candidate_name FROM details""",
     "prompt_missing": f"""{_CORPUS}, lacking AS (SELECT *, {_MISSING} AS missing FROM details)
-        SELECT resume_id, 'Read the resume and answer with one JSON object holding exactly these keys: ' || {_MISSING_JSON}{_NL}{_HINTS}{_NL}
-        'Use null for an unknown value and [] for unknown skills.'{_NL}'Resume:'{_NL}resume_text AS prompt
-        FROM lacking WHERE len(missing) > 0""",
+        SELECT resume_id, CASE WHEN len(missing) > 0 THEN 'Read the resume and answer with one JSON object holding exactly these keys: ' || {_MISSING_JSON}{_NL}{_HINTS}{_NL}
+        'Use null for an unknown value and [] for unknown skills.'{_NL}'Resume:'{_NL}resume_text END AS prompt
+        FROM lacking""",
     "prompt_jd": f"""SELECT doc_id, 'Pick the one best category for the job description from: ' || {_OPTIONS}{_NL}
         'Answer with one JSON object with the keys "category", "qualifications" and "requirements".'{_NL}'Job description:'{_NL}text AS prompt
         FROM documents""",

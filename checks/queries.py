@@ -224,22 +224,16 @@ def fill_missing(spark, sf):
 @query
 def model_hook(spark, sf):
     def model(prompts):
-        # Stands for a model: answers from the prompt alone.
+        # Stands for a model: answers from the prompt alone, and fails on some.
         def answer(prompt):
             resume = prompt.split("\nResume:\n", 1)[1]
+            if len(resume) % 4 == 3:
+                raise ValueError("no answer")
             return '{"current_location":"%d chars","skills":["asked"],"name":""}' % len(resume)
 
         return prompts.map(answer)
 
-    def refusing(key):
-        return F.when(F.col(key) % 4 == 3, F.lit("sorry"))
-
-    known = resume_details(spark, sf)
-    asked = details.with_missing_fields(known).where(F.size("missing_fields") > 0)
-    prompt = missing_fields_prompt(F.col("missing_fields"), F.col("resume_text")).alias("prompt")
-    answers = hook.model_responses(asked.select("resume_id", prompt), "resume_id", "prompt", model)
-    answers = answers.withColumn("response", F.coalesce(refusing("resume_id"), "response"))
-    filled = details.fill_missing(known, answers, "resume_id")
+    filled = hook.complete_details(corpus_details(spark, sf), "resume_text", model)
     return filled.select("resume_id", *extract.FIELDS[:-1], skills_as_text(), "fill_error")
 
 
@@ -280,7 +274,7 @@ def result_identity(spark, sf):
 
 @query
 def prompt_missing(spark, sf):
-    known = details.with_missing_fields(corpus_details(spark, sf)).where(F.size("missing_fields") > 0)
+    known = details.with_missing_fields(corpus_details(spark, sf))
     return known.select("resume_id", missing_fields_prompt(F.col("missing_fields"), F.col("resume_text")).alias("prompt"))
 
 

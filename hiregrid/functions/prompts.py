@@ -32,10 +32,12 @@ def _lines(*parts: Column | str) -> Column:
 
 
 def missing_fields_prompt(missing: Column, text: Column) -> Column:
+    """Asks for the ``missing`` fields; null when there are none."""
     hints = F.concat_ws("; ", *[
         F.when(F.array_contains(missing, key), F.lit(f"{key}: {hint}")) for key, hint in FIELD_HINTS
     ])
-    return _lines(F.concat(F.lit(MISSING_INTRO), F.to_json(missing)), hints, MISSING_RULE, "Resume:", text)
+    asked = F.concat(F.lit(MISSING_INTRO), F.to_json(missing))
+    return F.when(F.size(missing) > 0, _lines(asked, hints, MISSING_RULE, "Resume:", text))
 
 
 def analysis_prompt(category_options: Column, jd_text: Column) -> Column:

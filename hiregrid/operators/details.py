@@ -25,31 +25,32 @@ def _offered(value: Column) -> Column:
     return F.when(~value.isin("", "[]"), value)
 
 
-def fill_missing(details: DataFrame, responses: DataFrame, on: str) -> DataFrame:
-    """Fill the missing fields, and only those, from ``responses(on, response)``.
+def fill_gaps(answered: DataFrame) -> DataFrame:
+    """Fill the missing fields, and only those, of details rows that carry a ``response``.
 
-    ``responses`` has at most one row per ``on``. A response that is no JSON
-    leaves its row as it was and sets ``fill_error``.
+    A response that is no JSON leaves its row as it was and sets ``fill_error``;
+    so does nothing else, a null response included.
     """
-    known = with_missing_fields(details)
-    parsed = responses.select(on, parse_fenced(F.col("response")).alias("_parsed")).withColumn(
-        "_answers", object_fields(F.col("_parsed.json"), FIELDS)
+    parsed = (
+        with_missing_fields(answered)
+        .withColumn("_parsed", parse_fenced(F.col("response")))
+        .withColumn("_answers", object_fields(F.col("_parsed.json"), FIELDS))
     )
-    joined = known.join(parsed, on, "left")
-    asked = F.size("missing_fields") > 0
-
     filled = []
     for field in FIELDS:
         value = _offered(F.col(f"_answers.{field}"))
         if field == "skills":
             items = F.coalesce(F.from_json(value, "array<string>"), F.array().cast("array<string>"))
-            column = F.when(F.array_contains("missing_fields", field) & value.isNotNull(), items).otherwise(
-                F.col(field)
-            )
+            missing = F.array_contains("missing_fields", field) & value.isNotNull()
+            column = F.when(missing, items).otherwise(F.col(field))
         else:
             column = F.coalesce(F.col(field), value.try_cast(_CASTS.get(field, "string")))
         filled.append(column.alias(field))
+    others = [c for c in answered.columns if c not in (*FIELDS, "response")]
+    error = (F.size("missing_fields") > 0) & F.col("response").isNotNull() & ~F.col("_parsed.ok")
+    return parsed.select(*others, *filled, error.alias("fill_error"))
 
-    others = [c for c in details.columns if c not in FIELDS]
-    error = asked & F.col("_parsed").isNotNull() & ~F.col("_parsed.ok")
-    return joined.select(*others, *filled, F.coalesce(error, F.lit(False)).alias("fill_error"))
+
+def fill_missing(details: DataFrame, responses: DataFrame, on: str) -> DataFrame:
+    """Fill from a table of responses with at most one row per ``on``."""
+    return fill_gaps(details.join(responses.select(on, "response"), on, "left"))

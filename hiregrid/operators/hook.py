@@ -7,39 +7,55 @@ from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hiregrid.functions.extract import missing_fields
 from hiregrid.functions.prompts import missing_fields_prompt
-from hiregrid.operators.details import fill_missing
+from hiregrid.operators.details import fill_gaps
 
 if TYPE_CHECKING:
     import pandas as pd
+    import pyarrow as pa
 
+Model = Callable[["pd.Series"], Iterable[str]]
 
-def model_responses(
-    rows: DataFrame, key: str, prompt: str, model: Callable[[pd.Series], pd.Series]
-) -> DataFrame:
-    """``(key, response)`` from ``model``, called once per Arrow batch.
 
-    Filter ``rows`` before: Spark cannot move a filter below the call. The
-    calls repeat when a task is retried, so write the result once
-    (``hiregrid.session.materialize``) when they are costly.
+def model_responses(rows: DataFrame, prompt: str, model: Model) -> DataFrame:
+    """``rows`` with the ``prompt`` column replaced by the model's ``response``.
+
+    ``model`` gets the prompts of one Arrow batch at a time, without the null
+    ones, whose response is null. If it fails, its prompts are tried one by one,
+    and only those that fail get '' for a response. Calls repeat when a task is
+    retried, so write the result once if they are costly.
     """
-    schema = f"{key} {rows.schema[key].dataType.simpleString()}, response string"
+    kept = [c for c in rows.columns if c != prompt]
+    schema = T.StructType([*[rows.schema[c] for c in kept], T.StructField("response", T.StringType())])
+
+    def answers(prompts: pd.Series) -> list[str]:
+        try:
+            return list(model(prompts))
+        except Exception:
+            return ["" if len(prompts) == 1 else answers(prompts.iloc[i : i + 1])[0] for i in range(len(prompts))]
+
+    def call(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        import pyarrow as pa
 
-    def call(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
         for batch in batches:
-            answered = batch[[key]].copy()
-            answered["response"] = list(model(batch[prompt]))
-            yield answered
+            prompts = batch.column(prompt).to_pandas()
+            asked = prompts[prompts.notna()]
+            responses = dict(zip(asked.index, answers(asked))) if len(asked) else {}
+            column = pa.array([responses.get(i) for i in prompts.index], pa.string())
+            yield pa.RecordBatch.from_arrays([*map(batch.column, kept), column], names=[*kept, "response"])
 
-    return rows.select(key, prompt).mapInPandas(call, schema)
+    return rows.mapInArrow(call, schema)
 
 
-def complete_details(
-    details: DataFrame, key: str, text: str, model: Callable[[pd.Series], pd.Series]
-) -> DataFrame:
-    """Ask ``model`` for the fields the rules missed, of the rows that miss any."""
-    lacking = details.withColumn("_missing", missing_fields()).where(F.size("_missing") > 0)
-    asked = lacking.select(key, missing_fields_prompt(F.col("_missing"), F.col(text)).alias("prompt"))
-    return fill_missing(details, model_responses(asked, key, "prompt", model), key)
+def complete_details(details: DataFrame, text: str, model: Model) -> DataFrame:
+    """Ask ``model`` for the fields the rules missed, of the rows that miss any.
+
+    One pass: complete rows go along with a null prompt, because a filter would
+    be pushed below the extraction and run it a second time, and joining the
+    answers back would shuffle. The text column is dropped.
+    """
+    prompts = details.withColumn("_prompt", missing_fields_prompt(missing_fields(), F.col(text)))
+    return fill_gaps(model_responses(prompts.drop(text), "_prompt", model))

@@ -30,20 +30,21 @@ def join_on_key(
     *,
     row_key: str,
     broadcast: bool | None = None,
-    hot_rows: int = HOT_KEY_ROWS,
+    hot_rows: int | None = HOT_KEY_ROWS,
     salts: int = SALTS,
 ) -> DataFrame:
     """Equi-join of a large ``left``, whose keys may repeat without limit, with ``right``.
 
     A small ``right`` is broadcast, so ``left`` is not shuffled. Otherwise keys
     with more than ``hot_rows`` rows in ``left`` are spread over ``salts`` tasks
-    by ``row_key`` and only their rows in ``right`` are copied. ``how`` is
-    'inner' or 'left'.
+    by ``row_key`` and only their rows in ``right`` are copied; ``hot_rows`` is
+    None when the keys of ``left`` are known to be unique. ``how`` is 'inner' or
+    'left'.
     """
-    if broadcast is None:
-        broadcast = fits_broadcast(right)
-    if broadcast:
+    if fits_broadcast(right) if broadcast is None else broadcast:
         return left.join(F.broadcast(right), on, how)
+    if hot_rows is None:
+        return left.join(right, on, how)
 
     # At most rows/hot_rows keys can be hot, hence the broadcast.
     counted = left.groupBy(on).agg(F.count("*").alias("_n"))

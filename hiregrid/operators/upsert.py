@@ -2,7 +2,8 @@
 
 Batches are reduced to one row per key before anything else, with map-side
 combining, so both sides of every join are unique in the key and no key can be
-hot. New ids continue the snapshot's highest id.
+hot. A batch small enough is broadcast to the snapshot, which is then not
+shuffled. New ids continue the snapshot's highest id.
 """
 
 from __future__ import annotations
@@ -10,9 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hiregrid.operators.lookup import email_key
 from hiregrid.operators.analysis import SCORE_FIELDS
+from hiregrid.operators.joins import fits_broadcast, join_on_key
+from hiregrid.operators.lookup import email_key
 from hiregrid.operators.ranking import WINDOW_ROWS, number_rows
+from hiregrid.session import materialize
 
 # Candidate column <- details field; the company has no producer and stays null.
 CANDIDATE_VALUES = {
@@ -46,36 +49,32 @@ def upsert_candidates(
         (F.col(source) if source else F.lit(None).cast("string")).alias(target)
         for target, source in CANDIDATE_VALUES.items()
     ]
-    latest = (
+    latest = materialize(
         keyed.where(F.col("_key").isNotNull())
-        .groupBy(F.col("_key").alias("candidate_email"))
-        .agg(F.max_by(F.struct(*values), F.col("resume_path")).alias("_new"), F.min("resume_path").alias("_seq"))
+        .groupBy("_key")
+        .agg(F.max_by(F.struct(*values), F.col("resume_path")).alias("_new"), F.min("resume_path").alias("_seq")),
+        "latest",
     )
     columns = snapshot.columns
-    known = snapshot.select(
-        F.lower("candidate_email").alias("_email"), F.struct(*columns).alias("_old")
-    )
-    merged = known.join(latest, F.col("_email") == F.col("candidate_email"), "full_outer")
-
-    touched, exists = F.col("_new").isNotNull(), F.col("_old").isNotNull()
-    updates = {c: F.when(touched, F.col(f"_new.{c}")).otherwise(F.col(f"_old.{c}")) for c in CANDIDATE_VALUES}
-    updates["candidate_updated_time"] = F.when(touched, at).otherwise(F.col("_old.candidate_updated_time"))
-    updates["created_at"] = F.when(exists, F.col("_old.created_at")).otherwise(at)
-    updates["candidate_email"] = F.coalesce("_old.candidate_email", F.col("candidate_email"))
-    current = merged.where(exists).select(
-        *[updates.get(c, F.col(f"_old.{c}")).alias(c) for c in columns]
-    )
-    fresh = latest.join(known, F.col("_email") == F.col("candidate_email"), "left_anti")
-    numbered = number_rows(fresh, [], [F.col("_seq")], "_n", window_rows)
-    start = _max_id(snapshot, "candidate_id")
+    known = snapshot.withColumn("_key", F.lower("candidate_email"))
+
+    unique = {"row_key": "candidate_id", "broadcast": fits_broadcast(latest), "hot_rows": None}
+    merged = join_on_key(known, latest, "_key", "left", **unique)
+    touched = F.col("_new").isNotNull()
+    updates = {c: F.when(touched, F.col(f"_new.{c}")).otherwise(F.col(c)) for c in CANDIDATE_VALUES}
+    updates["candidate_updated_time"] = F.when(touched, at).otherwise(F.col("candidate_updated_time"))
+    current = merged.select(*[updates.get(c, F.col(c)).alias(c) for c in columns])
+
+    matched = join_on_key(known.select("_key"), latest.select("_key"), "_key", **unique)
+    fresh = number_rows(latest.join(matched, "_key", "left_anti"), [], [F.col("_seq")], "_n", window_rows)
     created = {
-        "candidate_id": F.lit(start) + F.col("_n"),
-        "candidate_email": F.col("candidate_email"),
+        "candidate_id": F.lit(_max_id(snapshot, "candidate_id")) + F.col("_n"),
+        "candidate_email": F.col("_key"),
         "created_at": at,
         "candidate_updated_time": at,
         **{c: F.col(f"_new.{c}") for c in CANDIDATE_VALUES},
     }
-    return current.unionByName(numbered.select(*[created[c].alias(c) for c in columns])), refused
+    return current.unionByName(fresh.select(*[created[c].alias(c) for c in columns])), refused
 
 
 def get_or_create_categories(
@@ -99,17 +98,21 @@ def upsert_scores(snapshot: DataFrame, batch: DataFrame, order: str = "resume_pa
     """The score table after ``batch``, keyed by (jd_id, candidate_id).
 
     The last row in ``order`` wins within the batch. Rows without a candidate
-    have no key: they never match and are always added.
+    have no key: they never match and are always added. Only rows of jobs in the
+    batch take part in the join; the others pass through unshuffled.
     """
     keys = ["jd_id", "candidate_id"]
     columns = snapshot.columns
-    has_key = F.col("candidate_id").isNotNull()
-    keyless = batch.where(~has_key).select(*columns)
     extra = [c for c in columns if c not in (*keys, *SCORE_VALUES)]
+    has_key = F.col("candidate_id").isNotNull()
     latest = batch.where(has_key).groupBy(*keys).agg(
         F.max_by(F.struct(*SCORE_VALUES, *extra), F.col(order)).alias("_new")
     )
-    old = snapshot.where(has_key).select(*keys, F.struct(*SCORE_VALUES, *extra).alias("_old"))
+    jobs = batch.select("jd_id").distinct().withColumn("_in_batch", F.lit(True))
+    flagged = join_on_key(snapshot, jobs, "jd_id", "left", row_key="candidate_id")
+    in_join = F.col("_in_batch") & has_key
+    untouched = flagged.where(~F.coalesce(in_join, F.lit(False))).select(*columns)
+    old = flagged.where(in_join).select(*keys, F.struct(*SCORE_VALUES, *extra).alias("_old"))
     merged = old.join(latest, keys, "full_outer").withColumn("_row", F.coalesce("_new", "_old"))
     keyed = merged.select(*keys, "_row.*").select(*columns)
-    return keyed.unionByName(snapshot.where(~has_key)).unionByName(keyless)
+    return untouched.unionByName(keyed).unionByName(batch.where(~has_key).select(*columns))

@@ -12,6 +12,7 @@ from hiregrid.operators.analysis import parse_analysis
 from hiregrid.operators.audit import ERROR, INFO, JD_ANALYSIS, audit_rows, job_saved_message, union_audits, upload_audit
 from hiregrid.operators.intake import intake_gate
 from hiregrid.operators.lookup import category_options
+from hiregrid.session import materialize
 
 NO_CATEGORY = "category is null"
 
@@ -49,7 +50,8 @@ def ingest_jobs(uploads: DataFrame, responses: DataFrame, key: str, at: Column)
     answered = accepted.join(responses.select(key, "response"), key, "left").withColumn(
         "response", F.coalesce("response", F.lit(""))
     )
-    analysed = parse_analysis(answered).drop("response")
+    # Four outputs are read from it: parse once.
+    analysed = materialize(parse_analysis(answered).drop("response"), "analysed")
     unsavable = F.exists("categories", lambda c: c.isNull())
     saved, failed = analysed.where(~unsavable), analysed.where(unsavable)
     audit = union_audits(
