@@ -75,11 +75,15 @@ def _dense_scorer():
     def scorer(block: pd.DataFrame):
         import numpy as np
 
-        matrix = np.array(block["vector"].tolist(), dtype="float64").reshape(len(block), -1)
+        def stacked(vectors: pd.Series):
+            return np.array(vectors.tolist(), dtype="float64")
+
+        matrix = stacked(block["vector"])
 
         def score(batch: pd.DataFrame):
-            rows = np.array(batch["vector"].tolist(), dtype="float64").reshape(len(batch), -1)
-            return rows @ matrix.T if len(rows) and len(matrix) else np.zeros((len(rows), len(matrix)))
+            if not len(batch) or not len(block):
+                return np.zeros((len(batch), len(block)))
+            return stacked(batch["vector"]) @ matrix.T
 
         return score
 
