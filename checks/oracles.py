@@ -294,6 +294,12 @@ SELECT d.resume_id, {", ".join(_filled(f) for f in FIELDS)},
 FROM details d LEFT JOIN answers a ON d.resume_id = a.resume_id"""
 
 
+_SCORE_PROMPTS = f"""{_RESUMES}, {_JOBS} SELECT jd_id, resume_id,
+        'Rate from 0 (none) to 10 (full) how well the resume fits each part of the job.'{_NL}'Category:'{_NL}coalesce(category_detected, '')
+        {_NL}'Requirements:'{_NL}coalesce(requirements, ''){_NL}'Qualifications:'{_NL}coalesce(qualifications, ''){_NL}'Resume:'{_NL}
+        {strip('array_to_string(skills, chr(32))')}{_NL}'Answer with one JSON object with the numbers "category_score", "requirements_score", "qualifications_score" and "final_score", and a short "reason".' AS prompt
+        FROM jobs j JOIN details d ON j.folder = d.folder WHERE {_SCANNED}"""
+
 _HOOK_MEMBERS = f"""
 found AS (SELECT resume_id, CASE WHEN length(resume_text) % 4 = 3 THEN '' ELSE '{{"current_location":"'
   || CAST(length(resume_text) AS VARCHAR) || ' chars","skills":["asked"],"name":""}}' END AS json FROM details WHERE len({_MISSING}) > 0),
@@ -311,7 +317,7 @@ ORACLES: dict[str, str] = {
     "assemble_pages": "SELECT conv_id, string_agg(coalesce(text, ''), '' ORDER BY turn) AS text FROM conversations GROUP BY conv_id",
     "load_categories": f"SELECT CAST(category_id AS INT) AS category_id, name, type FROM ({fx.CATEGORIES})",
     "jd_rows": f"""WITH {_ANALYSED}, src AS ({fx.RESUMES})
-        SELECT s.resume_id, s.resume_text AS jd_text, CASE WHEN has_category THEN coalesce(category, '') ELSE '' END AS category_detected,
+        SELECT s.resume_id, (SELECT max(item_id) FROM benchmark) + row_number() OVER (ORDER BY s.resume_id) AS jd_id, s.resume_text AS jd_text, CASE WHEN has_category THEN coalesce(category, '') ELSE '' END AS category_detected,
           qualifications, requirements FROM analysed a JOIN src s ON a.resume_id = s.resume_id""",
     "audit_rows": f"""WITH {_GATED}
         SELECT resume_id, 'INFO' AS log_type, 'JD_Analysis' AS process, 'JD upload received' AS message FROM gated
@@ -360,11 +366,7 @@ ORACLES: dict[str, str] = {
     "prompt_jd": f"""SELECT doc_id, 'Pick the one best category for the job description from: ' || {_OPTIONS}{_NL}
         'Answer with one JSON object with the keys "category", "qualifications" and "requirements".'{_NL}'Job description:'{_NL}text AS prompt
         FROM documents""",
-    "prompt_score": f"""{_RESUMES}, {_JOBS} SELECT jd_id, resume_id,
-        'Rate from 0 (none) to 10 (full) how well the resume fits each part of the job.'{_NL}'Category:'{_NL}coalesce(category_detected, '')
-        {_NL}'Requirements:'{_NL}coalesce(requirements, ''){_NL}'Qualifications:'{_NL}coalesce(qualifications, ''){_NL}'Resume:'{_NL}
-        {strip('array_to_string(skills, chr(32))')}{_NL}'Answer with one JSON object with the numbers "category_score", "requirements_score", "qualifications_score" and "final_score", and a short "reason".' AS prompt
-        FROM jobs j JOIN details d ON j.folder = d.folder WHERE {_SCANNED}""",
+    "prompt_score": _SCORE_PROMPTS,
     # response parsing
     "parse_fenced": f"""WITH {_FENCED} SELECT t.resume_id, any_value(t.valid) IS NOT NULL AS ok, bool_or(t.is_object) AS is_object,
         {member('name')} AS name, {member('years_of_experience')} AS years FROM typed t
@@ -379,6 +381,9 @@ ORACLES: dict[str, str] = {
     "score_from_responses": f"""WITH {_JOBS}, {_SCORED} SELECT jd_id, s.resume_id, {", ".join(_SCORE_NAMES)}, reason
         FROM jobs j JOIN ({fx.RESUMES}) r ON j.folder = r.folder JOIN score_fields s ON s.resume_id = r.resume_id
         WHERE {_SCANNED} AND error IS NULL""",
+    "score_model": f"""SELECT jd_id, resume_id, CASE WHEN n % 7 <> 6 THEN CAST(n % 11 AS DOUBLE) END AS final_score,
+        CASE WHEN n % 7 <> 6 THEN CAST(n AS VARCHAR) END AS reason, CASE WHEN n % 7 = 6 THEN 'no JSON in response' END AS error
+        FROM (SELECT jd_id, resume_id, length(prompt) AS n FROM ({_SCORE_PROMPTS}))""",
     "rank_resumes": f"""{_RESUMES}, {_PAIRED} SELECT jd_id, resume_id, final_score, rank FROM ranked""",
     "result_rows": f"{_RESUMES}, {_PAIRED} SELECT {_RESULT_COLUMNS} FROM result",
     "summary": f"""{_RESUMES}, {_PAIRED}, fit AS (SELECT *, CASE WHEN rank % 2 = 1 THEN reason END AS fit_summary FROM ranked),
@@ -392,6 +397,10 @@ ORACLES: dict[str, str] = {
         FROM elements GROUP BY resume_id""",
     # vectors
     "l2_normalize": f"WITH {_CENTROIDS} SELECT vec_id, CAST(i - 1 AS INT) AS pos, round(x, 6) AS x FROM unit",
+    "embed_documents": """WITH counted AS (SELECT doc_id, unnest([0, 1, 2]) AS pos, unnest([length(text) - length(replace(text, 'a', '')),
+          length(text) - length(replace(text, 'e', '')), length(text) - length(replace(text, 'o', ''))]) AS n FROM documents),
+        lengths AS (SELECT *, sqrt(sum(n * n) OVER (PARTITION BY doc_id)) AS norm FROM counted)
+        SELECT doc_id, CAST(pos AS INT) AS pos, round(n / norm, 6) AS x FROM lengths WHERE norm > 0""",
     "resume_topk": f"""WITH {_CENTROIDS} SELECT label, vec_id, score, rank FROM (SELECT *,
         row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS rank FROM dots) WHERE rank <= 5""",
     "category_topk": f"""WITH {_CENTROIDS} SELECT vec_id, label, score, rank FROM (SELECT *,

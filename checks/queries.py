@@ -11,7 +11,7 @@ from checks import fixtures as fx
 from hiregrid.functions import extract, responses, text
 from hiregrid.functions.prompts import missing_fields_prompt, score_prompt
 from hiregrid.operators import analysis, audit, details, hook, intake, lookup, ranking, scoring, similarity, upsert
-from hiregrid.plans.ingest import analysis_requests, ingest_jobs, job_rows
+from hiregrid.plans.ingest import analysis_requests, ingest_jobs, job_rows, number_jobs
 from hiregrid.plans.recommend import Recommendation, recommend
 from hiregrid.session import materialize, shared_folder
 from hiregrid.sources import files, tables
@@ -112,7 +112,7 @@ def jd_rows(spark, sf):
     texts = resumes(spark, sf).select("resume_id", F.col("resume_text").alias("jd_text"))
     analysed = analysis.parse_analysis(responses_of(spark, sf, "analysis")).join(texts, "resume_id")
     folder = new_folder(spark, "jobs")
-    rows = job_rows(analysed, batch_time(), ("resume_id",))
+    rows = number_jobs(jobs(spark, sf), job_rows(analysed, batch_time(), ("resume_id",)), F.col("resume_id"))
     tables.append(rows, folder)
     return spark.read.schema(rows.schema).parquet(folder).drop("uploaded_at")
 
@@ -344,6 +344,23 @@ def score_from_responses(spark, sf):
     return scored.select("jd_id", "resume_id", *analysis.SCORE_FIELDS, "reason")
 
 
+@query
+def score_model(spark, sf):
+    def model(prompts):
+        # Stands for a model: rates by the length of the prompt, and fails on some.
+        def answer(prompt):
+            if len(prompt) % 7 == 6:
+                raise ValueError("no answer")
+            return 'Rated: {"final_score":%d,"reason":"%d"}' % (len(prompt) % 11, len(prompt))
+
+        return prompts.map(answer)
+
+    known = intake.scan_folder(resume_details(spark, sf)).drop("resume_text")
+    scored, failed = scoring.score_by_model(jobs(spark, sf), known, model)
+    keys = ["jd_id", "resume_id", "final_score", "reason"]
+    return scored.select(*keys, F.lit(None).cast("string").alias("error")).unionByName(failed.select(*keys, "error"))
+
+
 @query
 def rank_resumes(spark, sf):
     scored = scored_by_keywords(spark, sf).select("jd_id", "resume_id", "resume_path", "final_score")
@@ -399,6 +416,23 @@ def l2_normalize(spark, sf):
     )
 
 
+@query
+def embed_documents(spark, sf):
+    def model(texts):
+        # Stands for a model: letter counts, and a failure where there are none.
+        def vector(text):
+            counts = [float(text.count(letter)) for letter in "aeo"]
+            if not any(counts):
+                raise ValueError("nothing to embed")
+            return counts
+
+        return texts.map(vector)
+
+    embedded = hook.embeddings(documents(spark, sf), "text", model)
+    unit, _ = similarity.normalized(embedded)
+    return unit.select("doc_id", F.posexplode("embedding").alias("pos", "x")).withColumn("x", F.round("x", 6))
+
+
 @query
 def resume_topk(spark, sf):
     return similarity.inner_product_topk(category_vectors(spark, sf), corpus_vectors(spark, sf), "label", "vec_id", 5)
@@ -480,8 +514,8 @@ def jd_ingest(spark, sf):
 @query
 def stream_ingest(spark, sf):
     schema = table(spark, sf, "customer").schema
-    arriving = spark.readStream.schema(schema).option("pathGlobFilter", "customer.parquet").parquet(sf)
-    arriving.createOrReplaceTempView("arriving_customers")
+    # As a glob, the path may be one file or a folder of them.
+    spark.readStream.schema(schema).parquet(f"{sf}/customer.parque[t]").createOrReplaceTempView("arriving_customers")
     stream = spark.sql(fx.RESUMES.replace("FROM customer", "FROM arriving_customers"))
     before = fx.load(spark, sf, fx.CANDIDATES)
     folder = new_folder(spark, "stream")

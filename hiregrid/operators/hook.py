@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Sequence
 from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame
@@ -50,6 +50,32 @@ def model_responses(rows: DataFrame, prompt: str, model: Model) -> DataFrame:
     return rows.mapInArrow(call, schema)
 
 
+def embeddings(rows: DataFrame, text: str, model: Callable[[pd.Series], Iterable[Sequence[float]]]) -> DataFrame:
+    """``rows`` with the ``text`` column replaced by the model's ``embedding``.
+
+    A text the model fails on gets null; ``similarity.normalized`` splits those off.
+    """
+    kept = [c for c in rows.columns if c != text]
+    vector = T.StructField("embedding", T.ArrayType(T.FloatType()))
+    schema = T.StructType([*[rows.schema[c] for c in kept], vector])
+
+    def vectors(texts: pd.Series) -> list:
+        try:
+            return list(model(texts))
+        except Exception:
+            return [None if len(texts) == 1 else vectors(texts.iloc[i : i + 1])[0] for i in range(len(texts))]
+
+    def call(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        import pyarrow as pa
+
+        for batch in batches:
+            texts = batch.column(text).to_pandas()
+            found = pa.array(vectors(texts) if len(texts) else [], pa.list_(pa.float32()))
+            yield pa.RecordBatch.from_arrays([*map(batch.column, kept), found], names=[*kept, "embedding"])
+
+    return rows.mapInArrow(call, schema)
+
+
 def complete_details(details: DataFrame, text: str, model: Model) -> DataFrame:
     """Ask ``model`` for the fields the rules missed, of the rows that miss any.
 

@@ -15,6 +15,12 @@ def email_key(email: Column) -> Column:
     return F.nullif(strip(F.lower(email)), F.lit(""))
 
 
+def lookup_job(jobs: DataFrame, jd_id: int) -> DataFrame:
+    """One job by id, null texts as ''; no row if there is none. The filter reaches the scan."""
+    texts = {c: F.coalesce(c, F.lit("")) for c in JOB_TEXTS}
+    return jobs.where(F.col("jd_id") == jd_id).withColumns(texts)
+
+
 def lookup_jobs(requests: DataFrame, jobs: DataFrame, request_id: str, **options) -> DataFrame:
     """Each request with its job, null texts as '', and whether the job exists."""
     known = jobs.select("jd_id", "jd_text", *JOB_TEXTS, F.lit(True).alias("found"))

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hiregrid.functions.text import basename, display_name, keyword_set
+from hiregrid.functions.prompts import score_prompt
+from hiregrid.functions.text import basename, display_name, full_resume_text, keyword_set
 from hiregrid.operators.analysis import SCORE_FIELDS, parse_scores
+from hiregrid.operators.hook import Model, model_responses
 from hiregrid.operators.intake import split_failures
 from hiregrid.operators.joins import join_on_key
 
@@ -75,6 +77,21 @@ def score_from_responses(pairs: DataFrame, responses: DataFrame, on: list[str])
     return split_failures(joined.withColumn("error", error).drop("_answered"))
 
 
+def score_by_model(
+    jobs: DataFrame, resumes: DataFrame, model: Model, **options
+) -> tuple[DataFrame, DataFrame]:
+    """(scored pairs, failed pairs) from a user's model, asked once per pair.
+
+    The résumé text sent is what extraction made of the sections, as for keywords.
+    """
+    asked = jobs.select("jd_id", "folder", *[F.coalesce(c, F.lit("")).alias(c) for c in JOB_TEXTS])
+    offered = resumes.withColumn("_text", full_resume_text(resumes.schema))
+    prompt = score_prompt(*[F.col(c) for c in ("category_detected", "requirements", "qualifications", "_text")])
+    pairs = pair_jobs_with_resumes(asked, offered, **options).withColumn("_prompt", prompt)
+    answered = model_responses(pairs.drop(*JOB_TEXTS, "_text"), "_prompt", model)
+    return split_failures(parse_scores(answered).drop("response"))
+
+
 def result_rows(scored: DataFrame) -> DataFrame:
     """The result projection: job, rank if any, and the nine result columns."""
     named = scored.withColumns({

@@ -67,8 +67,10 @@ def centroids(vectors: DataFrame, by: str, vector: str = "embedding") -> DataFra
 
 
 def _fits_block(df: DataFrame, column: str) -> bool:
-    rows, values = df.agg(F.count("*"), F.coalesce(F.sum(F.size(column)), F.lit(0))).first()
-    return rows <= BLOCK_ROWS and values <= BLOCK_VALUES
+    """Counts rows first, which needs no vectors, and their numbers only if the rows are few."""
+    if df.count() > BLOCK_ROWS:
+        return False
+    return df.agg(F.coalesce(F.sum(F.size(column)), F.lit(0))).first()[0] <= BLOCK_VALUES
 
 
 def _dense_scorer():

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from hiregrid.functions.prompts import analysis_prompt
 from hiregrid.operators.analysis import parse_analysis
 from hiregrid.operators.audit import ERROR, INFO, JD_ANALYSIS, audit_rows, job_saved_message, union_audits, upload_audit
+from hiregrid.operators.hook import Model, model_responses
 from hiregrid.operators.intake import intake_gate
 from hiregrid.operators.lookup import category_options
+from hiregrid.operators.ranking import WINDOW_ROWS, number_rows
 from hiregrid.session import materialize
 
 NO_CATEGORY = "category is null"
@@ -33,12 +35,24 @@ def job_rows(analysed: DataFrame, at: Column, keep: tuple[str, ...] = ()) -> Dat
     )
 
 
+def number_jobs(jobs: DataFrame, rows: DataFrame, order: Column, window_rows: int = WINDOW_ROWS) -> DataFrame:
+    """``rows`` with the ids that follow the highest ``jd_id`` of ``jobs``, in ``order``."""
+    start = jobs.agg(F.coalesce(F.max("jd_id"), F.lit(0))).first()[0]
+    numbered = number_rows(rows, [], [order], "_n", window_rows)
+    return numbered.withColumn("jd_id", F.lit(start).cast("bigint") + F.col("_n")).drop("_n")
+
+
 def analysis_requests(accepted: DataFrame, categories: DataFrame, key: str) -> DataFrame:
     """``(key, prompt)``; the category options are one row, attached by broadcast."""
     options = F.broadcast(category_options(categories))
     return accepted.join(options).select(key, analysis_prompt(F.col("category_options"), F.col("jd_text")).alias("prompt"))
 
 
+def analysis_responses(accepted: DataFrame, categories: DataFrame, key: str, model: Model) -> DataFrame:
+    """``(key, response)`` of a user's model for ``accepted(key, jd_text)``."""
+    return model_responses(analysis_requests(accepted, categories, key), "prompt", model)
+
+
 def ingest_jobs(uploads: DataFrame, responses: DataFrame, key: str, at: Column) -> Ingest:
     """Ingest ``uploads(key, path, jd_text)`` given model ``responses(key, response)``.
 

@@ -9,11 +9,18 @@ from pyspark.sql import functions as F
 
 from hiregrid.operators.analysis import SCORE_FIELDS
 from hiregrid.operators.details import candidate_details
+from hiregrid.operators.hook import Model
 from hiregrid.operators.intake import scan_folder
 from hiregrid.operators.joins import join_on_key
 from hiregrid.operators.lookup import lookup_candidates, lookup_jobs
 from hiregrid.operators.ranking import rank_resumes, summarize
-from hiregrid.operators.scoring import pair_jobs_with_resumes, result_rows, score_by_keywords, score_from_responses
+from hiregrid.operators.scoring import (
+    pair_jobs_with_resumes,
+    result_rows,
+    score_by_keywords,
+    score_by_model,
+    score_from_responses,
+)
 from hiregrid.operators.upsert import upsert_candidates, upsert_scores
 from hiregrid.session import materialize
 
@@ -36,6 +43,7 @@ def recommend(
     scores: DataFrame,
     at: Column,
     responses: DataFrame | None = None,
+    model: Model | None = None,
 ) -> Recommendation:
     """Score, rank and store.
 
@@ -43,7 +51,7 @@ def recommend(
     ``(resume_path, folder, resume_text)`` are read and extracted once: the
     extracted fields, without the texts, are written and feed both the scoring
     and the candidate upsert. Scores come from ``responses(jd_id, resume_path,
-    response)`` if given, else from keywords.
+    response)`` or a user's ``model`` if given, else from keywords.
     """
     looked_up = lookup_jobs(requests, jobs.drop("folder"), "jd_id")
     found = looked_up.where("found").drop("found", "jd_text")
@@ -52,7 +60,9 @@ def recommend(
     in_scope = join_on_key(scan_folder(resumes), asked_folders, "folder", row_key="resume_path")
     details = materialize(candidate_details(in_scope, "resume_text").drop("resume_text"), "details")
 
-    if responses is None:
+    if model is not None:
+        scored, failed = score_by_model(found, details, model)
+    elif responses is None:
         scored, failed = score_by_keywords(found, details), None
     else:
         pairs = pair_jobs_with_resumes(found.select("jd_id", "folder"), details)
@@ -61,7 +71,7 @@ def recommend(
 
     # Only scored résumés reach the candidate table; keywords score every one of them.
     reached = details
-    if responses is not None:
+    if failed is not None:
         reached = details.join(ranked.select("resume_path").distinct(), "resume_path", "left_semi")
     stored = materialize(upsert_candidates(candidates, reached, at)[0], "candidates")
     # Every result has a path, so its id is the one its upsert gave.

@@ -19,10 +19,16 @@ VERSION_SCHEMA = "version bigint, batch_id string, path string"
 
 
 def append(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    writer = df.write.mode("append")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    """Append rows. Partitioned rows are first brought together by partition.
+
+    The rebalance hint keeps every task from writing a file into every
+    partition, and splits a partition too large for one task.
+    """
+    if not partition_by:
+        df.write.mode("append").parquet(path)
+        return
+    gathered = df.hint("rebalance", *[F.col(c) for c in partition_by])
+    gathered.write.mode("append").partitionBy(*partition_by).parquet(path)
 
 
 def balanced(scan: DataFrame, key: str) -> DataFrame:
