@@ -13,6 +13,9 @@ from checks.queries import QUERIES
 from hiregrid.session import build_session
 
 
+TYPES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN"}
+
+
 def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
     for name in TABLES:
@@ -28,8 +31,10 @@ def normal_rows(columns: list[str], rows) -> list[str]:
 def difference(df, con, sql: str) -> str | None:
     """What differs between a Spark result and its SQL, None if nothing does."""
     relation = con.sql(sql)
-    if sorted(df.columns) != sorted(relation.columns):
-        return f"columns {sorted(df.columns)} != {sorted(relation.columns)}"
+    spark_types = sorted((name, TYPES.get(kind, kind)) for name, kind in df.dtypes)
+    sql_types = sorted(zip(relation.columns, map(str, relation.types)))
+    if spark_types != sql_types:
+        return f"columns {spark_types} != {sql_types}"
     ours = normal_rows(df.columns, [tuple(r) for r in df.collect()])
     theirs = normal_rows(relation.columns, relation.fetchall())
     if ours == theirs:

@@ -405,6 +405,9 @@ ORACLES: dict[str, str] = {
         row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS rank FROM dots) WHERE rank <= 5""",
     "category_topk": f"""WITH {_CENTROIDS} SELECT vec_id, label, score, rank FROM (SELECT *,
         row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, label) AS rank FROM dots) WHERE rank <= 2""",
+    "category_columns": f"""WITH {_CENTROIDS} SELECT vec_id, max(CASE WHEN rank = 1 THEN label END) AS category1_id,
+        max(CASE WHEN rank = 2 THEN label END) AS category2_id FROM (SELECT *,
+        row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, label) AS rank FROM dots) GROUP BY vec_id""",
     "term_vectors": f"WITH {_terms('d', 'documents', 'doc_id')} SELECT doc_id, token, round(w, 6) AS weight FROM d_terms",
     "text_topk": f"""WITH {_terms('d', 'documents', 'doc_id')}, {_terms('q', 'benchmark', 'item_id')},
         sums AS (SELECT item_id, doc_id, sum(q.w * d.w) AS s FROM q_terms q JOIN d_terms d USING (token) GROUP BY item_id, doc_id),

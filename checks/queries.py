@@ -443,6 +443,11 @@ def category_topk(spark, sf):
     return similarity.inner_product_topk(corpus_vectors(spark, sf), category_vectors(spark, sf), "vec_id", "label", 2)
 
 
+@query
+def category_columns(spark, sf):
+    return similarity.category_columns(category_topk(spark, sf), "vec_id", "label")
+
+
 @query
 def term_vectors(spark, sf):
     vectors = similarity.term_vectors(documents(spark, sf), "doc_id", "text")

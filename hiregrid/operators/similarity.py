@@ -267,6 +267,14 @@ def inner_product_topk(
     return found.withColumn("rank", F.row_number().over(best_first).cast("bigint")).where(F.col("rank") <= k)
 
 
+def category_columns(topk: DataFrame, query_id: str, corpus_id: str, k: int = 2) -> DataFrame:
+    """``(query_id, category1_id, category2_id, …)`` from ranked hits, null where there are fewer."""
+    ranked = [
+        F.max(F.when(F.col("rank") == n, F.col(corpus_id))).alias(f"category{n}_id") for n in range(1, k + 1)
+    ]
+    return topk.groupBy(query_id).agg(*ranked)
+
+
 def recommend(topk: DataFrame, details: DataFrame, corpus_id: str) -> DataFrame:
     """Attach ``details(corpus_id, …)`` to ranked hits.
 

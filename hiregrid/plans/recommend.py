@@ -11,7 +11,7 @@ from hiregrid.operators.analysis import SCORE_FIELDS
 from hiregrid.operators.details import candidate_details
 from hiregrid.operators.hook import Model
 from hiregrid.operators.intake import scan_folder
-from hiregrid.operators.joins import join_on_key
+from hiregrid.operators.joins import fits_broadcast, join_on_key
 from hiregrid.operators.lookup import lookup_candidates, lookup_jobs
 from hiregrid.operators.ranking import rank_resumes, summarize
 from hiregrid.operators.scoring import (
@@ -56,16 +56,17 @@ def recommend(
     looked_up = lookup_jobs(requests, jobs.drop("folder"), "jd_id")
     found = looked_up.where("found").drop("found", "jd_text")
 
+    small = {"broadcast": fits_broadcast(found)}
     asked_folders = found.select("folder").distinct()
-    in_scope = join_on_key(scan_folder(resumes), asked_folders, "folder", row_key="resume_path")
+    in_scope = join_on_key(scan_folder(resumes), asked_folders, "folder", row_key="resume_path", **small)
     details = materialize(candidate_details(in_scope, "resume_text").drop("resume_text"), "details")
 
     if model is not None:
-        scored, failed = score_by_model(found, details, model)
+        scored, failed = score_by_model(found, details, model, **small)
     elif responses is None:
-        scored, failed = score_by_keywords(found, details), None
+        scored, failed = score_by_keywords(found, details, **small), None
     else:
-        pairs = pair_jobs_with_resumes(found.select("jd_id", "folder"), details)
+        pairs = pair_jobs_with_resumes(found.select("jd_id", "folder"), details, **small)
         scored, failed = score_from_responses(pairs, responses, ["jd_id", "resume_path"])
     ranked = rank_resumes(result_rows(scored))
 

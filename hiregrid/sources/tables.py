@@ -48,38 +48,38 @@ class SnapshotTable:
     def __init__(self, spark: SparkSession, path: str, schema: str):
         self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
 
-    def _versions(self) -> DataFrame:
+    def _state(self, batch_id: str | None = None):
+        """One row: the latest version's number and path, null at first, and whether the batch is listed."""
         try:
-            return self.spark.read.schema(VERSION_SCHEMA).parquet(f"{self.path}/versions")
+            versions = self.spark.read.schema(VERSION_SCHEMA).parquet(f"{self.path}/versions")
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return self.spark.createDataFrame([], VERSION_SCHEMA)
-
-    def _latest(self):
-        return self._versions().orderBy(F.col("version").desc()).first()
-
-    def read(self) -> DataFrame:
-        latest = self._latest()
-        if latest is None:
+            versions = self.spark.createDataFrame([], VERSION_SCHEMA)
+        listed = F.coalesce(F.bool_or(F.col("batch_id") == F.lit(batch_id)), F.lit(False))
+        return versions.agg(
+            F.max("version").alias("version"), F.max_by("path", "version").alias("path"), listed.alias("listed")
+        ).first()
+
+    def _table(self, state) -> DataFrame:
+        if state["path"] is None:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(latest["path"])
+        return self.spark.read.schema(self.schema).parquet(state["path"])
 
-    def has_batch(self, batch_id: str) -> bool:
-        return not self._versions().where(F.col("batch_id") == batch_id).isEmpty()
+    def read(self) -> DataFrame:
+        return self._table(self._state())
 
-    def replace(self, df: DataFrame, batch_id: str) -> None:
-        """Make ``df`` the current version, unless ``batch_id`` already did."""
-        if self.has_batch(batch_id):
+    def update(self, change: Callable[[DataFrame], DataFrame], batch_id: str) -> None:
+        """Replace the table by ``change`` of itself, unless ``batch_id`` already did."""
+        state = self._state(batch_id)
+        if state["listed"]:
             return
-        latest = self._latest()
-        version = latest["version"] + 1 if latest else 1
+        version = (state["version"] or 0) + 1
         target = f"{self.path}/data/{version:08d}-{uuid.uuid4().hex}"
-        df.write.parquet(target)
-        listed = self.spark.createDataFrame([(version, batch_id, target)], VERSION_SCHEMA)
+        change(self._table(state)).write.parquet(target)
+        entry = (F.lit(version).cast("bigint"), F.lit(batch_id), F.lit(target))
+        listed = self.spark.range(1).select(*[c.alias(n) for c, n in zip(entry, ("version", "batch_id", "path"))])
         listed.coalesce(1).write.mode("append").parquet(f"{self.path}/versions")
 
-    def update(self, change: Callable[[DataFrame], DataFrame], batch_id: str) -> None:
-        """Replace the table by ``change`` of itself, once per ``batch_id``."""
-        if not self.has_batch(batch_id):
-            self.replace(change(self.read()), batch_id)
+    def replace(self, df: DataFrame, batch_id: str) -> None:
+        self.update(lambda _: df, batch_id)
