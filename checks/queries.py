@@ -464,9 +464,9 @@ def text_topk(spark, sf):
 @query
 def recommend_by_similarity(spark, sf):
     hits = resume_topk(spark, sf).withColumnRenamed("vec_id", "resume_id")
-    readable = intake.nonblank(resumes(spark, sf), "resume_text")
-    emails = readable.select("resume_id", "resume_path", extract.email(F.col("resume_text")).alias("email"))
-    return similarity.recommend(hits, emails, "resume_id").select("label", "email", "resume_path", "score", "rank")
+    texts = resumes(spark, sf).drop("folder")
+    found = similarity.recommend(hits, texts, "label", "resume_id", "resume_text")
+    return found.select("label", F.col("candidate_email").alias("email"), "resume_path", "score", "rank")
 
 
 # --- upserts and pipelines ---

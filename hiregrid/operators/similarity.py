@@ -13,8 +13,11 @@ from typing import TYPE_CHECKING
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from hiregrid.functions.dialect import is_blank
+from hiregrid.functions.extract import email
 from hiregrid.functions.text import run_lengths, run_starts, sorted_tokens
 from hiregrid.functions.vectors import to_unit
+from hiregrid.operators.joins import fits_broadcast, join_on_key
 
 if TYPE_CHECKING:
     import pandas as pd
@@ -275,10 +278,16 @@ def category_columns(topk: DataFrame, query_id: str, corpus_id: str, k: int = 2)
     return topk.groupBy(query_id).agg(*ranked)
 
 
-def recommend(topk: DataFrame, details: DataFrame, corpus_id: str) -> DataFrame:
-    """Attach ``details(corpus_id, …)`` to ranked hits.
+def recommend(topk: DataFrame, documents: DataFrame, query_id: str, corpus_id: str, text: str) -> DataFrame:
+    """Ranked hits with the candidate e-mail of each document.
 
-    Hits whose document could not be read have no details and drop out after
-    ranking, so fewer than k may remain.
+    Only the documents that were hit are extracted. Hits whose document is absent
+    or blank drop out after ranking, so fewer than k may remain.
     """
-    return topk.join(details, corpus_id)
+    if fits_broadcast(topk):
+        hits = documents.join(F.broadcast(topk), corpus_id)
+    else:
+        # One document may be a hit of very many queries.
+        hits = join_on_key(topk, documents, corpus_id, row_key=query_id, broadcast=False)
+    read = hits.where(~is_blank(F.col(text)))
+    return read.withColumn("candidate_email", email(F.col(text))).drop(text)

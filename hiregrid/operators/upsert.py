@@ -10,12 +10,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hiregrid.operators.analysis import SCORE_FIELDS
 from hiregrid.operators.joins import fits_broadcast, join_on_key
 from hiregrid.operators.lookup import email_key
 from hiregrid.operators.ranking import WINDOW_ROWS, number_rows
 from hiregrid.session import materialize
+from hiregrid.sources.tables import stored_or_empty
 
 # Candidate column <- details field; the company has no producer and stays null.
 CANDIDATE_VALUES = {
@@ -94,12 +96,16 @@ def get_or_create_categories(
     )
 
 
-def upsert_scores(snapshot: DataFrame, batch: DataFrame, order: str = "resume_path") -> DataFrame:
+def upsert_scores(
+    snapshot: DataFrame, batch: DataFrame, order: str = "resume_path", batch_id: str | None = None
+) -> DataFrame:
     """The score table after ``batch``, keyed by (jd_id, candidate_id).
 
     The last row in ``order`` wins within the batch. Rows without a candidate
-    have no key: they never match and are always added. Only rows of jobs in the
-    batch take part in the join; the others pass through unshuffled.
+    have no key: they never match and are always added. With a ``batch_id`` both
+    tables have a column of that name, and a batch applied again first takes
+    away the keyless rows it added before. Only rows of jobs in the batch take
+    part in the join; the others pass through unshuffled.
     """
     keys = ["jd_id", "candidate_id"]
     columns = snapshot.columns
@@ -108,6 +114,8 @@ def upsert_scores(snapshot: DataFrame, batch: DataFrame, order: str = "resume_pa
     latest = batch.where(has_key).groupBy(*keys).agg(
         F.max_by(F.struct(*SCORE_VALUES, *extra), F.col(order)).alias("_new")
     )
+    if batch_id is not None:
+        snapshot = snapshot.where(has_key | ~F.col("batch_id").eqNullSafe(F.lit(batch_id)))
     jobs = batch.select("jd_id").distinct().withColumn("_in_batch", F.lit(True))
     flagged = join_on_key(snapshot, jobs, "jd_id", "left", row_key="candidate_id")
     in_join = F.col("_in_batch") & has_key
@@ -116,3 +124,28 @@ def upsert_scores(snapshot: DataFrame, batch: DataFrame, order: str = "resume_pa
     merged = old.join(latest, keys, "full_outer").withColumn("_row", F.coalesce("_new", "_old"))
     keyed = merged.select(*keys, "_row.*").select(*columns)
     return untouched.unionByName(keyed).unionByName(batch.where(~has_key).select(*columns))
+
+
+def merge_scores_into(path: str, batch: DataFrame, batch_id: str, order: str = "resume_path") -> None:
+    """Upsert ``batch`` into the stored score table, which is partitioned by ``jd_id``.
+
+    Only the partitions of the batch's jobs are read and replaced, however large
+    the table. Applying a batch again changes nothing.
+    """
+    spark = batch.sparkSession
+    batch = batch.withColumn("batch_id", F.lit(batch_id))
+    columns = ["candidate_id", *SCORE_VALUES, "batch_id", "jd_id"]
+    schema = T.StructType([batch.schema[c] for c in columns])
+    jobs = batch.select("jd_id").distinct()
+    touched = stored_or_empty(spark, path, schema).join(
+        F.broadcast(jobs) if fits_broadcast(jobs) else jobs, "jd_id", "left_semi"
+    )
+    # Written aside first: a path cannot be read and replaced at once.
+    merged = materialize(upsert_scores(touched.select(*columns), batch, order, batch_id), "scores")
+    (
+        merged.hint("rebalance", F.col("jd_id"))
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("jd_id")
+        .parquet(path)
+    )

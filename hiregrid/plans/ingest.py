@@ -43,9 +43,9 @@ def number_jobs(jobs: DataFrame, rows: DataFrame, order: Column, window_rows: in
 
 
 def analysis_requests(accepted: DataFrame, categories: DataFrame, key: str) -> DataFrame:
-    """``(key, prompt)``; the category options are one row, attached by broadcast."""
-    options = F.broadcast(category_options(categories))
-    return accepted.join(options).select(key, analysis_prompt(F.col("category_options"), F.col("jd_text")).alias("prompt"))
+    """``(key, prompt)``; the category options are one value, read by a scalar subquery."""
+    options = category_options(categories).scalar()
+    return accepted.select(key, analysis_prompt(options, F.col("jd_text")).alias("prompt"))
 
 
 def analysis_responses(accepted: DataFrame, categories: DataFrame, key: str, model: Model) -> DataFrame:

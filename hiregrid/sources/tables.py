@@ -14,6 +14,7 @@ from collections.abc import Callable
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 VERSION_SCHEMA = "version bigint, batch_id string, path string"
 
@@ -31,6 +32,16 @@ def append(df: DataFrame, path: str, partition_by: list[str] | None = None) -> N
     gathered.write.mode("append").partitionBy(*partition_by).parquet(path)
 
 
+def stored_or_empty(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
+    """The parquet table at ``path``, or no rows if nothing was written there yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def balanced(scan: DataFrame, key: str) -> DataFrame:
     """Spread a small scan over all cores.
 
@@ -50,12 +61,7 @@ class SnapshotTable:
 
     def _state(self, batch_id: str | None = None):
         """One row: the latest version's number and path, null at first, and whether the batch is listed."""
-        try:
-            versions = self.spark.read.schema(VERSION_SCHEMA).parquet(f"{self.path}/versions")
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
-            versions = self.spark.createDataFrame([], VERSION_SCHEMA)
+        versions = stored_or_empty(self.spark, f"{self.path}/versions", VERSION_SCHEMA)
         listed = F.coalesce(F.bool_or(F.col("batch_id") == F.lit(batch_id)), F.lit(False))
         return versions.agg(
             F.max("version").alias("version"), F.max_by("path", "version").alias("path"), listed.alias("listed")

@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from hiregrid.operators.details import candidate_details
 from hiregrid.operators.upsert import upsert_candidates
-from hiregrid.plans.ingest import ingest_jobs
-from hiregrid.sources.tables import SnapshotTable
+from hiregrid.plans.ingest import ingest_jobs, number_jobs
 from hiregrid.session import materialize
+from hiregrid.sources.tables import SnapshotTable, stored_or_empty
 
 
 def run_available(stream: DataFrame, checkpoint: str, on_batch: Callable[[DataFrame, int], None]) -> StreamingQuery:
@@ -55,13 +57,17 @@ def stream_jobs(
     """Ingest arriving job descriptions, ``responses`` supplying each batch's model output.
 
     Rows are written below one directory per batch, replaced when a batch is
-    run again, so a retry never doubles them.
+    run again, so a retry never doubles them. Job ids follow those of the
+    earlier batches, in ``key`` order.
     """
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         uploads_now = materialize(batch, "uploads")
         done = ingest_jobs(uploads_now, responses(uploads_now), key, at(batch_id))
-        done.jobs.write.mode("overwrite").parquet(f"{jobs_path}/batch={batch_id}")
+        ids = T.StructType([T.StructField("jd_id", T.LongType()), T.StructField("batch", T.LongType())])
+        earlier = stored_or_empty(batch.sparkSession, jobs_path, ids).where(F.col("batch") < batch_id)
+        numbered = number_jobs(earlier, done.jobs, F.col(key))
+        numbered.write.mode("overwrite").parquet(f"{jobs_path}/batch={batch_id}")
         done.audit.write.mode("overwrite").parquet(f"{audit_path}/batch={batch_id}")
 
     return run_available(uploads, checkpoint, on_batch)

@@ -179,6 +179,24 @@ def test_score_upsert(spark):
     ], key=str)
 
 
+def test_merge_scores_into_stored_partitions(spark, tmp_path):
+    path = str(tmp_path / "scores")
+    schema = SCORE + ", resume_path string"
+    first = spark.createDataFrame(
+        [(1, 10, 1.0, 1.0, 1.0, 1.0, "a", "p1"), (1, None, 2.0, 2.0, 2.0, 2.0, "b", "p2"), (2, 10, 3.0, 3.0, 3.0, 3.0, "c", "p3")], schema
+    )
+    second = spark.createDataFrame([(1, 10, 9.0, 9.0, 9.0, 9.0, "d", "p1"), (1, None, 8.0, 8.0, 8.0, 8.0, "e", "p2")], schema)
+    upsert.merge_scores_into(path, first, "one")
+    untouched = {f.name for f in (tmp_path / "scores" / "jd_id=2").iterdir()}
+    for _ in range(2):  # the second time as after a failure
+        upsert.merge_scores_into(path, second, "two")
+    rows = sorted((r.jd_id, r.candidate_id, r.final_score, r.batch_id) for r in spark.read.parquet(path).where("candidate_id IS NOT NULL").collect())
+    assert rows == [(1, 10, 9.0, "two"), (2, 10, 3.0, "one")]
+    keyless = spark.read.parquet(path).where("candidate_id IS NULL").collect()
+    assert sorted((r.jd_id, r.final_score, r.batch_id) for r in keyless) == [(1, 2.0, "one"), (1, 8.0, "two")]
+    assert {f.name for f in (tmp_path / "scores" / "jd_id=2").iterdir()} == untouched
+
+
 @pytest.mark.parametrize("window_rows", [1_000_000, 0])
 def test_categories(spark, window_rows):
     known = spark.createDataFrame([(3, "B", "category1")], "category_id bigint, name string, type string")

@@ -92,7 +92,7 @@ def test_stream_jobs(spark, tmp_path):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
         stream = spark.readStream.schema(schema).parquet(source)
         stream_jobs(stream, answers, jobs, log, str(tmp_path / "checkpoint"), "id", at).awaitTermination()
-    assert sorted(r.id for r in spark.read.parquet(jobs).collect()) == [1, 3]
+    assert sorted((r.id, r.jd_id) for r in spark.read.parquet(jobs).collect()) == [(1, 1), (3, 2)]
     assert spark.read.parquet(log).count() == 6
 
 
