@@ -87,7 +87,8 @@ _EDUCATION = any_case("|".join(DEGREES), "PDMBpdmb")
 
 _EXPERIENCE = whole_word(EXPERIENCE_HEADERS, "EWew")
 _REST_OF_LINE = rf"[{NOT_BREAK}]*+"
-_TITLE = rf"{_EXPERIENCE}{_REST_OF_LINE}[{SPACE}]*+([{NOT_BREAK}]++)"
+# Anchored and atomic: when nothing follows the first header, no later one is tried.
+_TITLE = rf"\A(?>(?s:.*?){_EXPERIENCE}){_REST_OF_LINE}[{SPACE}]*+([{NOT_BREAK}]++)"
 
 _TOP_LINES = rf"\A(?:{_REST_OF_LINE}{LINE_END}){{0,{LOCATION_LINES - 1}}}+{_REST_OF_LINE}"
 _LOCATION = rf"(?<![A-Za-z])[A-Za-z]++,[{INLINE_SPACE}]*+[A-Z]{{2}}"

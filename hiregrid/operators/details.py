@@ -28,8 +28,8 @@ def _offered(value: Column) -> Column:
 def fill_gaps(answered: DataFrame) -> DataFrame:
     """Fill the missing fields, and only those, of details rows that carry a ``response``.
 
-    A response that is no JSON leaves its row as it was and sets ``fill_error``;
-    so does nothing else, a null response included.
+    A response that is no JSON leaves its row as it was and sets ``fill_error``.
+    A null response was never asked for, and is no error.
     """
     parsed = (
         with_missing_fields(answered)

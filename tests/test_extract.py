@@ -1,6 +1,7 @@
 """Goldens for every field rule, written by hand, and a random comparison with the SQL rules."""
 
 import random
+import time
 
 import duckdb
 import pytest
@@ -118,6 +119,30 @@ def test_missing_fields_in_order(spark):
     assert found == [["name", "phone", "current_location", "education_level", "skills"], []]
 
 
+LONG = {
+    "one word": "a" * 400_000,
+    "words": "Ab " * 130_000,
+    "headers": "Experience " * 40_000,
+    "skills headers": "Skills\n" * 60_000,
+    "blank lines": " \n" * 200_000,
+    "spaces": "12" + " " * 400_000,
+    "digits": "1" * 400_000,
+    "at signs": "a@" * 200_000,
+    "dots": "a.-" * 130_000 + "@",
+    "letters and commas": "ab, " * 100_000,
+    "links": "https://linkedin.com/i" * 20_000,
+    "braces": "{" * 400_000,
+}
+
+
+@pytest.mark.parametrize("field", CASES)
+def test_time_is_linear_in_the_text(spark, field):
+    frame = spark.createDataFrame([(k, v) for k, v in LONG.items()], "kind string, text string").coalesce(1)
+    start = time.monotonic()
+    frame.select("kind", extract.RULES[field](F.col("text")).alias("v")).write.format("noop").mode("overwrite").save()
+    assert time.monotonic() - start < 10
+
+
 PIECES = (
     "Experience|experience|ſkills|Skills|SKILLS:| | |\x85|\x1c|\x1f|\x0b|\x0c|\r\n|\r|\n|\n|\n| | | |\t|"
     "\xa0|　|,|;|Ann|bob|Żółć|éa|ß|1|123|4567|-|.|(|)|+1|@|a.b|x_y|com|Ph.D|MBA|years|of|year experience|"
