@@ -246,7 +246,8 @@ def inner_product_topk(
         cells = max(1, -(-corpus.count() // cell_rows))
 
         def spread(df: DataFrame, key: str, own: str, n: int, other: str, copies: int) -> DataFrame:
-            return df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n))).withColumn(
+            # Both sides need the same key types to meet in the same partition.
+            return df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n)).cast("int")).withColumn(
                 other, F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))
             )
 

@@ -18,6 +18,8 @@ def spark(tmp_path_factory):
         **{
             "spark.sql.shuffle.partitions": "4",
             "spark.driver.memory": "4g",
+            # Small inputs must still meet several partitions.
+            "spark.sql.adaptive.coalescePartitions.enabled": "false",
             "spark.log.level": "ERROR",
             "spark.checkpoint.dir": str(tmp_path_factory.mktemp("checkpoint")),
         },
