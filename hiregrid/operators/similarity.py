@@ -20,7 +20,7 @@ from hiregrid.functions.vectors import to_unit
 from hiregrid.operators.joins import fits_broadcast, join_on_key
 
 if TYPE_CHECKING:
-    import pandas as pd
+    import pyarrow as pa
 
 BLOCK_ROWS = 4096  # vectors of the side that is shipped whole to a task
 BLOCK_VALUES = 4_000_000  # numbers in those vectors
@@ -76,54 +76,78 @@ def _fits_block(df: DataFrame, column: str) -> bool:
     return df.agg(F.coalesce(F.sum(F.size(column)), F.lit(0))).first()[0] <= BLOCK_VALUES
 
 
+def _lists():
+    """Arrow list columns as numpy: (length of each list, flat Arrow values)."""
+
+    def lists(table: pa.Table, column: str):
+        chunks = table.column(column)
+        array = chunks.combine_chunks() if hasattr(chunks, "combine_chunks") else chunks
+        return array.value_lengths().to_numpy(zero_copy_only=False), array.flatten()
+
+    return lists
+
+
 def _dense_scorer():
-    def scorer(block: pd.DataFrame):
-        import numpy as np
+    lists = _lists()
+
+    def stacked(table: pa.Table):
+        lengths, values = lists(table, "vector")
+        return values.to_numpy(zero_copy_only=False).astype("float64").reshape(len(lengths), -1)
 
-        def stacked(vectors: pd.Series):
-            return np.array(vectors.tolist(), dtype="float64")
+    def scorer(block: pa.Table):
+        import numpy as np
 
-        matrix = stacked(block["vector"])
+        matrix = stacked(block) if len(block) else None
 
-        def score(batch: pd.DataFrame):
-            if not len(batch) or not len(block):
+        def score(batch: pa.Table):
+            if matrix is None or not len(batch):
                 return np.zeros((len(batch), len(block)))
-            return stacked(batch["vector"]) @ matrix.T
+            return stacked(batch) @ matrix.T
 
         return score
 
     return scorer
 
 
-def _sparse_scorer():
-    def scorer(block: pd.DataFrame):
+def _sparse_scorer(products: int = SLICE_SCORES):
+    lists = _lists()
+
+    def scorer(block: pa.Table):
         import numpy as np
-        import pandas as pd
-
-        lengths = block["tokens"].map(len).to_numpy(dtype="int64")
-        flat = np.concatenate([np.asarray(t, dtype=object) for t in block["tokens"]] or [np.empty(0, object)])
-        weights = np.concatenate([np.asarray(w, dtype="float64") for w in block["weights"]] or [np.empty(0)])
-        codes, vocabulary = pd.factorize(flat)
-        vocabulary = pd.Index(vocabulary)
-        # Postings of the block, sorted by token: which vectors hold it, with what weight.
+        import pyarrow.compute as pc
+
+        # Postings of the block by token: which of its vectors hold it, with what weight.
+        lengths, tokens = lists(block, "tokens")
+        vocabulary = pc.unique(tokens)
+        codes = pc.index_in(tokens, value_set=vocabulary).to_numpy(zero_copy_only=False)
         by_token = np.argsort(codes, kind="stable")
         owners = np.repeat(np.arange(len(block)), lengths)[by_token]
-        weights = weights[by_token]
+        weights = lists(block, "weights")[1].to_numpy(zero_copy_only=False)[by_token]
         starts = np.searchsorted(codes[by_token], np.arange(len(vocabulary) + 1))
 
-        def score(batch: pd.DataFrame):
-            scores = np.zeros((len(batch), len(block)))
-            for row, (tokens, values) in enumerate(zip(batch["tokens"], batch["weights"])):
-                known = vocabulary.get_indexer(np.asarray(tokens, dtype=object)) if len(tokens) else np.empty(0, int)
-                held = known >= 0
-                first, last = starts[known[held]], starts[known[held] + 1]
-                counts = last - first
-                if counts.sum() == 0:
-                    continue
-                at = np.repeat(first - np.concatenate(([0], np.cumsum(counts)[:-1])), counts) + np.arange(counts.sum())
-                products = np.repeat(np.asarray(values, dtype="float64")[held], counts) * weights[at]
-                scores[row] = np.bincount(owners[at], weights=products, minlength=len(block))
-            return scores
+        def score(batch: pa.Table):
+            lengths, tokens = lists(batch, "tokens")
+            known = pc.fill_null(pc.index_in(tokens, value_set=vocabulary), -1).to_numpy(zero_copy_only=False)
+            held = known >= 0
+            known = known[held]
+            values = lists(batch, "weights")[1].to_numpy(zero_copy_only=False)[held]
+            cells = np.repeat(np.arange(len(batch)), lengths)[held] * len(block)
+            first, counts = starts[known], starts[known + 1] - starts[known]
+            done = np.concatenate(([0], np.cumsum(counts)))
+            scores = np.zeros(len(batch) * len(block))
+            start = 0
+            while start < len(counts):  # a bounded number of products at a time
+                stop = max(start + 1, int(np.searchsorted(done, done[start] + products, side="right")) - 1)
+                part = slice(start, stop)
+                repeat = counts[part]
+                at = np.repeat(first[part] - done[part] + done[start], repeat) + np.arange(repeat.sum())
+                scores += np.bincount(
+                    np.repeat(cells[part], repeat) + owners[at],
+                    weights=np.repeat(values[part], repeat) * weights[at],
+                    minlength=len(scores),
+                )
+                start = stop
+            return scores.reshape(len(batch), len(block))
 
         return score
 
@@ -163,12 +187,12 @@ def _selector(k: int):
 
 
 def _slicer(limit: int = SLICE_SCORES):
-    """Cuts a frame into row slices whose scores against ``width`` vectors stay below ``limit``."""
+    """Cuts a table into row slices whose scores against ``width`` vectors stay below ``limit``."""
 
-    def slices(frame: pd.DataFrame, width: int):
+    def slices(table: pa.Table, width: int):
         step = max(1, limit // max(1, width))
-        for start in range(0, len(frame), step):
-            yield frame.iloc[start : start + step]
+        for start in range(0, len(table), step):
+            yield table.slice(start, step)
 
     return slices
 
@@ -213,34 +237,45 @@ def inner_product_topk(
         f"{corpus_id} {corpus.schema[corpus_id].dataType.simpleString()}, score double"
     )
 
-    def frame(query_ids, hits):
-        import pandas as pd
+    def np_ids(table: pa.Table):
+        return table.column(corpus_id).to_numpy()
+
+    def hits_table(block: pa.Table, cell: pa.Table, hits):
+        import pyarrow as pa
 
         query, ids, value = hits
-        return pd.DataFrame({query_id: query_ids[query], corpus_id: ids, "score": value})
+        return pa.table({
+            query_id: block.column(query_id).take(pa.array(query, pa.int64())),
+            corpus_id: pa.array(ids, cell.schema.field(corpus_id).type),
+            "score": pa.array(value, pa.float64()),
+        })
 
     if strategy == "corpus":
-        block = corpus.toPandas()  # at most BLOCK_ROWS rows, counted above
+        block = corpus.toArrow()  # at most BLOCK_ROWS rows, counted above
+
+        def against_corpus(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+            import pyarrow as pa
 
-        def against_corpus(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
-            score, ids = scorer(block), block[corpus_id].to_numpy()
+            score, ids = scorer(block), np_ids(block)
             for batch in batches:
-                for part in slices(batch, len(block)):
-                    yield frame(part[query_id].to_numpy(), best(score(part).T, ids))
+                for part in slices(pa.Table.from_batches([batch]), len(block)):
+                    yield from hits_table(part, block, best(score(part).T, ids)).to_batches()
 
-        found = queries.mapInPandas(against_corpus, schema)
+        found = queries.mapInArrow(against_corpus, schema)
     elif strategy == "queries":
-        block = queries.toPandas()  # at most BLOCK_ROWS rows, counted above
+        block = queries.toArrow()  # at most BLOCK_ROWS rows, counted above
+
+        def against_queries(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+            import pyarrow as pa
 
-        def against_queries(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
-            score, hits = scorer(block), None
+            score, hits, part = scorer(block), None, None
             for batch in batches:
-                for part in slices(batch, len(block)):
-                    hits = merge(hits, best(score(part), part[corpus_id].to_numpy()))
+                for part in slices(pa.Table.from_batches([batch]), len(block)):
+                    hits = merge(hits, best(score(part), np_ids(part)))
             if hits is not None:
-                yield frame(block[query_id].to_numpy(), hits)
+                yield from hits_table(block, part, hits).to_batches()
 
-        found = corpus.mapInPandas(against_queries, schema)
+        found = corpus.mapInArrow(against_queries, schema)
     else:
         blocks = max(1, -(-queries.count() // block_rows))
         cells = max(1, -(-corpus.count() // cell_rows))
@@ -251,21 +286,19 @@ def inner_product_topk(
                 other, F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))
             )
 
-        def score_cell(block: pd.DataFrame, cell: pd.DataFrame) -> pd.DataFrame:
+        def score_cell(block: pa.Table, cell: pa.Table) -> pa.Table:
             import numpy as np
 
-            score, hits = scorer(block), None
-            if len(block):
+            hits = (np.empty(0, "int64"), np_ids(cell.slice(0, 0)), np.empty(0))
+            if len(block) and len(cell):
+                score = scorer(block)
                 for part in slices(cell, len(block)):
-                    hits = merge(hits, best(score(part), part[corpus_id].to_numpy()))
-            nothing = (np.empty(0, int), np.empty(0, object), np.empty(0))
-            return frame(block[query_id].to_numpy(), hits or nothing)
+                    hits = merge(hits, best(score(part), np_ids(part)))
+            return hits_table(block, cell, hits)
 
         left = spread(queries, query_id, "_block", blocks, "_cell", cells).groupBy("_block", "_cell")
         right = spread(corpus, corpus_id, "_cell", cells, "_block", blocks).groupBy("_block", "_cell")
-        found = left.cogroup(right).applyInPandas(
-            lambda block, cell: score_cell(block, cell), schema
-        )
+        found = left.cogroup(right).applyInArrow(lambda block, cell: score_cell(block, cell), schema)
 
     best_first = Window.partitionBy(query_id).orderBy(F.col("score").desc(), F.col(corpus_id))
     return found.withColumn("rank", F.row_number().over(best_first).cast("bigint")).where(F.col("rank") <= k)
