@@ -58,6 +58,7 @@ DEGREES = (
 )
 EXPERIENCE_HEADERS = ("Experience", "Work History")  # "Professional Experience" contains the first
 SKILLS_HEADERS = ("Skills",)
+PROFILE_PATH = "linkedin.com/in/"
 PROFILE = r"https?://(?:www\.)?linkedin\.com/in/[A-Za-z0-9\-_]+"
 LOCATION_LINES = 10
 SKILL_LENGTH_LIMIT = 40
@@ -67,6 +68,7 @@ _EMAIL = rf"(?<!{_ADDRESS}){_ADDRESS}++@[{WORD}-]+\.[{WORD}.-]+"
 
 _SEPARATOR = rf"[-.{SPACE}]?"
 _PHONE = (
+    rf"(?=[+({DIGIT}])"  # all a match can begin with
     rf"(?:\+?1{_SEPARATOR})?"
     rf"(?:\(?[{DIGIT}]{{3}}\)?{_SEPARATOR})?"
     rf"[{DIGIT}]{{3}}{_SEPARATOR}[{DIGIT}]{{4}}"
@@ -76,19 +78,18 @@ _PROFILE_LINK = rf"""(?iu)href=["']({PROFILE})["']"""
 
 # A word that starts with an upper-case letter or with no letter at all.
 _NAME_WORD = rf"(?:\p{{Lu}}|[^\p{{L}}{SPACE}])[^{SPACE}]*+"
-_NAME_LINE = (
-    rf"(?:\A|[{BREAK}])[{INLINE_SPACE}]*+"
-    rf"({_NAME_WORD}(?:[{INLINE_SPACE}]++{_NAME_WORD})++)"
-    rf"[{INLINE_SPACE}]*+(?=[{BREAK}]|\z)"
-)
+_WORDS_LINE = rf"[{INLINE_SPACE}]*+({_NAME_WORD}(?:[{INLINE_SPACE}]++{_NAME_WORD})++)[{INLINE_SPACE}]*+(?=[{BREAK}]|\z)"
+_REST_OF_LINE = rf"[{NOT_BREAK}]*+"
+# From the start, pass over the lines that do not qualify.
+_NAME_LINE = rf"\A(?:(?!{_WORDS_LINE}){_REST_OF_LINE}[{BREAK}])*+{_WORDS_LINE}"
+_NAME_GROUP = 2  # the first group belongs to the look-ahead
 
 _YEARS = rf"(?iu)([{DIGIT}]{{1,2}})\+?[{SPACE}]+years? (?:of )?experience"
 _EDUCATION = any_case("|".join(DEGREES), "PDMBpdmb")
 
 _EXPERIENCE = whole_word(EXPERIENCE_HEADERS, "EWew")
-_REST_OF_LINE = rf"[{NOT_BREAK}]*+"
-# Anchored and atomic: when nothing follows the first header, no later one is tried.
-_TITLE = rf"\A(?>(?s:.*?){_EXPERIENCE}){_REST_OF_LINE}[{SPACE}]*+([{NOT_BREAK}]++)"
+# The captured line may be empty, so that the first header always settles the match.
+_TITLE = rf"{_EXPERIENCE}{_REST_OF_LINE}[{SPACE}]*+([{NOT_BREAK}]*+)"
 
 _TOP_LINES = rf"\A(?:{_REST_OF_LINE}{LINE_END}){{0,{LOCATION_LINES - 1}}}+{_REST_OF_LINE}"
 _LOCATION = rf"(?<![A-Za-z])[A-Za-z]++,[{INLINE_SPACE}]*+[A-Z]{{2}}"
@@ -110,12 +111,15 @@ def phone(text: Column) -> Column:
 
 
 def linkedin_url(text: Column) -> Column:
-    return F.coalesce(first_match(text, PROFILE), first_match(text, _PROFILE_LINK, 1))
+    """A plain address first, in exact case, else one in an href attribute in any case."""
+    plain = F.when(F.contains(text, F.lit(PROFILE_PATH)), first_match(text, PROFILE))
+    linked = F.when(F.contains(text, F.lit("=")), first_match(text, _PROFILE_LINK, 1))
+    return F.coalesce(plain, linked)
 
 
 def name(text: Column) -> Column:
     """First line of two or more words, each starting upper-case or with no letter."""
-    return first_match(text, _NAME_LINE, 1)
+    return first_match(text, _NAME_LINE, _NAME_GROUP)
 
 
 def years_of_experience(text: Column) -> Column:
