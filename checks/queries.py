@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -72,8 +73,6 @@ def uploads(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
-    import uuid
-
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
@@ -527,6 +526,7 @@ def stream_ingest(spark, sf):
     snapshot = tables.SnapshotTable(spark, f"{folder}/candidates", before._jdf.schema().toDDL())
     snapshot.replace(before, "initial")
     stream_candidates(stream, snapshot, f"{folder}/checkpoint", lambda batch_id: batch_time()).awaitTermination()
+    spark.catalog.dropTempView("arriving_customers")
     return candidate_output(snapshot.read())
 
 
