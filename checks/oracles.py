@@ -428,6 +428,12 @@ ORACLES: dict[str, str] = {
     "score_upsert": f"""{_RECOMMENDED}, {_SCORE_TABLE}
         SELECT {_SCORE_COLUMNS} FROM kept UNION ALL
         SELECT {_SCORE_COLUMNS} FROM score_batch WHERE n = 1 OR candidate_id IS NULL""",
+    "recommend_audit": """SELECT item_id AS jd_id, 'INFO' AS log_type, 'Score_Recommendation' AS process,
+          'Completed embedding recommendation for jd_id=' || CAST(item_id AS VARCHAR) AS message FROM benchmark
+        UNION ALL SELECT max(item_id) + 1, 'ERROR', 'Score_Recommendation',
+          'Job description ' || CAST(max(item_id) + 1 AS VARCHAR) || ' not found' FROM benchmark""",
+    "recommend_summary": f"""{_RESUMES}, {_PAIRED} SELECT j.jd_id, count(resume_path) AS count,
+        'No resumes scored for this job description.' AS summary FROM jobs j LEFT JOIN result r ON j.jd_id = r.jd_id GROUP BY j.jd_id""",
     "jd_ingest": f"""WITH {_ANALYSED}, {_GATED}
         SELECT g.resume_id, CASE WHEN has_category THEN category ELSE '' END AS categories, qualifications, requirements
         FROM gated g JOIN analysed a ON g.resume_id = a.resume_id

@@ -481,8 +481,9 @@ def candidate_output(snapshot: DataFrame) -> DataFrame:
 
 def recommendation(spark: SparkSession, sf: str) -> Recommendation:
     known = jobs(spark, sf)
+    unknown = known.agg((F.max("jd_id") + 1).alias("jd_id"), F.lit("f0").alias("folder"))
     return recommend(
-        requests=known.select("jd_id", "folder"),
+        requests=known.select("jd_id", "folder").unionByName(unknown),
         jobs=known,
         resumes=resumes(spark, sf),
         candidates=fx.load(spark, sf, fx.CANDIDATES),
@@ -509,6 +510,16 @@ def score_upsert(spark, sf):
     return recommendation(spark, sf).scores
 
 
+@query
+def recommend_audit(spark, sf):
+    return recommendation(spark, sf).audit
+
+
+@query
+def recommend_summary(spark, sf):
+    return recommendation(spark, sf).summary
+
+
 @query
 def jd_ingest(spark, sf):
     done = ingest_jobs(uploads(spark, sf), responses_of(spark, sf, "analysis"), "resume_id", batch_time())

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hiregrid.operators.analysis import SCORE_FIELDS
+from hiregrid.operators.audit import ERROR, INFO, JD_ANALYSIS, SCORE_RECOMMENDATION, audit_rows, union_audits
 from hiregrid.operators.details import candidate_details
-from hiregrid.operators.hook import Model
+from hiregrid.operators.hook import Model, complete_details
 from hiregrid.operators.intake import scan_folder
 from hiregrid.operators.joins import fits_broadcast, join_on_key
 from hiregrid.operators.lookup import lookup_candidates, lookup_jobs
@@ -33,6 +34,19 @@ class Recommendation:
     failed: DataFrame  # pairs whose response could not be used
     candidates: DataFrame  # next candidate snapshot
     scores: DataFrame  # next score snapshot
+    audit: DataFrame  # log rows with their jd_id
+
+
+def _audit(found: DataFrame, not_found: DataFrame, failed: DataFrame) -> DataFrame:
+    # The messages of a recommendation.
+    completed = F.concat(F.lit("Completed embedding recommendation for jd_id="), "jd_id")
+    missing = F.concat(F.lit("Job description "), F.col("jd_id"), F.lit(" not found"))
+    broken = F.concat(F.lit("Resume load error: "), F.col("error"))
+    return union_audits(
+        audit_rows(found, INFO, SCORE_RECOMMENDATION, completed, ("jd_id",)),
+        audit_rows(not_found, ERROR, SCORE_RECOMMENDATION, missing, ("jd_id",)),
+        audit_rows(failed, ERROR, JD_ANALYSIS, broken, ("jd_id",)),
+    )
 
 
 def recommend(
@@ -44,36 +58,44 @@ def recommend(
     at: Column,
     responses: DataFrame | None = None,
     model: Model | None = None,
+    fill_model: Model | None = None,
 ) -> Recommendation:
     """Score, rank and store.
 
     ``requests(jd_id, folder)`` has one row per job asked for. Résumés
     ``(resume_path, folder, resume_text)`` are read and extracted once: the
     extracted fields, without the texts, are written and feed both the scoring
-    and the candidate upsert. Scores come from ``responses(jd_id, resume_path,
-    response)`` or a user's ``model`` if given, else from keywords.
+    and the candidate upsert. ``fill_model`` is asked for fields the rules
+    missed. Scores come from ``responses(jd_id, resume_path, response)`` or a
+    user's ``model`` if given, else from keywords.
     """
-    looked_up = lookup_jobs(requests, jobs.drop("folder"), "jd_id")
-    found = looked_up.where("found").drop("found", "jd_text")
+    looked_up = lookup_jobs(requests, jobs.drop("folder"), "jd_id").drop("jd_text")
+    found = looked_up.where("found").drop("found")
+    not_found = looked_up.where(~F.col("found")).select("jd_id")
 
     small = {"broadcast": fits_broadcast(found)}
     asked_folders = found.select("folder").distinct()
     in_scope = join_on_key(scan_folder(resumes), asked_folders, "folder", row_key="resume_path", **small)
-    details = materialize(candidate_details(in_scope, "resume_text").drop("resume_text"), "details")
+    details = candidate_details(in_scope, "resume_text")
+    if fill_model is not None:
+        details = complete_details(details, "resume_text", fill_model)
+    details = materialize(details.drop("resume_text", "fill_error"), "details")
 
     if model is not None:
         scored, failed = score_by_model(found, details, model, **small)
-    elif responses is None:
-        scored, failed = score_by_keywords(found, details, **small), None
-    else:
+    elif responses is not None:
         pairs = pair_jobs_with_resumes(found.select("jd_id", "folder"), details, **small)
         scored, failed = score_from_responses(pairs, responses, ["jd_id", "resume_path"])
+    else:
+        scored, failed = score_by_keywords(found, details, **small), None
     ranked = rank_resumes(result_rows(scored))
 
     # Only scored résumés reach the candidate table; keywords score every one of them.
     reached = details
     if failed is not None:
         reached = details.join(ranked.select("resume_path").distinct(), "resume_path", "left_semi")
+    else:
+        failed = details.sparkSession.createDataFrame([], "jd_id bigint, resume_path string, error string")
     stored = materialize(upsert_candidates(candidates, reached, at)[0], "candidates")
     # Every result has a path, so its id is the one its upsert gave.
     results = materialize(lookup_candidates(ranked, stored, "candidate_email", "resume_path"), "results")
@@ -82,8 +104,9 @@ def recommend(
     return Recommendation(
         results=results,
         summary=summarize(results, found),
-        not_found=looked_up.where(~F.col("found")).select("jd_id"),
-        failed=failed if failed is not None else results.sparkSession.createDataFrame([], "jd_id bigint, error string"),
+        not_found=not_found,
+        failed=failed.select("jd_id", "resume_path", "error"),
         candidates=stored,
         scores=upsert_scores(scores, batch),
+        audit=_audit(found, not_found, failed),
     )

@@ -6,7 +6,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from hiregrid.operators import analysis, audit, intake, lookup, ranking, scoring, upsert
+from hiregrid.operators import audit, intake, lookup, ranking, scoring, upsert
 from hiregrid.operators.joins import fits_broadcast, join_on_key
 from hiregrid.plans.ingest import ingest_jobs
 from hiregrid.plans.recommend import recommend
@@ -251,4 +251,35 @@ def test_recommend_from_responses(spark):
     assert [tuple(r) for r in done.summary.collect()] == [(1, 2, ranking.NO_SUMMARY)]
     assert done.candidates.first().candidate_resume == "f/1.pdf"
     assert done.scores.count() == 2
-    assert "response" not in analysis.parse_scores(answers).drop("response").columns
+    assert sorted((r.jd_id, r.log_type, r.message) for r in done.audit.collect()) == [
+        (1, "ERROR", "Resume load error: no JSON in response"),
+        (1, "INFO", "Completed embedding recommendation for jd_id=1"),
+        (2, "ERROR", "Job description 2 not found"),
+    ]
+
+
+def test_recommend_with_models(spark):
+    resumes = spark.createDataFrame(
+        [("f/1.pdf", "f", "Ada Lovelace"), ("f/2.pdf", "f", "Bob Ross\nbob@x.y\nSkills\nGo")],
+        "resume_path string, folder string, resume_text string",
+    )
+    jobs = spark.createDataFrame(
+        [(1, "jd", "SQL", None, None)],
+        "jd_id bigint, jd_text string, category_detected string, qualifications string, requirements string",
+    )
+
+    def fill(prompts):
+        return prompts.map(lambda p: '{"email":"Filled@x.y","skills":["SQL","Spark"]}')
+
+    def rate(prompts):
+        return prompts.map(lambda p: '{"final_score":%d}' % (9 if "SQL Spark" in p else 2))
+
+    done = recommend(
+        spark.createDataFrame([(1, "f")], "jd_id bigint, folder string"), jobs, resumes,
+        spark.createDataFrame([], CANDIDATE), spark.createDataFrame([], SCORE), F.lit(T2), model=rate, fill_model=fill,
+    )
+    rows = done.results.orderBy("rank").collect()
+    assert [(r.resume_path, r.final_score, r.candidate_email, r.candidate_id) for r in rows] == [
+        ("f/1.pdf", 9.0, "Filled@x.y", 1), ("f/2.pdf", 2.0, "bob@x.y", 2),
+    ]
+    assert sorted(r.candidate_email for r in done.candidates.collect()) == ["bob@x.y", "filled@x.y"]
