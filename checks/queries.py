@@ -534,8 +534,8 @@ def stream_ingest(spark, sf):
     stream = spark.sql(fx.RESUMES.replace("FROM customer", "FROM arriving_customers"))
     before = fx.load(spark, sf, fx.CANDIDATES)
     folder = new_folder(spark, "stream")
-    snapshot = tables.SnapshotTable(spark, f"{folder}/candidates", before._jdf.schema().toDDL())
-    snapshot.replace(before, "initial")
+    snapshot = tables.SnapshotTable(spark, f"{folder}/candidates", before._jdf.schema().toDDL(), "candidate_email", 16)
+    snapshot.fill(before, "initial")
     stream_candidates(stream, snapshot, f"{folder}/checkpoint", lambda batch_id: batch_time()).awaitTermination()
     spark.catalog.dropTempView("arriving_customers")
     return candidate_output(snapshot.read())

@@ -32,18 +32,23 @@ CANDIDATE_VALUES = {
 SCORE_VALUES = (*SCORE_FIELDS, "reason")
 
 
-def _max_id(snapshot: DataFrame, column: str) -> int:
+def max_id(snapshot: DataFrame, column: str) -> int:
     return snapshot.agg(F.coalesce(F.max(column), F.lit(0))).first()[0]
 
 
 def upsert_candidates(
-    snapshot: DataFrame, batch: DataFrame, at: Column, window_rows: int = WINDOW_ROWS
+    snapshot: DataFrame,
+    batch: DataFrame,
+    at: Column,
+    window_rows: int = WINDOW_ROWS,
+    last_id: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(next candidate snapshot, batch rows refused for a blank e-mail).
 
     Rows apply in path order, so the last path of an e-mail wins. Known
     candidates have every listed column overwritten, with null too, and keep id
-    and creation time; new ones are numbered by their first path.
+    and creation time; new ones are numbered by their first path. ``last_id`` is
+    given when ``snapshot`` holds only a part of the table.
     """
     keyed = batch.withColumn("_key", email_key(F.col("email")))
     refused = keyed.where(F.col("_key").isNull()).drop("_key")
@@ -69,8 +74,10 @@ def upsert_candidates(
 
     matched = join_on_key(known.select("_key"), latest.select("_key"), "_key", **unique)
     fresh = number_rows(latest.join(matched, "_key", "left_anti"), [], [F.col("_seq")], "_n", window_rows)
+    if last_id is None:
+        last_id = max_id(snapshot, "candidate_id")
     created = {
-        "candidate_id": F.lit(_max_id(snapshot, "candidate_id")) + F.col("_n"),
+        "candidate_id": F.lit(last_id).cast("bigint") + F.col("_n"),
         "candidate_email": F.col("_key"),
         "created_at": at,
         "candidate_updated_time": at,
@@ -90,7 +97,7 @@ def get_or_create_categories(
     fresh = number_rows(
         names.join(categories, "name", "left_anti"), [], [F.col("name")], "_n", window_rows
     )
-    start = _max_id(categories, "category_id")
+    start = max_id(categories, "category_id")
     return categories.select("category_id", "name", "type").unionByName(
         fresh.select((F.lit(start) + F.col("_n")).alias("category_id"), "name", "type")
     )

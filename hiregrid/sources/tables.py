@@ -1,9 +1,9 @@
-"""Stored tables: appends, and snapshots that are replaced as a whole.
+"""Stored tables: appends, and snapshots replaced bucket by bucket.
 
-A snapshot is a parquet directory per version plus a small append-only version
-list. Data is written first and listed last, so a reader sees a whole version
-or the one before, the version being read is never overwritten, and a batch
-that was listed already is not applied again.
+A snapshot is parquet directories, one per bucket and version, plus a small
+append-only version list. Data is written first and listed last, so a reader
+sees a whole batch or none of it, what is being read is never overwritten, and
+a batch that was listed already is not applied again.
 """
 
 from __future__ import annotations
@@ -12,11 +12,11 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-VERSION_SCHEMA = "version bigint, batch_id string, path string"
+VERSION_SCHEMA = "version bigint, batch_id string, bucket int, path string"
 
 
 def append(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
@@ -54,38 +54,57 @@ def balanced(scan: DataFrame, key: str) -> DataFrame:
 
 
 class SnapshotTable:
-    """A table under ``path`` with ``schema``, empty until its first batch. One writer at a time."""
+    """A table under ``path`` with ``schema``, empty until its first batch. One writer at a time.
 
-    def __init__(self, spark: SparkSession, path: str, schema: str):
+    Rows are spread over ``buckets`` by the hash of ``key``. A batch writes new
+    versions of the buckets its keys fall into and leaves the others alone, so a
+    small batch does not rewrite a large table.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: str, key: str, buckets: int = 64):
         self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+        self.key, self.buckets = key, buckets
+
+    def bucket(self, key: Column) -> Column:
+        return F.pmod(F.xxhash64(F.lower(key)), F.lit(self.buckets)).cast("int")
+
+    def _versions(self) -> DataFrame:
+        return stored_or_empty(self.spark, f"{self.path}/versions", VERSION_SCHEMA)
+
+    def has_batch(self, batch_id: str) -> bool:
+        return not self._versions().where(F.col("batch_id") == batch_id).isEmpty()
 
-    def _state(self, batch_id: str | None = None):
-        """One row: the latest version's number and path, null at first, and whether the batch is listed."""
-        versions = stored_or_empty(self.spark, f"{self.path}/versions", VERSION_SCHEMA)
-        listed = F.coalesce(F.bool_or(F.col("batch_id") == F.lit(batch_id)), F.lit(False))
-        return versions.agg(
-            F.max("version").alias("version"), F.max_by("path", "version").alias("path"), listed.alias("listed")
-        ).first()
+    def _current(self) -> dict[int, str]:
+        """Path of each bucket's latest version; at most ``buckets`` rows reach the driver."""
+        latest = self._versions().where(F.col("bucket").isNotNull()).groupBy("bucket").agg(F.max_by("path", "version").alias("path"))
+        return {row["bucket"]: row["path"] for row in latest.collect()}
 
-    def _table(self, state) -> DataFrame:
-        if state["path"] is None:
+    def read(self, buckets: set[int] | None = None) -> DataFrame:
+        """The whole table, or the rows of some buckets."""
+        paths = [path for bucket, path in self._current().items() if buckets is None or bucket in buckets]
+        if not paths:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(state["path"])
+        return self.spark.read.schema(self.schema).parquet(*paths)
 
-    def read(self) -> DataFrame:
-        return self._table(self._state())
+    def update(self, batch: DataFrame, key: str, change: Callable[[DataFrame], DataFrame], batch_id: str) -> None:
+        """Apply a batch once: ``change`` maps the rows of its buckets to their next version.
 
-    def update(self, change: Callable[[DataFrame], DataFrame], batch_id: str) -> None:
-        """Replace the table by ``change`` of itself, unless ``batch_id`` already did."""
-        state = self._state(batch_id)
-        if state["listed"]:
+        ``batch`` needs the ``key`` column only; null keys belong to no bucket.
+        """
+        if self.has_batch(batch_id):
             return
-        version = (state["version"] or 0) + 1
+        keys = batch.select(self.bucket(F.col(key)).alias("bucket")).where(F.col(key).isNotNull())
+        touched = {row["bucket"] for row in keys.distinct().collect()}
+        version = self._versions().agg(F.coalesce(F.max("version"), F.lit(0)) + 1).first()[0]
         target = f"{self.path}/data/{version:08d}-{uuid.uuid4().hex}"
-        change(self._table(state)).write.parquet(target)
-        entry = (F.lit(version).cast("bigint"), F.lit(batch_id), F.lit(target))
-        listed = self.spark.range(1).select(*[c.alias(n) for c, n in zip(entry, ("version", "batch_id", "path"))])
+        rows = change(self.read(touched)).withColumn("bucket", self.bucket(F.col(self.key)))
+        append(rows, target, partition_by=["bucket"])
+        listed = self.spark.createDataFrame(
+            [(version, batch_id, bucket, f"{target}/bucket={bucket}") for bucket in sorted(touched)] or
+            [(version, batch_id, None, None)], VERSION_SCHEMA
+        )
         listed.coalesce(1).write.mode("append").parquet(f"{self.path}/versions")
 
-    def replace(self, df: DataFrame, batch_id: str) -> None:
-        self.update(lambda _: df, batch_id)
+    def fill(self, df: DataFrame, batch_id: str) -> None:
+        """First content: ``df`` as the version of its buckets."""
+        self.update(df, self.key, lambda _: df, batch_id)

@@ -10,7 +10,8 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from hiregrid.operators.details import candidate_details
-from hiregrid.operators.upsert import upsert_candidates
+from hiregrid.operators.lookup import email_key
+from hiregrid.operators.upsert import max_id, upsert_candidates
 from hiregrid.plans.ingest import ingest_jobs, number_jobs
 from hiregrid.session import materialize
 from hiregrid.sources.tables import SnapshotTable, stored_or_empty
@@ -29,18 +30,22 @@ def run_available(stream: DataFrame, checkpoint: str, on_batch: Callable[[DataFr
 def stream_candidates(
     resumes: DataFrame, table: SnapshotTable, checkpoint: str, at: Callable[[int], Column]
 ) -> StreamingQuery:
-    """Extract arriving résumés and upsert their candidates.
+    """Extract arriving résumés and upsert their candidates into ``table``, keyed by candidate_email.
 
     A batch that is run again finds its id in the table's version list and
     changes nothing. ``at`` gives the time stamped on a batch.
     """
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        def change(snapshot: DataFrame) -> DataFrame:
-            details = materialize(candidate_details(batch, "resume_text").drop("resume_text"), "details")
-            return upsert_candidates(snapshot, details, at(batch_id))[0]
-
-        table.update(change, f"candidates-{batch_id}")
+        listed = f"candidates-{batch_id}"
+        if table.has_batch(listed):
+            return
+        details = candidate_details(batch, "resume_text").drop("resume_text")
+        details = materialize(details.withColumn("_key", email_key(F.col("email"))), "details")
+        last_id = max_id(table.read(), "candidate_id")
+        table.update(
+            details, "_key", lambda rows: upsert_candidates(rows, details, at(batch_id), last_id=last_id)[0], listed
+        )
 
     return run_available(resumes, checkpoint, on_batch)
 

@@ -49,22 +49,32 @@ def test_category_file(spark, tmp_path):
 
 
 def test_snapshot_table(spark, tmp_path):
-    table = tables.SnapshotTable(spark, str(tmp_path / "t"), "id bigint")
+    table = tables.SnapshotTable(spark, str(tmp_path / "t"), "k string, n int", "k", buckets=8)
     assert table.read().count() == 0
-    table.update(lambda old: old.union(spark.range(3)), "one")
-    table.update(lambda old: old.union(spark.range(3)), "one")  # the same batch again
-    assert table.read().count() == 3
-    table.update(lambda old: old.union(spark.range(2)), "two")
-    assert table.read().count() == 5
+    rows = lambda *pairs: spark.createDataFrame(list(pairs), "k string, n int")
+
+    def add(batch, name):
+        table.update(batch, "k", lambda old: old.join(batch, "k", "left_anti").unionByName(batch.dropna()), name)
+
+    table.fill(rows(*[(f"k{i}", 0) for i in range(40)]), "first")
+    before = {p for p in (tmp_path / "t" / "data").iterdir()}
+    add(rows(("k3", 1), ("new", 2), (None, 3)), "one")
+    add(rows(("k3", 9)), "one")  # the same batch id again
+    assert table.read().count() == 41
+    assert sorted(map(tuple, table.read().where("n > 0").collect())) == [("k3", 1), ("new", 2)]
+    written = [p for d in (tmp_path / "t" / "data").iterdir() if d not in before for p in d.glob("bucket=*")]
+    assert len(written) <= 2  # only the buckets of the batch
+    add(rows((None, 1)), "nothing")
+    assert table.has_batch("nothing") and table.read().count() == 41
 
 
 def test_two_micro_batches_equal_one_batch(spark, tmp_path):
     resumes = fx.load(spark, SF, fx.RESUMES)
     at = lambda batch: F.lit("2024-06-01 00:00:00").cast("timestamp")
     source = tmp_path / "in"
-    table = tables.SnapshotTable(spark, str(tmp_path / "candidates"), CANDIDATE)
+    table = tables.SnapshotTable(spark, str(tmp_path / "candidates"), CANDIDATE, "candidate_email", buckets=5)
     before = fx.load(spark, SF, fx.CANDIDATES)
-    table.replace(before, "initial")
+    table.fill(before, "initial")
 
     def arrive(part):
         part.coalesce(1).write.mode("append").parquet(str(source))
