@@ -7,6 +7,7 @@ here, JSON is read member by member, top-k is a full join and sort.
 from __future__ import annotations
 
 from checks import fixtures as fx
+from checks.columns import NULLABLE_INTEGERS
 
 SPACE = r"\t-\r\x1c-\x1f\x{85}\p{Z}"
 BREAK = r"\r\n|[\n-\r\x1c-\x1e\x{85}\x{2028}\x{2029}]"
@@ -440,3 +441,11 @@ ORACLES: dict[str, str] = {
         WHERE reject_reason IS NULL AND NOT (has_category AND category IS NULL)""",
     "recommend": f"{_RECOMMENDED} SELECT {_RESULT_COLUMNS}, candidate_id FROM recommended",
 }
+
+
+def _with_doubles(sql: str, columns: tuple[str, ...]) -> str:
+    casts = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in columns)
+    return f"SELECT * REPLACE ({casts}) FROM ({sql}) q"
+
+
+ORACLES.update({key: _with_doubles(ORACLES[key], columns) for key, columns in NULLABLE_INTEGERS.items()})

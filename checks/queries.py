@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks import fixtures as fx
+from checks.columns import NULLABLE_INTEGERS
 from hiregrid.functions import extract, responses, text
 from hiregrid.functions.prompts import missing_fields_prompt, score_prompt
 from hiregrid.operators import analysis, audit, details, hook, intake, lookup, ranking, scoring, similarity, upsert
@@ -547,3 +548,10 @@ def recommend_resumes(spark, sf):
 
 
 QUERIES["recommend"] = QUERIES.pop("recommend_resumes")
+
+
+def _with_doubles(run: Query, columns: tuple[str, ...]) -> Query:
+    return lambda spark, sf: run(spark, sf).withColumns({c: F.col(c).cast("double") for c in columns})
+
+
+QUERIES.update({key: _with_doubles(QUERIES[key], columns) for key, columns in NULLABLE_INTEGERS.items()})
