@@ -46,27 +46,29 @@ def resume_keywords(skills: Column) -> Column:
 def score_by_keywords(jobs: DataFrame, resumes: DataFrame, **options) -> DataFrame:
     """Built-in score: the share of each job section's keywords found among the résumé's.
 
-    Keywords are taken once per job and once per résumé, and intersected
-    within the pair row, so that no join runs over keywords and pairs without
-    overlap need no joining back.
+    Keywords are taken once per job and once per résumé, and intersected within
+    the pair row, so that no join runs over keywords and pairs without overlap
+    need no joining back. Sections are counted against the few keywords the pair
+    shares.
     """
-    asked = jobs.select("jd_id", "folder", *[keyword_set(F.col(c)).alias(c) for c in JOB_TEXTS])
+    wanted = [keyword_set(F.col(c)).alias(c) for c in JOB_TEXTS]
+    asked = jobs.select("jd_id", "folder", *wanted).withColumn("_wanted", F.array_distinct(F.concat(*JOB_TEXTS)))
     offered = resumes.withColumn("_offered", resume_keywords(F.col("skills")))
-    pairs = pair_jobs_with_resumes(asked, offered, **options)
-
-    pairs = pairs.withColumns({f"_{c}": F.array_intersect(c, "_offered") for c in JOB_TEXTS})
-    scored = pairs.withColumns({
-        score: F.when(F.size(text) == 0, F.lit(0.0)).otherwise(
-            F.round(F.lit(10.0) * F.size(f"_{text}") / F.size(text), 2)
-        )
-        for score, text in _SECTIONS.items()
-    })
+    pairs = pair_jobs_with_resumes(asked, offered, **options).withColumn(
+        "_shared", F.array_intersect("_wanted", "_offered")
+    )
+
+    def section_score(keywords: str) -> Column:
+        hits = F.size(F.array_intersect(keywords, "_shared"))
+        share = F.round(F.lit(10.0) * hits / F.size(keywords), 2)
+        return F.when((F.size("_shared") > 0) & (F.size(keywords) > 0), share).otherwise(F.lit(0.0))
+
+    scored = pairs.withColumns({score: section_score(keywords) for score, keywords in _SECTIONS.items()})
     mean = (F.col("category_score") + F.col("requirements_score") + F.col("qualifications_score")) / 3
-    matched = F.array_distinct(F.concat(*[F.col(f"_{c}") for c in JOB_TEXTS]))
     return scored.withColumns({
         "final_score": F.round(mean, 2),
-        "reason": F.array_join(F.array_sort(matched), ", "),
-    }).drop(*JOB_TEXTS, *[f"_{c}" for c in JOB_TEXTS], "_offered")
+        "reason": F.array_join(F.array_sort("_shared"), ", "),
+    }).drop(*JOB_TEXTS, "_wanted", "_offered", "_shared")
 
 
 def score_from_responses(pairs: DataFrame, responses: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame]:
