@@ -81,24 +81,26 @@ def recommend(
         details = complete_details(details, "resume_text", fill_model)
     details = materialize(details.drop("resume_text", "fill_error"), "details")
 
-    if model is not None:
-        scored, failed = score_by_model(found, details, model, **small)
-    elif responses is not None:
-        pairs = pair_jobs_with_resumes(found.select("jd_id", "folder"), details, **small)
-        scored, failed = score_from_responses(pairs, responses, ["jd_id", "resume_path"])
-    else:
-        scored, failed = score_by_keywords(found, details, **small), None
-    ranked = rank_resumes(result_rows(scored))
+    def store(reached: DataFrame) -> DataFrame:
+        return materialize(upsert_candidates(candidates, reached, at)[0], "candidates")
 
-    # Only scored résumés reach the candidate table; keywords score every one of them.
-    reached = details
-    if failed is not None:
-        reached = details.join(ranked.select("resume_path").distinct(), "resume_path", "left_semi")
-    else:
+    # A result's candidate id is the one its upsert gave, since every result has a path.
+    if model is None and responses is None:
+        # Keywords score every résumé, so ids are settled per résumé, before pairing.
+        stored = store(details)
+        identified = lookup_candidates(details, stored, "email", "resume_path")
+        results = rank_resumes(result_rows(score_by_keywords(found, identified, **small)))
         failed = details.sparkSession.createDataFrame([], "jd_id bigint, resume_path string, error string")
-    stored = materialize(upsert_candidates(candidates, reached, at)[0], "candidates")
-    # Every result has a path, so its id is the one its upsert gave.
-    results = materialize(lookup_candidates(ranked, stored, "candidate_email", "resume_path"), "results")
+    else:
+        # Only résumés with a usable response reach the candidate table.
+        if model is not None:
+            scored, failed = score_by_model(found, details, model, **small)
+        else:
+            pairs = pair_jobs_with_resumes(found.select("jd_id", "folder"), details, **small)
+            scored, failed = score_from_responses(pairs, responses, ["jd_id", "resume_path"])
+        ranked = rank_resumes(result_rows(scored))
+        stored = store(details.join(ranked.select("resume_path").distinct(), "resume_path", "left_semi"))
+        results = materialize(lookup_candidates(ranked, stored, "candidate_email", "resume_path"), "results")
 
     batch = results.select("jd_id", "candidate_id", *SCORE_FIELDS, "reason", "resume_path")
     return Recommendation(
