@@ -14,12 +14,13 @@ SALTS = 64
 def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
     """Whether ``df`` is small enough for every executor, by counting it.
 
-    One distributed aggregate over the candidate side; text form stands in for
-    the in-memory size.
+    Rows first, which for a stored table is metadata; only few rows are then
+    measured, text form standing in for the in-memory size.
     """
-    width = F.length(F.to_json(F.struct("*")))
-    rows, size = df.select(width.alias("w")).agg(F.count("*"), F.coalesce(F.sum("w"), F.lit(0))).first()
-    return rows <= max_rows and size <= max_bytes
+    if df.count() > max_rows:
+        return False
+    size = F.coalesce(F.sum(F.length(F.to_json(F.struct("*")))), F.lit(0))
+    return df.agg(size).first()[0] <= max_bytes
 
 
 def join_on_key(

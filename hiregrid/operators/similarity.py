@@ -18,6 +18,7 @@ from hiregrid.functions.extract import email
 from hiregrid.functions.text import run_lengths, run_starts, sorted_tokens
 from hiregrid.functions.vectors import to_unit
 from hiregrid.operators.joins import fits_broadcast, join_on_key
+from hiregrid.session import materialize
 
 if TYPE_CHECKING:
     import pyarrow as pa
@@ -318,6 +319,7 @@ def recommend(topk: DataFrame, documents: DataFrame, query_id: str, corpus_id: s
     Only the documents that were hit are extracted. Hits whose document is absent
     or blank drop out after ranking, so fewer than k may remain.
     """
+    topk = materialize(topk, "topk")
     if fits_broadcast(topk):
         hits = documents.join(F.broadcast(topk), corpus_id)
     else:
