@@ -4,6 +4,8 @@ import pytest
 
 import __spark_entry__ as entry_point
 from checks.compare import connect, difference
+from checks.oracles import ORACLES
+from checks.queries import QUERIES
 from tests.conftest import SF
 
 
@@ -13,12 +15,14 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(entry_point.queries()) == set(entry_point.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry_point.queries())
+    assert set(entry_point.oracle_sql()) <= set(entry_point.queries())
 
 
-@pytest.mark.parametrize("key", sorted(entry_point.queries()))
+@pytest.mark.parametrize("key", sorted(QUERIES))
 def test_query(spark, con, key):
-    assert difference(entry_point.queries()[key](spark, SF), con, entry_point.oracle_sql()[key]) is None
+    assert difference(QUERIES[key](spark, SF), con, ORACLES[key]) is None
 
 
 def test_entry(spark):
