@@ -60,6 +60,14 @@ def window_hashes(words: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
     return mix((sums[size:] - sums[:n]) * powers(INVERSE, n), seed)
 
 
+def span_hashes(words: np.ndarray, firsts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
+    """A hash for every run of words from one of ``firsts`` up to, without, one of ``ends``."""
+    sums = np.zeros(len(words) + 1, U)
+    np.cumsum(mix(words, seed + 1) * powers(ODD, len(words)), out=sums[1:])
+    inverse = powers(INVERSE, len(words))
+    return mix((sums[ends] - sums[firsts]) * inverse[firsts] + mix((ends - firsts).astype(U), seed), seed)
+
+
 def running_minimum(values: np.ndarray, width: int) -> np.ndarray:
     """The least of every ``width`` neighbours, by doubling."""
     out, reach = values, 1

@@ -6,18 +6,27 @@ whole window. Only windows whose run is repeated in another document go on to th
 finished, until no candidate survives.
 
 At a level of length L a window is represented by the least hash among its runs of L words. Equal windows have equal runs, so
-no repeat is lost; and neighbouring windows mostly share their least run, so that a stretch of windows is one row (hash,
-doc_id, first, last): about one row per forty windows at the first level, one per window only at the last, for the few windows
-that came so far. Nothing is sampled or capped. The last level uses 128 bits of hash.
+no repeat is lost; and neighbouring windows mostly share their least run, so that a stretch of windows is one row (hash of the
+run, hash of the whole stretch, doc_id, first, last): about one row per twenty windows at the first level. Three things can
+become of a stretch whose run is repeated elsewhere:
 
-A level counts its rows by hash with map-side combining (smallest and greatest doc_id), so that a passage shared by a third of
+* a smaller doc_id has the same run and the same stretch: all its windows are repeats, it is settled and goes;
+* all stretches with the run are equal and this is the first: nothing of it goes, and it is settled;
+* else its windows go on to the next level; the last level has one row per window.
+
+The first document of a window is never in a settled stretch of the first kind, so what goes on is enough to find it. Nothing
+is sampled or capped.
+
+A level reduces its rows by hash with map-side combining (smallest and greatest doc_id), so that a passage shared by a third of
 all documents does not meet in one task; the join back to the rows has one row per hash on one side, and adaptive execution can
 split it. Texts are shuffled by document to meet their surviving windows; what is finished leaves, and what goes on is written
 under ``spark.checkpoint.dir``.
 
+Hashes have 64 bits; a repeat is only believed if two of them, of run and stretch, are equal.
+
 Defined results: null text has no words; a document of fewer than ``WINDOW`` words is kept whole; repeats inside one document,
 or between rows of the same doc_id, remove nothing; a null doc_id counts as greater than all others; rows that repeat a doc_id
-and text are one document in the result, rows of one doc_id with different texts are several. Other columns are not read.
+and text get equal results, rows of one doc_id with different texts their own. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -30,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hiregrid.llm.hashing import Words, running_minimum, window_hashes
+from hiregrid.llm.hashing import Words, running_minimum, span_hashes, window_hashes
 from hiregrid.llm.support import WHITE
 from hiregrid.session import materialize
 
@@ -58,18 +67,19 @@ def runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def candidates(text: bytes, ranges: list | None, length: int, window: int) -> list[tuple]:
-    """Rows (hash, hash2, first, last) of the windows in ``ranges``, all windows if None."""
+    """Columns (hash, hash2, first, last) of the windows in ``ranges``, all windows if None."""
     words = Words(text, TABLE)
     n = len(words) - window + 1
     if n <= 0:
         return []
     hashes = running_minimum(window_hashes(words.hashes, length), window - length + 1)
-    second = window_hashes(words.hashes, length, seed=7) if length == window else None
     out = []
     for a, b in [(0, n - 1)] if ranges is None else ranges:
-        firsts, lasts = runs(hashes[a:b + 1])
-        first = firsts + a
-        out.append((hashes[first], second[first] if second is not None else np.zeros(len(first), np.uint64), first, lasts + a))
+        if length == window:
+            first = last = np.arange(a, b + 1)
+        else:
+            first, last = (index + a for index in runs(hashes[a:b + 1]))
+        out.append((hashes[first], span_hashes(words.hashes, first, last + window, seed=7), first, last))
     return out
 
 
@@ -133,15 +143,20 @@ def finisher(window: int, digest: bool):
     return finished
 
 
-def survivors(rows: DataFrame, last_level: bool) -> DataFrame:
-    """Per document the windows that go on: repeated elsewhere, or at the last level repeated in a smaller doc_id."""
-    # Written once: both sides of the join read it.
-    rows = materialize(rows, "windows")
-    shared = rows.groupBy("hash", "hash2").agg(F.min("id").alias("least"), F.max("id").alias("most")).where(F.col("least") < F.col("most"))
-    kept = rows.join(shared, ["hash", "hash2"])
-    if last_level:
-        kept = kept.where(F.col("id") > F.col("least"))
-    return kept.groupBy("id", "part").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
+def judge(rows: DataFrame, last_level: bool) -> DataFrame:
+    """Per document: ``gone``, the windows found to be repeats, and ``ranges``, those that go on."""
+    rows = materialize(rows, "windows")  # both sides of the join read it
+    runs_ = rows.groupBy("hash").agg(
+        F.min("id").alias("least"), F.max("id").alias("most"), (F.min("hash2") != F.max("hash2")).alias("mixed")
+    ).where(F.col("least") < F.col("most")).select("hash", "mixed")
+    kept = materialize(rows.join(runs_, "hash"), "repeated")
+    stretches = kept.groupBy("hash", "hash2").agg(F.min("id").alias("first_id"))
+    repeat = F.col("id") > F.col("first_id")
+    goes_on = F.lit(False) if last_level else ~repeat & F.col("mixed")
+    span = F.struct("first", "last")
+    return kept.join(stretches, ["hash", "hash2"]).where(repeat | goes_on).groupBy("id", "part").agg(
+        F.collect_list(F.when(repeat, span)).alias("gone"), F.collect_list(F.when(goes_on, span)).alias("ranges")
+    )
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, digest: bool = False) -> DataFrame:
@@ -150,28 +165,32 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, digest: bool = False)
     With ``digest``, kept is the SHA-256 of that text in hex, so that texts of finished documents need not be stored.
     """
     # part tells rows of one doc_id apart.
+    none = F.array().cast(RANGES)
     open_docs = docs.select(
-        "doc_id", F.coalesce("doc_id", F.lit(LAST_ID)).alias("id"), F.xxhash64("text").alias("part"), "text",
+        "doc_id", F.coalesce("doc_id", F.lit(LAST_ID)).alias("id"), F.xxhash64("text").alias("part"), "text", none.alias("before"),
     )
-    finished, steps = [], levels(window)
-    done = finisher(window, digest)
-    for length in steps:
+    finished, done = [], finisher(window, digest)
+    for length in levels(window):
         columns = ["id", "part", "text"] + (["ranges"] if "ranges" in open_docs.columns else [])
-        rows = open_docs.where(F.col("text").isNotNull()).select(*columns).mapInArrow(level_rows(length, window), ROWS)
-        found = survivors(rows, length == window)
-        joined = open_docs.drop("ranges").join(found, ["id", "part"], "left")
+        found = judge(
+            open_docs.where(F.col("text").isNotNull()).select(*columns).mapInArrow(level_rows(length, window), ROWS), length == window
+        )
+        joined = open_docs.drop("ranges").join(found, ["id", "part"], "left").select(
+            "doc_id", "id", "part", "text", F.concat("before", F.coalesce("gone", none)).alias("before"),
+            F.coalesce("ranges", none).alias("ranges"),
+        )
+        over = F.size("ranges") == 0
         if length == window:
-            finished.append(joined)
+            finished.append(joined.select("doc_id", done(F.col("text"), F.col("before")).alias("done")))
         else:
             # What has no candidate left needs no text any more.
-            none = F.col("ranges").isNull()
-            result = F.when(none, done(F.when(none, F.col("text")), F.lit(None).cast(RANGES)))
             joined = materialize(joined.select(
-                "doc_id", "id", "part", F.when(~none, F.col("text")).alias("text"), "ranges", result.alias("done"),
+                "doc_id", "id", "part", F.when(~over, F.col("text")).alias("text"), F.when(~over, F.col("before")).alias("before"),
+                "ranges", F.when(over, done(F.when(over, F.col("text")), F.when(over, F.col("before")))).alias("done"),
             ), "level")
-            finished.append(joined.where(F.col("ranges").isNull()))
-            open_docs = joined.where(F.col("ranges").isNotNull()).drop("done")
-    out = finished[-1].select("doc_id", done(F.col("text"), F.col("ranges")).alias("done"))
-    for part in finished[:-1]:
-        out = out.unionByName(part.select("doc_id", "done"))
+            finished.append(joined.where(over).select("doc_id", "done"))
+            open_docs = joined.where(~over).drop("done")
+    out = finished[0]
+    for part in finished[1:]:
+        out = out.unionByName(part)
     return out.select("doc_id", "done.*")
