@@ -142,7 +142,8 @@ def unit_links(members: pd.DataFrame) -> pd.DataFrame:
 def shared_keys(rows: DataFrame, key: list[str]) -> DataFrame:
     """Of ``rows(key…, id)`` those whose key another id has, with the least id of the key as ``first``."""
     keys = rows.groupBy(*key).agg(F.min("id").alias("first"), F.max("id").alias("_most")).where(F.col("first") < F.col("_most"))
-    return rows.join(keys.drop("_most"), key)
+    # Written, so that the join reads two shuffles and a key that very many rows have can be split.
+    return rows.join(materialize(keys.drop("_most"), "shared-keys"), key)
 
 
 def table_keys(classes: DataFrame) -> DataFrame:
@@ -178,7 +179,8 @@ def units(keys: DataFrame, sizes: DataFrame, work: int, total: int) -> DataFrame
     rows = keys.select("key", "id").join(in_large, "id")
     per_key = rows.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("all"))
     # Blocks so that two of them are within the limits.
-    parts = F.ceil(F.greatest(2 * F.sqrt(F.col("n") * F.col("all") / work), 2 * F.col("all") / total, F.lit(1.0))).cast("int")
+    parts = F.ceil(F.greatest(2 * F.sqrt(F.col("n") * F.col("all") / work), 2 * F.col("all") / total, F.lit(1.0)))
+    parts = F.least(parts, F.col("n")).cast("int")
     parts = F.when((F.col("n") * F.col("all") <= work) & (F.col("all") <= total), 1).otherwise(parts)
     cut = rows.join(per_key.select("key", parts.alias("parts")), "key").withColumn(
         "block", F.pmod(F.xxhash64("id", "key"), F.col("parts")).cast("int"))

@@ -38,8 +38,8 @@ def joined_sha(parts: Column) -> Column:
 @query
 def op1_chat(spark: SparkSession, sf: str) -> DataFrame:
     injected = spark.sql(
-        "SELECT -1L AS conv_id, turn, role, text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role) "
-        "CROSS JOIN (SELECT :text AS text)", args={"text": INJECTED},
+        "SELECT -1L AS conv_id, turn, role, :text AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)",
+        args={"text": INJECTED},
     )
     rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text").unionByName(injected)
     done = chat.format_chat(rows.select("conv_id", "turn", "role", chat.text_part(F.col("text")).alias("parts")))

@@ -149,8 +149,9 @@ def judge(rows: DataFrame, last_level: bool) -> DataFrame:
     runs_ = rows.groupBy("hash").agg(
         F.min("id").alias("least"), F.max("id").alias("most"), (F.min("hash2") != F.max("hash2")).alias("mixed")
     ).where(F.col("least") < F.col("most")).select("hash", "mixed")
-    kept = materialize(rows.join(runs_, "hash"), "repeated")
-    stretches = kept.groupBy("hash", "hash2").agg(F.min("id").alias("first_id"))
+    # Written, so that the joins read two shuffles and a run that very many rows have can be split.
+    kept = materialize(rows.join(materialize(runs_, "runs"), "hash"), "repeated")
+    stretches = materialize(kept.groupBy("hash", "hash2").agg(F.min("id").alias("first_id")), "stretches")
     repeat = F.col("id") > F.col("first_id")
     goes_on = F.lit(False) if last_level else ~repeat & F.col("mixed")
     span = F.struct("first", "last")

@@ -8,6 +8,8 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
+from hiregrid.session import materialize
+
 # A side input is brought to every task in blocks of at most so many rows and bytes.
 BLOCK_ROWS = 500_000
 BLOCK_BYTES = 32 << 20
@@ -27,8 +29,9 @@ def fresh(name: str, *frames: DataFrame) -> str:
 def blocks(side: DataFrame, size: Column, rows: int = BLOCK_ROWS, size_limit: int = BLOCK_BYTES) -> Iterator[list[Row]]:
     """The rows of ``side`` on the driver, block after block, none much beyond the limits.
 
-    One aggregate measures the side first; every row comes in exactly one block.
+    The side is written once and measured by one aggregate; every row comes in exactly one block.
     """
+    side = materialize(side, "side")
     n, total = side.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
     parts = max(math.ceil(n / rows), math.ceil(total / size_limit), 1)
     if parts == 1:

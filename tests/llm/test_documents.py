@@ -1,0 +1,248 @@
+"""Operators on documents against plain Python, on nulls, empty and long texts, ties, repeated rows and clashing columns."""
+
+import functools
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from hiregrid.llm import decontaminate, exact_dedup, language, mixing, near_dedup, secret_scan, substring_dedup
+from hiregrid.llm.components import connected_components
+from hiregrid.llm.support import blocks
+from hiregrid.session import shared_folder
+from tests.llm import cases
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return cases.awkward_docs(spark).cache()
+
+
+def rows_of(frame, *columns):
+    return sorted((tuple(r) for r in frame.select(*columns).collect()), key=repr)
+
+
+def test_empty_tables(spark):
+    empty = cases.empty_docs(spark)
+    assert near_dedup.components(empty).count() == 0
+    assert substring_dedup.remove_repeats(empty).count() == 0
+    assert exact_dedup.dedup(empty).count() == 0
+    assert mixing.mix(empty).count() == 0
+    assert secret_scan.scan_documents(empty).count() == 0
+    assert decontaminate.find_leaks(empty, empty.withColumnRenamed("doc_id", "item_id"), "leaks").count() == 0
+    assert language.identify(empty, language.learn_from_documents(empty), "found").count() == 0
+
+
+def test_near_components(docs):
+    expected = cases.near_components(cases.awkward_texts())
+    found = near_dedup.components(docs).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in found if r["doc_id"] is not None) == sorted(
+        (i, expected[i]) for i, _ in cases.awkward_texts() if i is not None)
+    assert sorted(r["n_shingles"] for r in found) == sorted(len(cases.shingles(t)) for _, t in cases.awkward_texts())
+    assert all(r["component_id"] is None and r["kept"] for r in found if r["doc_id"] is None)
+
+
+@pytest.mark.parametrize("work, total", [(200_000, 1_500)])
+def test_near_components_in_a_grid(docs, work, total):
+    """Groups too large for a unit are taken apart by key and by blocks, with the same result."""
+    expected = cases.near_components(cases.awkward_texts())
+    found = near_dedup.components(docs, work, total).where("doc_id is not null").collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == expected
+
+
+@pytest.mark.parametrize("window", [50, 23, 6])
+def test_substrings(docs, window):
+    expected = cases.repeats(cases.awkward_texts(), window)
+    found = substring_dedup.remove_repeats(docs, window)
+    assert rows_of(found, "doc_id", "n_words", "n_removed", "kept") == sorted(expected, key=repr)
+
+
+def test_levels_double():
+    assert substring_dedup.levels(50) == [7, 13, 25, 50]
+    for window in range(1, 200):
+        steps = substring_dedup.levels(window)
+        assert steps[-1] == window and all(b <= 2 * a for a, b in zip(steps, steps[1:]))
+
+
+def test_exact_groups(docs):
+    found = exact_dedup.dedup(docs)
+    assert rows_of(found, "doc_id", "keep_id", "group_size", "text_sha256") == sorted(cases.exact_groups(cases.awkward_texts()), key=repr)
+    kept = found.where("kept").groupBy("text_sha256").count().collect()
+    assert all(r["count"] == 1 for r in kept) and len(kept) == found.select("text_sha256").distinct().count()
+
+
+def test_cuckoo_filter():
+    rng = random.Random(3)
+    digests = [rng.randbytes(32) for _ in range(3000)]
+    made = exact_dedup.CuckooFilter.sized(4000)
+    assert all(made.add(d) for d in digests)
+    assert all(d in made for d in digests)
+    for d in digests[::2]:
+        made.remove(d)
+    assert all(d in made for d in digests[1::2])
+    assert sum(d in made for d in digests[::2]) < 15
+    assert all(d in exact_dedup.CuckooFilter.loaded(made.state()) for d in digests[1::2])
+
+
+def test_shard_resizes_and_deletes():
+    import pandas as pd
+
+    rng = random.Random(4)
+    shard = exact_dedup.Shard(pd.DataFrame(columns=["filter", *exact_dedup.FIELDS]))
+    digests = [rng.randbytes(32) for _ in range(2000)]
+    for d in digests + digests[:50]:
+        shard.insert(d, [1, 5, False, 7, 1])
+    assert shard.size == 2000 and shard.filter.buckets * 4 >= 2000 and all(shard.known(d) for d in digests)
+    shard.delete(digests[0])
+    assert not shard.known(digests[0]) and shard.size == 1999
+    again = exact_dedup.Shard(shard.rows(0))
+    assert all(again.known(d) for d in digests[1:]) and not again.known(digests[0])
+
+
+def test_index_takes_batches(spark, docs):
+    rows = exact_dedup.digests(docs)
+    first, second = rows.where("doc_id % 2 = 0"), rows.where("doc_id is null or doc_id % 2 <> 0")
+    index = exact_dedup.insert(exact_dedup.arrivals(second, 2), exact_dedup.insert(exact_dedup.arrivals(first, 2)))
+    whole = exact_dedup.insert(exact_dedup.arrivals(rows, 2))
+    assert rows_of(exact_dedup.live(index), "*") == rows_of(exact_dedup.live(whole), "*")
+    left = exact_dedup.live(exact_dedup.delete(exact_dedup.arrivals(first, 2), whole))
+    gone = {bytes(r["digest"]) for r in first.collect()}
+    assert {bytes(r["digest"]) for r in left.collect()} == {bytes(r["digest"]) for r in rows.collect()} - gone
+
+
+def spans_of(row):
+    return [(s["start"], s["rule"], s["kind"], s["end"]) for s in row["spans"]]
+
+
+def test_secrets(docs):
+    found = secret_scan.scan_documents(docs).collect()
+    expected = sorted(((i, cases.secrets(t)) for i, t in cases.awkward_texts()), key=repr)
+    assert sorted(((r["doc_id"], spans_of(r)) for r in found), key=repr) == expected
+
+
+def test_ledger_scans_only_what_is_new(spark, docs):
+    ledger = secret_scan.Ledger(f"{shared_folder(spark)}/ledger-test")
+    half = docs.where("doc_id % 2 = 0")
+    secret_scan.update(half, ledger)
+    before = ledger.scanned(spark).count()
+    secret_scan.update(half, ledger)
+    assert ledger.scanned(spark).count() == before
+    found = secret_scan.scan_documents(docs, ledger)
+    assert ledger.scanned(spark).count() == 3 * docs.select(F.coalesce("text", F.lit(""))).distinct().count()
+    assert sorted(((r["doc_id"], spans_of(r)) for r in found.collect()), key=repr) == sorted(
+        ((i, cases.secrets(t)) for i, t in cases.awkward_texts()), key=repr)
+    # A new version of one rule is scanned for every blob again, the others are not.
+    rules = (*secret_scan.RULES[:2], secret_scan.Rule("hex", r"[0-9a-f]{40,}", 40, version=2))
+    secret_scan.update(docs, ledger, rules)
+    assert ledger.scanned(spark).where("version = 2").select("kind").distinct().collect() == [("hex",)]
+    assert ledger.scanned(spark).count() == 4 * docs.select(F.coalesce("text", F.lit(""))).distinct().count()
+
+
+@pytest.mark.parametrize("rows", [None, 40])
+def test_leaks(spark, docs, monkeypatch, rows):
+    texts = [t for _, t in cases.awkward_texts() if t]
+    words = [t.split() for t in texts]
+    items = [(1, " ".join(words[6][20:45])), (1, " ".join(words[6][20:45])), (12, "One, TWO"), (2, None), (None, "zz top"),
+             (3, " ".join(words[30][60:75]).upper()), (5, "be be be"), (4, "!!"), (6, "7")]
+    if rows:
+        monkeypatch.setattr(decontaminate, "blocks", functools.partial(blocks, rows=rows))
+    found = decontaminate.find_leaks(docs, spark.createDataFrame(items, "item_id bigint, text string"), "hits")
+    got = [(r["doc_id"], r["hits"]["n_words"], r["n"], r["hits"]["items"]) for r in found.withColumn("n", decontaminate.n_hit("hits")).collect()]
+    expected = [(i, *cases.leaks(t, items)) for i, t in cases.awkward_texts()]
+    assert sorted(got, key=repr) == sorted(expected, key=repr)
+    assert any(e[2] for e in expected)
+
+
+def test_profiles(spark, docs):
+    top = 40
+    labelled = [(r["lang"], r["text"]) for r in docs.collect() if r["lang"] and r["text"]]
+    profiles = {}
+    for lang in {lang for lang, _ in labelled}:
+        counts = cases.gram_counts(" ".join(t for k, t in labelled if k == lang))
+        profiles[lang] = cases.gram_ranks(counts, top)
+    learned = language.learn(docs, top)
+    assert {r["lang"]: r["grams"] for r in learned.collect()} == {k: [cases.gram_number(g) for g in v] for k, v in profiles.items()}
+    found = language.identify(docs, learned, "judged", top=top).select("doc_id", "judged.*").collect()
+    expected = [(i, *cases.out_of_place(t, profiles, top)) for i, t in cases.awkward_texts()]
+    assert sorted(((r[0], r[1], round(r[2], 9)) for r in found), key=repr) == sorted(((a, b, round(c, 9)) for a, b, c in expected), key=repr)
+
+
+def test_profiles_in_blocks(spark, docs, monkeypatch):
+    learned = language.learn(docs, 40)
+    one = rows_of(language.identify(docs, learned, "judged", top=40), "doc_id", "judged.lang")
+    monkeypatch.setattr(language, "blocks", functools.partial(blocks, rows=1))
+    assert rows_of(language.identify(docs, learned, "judged", top=40), "doc_id", "judged.lang") == one
+
+
+def test_held_out_accuracy(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = language.identify(docs, language.learn_from_documents(docs), "judged").where(language.held_out(F.col("doc_id")))
+    right, n = found.agg(F.avg((F.col("lang") == F.col("judged.lang")).cast("int")), F.count("*")).first()
+    assert n > 100 and right > 0.97
+
+
+def filled(sizes: list[int], share: float, weights: tuple) -> list[float]:
+    """Targets by plain resharing."""
+    n = len(sizes)
+    weight = [weights[i % len(weights)] for i in range(n)]
+    total, full = share * sum(sizes), set()
+    while True:
+        rest = total - sum(2 * sizes[i] for i in full)
+        free = sum(weight[i] for i in range(n) if i not in full)
+        targets = [2.0 * sizes[i] if i in full else rest * weight[i] / free for i in range(n)]
+        over = {i for i in range(n) if i not in full and targets[i] > 2 * sizes[i]}
+        if not over:
+            return targets
+        full |= over
+
+
+def test_mix(spark, docs):
+    found = mixing.mix(docs).collect()
+    sizes = {}
+    for n, (_, text) in enumerate(cases.awkward_texts()):
+        source = (None, "a", "b", "B")[n % 4]
+        sizes[source] = sizes.get(source, 0) + len(cases.white_words(text))
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    expected = dict(zip(order, filled([sizes[s] for s in order], 1.5, (5, 2, 1))))
+    assert {r["source"]: round(r["target"], 6) for r in found} == {s: round(t, 6) for s, t in expected.items()}
+    assert sorted(r["size"] for r in found) == sorted(len(cases.white_words(t)) for _, t in cases.awkward_texts())
+    assert all(r["source_size"] == sizes[r["source"]] and r["taken"] == r["copies"] * r["size"] <= 2 * r["size"] for r in found)
+    assert sorted(found) == sorted(mixing.mix(docs.repartition(7)).collect())
+
+
+def test_rounding_keeps_sums(spark):
+    """Copies of a source add up to the fractions, over several levels of the tree, and chances are kept."""
+    leaves = spark.range(6000).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), F.col("id") % 5)).alias("group"),
+        (F.col("id") % 97 + 1).alias("size"), F.col("id").alias("unit"), F.lit(0.37).alias("part"),
+    )
+    done = mixing.round_copies(leaves).groupBy("group").agg(
+        F.count("*").alias("n"), F.sum("bit").alias("taken"), F.sum(F.col("bit") * F.col("size")).alias("words"), F.sum("size").alias("all"))
+    for r in done.collect():
+        assert abs(r["taken"] - 0.37 * r["n"]) <= 1
+        assert abs(r["words"] - 0.37 * r["all"]) < 0.02 * r["all"]
+    rounds = [mixing.round_copies(leaves.where("unit < 40"), seed).select("unit", "bit") for seed in range(100, 112)]
+    taken = functools.reduce(lambda a, b: a.union(b), rounds).agg(F.avg("bit")).first()[0]
+    assert abs(taken - 0.37) < 0.05
+
+
+def test_components(spark):
+    rng = np.random.default_rng(2)
+    pairs = [(i, i + 1) for i in range(200, 260)] + [(7, int(x)) for x in range(300, 340)] + [
+        (int(a), int(b)) for a, b in rng.integers(1000, 1200, (90, 2))] + [(5, 5), (None, 3)]
+    up = {}
+
+    def root(x):
+        up.setdefault(x, x)
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in pairs:
+        if a is not None and a != b:
+            x, y = sorted((root(a), root(b)))
+            up[y] = x
+    found = connected_components(spark.createDataFrame(pairs, "a bigint, b bigint")).collect()
+    assert {r["node"]: r["component"] for r in found} == {x: root(x) for x in up}
+    assert connected_components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
