@@ -418,7 +418,7 @@ ORACLES: dict[str, str] = {
           FROM scored) WHERE rank <= 5""",
     "recommend_by_similarity": f"""{_RESUMES}, {_CENTROIDS} SELECT label, d.email, d.resume_path, t.score, t.rank
         FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS rank FROM dots) t
-        JOIN details d ON t.vec_id = d.resume_id WHERE t.rank <= 5 AND NOT {blank('d.resume_text')}""",
+        JOIN details d ON t.vec_id = d.resume_id WHERE t.rank <= 5""",
     # upserts and pipelines
     "candidate_upsert": f"{_CORPUS}, {upserted_ctes('details')} SELECT * FROM upserted",
     "stream_ingest": f"{_RESUMES}, {upserted_ctes('details')} SELECT * FROM upserted",

@@ -24,9 +24,10 @@ def model_responses(rows: DataFrame, prompt: str, model: Model) -> DataFrame:
     """``rows`` with the ``prompt`` column replaced by the model's ``response``.
 
     ``model`` gets the prompts of one Arrow batch at a time, without the null
-    ones, whose response is null. If it fails, its prompts are tried one by one,
-    and only those that fail get '' for a response. Calls repeat when a task is
-    retried, so write the result once if they are costly.
+    ones, whose response is null. If it fails, its prompts are halved and tried
+    again, so one bad prompt of a thousand costs some twenty calls; only those
+    that fail alone get '' for a response. Calls repeat when a task is retried,
+    so write the result once if they are costly.
     """
     kept = [c for c in rows.columns if c != prompt]
     schema = T.StructType([*[rows.schema[c] for c in kept], T.StructField("response", T.StringType())])
@@ -35,7 +36,8 @@ def model_responses(rows: DataFrame, prompt: str, model: Model) -> DataFrame:
         try:
             return list(model(prompts))
         except Exception:
-            return ["" if len(prompts) == 1 else answers(prompts.iloc[i : i + 1])[0] for i in range(len(prompts))]
+            half = len(prompts) // 2
+            return [*answers(prompts.iloc[:half]), *answers(prompts.iloc[half:])] if half else [""]
 
     def call(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         import pyarrow as pa
@@ -63,7 +65,8 @@ def embeddings(rows: DataFrame, text: str, model: Callable[[pd.Series], Iterable
         try:
             return list(model(texts))
         except Exception:
-            return [None if len(texts) == 1 else vectors(texts.iloc[i : i + 1])[0] for i in range(len(texts))]
+            half = len(texts) // 2
+            return [*vectors(texts.iloc[:half]), *vectors(texts.iloc[half:])] if half else [None]
 
     def call(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         import pyarrow as pa

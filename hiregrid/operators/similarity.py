@@ -13,7 +13,6 @@ from typing import TYPE_CHECKING
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hiregrid.functions.dialect import is_blank
 from hiregrid.functions.extract import email
 from hiregrid.functions.text import run_lengths, run_starts, sorted_tokens
 from hiregrid.functions.vectors import to_unit
@@ -316,8 +315,8 @@ def category_columns(topk: DataFrame, query_id: str, corpus_id: str, k: int = 2)
 def recommend(topk: DataFrame, documents: DataFrame, query_id: str, corpus_id: str, text: str) -> DataFrame:
     """Ranked hits with the candidate e-mail of each document.
 
-    Only the documents that were hit are extracted. Hits whose document is absent
-    or blank drop out after ranking, so fewer than k may remain.
+    Only the documents that were hit are extracted. A blank text has no e-mail and
+    stays; hits whose document is absent drop out after ranking.
     """
     topk = materialize(topk, "topk")
     if fits_broadcast(topk):
@@ -325,5 +324,4 @@ def recommend(topk: DataFrame, documents: DataFrame, query_id: str, corpus_id: s
     else:
         # One document may be a hit of very many queries.
         hits = join_on_key(topk, documents, corpus_id, row_key=query_id, broadcast=False)
-    read = hits.where(~is_blank(F.col(text)))
-    return read.withColumn("candidate_email", email(F.col(text))).drop(text)
+    return hits.withColumn("candidate_email", email(F.col(text))).drop(text)

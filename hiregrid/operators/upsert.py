@@ -112,7 +112,8 @@ def upsert_scores(
     have no key: they never match and are always added. With a ``batch_id`` both
     tables have a column of that name, and a batch applied again first takes
     away the keyless rows it added before. Only rows of jobs in the batch take
-    part in the join; the others pass through unshuffled.
+    part in the join; the others pass through unshuffled, and so do all keyless
+    rows, which pile up without bound under one null key.
     """
     keys = ["jd_id", "candidate_id"]
     columns = snapshot.columns
@@ -124,9 +125,9 @@ def upsert_scores(
     if batch_id is not None:
         snapshot = snapshot.where(has_key | ~F.col("batch_id").eqNullSafe(F.lit(batch_id)))
     jobs = batch.select("jd_id").distinct().withColumn("_in_batch", F.lit(True))
-    flagged = join_on_key(snapshot, jobs, "jd_id", "left", row_key="candidate_id")
-    in_join = F.col("_in_batch") & has_key
-    untouched = flagged.where(~F.coalesce(in_join, F.lit(False))).select(*columns)
+    flagged = join_on_key(snapshot.where(has_key), jobs, "jd_id", "left", row_key="candidate_id")
+    in_join = F.coalesce("_in_batch", F.lit(False))
+    untouched = flagged.where(~in_join).select(*columns).unionByName(snapshot.where(~has_key))
     old = flagged.where(in_join).select(*keys, F.struct(*SCORE_VALUES, *extra).alias("_old"))
     merged = old.join(latest, keys, "full_outer").withColumn("_row", F.coalesce("_new", "_old"))
     keyed = merged.select(*keys, "_row.*").select(*columns)
