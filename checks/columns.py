@@ -16,6 +16,7 @@ NULLABLE_INTEGERS = {
     "fill_missing": _YEARS,
     "model_hook": _YEARS,
     "candidate_upsert": ("candidate_year",),
+    "recommend_candidates": ("candidate_year",),
     "stream_ingest": ("candidate_year",),
     "score_upsert": ("candidate_id",),
     "recommend": ("candidate_id",),

@@ -16,6 +16,8 @@ TABLES = (
 ).split()
 
 _NL = "chr(10)"
+# Whose e-mail a résumé has: neighbours share one across folders, and every sixth résumé has that of another in its folder.
+_OWNER = "(c_custkey - c_custkey % 2 - CASE WHEN c_custkey % 20 >= 10 AND c_custkey % 3 = 0 THEN 10 ELSE 0 END)"
 
 RESUMES = f"""
 SELECT c_custkey AS resume_id,
@@ -28,8 +30,8 @@ SELECT c_custkey AS resume_id,
     || CASE c_custkey % 5 WHEN 0 THEN 'Springfield, IL' WHEN 1 THEN 'New York,NY' WHEN 2 THEN 'Paris, FRANCE'
              WHEN 3 THEN 'Remote' ELSE 'Based in Austin,  TX 78701' END || {_NL}
     || CASE WHEN c_custkey % 9 = 8 THEN 'no contact'
-            ELSE 'Mail: User.' || CAST(c_custkey - c_custkey % 2 AS STRING) || '+cv@Mail-'
-                 || CAST((c_custkey - c_custkey % 2) % 7 AS STRING) || '.Example.com' END || {_NL}
+            ELSE 'Mail: User.' || CAST({_OWNER} AS STRING) || '+cv@Mail-'
+                 || CAST({_OWNER} % 7 AS STRING) || '.Example.com' END || {_NL}
     || CASE c_custkey % 6 WHEN 0 THEN '+1 (555) 123-' || lpad(CAST(c_custkey % 10000 AS STRING), 4, '0')
              WHEN 1 THEN '555.123.4567' WHEN 2 THEN 'ref 12345678901' ELSE 'phone on request' END || {_NL}
     || CASE c_custkey % 3 WHEN 0 THEN 'https://www.linkedin.com/in/user_' || CAST(c_custkey AS STRING) || '/'
@@ -73,6 +75,17 @@ SELECT item_id AS jd_id,
 FROM benchmark
 """
 
+# What is asked for: every job against its folder, some against a second one, some again, and requests without
+# a job id, without a folder, or for a job that does not exist.
+REQUESTS = f"""
+SELECT jd_id, folder FROM ({JOBS}) j
+UNION ALL SELECT jd_id, 'f1' AS folder FROM ({JOBS}) j WHERE jd_id % 4 = 0
+UNION ALL SELECT jd_id, folder FROM ({JOBS}) j WHERE jd_id % 3 = 0
+UNION ALL SELECT NULL AS jd_id, folder FROM ({JOBS}) j WHERE jd_id % 13 = 1
+UNION ALL SELECT jd_id, CASE WHEN jd_id % 2 = 0 THEN '' END AS folder FROM ({JOBS}) j WHERE jd_id % 9 IN (3, 4)
+UNION ALL SELECT max(jd_id) + 1 AS jd_id, 'f0' AS folder FROM ({JOBS}) j
+"""
+
 # One response per résumé and kind, in thirteen shapes of well- and ill-formed output.
 _DETAILS = """'{"name":"Model Name ' || CAST(c_custkey AS STRING) || '","email":"model' || CAST(c_custkey AS STRING)
   || '@example.org","phone":"","linkedin_url":null,"current_location":"Oslo, NO","years_of_experience":'

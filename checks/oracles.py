@@ -178,19 +178,26 @@ def _section(kw: str) -> str:
     return f"CASE WHEN len({kw}) = 0 THEN 0.0 ELSE round(CAST(10 AS DOUBLE) * {hits} / len({kw}), 2) END"
 
 
-_PAIRED = f"""
+def _paired(asked: str, by: str) -> str:
+    """CTEs ending in ``result``: the pairs of ``asked(jd_id, folder)``, scored and ranked within ``by``."""
+    return f"""
 {_JOBS},
 asked AS (SELECT jd_id, folder, list_distinct({keyword_list('category_detected')}) AS kc,
-  list_distinct({keyword_list('requirements')}) AS kr, list_distinct({keyword_list('qualifications')}) AS kq FROM jobs),
+  list_distinct({keyword_list('requirements')}) AS kr, list_distinct({keyword_list('qualifications')}) AS kq FROM {asked}),
 offering AS (SELECT *, list_distinct({keyword_list("array_to_string(skills, chr(10))")}) AS offered FROM details WHERE {_SCANNED}),
-sections AS (SELECT jd_id, resume_id, resume_path, name, email, {_section('kc')} AS category_score, {_section('kr')} AS requirements_score,
+sections AS (SELECT jd_id, folder, resume_id, resume_path, name, email, {_section('kc')} AS category_score, {_section('kr')} AS requirements_score,
   {_section('kq')} AS qualifications_score,
   coalesce(array_to_string(list_sort(list_distinct(list_filter(kc || kr || kq, lambda w: list_contains(offered, w)))), ', '), '') AS reason
   FROM asked JOIN offering USING (folder)),
 scored AS (SELECT *, round((category_score + requirements_score + qualifications_score) / 3, 2) AS final_score FROM sections),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY jd_id ORDER BY coalesce(final_score, 0) DESC, resume_path) AS rank FROM scored),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY coalesce(final_score, 0) DESC, resume_path) AS rank FROM scored),
 result AS (SELECT *, email AS candidate_email, coalesce(nullif(name, ''), email) AS candidate_name,
   regexp_extract(resume_path, '[^/]*$', 0) AS resume_filename FROM ranked)"""
+
+
+_PAIRED = _paired("jobs", "jd_id")
+_ACCEPTED = f"(SELECT DISTINCT jd_id, folder FROM ({fx.REQUESTS}) WHERE jd_id IS NOT NULL AND folder <> '')"
+_REQUESTED = _paired(f"{_ACCEPTED} q JOIN (SELECT * EXCLUDE (folder) FROM jobs) j USING (jd_id)", "jd_id, folder")
 _RESULT_COLUMNS = (
     "jd_id, rank, candidate_email, candidate_name, resume_path, resume_filename, "
     "category_score, requirements_score, qualifications_score, final_score, reason"
@@ -199,12 +206,12 @@ _RESULT_COLUMNS = (
 # --- upserts ---------------------------------------------------------------
 
 
-def upserted_ctes(source: str) -> str:
-    """CTEs ending in ``upserted``: the candidate table after the rows of ``source``."""
+def upserted_ctes(source: str, order: str = "resume_path") -> str:
+    """CTEs ending in ``upserted``: the candidate table after the rows of ``source``, applied in ``order``."""
     return f"""
 before AS ({fx.CANDIDATES}),
-latest AS (SELECT *, min(resume_path) OVER (PARTITION BY email) AS seq,
-  row_number() OVER (PARTITION BY email ORDER BY resume_path DESC) AS n
+latest AS (SELECT *, min({order}) OVER (PARTITION BY email) AS seq,
+  row_number() OVER (PARTITION BY email ORDER BY {order} DESC) AS n
   FROM (SELECT * FROM {source} WHERE email IS NOT NULL AND {strip('email')} <> '')),
 incoming AS (SELECT * FROM latest WHERE n = 1),
 created AS (SELECT i.*, (SELECT max(candidate_id) FROM before) + row_number() OVER (ORDER BY seq) AS candidate_id
@@ -225,11 +232,13 @@ upserted AS (
     NULL, '2024-06-01', '2024-06-01' FROM created)"""
 
 
-_RECOMMENDED = f"""{_RESUMES}, {_PAIRED}, {upserted_ctes('offering')},
+_RECOMMENDED = f"""{_RESUMES}, {_REQUESTED},
+applied AS (SELECT o.*, {{'a': r.jd_id, 'b': r.folder, 'c': r.rank}} AS place FROM ranked r JOIN offering o USING (resume_path)),
+{upserted_ctes('applied', 'place')},
 recommended AS (SELECT r.*, u.candidate_id FROM result r LEFT JOIN upserted u ON r.email = u.candidate_email)"""
 
 _SCORE_TABLE = f"""scores_before AS ({fx.SCORES}),
-score_batch AS (SELECT *, row_number() OVER (PARTITION BY jd_id, candidate_id ORDER BY resume_path DESC) AS n FROM recommended),
+score_batch AS (SELECT *, row_number() OVER (PARTITION BY jd_id, candidate_id ORDER BY folder DESC, rank DESC) AS n FROM recommended),
 kept AS (SELECT s.* FROM scores_before s WHERE candidate_id IS NULL OR NOT EXISTS
   (SELECT 1 FROM score_batch b WHERE b.jd_id = s.jd_id AND b.candidate_id = s.candidate_id))"""
 _SCORE_COLUMNS = (
@@ -323,7 +332,7 @@ ORACLES: dict[str, str] = {
     "audit_rows": f"""WITH {_GATED}
         SELECT resume_id, 'INFO' AS log_type, 'JD_Analysis' AS process, 'JD upload received' AS message FROM gated
         UNION ALL SELECT resume_id, 'ERROR', 'JD_Analysis', reject_reason FROM gated WHERE reject_reason IS NOT NULL""",
-    "score_wide": f"""{_RECOMMENDED} SELECT jd_id, candidate_id, candidate_email, candidate_name, category_score, final_score,
+    "score_wide": f"""{_RECOMMENDED} SELECT jd_id, folder, candidate_id, candidate_email, candidate_name, category_score, final_score,
         qualifications_score, requirements_score, reason, resume_filename, resume_path FROM recommended""",
     # filters and lookups
     "nonblank_docs": f"SELECT resume_id FROM ({fx.CORPUS}) WHERE NOT {blank('resume_text')}",
@@ -429,17 +438,24 @@ ORACLES: dict[str, str] = {
     "score_upsert": f"""{_RECOMMENDED}, {_SCORE_TABLE}
         SELECT {_SCORE_COLUMNS} FROM kept UNION ALL
         SELECT {_SCORE_COLUMNS} FROM score_batch WHERE n = 1 OR candidate_id IS NULL""",
-    "recommend_audit": """SELECT item_id AS jd_id, 'INFO' AS log_type, 'Score_Recommendation' AS process,
-          'Completed embedding recommendation for jd_id=' || CAST(item_id AS VARCHAR) AS message FROM benchmark
-        UNION ALL SELECT max(item_id) + 1, 'ERROR', 'Score_Recommendation',
-          'Job description ' || CAST(max(item_id) + 1 AS VARCHAR) || ' not found' FROM benchmark""",
-    "recommend_summary": f"""{_RESUMES}, {_PAIRED} SELECT j.jd_id, count(resume_path) AS count,
-        'No resumes scored for this job description.' AS summary FROM jobs j LEFT JOIN result r ON j.jd_id = r.jd_id GROUP BY j.jd_id""",
+    "recommend_audit": f"""WITH {_JOBS}, requests AS ({fx.REQUESTS}), accepted AS {_ACCEPTED}
+        SELECT CAST(jd_id AS VARCHAR) AS jd_id, folder, 'INFO' AS log_type, 'Score_Recommendation' AS process,
+          'Completed embedding recommendation for jd_id=' || CAST(jd_id AS VARCHAR) AS message
+        FROM accepted WHERE jd_id IN (SELECT jd_id FROM jobs)
+        UNION ALL SELECT CAST(jd_id AS VARCHAR), folder, 'ERROR', 'Score_Recommendation',
+          'Job description ' || CAST(jd_id AS VARCHAR) || ' not found' FROM accepted WHERE jd_id NOT IN (SELECT jd_id FROM jobs)
+        UNION ALL SELECT CAST(jd_id AS VARCHAR), folder, 'ERROR', 'Score_Recommendation',
+          CASE WHEN jd_id IS NULL THEN 'Missing jd_id parameter' ELSE 'Missing resume_folder parameter' END
+        FROM requests WHERE jd_id IS NULL OR folder IS NULL OR folder = ''""",
+    "recommend_summary": f"""{_RESUMES}, {_REQUESTED} SELECT a.jd_id, a.folder, count(resume_path) AS count,
+        'No resumes scored for this job description.' AS summary
+        FROM asked a LEFT JOIN result r ON a.jd_id = r.jd_id AND a.folder = r.folder GROUP BY a.jd_id, a.folder""",
     "jd_ingest": f"""WITH {_ANALYSED}, {_GATED}
         SELECT g.resume_id, CASE WHEN has_category THEN category ELSE '' END AS categories, qualifications, requirements
         FROM gated g JOIN analysed a ON g.resume_id = a.resume_id
         WHERE reject_reason IS NULL AND NOT (has_category AND category IS NULL)""",
-    "recommend": f"{_RECOMMENDED} SELECT {_RESULT_COLUMNS}, candidate_id FROM recommended",
+    "recommend": f"{_RECOMMENDED} SELECT folder, {_RESULT_COLUMNS}, candidate_id FROM recommended",
+    "recommend_candidates": f"{_RECOMMENDED} SELECT * FROM upserted",
 }
 
 

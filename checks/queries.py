@@ -129,7 +129,7 @@ def audit_rows(spark, sf):
 @query
 def score_wide(spark, sf):
     rows = recommendation(spark, sf).results.select(
-        "jd_id", "candidate_id", "candidate_email", "candidate_name", "category_score", "final_score",
+        "jd_id", "folder", "candidate_id", "candidate_email", "candidate_name", "category_score", "final_score",
         "qualifications_score", "requirements_score", "reason", "resume_filename", "resume_path",
     )
     folder = new_folder(spark, "score-wide")
@@ -481,11 +481,9 @@ def candidate_output(snapshot: DataFrame) -> DataFrame:
 
 
 def recommendation(spark: SparkSession, sf: str) -> Recommendation:
-    known = jobs(spark, sf)
-    unknown = known.agg((F.max("jd_id") + 1).alias("jd_id"), F.lit("f0").alias("folder"))
     return recommend(
-        requests=known.select("jd_id", "folder").unionByName(unknown),
-        jobs=known,
+        requests=fx.load(spark, sf, fx.REQUESTS),
+        jobs=jobs(spark, sf),
         resumes=resumes(spark, sf),
         candidates=fx.load(spark, sf, fx.CANDIDATES),
         scores=fx.load(spark, sf, fx.SCORES),
@@ -513,7 +511,14 @@ def score_upsert(spark, sf):
 
 @query
 def recommend_audit(spark, sf):
-    return recommendation(spark, sf).audit
+    rows = recommendation(spark, sf).audit
+    # A request may lack its job id; as text, both sides give a null alike.
+    return rows.withColumn("jd_id", F.col("jd_id").cast("string"))
+
+
+@query
+def recommend_candidates(spark, sf):
+    return candidate_output(recommendation(spark, sf).candidates)
 
 
 @query

@@ -21,9 +21,14 @@ def lookup_job(jobs: DataFrame, jd_id: int) -> DataFrame:
     return jobs.where(F.col("jd_id") == jd_id).withColumns(texts)
 
 
-def lookup_jobs(requests: DataFrame, jobs: DataFrame, request_id: str, **options) -> DataFrame:
-    """Each request with its job, null texts as '', and whether the job exists."""
-    known = jobs.select("jd_id", "jd_text", *JOB_TEXTS, F.lit(True).alias("found"))
+def lookup_jobs(
+    requests: DataFrame, jobs: DataFrame, request_id: str, columns: tuple[str, ...] = ("jd_text",), **options
+) -> DataFrame:
+    """Each request with its job, null texts as '', and whether the job exists.
+
+    Of the job, ``columns`` come along besides its section texts; no others are read.
+    """
+    known = jobs.select("jd_id", *columns, *JOB_TEXTS, F.lit(True).alias("found"))
     joined = join_on_key(requests, known, "jd_id", "left", row_key=request_id, **options)
     return joined.withColumns({
         "found": F.coalesce("found", F.lit(False)),

@@ -49,34 +49,34 @@ def number_rows(
     )
 
 
-def rank_resumes(scored: DataFrame, window_rows: int = WINDOW_ROWS) -> DataFrame:
-    """Per job: best final score first, null as 0, ties in path order."""
+def rank_resumes(scored: DataFrame, window_rows: int = WINDOW_ROWS, by: tuple[str, ...] = ("jd_id",)) -> DataFrame:
+    """Per job, or other ``by``: best final score first, null as 0, ties in path order."""
     best_first = F.coalesce(F.col("final_score"), F.lit(0.0)).desc()
-    return number_rows(scored, ["jd_id"], [best_first, F.col("resume_path").asc()], "rank", window_rows)
+    return number_rows(scored, [*by], [best_first, F.col("resume_path").asc()], "rank", window_rows)
 
 
-def summarize(results: DataFrame, jobs: DataFrame) -> DataFrame:
-    """Per job: number of results and the first three fit summaries.
+def summarize(results: DataFrame, asked: DataFrame, by: tuple[str, ...] = ("jd_id",)) -> DataFrame:
+    """Per job, or other ``by``: number of results and the first three fit summaries.
 
-    ``jobs(jd_id)`` lists the jobs asked for, ``results`` are ranked rows with
-    an optional ``fit_summary``.
+    ``asked`` lists the ``by`` values asked for, ``results`` are ranked rows
+    with an optional ``fit_summary``.
     """
-    counted = results.groupBy("jd_id").agg(F.count("*").alias("count"))
+    counted = results.groupBy(*by).agg(F.count("*").alias("count"))
     summary = F.lit(None).cast("string")
     if "fit_summary" in results.columns:
-        best = Window.partitionBy("jd_id").orderBy("rank")
+        best = Window.partitionBy(*by).orderBy("rank")
         top = (
             results.where(F.col("fit_summary").isNotNull())
-            .select("jd_id", "rank", "fit_summary")
+            .select(*by, "rank", "fit_summary")
             .withColumn("_n", F.row_number().over(best))
             .where(F.col("_n") <= 3)
         )
         texts = F.array_sort(F.collect_list(F.struct("_n", "fit_summary")))
-        joined = top.groupBy("jd_id").agg(F.array_join(texts["fit_summary"], " | ").alias("summary"))
-        counted = counted.join(joined, "jd_id", "left")
+        joined = top.groupBy(*by).agg(F.array_join(texts["fit_summary"], " | ").alias("summary"))
+        counted = counted.join(joined, [*by], "left")
         summary = F.col("summary")
-    return jobs.select("jd_id").distinct().join(counted, "jd_id", "left").select(
-        "jd_id",
+    return asked.select(*by).distinct().join(counted, [*by], "left").select(
+        *by,
         F.coalesce("count", F.lit(0)).cast("bigint").alias("count"),
         F.coalesce(summary, F.lit(NO_SUMMARY)).alias("summary"),
     )

@@ -97,11 +97,11 @@ def score_by_model(
 
 
 def result_rows(scored: DataFrame) -> DataFrame:
-    """The result projection: job, rank and candidate id if any, and the nine result columns."""
+    """The result projection: job, folder, rank and candidate id if any, and the nine result columns."""
     named = scored.withColumns({
         "candidate_email": F.col("email"),
         "candidate_name": display_name(F.col("name"), F.col("email")),
         "resume_filename": basename(F.col("resume_path")),
     })
-    keys = [c for c in ("jd_id", "rank", "candidate_id") if c in scored.columns]
+    keys = [c for c in ("jd_id", "folder", "rank", "candidate_id") if c in scored.columns]
     return named.select(*keys, *RESULT_COLUMNS)

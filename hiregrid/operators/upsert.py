@@ -42,13 +42,16 @@ def upsert_candidates(
     at: Column,
     window_rows: int = WINDOW_ROWS,
     last_id: int | None = None,
+    first: str = "resume_path",
+    last: str = "resume_path",
 ) -> tuple[DataFrame, DataFrame]:
     """(next candidate snapshot, batch rows refused for a blank e-mail).
 
-    Rows apply in path order, so the last path of an e-mail wins. Known
+    Of the rows of an e-mail the one with the greatest ``last`` wins. Known
     candidates have every listed column overwritten, with null too, and keep id
-    and creation time; new ones are numbered by their first path. ``last_id`` is
-    given when ``snapshot`` holds only a part of the table.
+    and creation time; new ones are numbered by their least ``first``. Both are
+    orderable columns without ties. ``last_id`` is given when ``snapshot`` holds
+    only a part of the table.
     """
     keyed = batch.withColumn("_key", email_key(F.col("email")))
     refused = keyed.where(F.col("_key").isNull()).drop("_key")
@@ -59,11 +62,11 @@ def upsert_candidates(
     latest = materialize(
         keyed.where(F.col("_key").isNotNull())
         .groupBy("_key")
-        .agg(F.max_by(F.struct(*values), F.col("resume_path")).alias("_new"), F.min("resume_path").alias("_seq")),
+        .agg(F.max_by(F.struct(*values), F.col(last)).alias("_new"), F.min(first).alias("_seq")),
         "latest",
     )
     columns = snapshot.columns
-    known = snapshot.withColumn("_key", F.lower("candidate_email"))
+    known = snapshot.withColumn("_key", email_key(F.col("candidate_email")))
 
     unique = {"row_key": "candidate_id", "broadcast": fits_broadcast(latest), "hot_rows": None}
     merged = join_on_key(known, latest, "_key", "left", **unique)

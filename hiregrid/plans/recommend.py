@@ -8,7 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hiregrid.operators.analysis import SCORE_FIELDS
-from hiregrid.operators.audit import ERROR, INFO, JD_ANALYSIS, SCORE_RECOMMENDATION, audit_rows, union_audits
+from hiregrid.operators.audit import (
+    CANDIDATE_PARSING,
+    ERROR,
+    INFO,
+    JD_ANALYSIS,
+    SCORE_RECOMMENDATION,
+    audit_rows,
+    union_audits,
+)
 from hiregrid.operators.details import candidate_details
 from hiregrid.operators.hook import Model, complete_details
 from hiregrid.operators.intake import scan_folder
@@ -26,29 +34,63 @@ from hiregrid.operators.upsert import upsert_candidates, upsert_scores
 from hiregrid.session import materialize
 
 
+REQUEST = ("jd_id", "folder")
+
+# The messages of a recommendation.
+NO_JOB_ID = "Missing jd_id parameter"
+NO_FOLDER = "Missing resume_folder parameter"
+COMPLETED = "Completed embedding recommendation for jd_id="
+NOT_FOUND = ("Job description ", " not found")
+LOAD_ERROR = "Resume load error: "
+
+FILL_FAILED = "The answer for missing fields could not be read: "
+
+
 @dataclass
 class Recommendation:
-    results: DataFrame  # ranked result rows with candidate_id
-    summary: DataFrame  # one row per requested job that exists
+    results: DataFrame  # result rows with candidate_id, ranked within their request
+    summary: DataFrame  # one row per request whose job exists
     not_found: DataFrame  # requests without a job
+    refused: DataFrame  # requests without a job id or a folder, with reject_reason
     failed: DataFrame  # pairs whose response could not be used
     candidates: DataFrame  # next candidate snapshot
     scores: DataFrame  # next score snapshot
-    audit: DataFrame  # log rows with their jd_id
+    audit: DataFrame  # log rows with the jd_id and folder they are about
 
 
-def _audit(found: DataFrame, not_found: DataFrame, failed: DataFrame) -> DataFrame:
-    # The messages of a recommendation.
-    completed = F.concat(F.lit("Completed embedding recommendation for jd_id="), "jd_id")
-    missing = F.concat(F.lit("Job description "), F.col("jd_id"), F.lit(" not found"))
-    broken = F.concat(F.lit("Resume load error: "), F.col("error"))
+def gate_requests(requests: DataFrame) -> DataFrame:
+    """``requests(jd_id, folder)`` with a ``reject_reason``, null for those that can be answered."""
+    reason = F.when(F.col("jd_id").isNull(), F.lit(NO_JOB_ID)).when(
+        F.coalesce("folder", F.lit("")) == "", F.lit(NO_FOLDER)
+    )
+    return requests.select(*REQUEST, reason.alias("reject_reason"))
+
+
+def _audit(found: DataFrame, not_found: DataFrame, refused: DataFrame, failed: DataFrame, unfilled: DataFrame) -> DataFrame:
+    completed = F.concat(F.lit(COMPLETED), "jd_id")
+    missing = F.concat(F.lit(NOT_FOUND[0]), F.col("jd_id"), F.lit(NOT_FOUND[1]))
+    broken = F.concat(F.lit(LOAD_ERROR), F.col("error"))
+    # A résumé is filled once, whichever jobs ask for it.
+    gaps = unfilled.select(F.lit(None).cast(failed.schema["jd_id"].dataType).alias("jd_id"), "folder", "resume_path")
     return union_audits(
-        audit_rows(found, INFO, SCORE_RECOMMENDATION, completed, ("jd_id",)),
-        audit_rows(not_found, ERROR, SCORE_RECOMMENDATION, missing, ("jd_id",)),
-        audit_rows(failed, ERROR, JD_ANALYSIS, broken, ("jd_id",)),
+        audit_rows(found, INFO, SCORE_RECOMMENDATION, completed, REQUEST),
+        audit_rows(not_found, ERROR, SCORE_RECOMMENDATION, missing, REQUEST),
+        audit_rows(refused, ERROR, SCORE_RECOMMENDATION, F.col("reject_reason"), REQUEST),
+        audit_rows(failed, ERROR, JD_ANALYSIS, broken, REQUEST),
+        audit_rows(gaps, ERROR, CANDIDATE_PARSING, F.concat(F.lit(FILL_FAILED), "resume_path"), REQUEST),
     )
 
 
+def _ordered(details: DataFrame, ranked: DataFrame) -> DataFrame:
+    """The ``details`` of ranked résumés, with their first and last place in the order of storing.
+
+    Results are stored request by request (by job id, then folder) and in ranked order within a request.
+    """
+    place = F.struct(*REQUEST, "rank")
+    places = ranked.groupBy("resume_path").agg(F.min(place).alias("_first"), F.max(place).alias("_last"))
+    return details.join(places, "resume_path")
+
+
 def recommend(
     requests: DataFrame,
     jobs: DataFrame,
@@ -60,55 +102,69 @@ def recommend(
     model: Model | None = None,
     fill_model: Model | None = None,
 ) -> Recommendation:
-    """Score, rank and store.
+    """Score, rank and store, request by request.
 
-    ``requests(jd_id, folder)`` has one row per job asked for. Résumés
+    ``requests(jd_id, folder)`` asks for a job's ranking of a folder; a request
+    without either is refused, a repeated one is answered once. Résumés
     ``(resume_path, folder, resume_text)`` are read and extracted once: the
     extracted fields, without the texts, are written and feed both the scoring
     and the candidate upsert. ``fill_model`` is asked for fields the rules
     missed. Scores come from ``responses(jd_id, resume_path, response)`` or a
     user's ``model`` if given, else from keywords.
+
+    Stored rows follow the order of storing: of two résumés of one candidate the
+    lower-ranked one is stored last and stays, across requests the one of the
+    later job id and folder.
     """
-    looked_up = lookup_jobs(requests, jobs.drop("folder"), "jd_id").drop("jd_text")
+    gated = materialize(gate_requests(requests), "requests")
+    refused = gated.where(F.col("reject_reason").isNotNull())
+    asked = gated.where(F.col("reject_reason").isNull()).select(*REQUEST).distinct()
+    looked_up = materialize(lookup_jobs(asked, jobs.drop("folder"), "folder", columns=()), "looked-up")
     found = looked_up.where("found").drop("found")
-    not_found = looked_up.where(~F.col("found")).select("jd_id")
+    not_found = looked_up.where(~F.col("found")).select(*REQUEST)
 
     small = {"broadcast": fits_broadcast(found)}
-    asked_folders = found.select("folder").distinct()
-    in_scope = join_on_key(scan_folder(resumes), asked_folders, "folder", row_key="resume_path", **small)
+    folders = materialize(found.select("folder").distinct(), "folders")
+    few_folders = fits_broadcast(folders)
+    in_scope = scan_folder(resumes)
+    # Texts are not shuffled: folders too many to broadcast meet the extracted fields, unless a model is paid by the text.
+    early = few_folders or fill_model is not None
+    if early:
+        in_scope = join_on_key(in_scope, folders, "folder", row_key="resume_path", broadcast=few_folders)
     details = candidate_details(in_scope, "resume_text")
     if fill_model is not None:
         details = complete_details(details, "resume_text", fill_model)
-    details = materialize(details.drop("resume_text", "fill_error"), "details")
-
-    def store(reached: DataFrame) -> DataFrame:
-        return materialize(upsert_candidates(candidates, reached, at)[0], "candidates")
+    else:
+        details = details.drop("resume_text").withColumn("fill_error", F.lit(False))
+    if not early:
+        details = join_on_key(details, folders, "folder", row_key="resume_path", broadcast=False)
+    extracted = materialize(details, "details")
+    details = extracted.drop("fill_error")
 
-    # A result's candidate id is the one its upsert gave, since every result has a path.
     if model is None and responses is None:
-        # Keywords score every résumé, so ids are settled per résumé, before pairing.
-        stored = store(details)
-        identified = lookup_candidates(details, stored, "email", "resume_path")
-        results = rank_resumes(result_rows(score_by_keywords(found, identified, **small)))
-        failed = details.sparkSession.createDataFrame([], "jd_id bigint, resume_path string, error string")
+        scored = score_by_keywords(found, details, **small)
+        failed = found.select(*REQUEST, F.lit("").alias("resume_path"), F.lit("").alias("error")).where(F.lit(False))
+    elif model is not None:
+        scored, failed = score_by_model(found, details, model, **small)
     else:
-        # Only résumés with a usable response reach the candidate table.
-        if model is not None:
-            scored, failed = score_by_model(found, details, model, **small)
-        else:
-            pairs = pair_jobs_with_resumes(found.select("jd_id", "folder"), details, **small)
-            scored, failed = score_from_responses(pairs, responses, ["jd_id", "resume_path"])
-        ranked = rank_resumes(result_rows(scored))
-        stored = store(details.join(ranked.select("resume_path").distinct(), "resume_path", "left_semi"))
-        results = materialize(lookup_candidates(ranked, stored, "candidate_email", "resume_path"), "results")
-
-    batch = results.select("jd_id", "candidate_id", *SCORE_FIELDS, "reason", "resume_path")
+        pairs = pair_jobs_with_resumes(found.select(*REQUEST), details, **small)
+        scored, failed = score_from_responses(pairs, responses, ["jd_id", "resume_path"])
+    ranked = materialize(rank_resumes(result_rows(scored), by=REQUEST), "ranked")
+
+    # Only ranked résumés reach the candidate table; a result's candidate id is the one its upsert gave, as every result has a path.
+    reached = _ordered(details, ranked)
+    stored = materialize(upsert_candidates(candidates, reached, at, first="_first", last="_last")[0], "candidates")
+    results = materialize(lookup_candidates(ranked, stored, "candidate_email", "resume_path"), "results")
+
+    place = F.struct("folder", "rank").alias("_place")
+    batch = results.select("jd_id", "candidate_id", *SCORE_FIELDS, "reason", place)
     return Recommendation(
         results=results,
-        summary=summarize(results, found),
+        summary=summarize(results, found, REQUEST),
         not_found=not_found,
-        failed=failed.select("jd_id", "resume_path", "error"),
+        refused=refused,
+        failed=failed.select(*REQUEST, "resume_path", "error"),
         candidates=stored,
-        scores=upsert_scores(scores, batch),
-        audit=_audit(found, not_found, failed),
+        scores=upsert_scores(scores, batch, order="_place"),
+        audit=_audit(found, not_found, refused, failed, extracted.where("fill_error")),
     )

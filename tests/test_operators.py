@@ -238,7 +238,7 @@ def test_recommend_from_responses(spark):
         [(1, "f/1.pdf", '{"final_score":3}'), (1, "f/2.pdf", 'ok {"final_score":8} end'), (1, "f/3.pdf", "bad")],
         "jd_id bigint, resume_path string, response string",
     )
-    requests = spark.createDataFrame([(1, "f"), (2, "f")], "jd_id bigint, folder string")
+    requests = spark.createDataFrame([(1, "f"), (2, "f"), (1, "f")], "jd_id bigint, folder string")
     done = recommend(
         requests, jobs, resumes, spark.createDataFrame([], CANDIDATE), spark.createDataFrame([], SCORE), F.lit(T2), answers
     )
@@ -248,7 +248,7 @@ def test_recommend_from_responses(spark):
     ]
     assert [(r.resume_path, r.error) for r in done.failed.collect()] == [("f/3.pdf", "no JSON in response")]
     assert [r.jd_id for r in done.not_found.collect()] == [2]
-    assert [tuple(r) for r in done.summary.collect()] == [(1, 2, ranking.NO_SUMMARY)]
+    assert [tuple(r) for r in done.summary.collect()] == [(1, "f", 2, ranking.NO_SUMMARY)]
     assert done.candidates.first().candidate_resume == "f/1.pdf"
     assert done.scores.count() == 2
     assert sorted((r.jd_id, r.log_type, r.message) for r in done.audit.collect()) == [
@@ -283,3 +283,36 @@ def test_recommend_with_models(spark):
         ("f/1.pdf", 9.0, "Filled@x.y", 1), ("f/2.pdf", 2.0, "bob@x.y", 2),
     ]
     assert sorted(r.candidate_email for r in done.candidates.collect()) == ["bob@x.y", "filled@x.y"]
+
+
+def test_recommend_per_request(spark):
+    shared = "Ada Lovelace\nada@x.y\nSkills\n"
+    resumes = spark.createDataFrame(
+        [("f/1.pdf", "f", shared + "SQL, Go"), ("f/2.pdf", "f", shared + "Knitting"), ("g/3.pdf", "g", "Bob Ross\nbob@x.y\nSkills\nGo")],
+        "resume_path string, folder string, resume_text string",
+    )
+    jobs = spark.createDataFrame(
+        [(1, "jd", "Go", "", None), (2, "jd", "Knitting", "", None)],
+        "jd_id bigint, jd_text string, category_detected string, qualifications string, requirements string",
+    )
+    asked = [(1, "f"), (1, "g"), (1, "f"), (2, "f"), (None, "f"), (1, None), (1, ""), (3, "g"), (2, "empty")]
+    done = recommend(
+        spark.createDataFrame(asked, "jd_id bigint, folder string"), jobs, resumes,
+        spark.createDataFrame([], CANDIDATE), spark.createDataFrame([], SCORE), F.lit(T2),
+    )
+    assert sorted((r.jd_id, r.folder, r["rank"], r.resume_path, r.candidate_id) for r in done.results.collect()) == [
+        (1, "f", 1, "f/1.pdf", 1), (1, "f", 2, "f/2.pdf", 1), (1, "g", 1, "g/3.pdf", 2),
+        (2, "f", 1, "f/2.pdf", 1), (2, "f", 2, "f/1.pdf", 1),
+    ]
+    assert sorted((r.jd_id, r.folder, r["count"]) for r in done.summary.collect()) == [
+        (1, "f", 2), (1, "g", 1), (2, "empty", 0), (2, "f", 2),
+    ]
+    # The lower-ranked of two résumés of a candidate is stored last, and the last request's stays.
+    assert sorted((r.jd_id, r.candidate_id, r.category_score) for r in done.scores.collect()) == [(1, 1, 0.0), (1, 2, 10.0), (2, 1, 0.0)]
+    assert sorted((r.candidate_id, r.candidate_resume) for r in done.candidates.collect()) == [(1, "f/1.pdf"), (2, "g/3.pdf")]
+    errors = [(r.jd_id, r.folder, r.message) for r in done.audit.where("log_type = 'ERROR'").collect()]
+    assert sorted(errors, key=str) == sorted([
+        (None, "f", "Missing jd_id parameter"), (1, None, "Missing resume_folder parameter"),
+        (1, "", "Missing resume_folder parameter"), (3, "g", "Job description 3 not found"),
+    ], key=str)
+    assert done.audit.where("log_type = 'INFO'").count() == 4
