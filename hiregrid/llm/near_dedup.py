@@ -160,13 +160,23 @@ def table_keys(classes: DataFrame) -> DataFrame:
     return materialize(shared_keys(kept.select("id", F.explode(pairs).alias("key")), ["key"]), "table-keys")
 
 
+def candidate_links(keys: DataFrame) -> DataFrame:
+    """Links (a, b) with the components of ``keys(key, id, first)``, where an id is linked with the first of each of its keys.
+
+    An id has up to TABLES * TABLES firsts. All of them, and the id, are linked with its least first instead: the ids of a
+    group mostly agree on that one, so the distinct links are about one for each id and each first, not one for each of their pairs.
+    """
+    firsts = keys.groupBy("id").agg(F.min("first").alias("b"), F.collect_set("first").alias("firsts"))
+    return firsts.select(F.explode(F.array_append("firsts", F.col("id"))).alias("a"), "b").where("a <> b").distinct()
+
+
 def units(keys: DataFrame, sizes: DataFrame, work: int, total: int) -> DataFrame:
     """Where each candidate is to be compared: rows (unit, side, id).
 
     A group of candidates within the limits is one unit. Of a larger group every key is a unit, and a key beyond the limits is
     cut into blocks: one unit for each pair of blocks.
     """
-    groups = materialize(connected_components(keys.select(F.col("first").alias("a"), F.col("id").alias("b"))), "groups")
+    groups = materialize(connected_components(candidate_links(keys)), "groups")
     members = groups.withColumnRenamed("node", "id").join(sizes, "id")
     measured = materialize(members.groupBy("component").agg(F.count("*").alias("n"), F.sum("size").alias("all")), "measured")
     small = (F.col("n") * F.col("all") <= work) & (F.col("all") <= total)

@@ -246,3 +246,14 @@ def test_components(spark):
     found = connected_components(spark.createDataFrame(pairs, "a bigint, b bigint")).collect()
     assert {r["node"]: r["component"] for r in found} == {x: root(x) for x in up}
     assert connected_components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_candidate_links(spark):
+    rng = random.Random(5)
+    # Two hundred keys over ids in bands, of which one has a very common key, and a chain of pairs.
+    members = {k: set(rng.sample(range(40 * (k % 5), 40 * (k % 5) + 40), rng.randint(2, 12))) for k in range(200)}
+    members |= {1000: set(range(300, 900))} | {1001 + i: {1000 + i, 1001 + i} for i in range(50)}
+    rows = [(k, i, min(ids)) for k, ids in members.items() for i in ids]
+    keys = spark.createDataFrame(rows, "key bigint, id bigint, first bigint").repartition(5)
+    plain = connected_components(keys.select(F.col("first").alias("a"), F.col("id").alias("b")))
+    assert rows_of(connected_components(near_dedup.candidate_links(keys)), "*") == rows_of(plain, "*")
