@@ -19,6 +19,7 @@ NULLABLE_INTEGERS = {
     "recommend_candidates": ("candidate_year",),
     "stream_ingest": ("candidate_year",),
     "score_upsert": ("candidate_id",),
+    "score_merge": ("candidate_id",),
     "recommend": ("candidate_id",),
     "category_columns": ("category1_id", "category2_id"),
 }

@@ -435,6 +435,11 @@ ORACLES: dict[str, str] = {
         fresh AS (SELECT name, min(type) AS type FROM incoming WHERE name NOT IN (SELECT name FROM known) GROUP BY name)
         SELECT category_id, name, type FROM known UNION ALL
         SELECT (SELECT max(category_id) FROM known) + row_number() OVER (ORDER BY name), name, type FROM fresh""",
+    "category_ids": f"""WITH known AS ({fx.CATEGORIES}), incoming AS ({fx.INCOMING_CATEGORIES}),
+        fresh AS (SELECT DISTINCT name FROM incoming WHERE name NOT IN (SELECT name FROM known)),
+        numbered AS (SELECT category_id, name FROM known UNION ALL
+          SELECT (SELECT max(category_id) FROM known) + row_number() OVER (ORDER BY name), name FROM fresh)
+        SELECT i.name, n.category_id FROM incoming i JOIN numbered n ON n.name = i.name""",
     "score_upsert": f"""{_RECOMMENDED}, {_SCORE_TABLE}
         SELECT {_SCORE_COLUMNS} FROM kept UNION ALL
         SELECT {_SCORE_COLUMNS} FROM score_batch WHERE n = 1 OR candidate_id IS NULL""",
@@ -458,6 +463,8 @@ ORACLES: dict[str, str] = {
     "recommend_candidates": f"{_RECOMMENDED} SELECT * FROM upserted",
 }
 
+ORACLES["score_merge"] = ORACLES["score_upsert"]
+
 
 def _with_doubles(sql: str, columns: tuple[str, ...]) -> str:
     casts = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in columns)

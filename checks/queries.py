@@ -504,6 +504,21 @@ def category_get_or_create(spark, sf):
     )
 
 
+@query
+def category_ids(spark, sf):
+    incoming = fx.load(spark, sf, fx.INCOMING_CATEGORIES)
+    categories = upsert.get_or_create_categories(fx.load(spark, sf, fx.CATEGORIES), incoming)
+    return upsert.category_ids(categories, incoming.select("name"))
+
+
+@query
+def score_merge(spark, sf):
+    path, before = new_folder(spark, "score-table"), fx.load(spark, sf, fx.SCORES)
+    upsert.merge_scores_into(path, before.withColumn("_place", F.lit(0)), "stored", order="_place")
+    upsert.merge_scores_into(path, recommendation(spark, sf).score_batch, "recommended", order="_place")
+    return spark.read.parquet(path).select(*before.columns)
+
+
 @query
 def score_upsert(spark, sf):
     return recommendation(spark, sf).scores
@@ -540,7 +555,7 @@ def stream_ingest(spark, sf):
     stream = spark.sql(fx.RESUMES.replace("FROM customer", "FROM arriving_customers"))
     before = fx.load(spark, sf, fx.CANDIDATES)
     folder = new_folder(spark, "stream")
-    snapshot = tables.SnapshotTable(spark, f"{folder}/candidates", before._jdf.schema().toDDL(), "candidate_email", 16)
+    snapshot = tables.SnapshotTable(spark, f"{folder}/candidates", before._jdf.schema().toDDL(), "candidate_email", 16, number="candidate_id")
     snapshot.fill(before, "initial")
     stream_candidates(stream, snapshot, f"{folder}/checkpoint", lambda batch_id: batch_time()).awaitTermination()
     spark.catalog.dropTempView("arriving_customers")

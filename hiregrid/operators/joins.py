@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hiregrid.session import materialize
+
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 64 << 20
-HOT_KEY_ROWS = 2_000_000
-SALTS = 64
+TASK_PAIRS = 2_000_000
+NULL_SALTS = 64
 
 
 def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
@@ -31,31 +33,30 @@ def join_on_key(
     *,
     row_key: str,
     broadcast: bool | None = None,
-    hot_rows: int | None = HOT_KEY_ROWS,
-    salts: int = SALTS,
+    task_pairs: int | None = TASK_PAIRS,
 ) -> DataFrame:
     """Equi-join of a large ``left``, whose keys may repeat without limit, with ``right``.
 
-    A small ``right`` is broadcast, so ``left`` is not shuffled. Otherwise keys
-    with more than ``hot_rows`` rows in ``left`` are spread over ``salts`` tasks
-    by ``row_key`` and only their rows in ``right`` are copied; ``hot_rows`` is
-    None when the keys of ``left`` are known to be unique. ``how`` is 'inner' or
-    'left'.
+    A small ``right`` is broadcast, so ``left`` is not shuffled. Otherwise a key
+    with more than ``task_pairs`` pairs, rows of ``left`` times rows of
+    ``right``, is spread by ``row_key`` over as many tasks as bring each below
+    that, and only its rows in ``right`` are copied; null keys of ``left`` match
+    nothing and are spread too. ``task_pairs`` is None when the keys of ``left``
+    are known to be unique. ``how`` is 'inner' or 'left'.
     """
     if fits_broadcast(right) if broadcast is None else broadcast:
         return left.join(F.broadcast(right), on, how)
-    if hot_rows is None:
+    if task_pairs is None:
         return left.join(right, on, how)
 
-    # At most rows/hot_rows keys can be hot, hence the broadcast.
-    counted = left.groupBy(on).agg(F.count("*").alias("_n"))
-    hot = F.broadcast(counted.where(F.col("_n") > hot_rows).select(on, F.lit(True).alias("_hot")))
-    spread = F.pmod(F.xxhash64(row_key), F.lit(salts)).cast("int")
-    salted_left = left.join(hot, on, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), spread).otherwise(F.lit(0))
-    ).drop("_hot")
-    every = F.sequence(F.lit(0), F.lit(salts - 1))
-    salted_right = right.join(hot, on, "left").withColumn(
-        "_salt", F.explode(F.when(F.col("_hot"), every).otherwise(F.array(F.lit(0))))
-    ).drop("_hot")
+    rows, partners = left.groupBy(on).agg(F.count("*").alias("_n")), right.groupBy(on).agg(F.count("*").alias("_m"))
+    pairs = F.col("_n").cast("double") * F.coalesce("_m", F.lit(1))
+    salts = F.least(F.ceil(pairs / task_pairs), F.col("_n")).cast("int").alias("_salts")
+    hot = materialize(rows.join(partners, on, "left").where(pairs > task_pairs).select(on, salts), "hot-keys")
+    if fits_broadcast(hot):
+        hot = F.broadcast(hot)
+    spread = F.when(F.col(on).isNull(), F.lit(NULL_SALTS)).otherwise(F.coalesce("_salts", F.lit(1)))
+    salted_left = left.join(hot, on, "left").withColumn("_salt", F.pmod(F.xxhash64(row_key), spread).cast("int")).drop("_salts")
+    every = F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)
+    salted_right = right.join(hot, on, "left").withColumn("_salt", F.explode(every)).drop("_salts")
     return salted_left.join(salted_right, [on, "_salt"], how).drop("_salt")

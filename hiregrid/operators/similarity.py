@@ -25,6 +25,7 @@ if TYPE_CHECKING:
 BLOCK_ROWS = 4096  # vectors of the side that is shipped whole to a task
 BLOCK_VALUES = 4_000_000  # numbers in those vectors
 CELL_ROWS = 16_384  # corpus vectors per task of the grid
+CELL_VALUES = 16_000_000  # numbers in those vectors
 SLICE_SCORES = 4_000_000  # scores a task holds at a time
 
 
@@ -76,6 +77,12 @@ def _fits_block(df: DataFrame, column: str) -> bool:
     return df.agg(F.coalesce(F.sum(F.size(column)), F.lit(0))).first()[0] <= BLOCK_VALUES
 
 
+def _parts(df: DataFrame, column: str, rows: int, values: int) -> int:
+    """Into how many parts to cut ``df`` so that they have about so many rows and numbers."""
+    n, total = df.agg(F.count("*"), F.coalesce(F.sum(F.size(column)), F.lit(0))).first()
+    return max(1, -(-n // rows), -(-total // values))
+
+
 def _lists():
     """Arrow list columns as numpy: (length of each list, flat Arrow values)."""
 
@@ -173,7 +180,13 @@ def _selector(k: int):
         n = len(scores)
         if n > k:
             threshold = np.partition(scores, n - k, axis=0)[n - k]
-            query, row = np.nonzero((scores >= threshold).T)
+            chosen = scores >= threshold
+            if chosen.sum() > 2 * k * scores.shape[1]:
+                # Many ties at the threshold, as of score 0: only the k least ids among them can be among the best.
+                by_id = np.argsort(ids, kind="stable")
+                tied = (scores == threshold)[by_id]
+                chosen[by_id] &= ~tied | (np.cumsum(tied, axis=0) <= k)
+            query, row = np.nonzero(chosen.T)
         else:
             query, row = np.nonzero(np.ones(scores.T.shape, dtype=bool))
         return first_k(query, ids[row], scores[row, query])
@@ -277,8 +290,8 @@ def inner_product_topk(
 
         found = corpus.mapInArrow(against_queries, schema)
     else:
-        blocks = max(1, -(-queries.count() // block_rows))
-        cells = max(1, -(-corpus.count() // cell_rows))
+        blocks = _parts(queries, columns[0], block_rows, BLOCK_VALUES)
+        cells = _parts(corpus, columns[0], cell_rows, CELL_VALUES)
 
         def spread(df: DataFrame, key: str, own: str, n: int, other: str, copies: int) -> DataFrame:
             # Both sides need the same key types to meet in the same partition.

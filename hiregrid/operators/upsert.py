@@ -30,6 +30,7 @@ CANDIDATE_VALUES = {
     "candidate_company": None,
 }
 SCORE_VALUES = (*SCORE_FIELDS, "reason")
+SCORE_BUCKETS = 256
 
 
 def max_id(snapshot: DataFrame, column: str) -> int:
@@ -68,7 +69,7 @@ def upsert_candidates(
     columns = snapshot.columns
     known = snapshot.withColumn("_key", email_key(F.col("candidate_email")))
 
-    unique = {"row_key": "candidate_id", "broadcast": fits_broadcast(latest), "hot_rows": None}
+    unique = {"row_key": "candidate_id", "broadcast": fits_broadcast(latest), "task_pairs": None}
     merged = join_on_key(known, latest, "_key", "left", **unique)
     touched = F.col("_new").isNotNull()
     updates = {c: F.when(touched, F.col(f"_new.{c}")).otherwise(F.col(c)) for c in CANDIDATE_VALUES}
@@ -137,26 +138,39 @@ def upsert_scores(
     return untouched.unionByName(keyed).unionByName(batch.where(~has_key).select(*columns))
 
 
-def merge_scores_into(path: str, batch: DataFrame, batch_id: str, order: str = "resume_path") -> None:
-    """Upsert ``batch`` into the stored score table, which is partitioned by ``jd_id``.
+def merge_scores_into(
+    path: str, batch: DataFrame, batch_id: str, order: str = "resume_path", buckets: int = SCORE_BUCKETS
+) -> None:
+    """Upsert ``batch`` into the stored score table, which is partitioned by ``buckets`` hashes of ``jd_id``.
 
-    Only the partitions of the batch's jobs are read and replaced, however large
-    the table. Applying a batch again changes nothing.
+    Only the buckets of the batch's jobs are read and replaced; they are a
+    literal filter on the partition column. The number of buckets belongs to the
+    stored table. Applying a batch again changes nothing.
     """
-    spark = batch.sparkSession
-    batch = batch.withColumn("batch_id", F.lit(batch_id))
-    columns = ["candidate_id", *SCORE_VALUES, "batch_id", "jd_id"]
-    schema = T.StructType([batch.schema[c] for c in columns])
-    jobs = batch.select("jd_id").distinct()
-    touched = stored_or_empty(spark, path, schema).join(
-        F.broadcast(jobs) if fits_broadcast(jobs) else jobs, "jd_id", "left_semi"
-    )
+    bucket = F.pmod(F.xxhash64(F.col("jd_id").cast("bigint")), F.lit(buckets)).cast("int")
+    batch = batch.withColumns({"batch_id": F.lit(batch_id), "bucket": bucket})
+    touched = [row["bucket"] for row in batch.select("bucket").distinct().collect()]  # at most ``buckets``
     # Written aside first: a path cannot be read and replaced at once.
-    merged = materialize(upsert_scores(touched.select(*columns), batch, order, batch_id), "scores")
+    merged = materialize(upsert_scores(stored_scores(path, batch, touched), batch, order, batch_id), "scores")
     (
-        merged.hint("rebalance", F.col("jd_id"))
+        merged.hint("rebalance", F.col("bucket"))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("jd_id")
+        .partitionBy("bucket")
         .parquet(path)
     )
+
+
+def stored_scores(path: str, like: DataFrame, buckets: list[int]) -> DataFrame:
+    """The score rows of some buckets of the table at ``path``, in columns typed as in ``like``."""
+    columns = ["jd_id", "candidate_id", *SCORE_VALUES, "batch_id", "bucket"]
+    schema = T.StructType([T.StructField(c, like.schema[c].dataType) for c in columns])
+    return stored_or_empty(like.sparkSession, path, schema).where(F.col("bucket").isin(buckets)).select(*columns)
+
+
+def category_ids(categories: DataFrame, incoming: DataFrame) -> DataFrame:
+    """``incoming`` with the id its name has in ``categories``, null if it has none."""
+    known = categories.select("name", "category_id")
+    if fits_broadcast(known):
+        known = F.broadcast(known)
+    return incoming.join(known, "name", "left")

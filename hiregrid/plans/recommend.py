@@ -55,6 +55,7 @@ class Recommendation:
     failed: DataFrame  # pairs whose response could not be used
     candidates: DataFrame  # next candidate snapshot
     scores: DataFrame  # next score snapshot
+    score_batch: DataFrame  # the score rows to store, the later in _place winning: for merge_scores_into(…, order="_place")
     audit: DataFrame  # log rows with the jd_id and folder they are about
 
 
@@ -166,5 +167,6 @@ def recommend(
         failed=failed.select(*REQUEST, "resume_path", "error"),
         candidates=stored,
         scores=upsert_scores(scores, batch, order="_place"),
+        score_batch=batch,
         audit=_audit(found, not_found, refused, failed, extracted.where("fill_error")),
     )

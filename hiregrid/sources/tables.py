@@ -16,7 +16,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-VERSION_SCHEMA = "version bigint, batch_id string, bucket int, path string"
+from hiregrid.functions.dialect import strip
+
+VERSION_SCHEMA = "version bigint, batch_id string, bucket int, path string, high bigint"
 
 
 def append(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
@@ -46,11 +48,11 @@ def balanced(scan: DataFrame, key: str) -> DataFrame:
     """Spread a small scan over all cores.
 
     Text extraction is bound by the processor, and a file of one row group is
-    one task however large the cluster. Only scans of at most two waves of
-    tasks are shuffled; larger ones are parallel enough and stay as they are.
+    one task however large the cluster. Only scans of less than one
+    wave of tasks are shuffled; larger ones fill the cluster and stay as they are.
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores, key) if scan.rdd.getNumPartitions() <= 2 * cores else scan
+    return scan.repartition(cores, key) if scan.rdd.getNumPartitions() < cores else scan
 
 
 class SnapshotTable:
@@ -58,15 +60,17 @@ class SnapshotTable:
 
     Rows are spread over ``buckets`` by the hash of ``key``. A batch writes new
     versions of the buckets its keys fall into and leaves the others alone, so a
-    small batch does not rewrite a large table.
+    small batch does not rewrite a large table. ``number`` names a column of
+    ids, whose highest one is kept in the version list.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema: str, key: str, buckets: int = 64):
+    def __init__(self, spark: SparkSession, path: str, schema: str, key: str, buckets: int = 64, number: str | None = None):
         self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
-        self.key, self.buckets = key, buckets
+        self.key, self.buckets, self.number = key, buckets, number
 
     def bucket(self, key: Column) -> Column:
-        return F.pmod(F.xxhash64(F.lower(key)), F.lit(self.buckets)).cast("int")
+        """Keys that differ in case or outer white space only are one key."""
+        return F.pmod(F.xxhash64(strip(F.lower(key))), F.lit(self.buckets)).cast("int")
 
     def _versions(self) -> DataFrame:
         return stored_or_empty(self.spark, f"{self.path}/versions", VERSION_SCHEMA)
@@ -74,6 +78,10 @@ class SnapshotTable:
     def has_batch(self, batch_id: str) -> bool:
         return not self._versions().where(F.col("batch_id") == batch_id).isEmpty()
 
+    def highest(self) -> int:
+        """The highest id ever stored in ``number``, from the version list alone."""
+        return self._versions().agg(F.coalesce(F.max("high"), F.lit(0))).first()[0]
+
     def _current(self) -> dict[int, str]:
         """Path of each bucket's latest version; at most ``buckets`` rows reach the driver."""
         latest = self._versions().where(F.col("bucket").isNotNull()).groupBy("bucket").agg(F.max_by("path", "version").alias("path"))
@@ -99,9 +107,10 @@ class SnapshotTable:
         target = f"{self.path}/data/{version:08d}-{uuid.uuid4().hex}"
         rows = change(self.read(touched)).withColumn("bucket", self.bucket(F.col(self.key)))
         append(rows, target, partition_by=["bucket"])
+        high = self.spark.read.parquet(target).agg(F.max(self.number)).first()[0] if self.number and touched else None
         listed = self.spark.createDataFrame(
-            [(version, batch_id, bucket, f"{target}/bucket={bucket}") for bucket in sorted(touched)] or
-            [(version, batch_id, None, None)], VERSION_SCHEMA
+            [(version, batch_id, bucket, f"{target}/bucket={bucket}", high) for bucket in sorted(touched)] or
+            [(version, batch_id, None, None, None)], VERSION_SCHEMA
         )
         listed.coalesce(1).write.mode("append").parquet(f"{self.path}/versions")
 

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from hiregrid.operators.details import candidate_details
 from hiregrid.operators.lookup import email_key
-from hiregrid.operators.upsert import max_id, upsert_candidates
+from hiregrid.operators.upsert import upsert_candidates
 from hiregrid.plans.ingest import ingest_jobs, number_jobs
 from hiregrid.session import materialize
 from hiregrid.sources.tables import SnapshotTable, stored_or_empty
@@ -30,7 +30,7 @@ def run_available(stream: DataFrame, checkpoint: str, on_batch: Callable[[DataFr
 def stream_candidates(
     resumes: DataFrame, table: SnapshotTable, checkpoint: str, at: Callable[[int], Column]
 ) -> StreamingQuery:
-    """Extract arriving résumés and upsert their candidates into ``table``, keyed by candidate_email.
+    """Extract arriving résumés and upsert their candidates into ``table``, keyed by candidate_email and numbered by candidate_id.
 
     A batch that is run again finds its id in the table's version list and
     changes nothing. ``at`` gives the time stamped on a batch.
@@ -42,7 +42,7 @@ def stream_candidates(
             return
         details = candidate_details(batch, "resume_text").drop("resume_text")
         details = materialize(details.withColumn("_key", email_key(F.col("email"))), "details")
-        last_id = max_id(table.read(), "candidate_id")
+        last_id = table.highest()
         table.update(
             details, "_key", lambda rows: upsert_candidates(rows, details, at(batch_id), last_id=last_id)[0], listed
         )

@@ -1,6 +1,7 @@
 """Ranking, joins, scoring, lookups and upserts against brute force and by hand."""
 
 import random
+import re
 from datetime import datetime
 
 import pytest
@@ -54,7 +55,7 @@ def test_salted_join_equals_plain_join(spark, how):
     left = left.unionByName(spark.createDataFrame([(9000, None)], "id bigint, k bigint"))
     right = spark.range(5, 30).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
     plain = sorted(map(str, left.join(right, "k", how).collect()))
-    for options in ({"broadcast": True}, {"broadcast": False, "hot_rows": 500, "salts": 8}, {"broadcast": False, "hot_rows": None}):
+    for options in ({"broadcast": True}, {"broadcast": False, "task_pairs": 500}, {"broadcast": False, "task_pairs": 20}, {"broadcast": False, "task_pairs": None}):
         joined = join_on_key(left, right, "k", how, row_key="id", **options)
         assert sorted(map(str, joined.collect())) == plain
 
@@ -84,7 +85,7 @@ def test_keyword_scores_in_both_join_forms(spark):
     resumes = spark.createDataFrame(
         [("f/1.pdf", "f", ["SQL", "Spark"]), ("f/2.pdf", "f", [])], "resume_path string, folder string, skills array<string>"
     )
-    for options in ({"broadcast": True}, {"broadcast": False, "hot_rows": 1, "salts": 4}):
+    for options in ({"broadcast": True}, {"broadcast": False, "task_pairs": 1}):
         rows = scoring.score_by_keywords(jobs, resumes, **options).orderBy("jd_id", "resume_path").collect()
         assert [(r.jd_id, r.resume_path, r.category_score, r.requirements_score, r.qualifications_score, r.final_score, r.reason)
                 for r in rows] == [
@@ -187,14 +188,18 @@ def test_merge_scores_into_stored_partitions(spark, tmp_path):
     )
     second = spark.createDataFrame([(1, 10, 9.0, 9.0, 9.0, 9.0, "d", "p1"), (1, None, 8.0, 8.0, 8.0, 8.0, "e", "p2")], schema)
     upsert.merge_scores_into(path, first, "one")
-    untouched = {f.name for f in (tmp_path / "scores" / "jd_id=2").iterdir()}
+    files = lambda: {str(f) for f in (tmp_path / "scores").glob("bucket=*/*.parquet")}
+    before = files()
     for _ in range(2):  # the second time as after a failure
         upsert.merge_scores_into(path, second, "two")
     rows = sorted((r.jd_id, r.candidate_id, r.final_score, r.batch_id) for r in spark.read.parquet(path).where("candidate_id IS NOT NULL").collect())
     assert rows == [(1, 10, 9.0, "two"), (2, 10, 3.0, "one")]
     keyless = spark.read.parquet(path).where("candidate_id IS NULL").collect()
     assert sorted((r.jd_id, r.final_score, r.batch_id) for r in keyless) == [(1, 2.0, "one"), (1, 8.0, "two")]
-    assert {f.name for f in (tmp_path / "scores" / "jd_id=2").iterdir()} == untouched
+    assert len(before) == 2 and len(before & files()) == 1  # the bucket of the other job is left alone
+    like = second.withColumns({"batch_id": F.lit("two"), "bucket": F.lit(0)})
+    plan = upsert.stored_scores(path, like, [3, 5])._jdf.queryExecution().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*bucket#\d+ IN \(3,5\)", plan)
 
 
 @pytest.mark.parametrize("window_rows", [1_000_000, 0])

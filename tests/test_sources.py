@@ -68,11 +68,21 @@ def test_snapshot_table(spark, tmp_path):
     assert table.has_batch("nothing") and table.read().count() == 41
 
 
+def test_snapshot_keeps_the_highest_id_and_normalises_keys(spark, tmp_path):
+    table = tables.SnapshotTable(spark, str(tmp_path / "t"), "k string, n bigint", "k", buckets=64, number="n")
+    assert table.highest() == 0
+    table.fill(spark.createDataFrame([("a", 7), ("b", 3)], "k string, n bigint"), "first")
+    table.fill(spark.createDataFrame([("c", 5)], "k string, n bigint"), "second")
+    assert table.highest() == 7
+    keys = spark.createDataFrame([(" A@x.y ",), ("a@x.y",)], "k string")
+    assert keys.select(table.bucket(F.col("k"))).distinct().count() == 1
+
+
 def test_two_micro_batches_equal_one_batch(spark, tmp_path):
     resumes = fx.load(spark, SF, fx.RESUMES)
     at = lambda batch: F.lit("2024-06-01 00:00:00").cast("timestamp")
     source = tmp_path / "in"
-    table = tables.SnapshotTable(spark, str(tmp_path / "candidates"), CANDIDATE, "candidate_email", buckets=5)
+    table = tables.SnapshotTable(spark, str(tmp_path / "candidates"), CANDIDATE, "candidate_email", buckets=5, number="candidate_id")
     before = fx.load(spark, SF, fx.CANDIDATES)
     table.fill(before, "initial")
 
