@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Sequence
-from typing import TYPE_CHECKING
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,24 +14,19 @@ from hiregrid.functions.extract import missing_fields
 from hiregrid.functions.prompts import missing_fields_prompt
 from hiregrid.operators.details import fill_gaps
 
-if TYPE_CHECKING:
-    import pandas as pd
-    import pyarrow as pa
-
 Model = Callable[["pd.Series"], Iterable[str]]
 
 
 def model_responses(rows: DataFrame, prompt: str, model: Model) -> DataFrame:
     """``rows`` with the ``prompt`` column replaced by the model's ``response``.
 
-    ``model`` gets the prompts of one Arrow batch at a time, without the null
-    ones, whose response is null. If it fails, its prompts are halved and tried
-    again, so one bad prompt of a thousand costs some twenty calls; only those
-    that fail alone get '' for a response. Calls repeat when a task is retried,
-    so write the result once if they are costly.
+    Only prompts go to Python; the other columns stay in the JVM. ``model`` gets
+    the distinct prompts of one Arrow batch at a time, without null, whose
+    response is null. If it fails, its prompts are halved and tried again, so
+    one bad prompt of a thousand costs some twenty calls; only those that fail
+    alone get '' for a response. Calls repeat when a task is retried, so write
+    the result once if they are costly.
     """
-    kept = [c for c in rows.columns if c != prompt]
-    schema = T.StructType([*[rows.schema[c] for c in kept], T.StructField("response", T.StringType())])
 
     def answers(prompts: pd.Series) -> list[str]:
         try:
@@ -39,17 +35,12 @@ def model_responses(rows: DataFrame, prompt: str, model: Model) -> DataFrame:
             half = len(prompts) // 2
             return [*answers(prompts.iloc[:half]), *answers(prompts.iloc[half:])] if half else [""]
 
-    def call(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        import pyarrow as pa
-
-        for batch in batches:
-            prompts = batch.column(prompt).to_pandas()
-            asked = prompts[prompts.notna()]
-            responses = dict(zip(asked.index, answers(asked))) if len(asked) else {}
-            column = pa.array([responses.get(i) for i in prompts.index], pa.string())
-            yield pa.RecordBatch.from_arrays([*map(batch.column, kept), column], names=[*kept, "response"])
+    def ask(prompts: pa.Array) -> pa.Array:
+        asked = prompts.drop_null().unique().to_pandas()
+        responses = dict(zip(asked, answers(asked))) if len(asked) else {}
+        return pa.array([responses.get(p) for p in prompts.to_pylist()], pa.string())
 
-    return rows.mapInArrow(call, schema)
+    return _replaced(rows, prompt, "response", ask, T.StringType())
 
 
 def embeddings(rows: DataFrame, text: str, model: Callable[[pd.Series], Iterable[Sequence[float]]]) -> DataFrame:
@@ -57,9 +48,6 @@ def embeddings(rows: DataFrame, text: str, model: Callable[[pd.Series], Iterable
 
     A text the model fails on gets null; ``similarity.normalized`` splits those off.
     """
-    kept = [c for c in rows.columns if c != text]
-    vector = T.StructField("embedding", T.ArrayType(T.FloatType()))
-    schema = T.StructType([*[rows.schema[c] for c in kept], vector])
 
     def vectors(texts: pd.Series) -> list:
         try:
@@ -68,15 +56,19 @@ def embeddings(rows: DataFrame, text: str, model: Callable[[pd.Series], Iterable
             half = len(texts) // 2
             return [*vectors(texts.iloc[:half]), *vectors(texts.iloc[half:])] if half else [None]
 
-    def call(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        import pyarrow as pa
+    def embed(texts: pa.Array) -> pa.Array:
+        return pa.array(vectors(texts.to_pandas()) if len(texts) else [], pa.list_(pa.float32()))
+
+    return _replaced(rows, text, "embedding", embed, T.ArrayType(T.FloatType()))
 
-        for batch in batches:
-            texts = batch.column(text).to_pandas()
-            found = pa.array(vectors(texts) if len(texts) else [], pa.list_(pa.float32()))
-            yield pa.RecordBatch.from_arrays([*map(batch.column, kept), found], names=[*kept, "embedding"])
 
-    return rows.mapInArrow(call, schema)
+def _replaced(rows: DataFrame, column: str, name: str, run: Callable[[pa.Array], pa.Array], returned: T.DataType) -> DataFrame:
+    """``rows`` with ``column`` replaced by what ``run`` makes of it.
+
+    Declared nondeterministic, so that no filter or second use of the result calls a model twice.
+    """
+    call = F.arrow_udf(run, returned).asNondeterministic()
+    return rows.select(*[c for c in rows.columns if c != column], call(F.col(column)).alias(name))
 
 
 def complete_details(details: DataFrame, text: str, model: Model) -> DataFrame:

@@ -127,6 +127,20 @@ def test_model_failures_stay_alone(spark):
     assert sorted(map(tuple, found.collect())) == [(1, "a!"), (2, ""), (3, "c!"), (4, None)]
 
 
+def test_model_is_asked_once_for_equal_prompts_and_filters(spark, tmp_path):
+    seen = str(tmp_path / "seen")
+
+    def model(prompts):
+        with open(seen, "a") as out:
+            out.writelines(f"{p}\n" for p in prompts)
+        return prompts + "!"
+
+    rows = spark.createDataFrame([(i, f"p{i % 3}") for i in range(30)], "id int, prompt string").coalesce(1)
+    found = model_responses(rows, "prompt", model).where("response = 'p1!'")
+    assert found.count() == 10
+    assert sorted(open(seen).read().split()) == ["p0", "p1", "p2"]
+
+
 def test_model_sees_only_incomplete_rows(spark, tmp_path):
     whole = (
         "Ada Lovelace\na@b.co\n555-123-4567\nhttps://linkedin.com/in/ada\nAustin, TX\n5 years experience\nPhD\nlead\nSkills\nSQL\n"
