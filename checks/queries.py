@@ -133,8 +133,8 @@ def score_wide(spark, sf):
         "qualifications_score", "requirements_score", "reason", "resume_filename", "resume_path",
     )
     folder = new_folder(spark, "score-wide")
-    tables.append(rows, folder, partition_by=["jd_id"])
-    return spark.read.schema(rows.schema).parquet(folder)
+    tables.append(rows.withColumn("bucket", tables.hash_bucket("jd_id", upsert.SCORE_BUCKETS)), folder, partition_by=["bucket"])
+    return spark.read.schema(rows.schema).parquet(folder).drop("bucket")
 
 
 # --- filters and lookups ---

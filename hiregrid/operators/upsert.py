@@ -17,7 +17,7 @@ from hiregrid.operators.joins import fits_broadcast, join_on_key
 from hiregrid.operators.lookup import email_key
 from hiregrid.operators.ranking import WINDOW_ROWS, number_rows
 from hiregrid.session import materialize
-from hiregrid.sources.tables import stored_or_empty
+from hiregrid.sources.tables import hash_bucket, stored_or_empty
 
 # Candidate column <- details field; the company has no producer and stays null.
 CANDIDATE_VALUES = {
@@ -147,8 +147,7 @@ def merge_scores_into(
     literal filter on the partition column. The number of buckets belongs to the
     stored table. Applying a batch again changes nothing.
     """
-    bucket = F.pmod(F.xxhash64(F.col("jd_id").cast("bigint")), F.lit(buckets)).cast("int")
-    batch = batch.withColumns({"batch_id": F.lit(batch_id), "bucket": bucket})
+    batch = batch.withColumns({"batch_id": F.lit(batch_id), "bucket": hash_bucket("jd_id", buckets)})
     touched = [row["bucket"] for row in batch.select("bucket").distinct().collect()]  # at most ``buckets``
     # Written aside first: a path cannot be read and replaced at once.
     merged = materialize(upsert_scores(stored_scores(path, batch, touched), batch, order, batch_id), "scores")

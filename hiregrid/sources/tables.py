@@ -34,6 +34,11 @@ def append(df: DataFrame, path: str, partition_by: list[str] | None = None) -> N
     gathered.write.mode("append").partitionBy(*partition_by).parquet(path)
 
 
+def hash_bucket(key: str, buckets: int) -> Column:
+    """The partition of an integer key in a table kept in so many partitions, however many keys there are."""
+    return F.pmod(F.xxhash64(F.col(key).cast("bigint")), F.lit(buckets)).cast("int")
+
+
 def stored_or_empty(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
     """The parquet table at ``path``, or no rows if nothing was written there yet."""
     try:
