@@ -79,6 +79,30 @@ def test_blocks():
     assert article("<" * 20_000) == ["<" * 20_000]
 
 
+def test_names_do_not_mark_articles():
+    body = "<article class='social'><p>one</p><section id='related-work'><h2 id='social-impact'>two</h2><p>three</section></article>"
+    for top in ("<html class='has-sidebar'><body class='single has-sidebar menu'>", "<body id='comments' class='nav'><main class='widget'>",
+                "<body style='display:none'><div class='wrapper has-sidebar'>"):
+        assert sorted_out(top + body) == (["one", "two", "three"], [], [])
+    page = """<article><p style="overflow:hidden">a<p class="overflow-hidden">b<p aria-hidden="false">c<p data-class="ad">d
+    <p id="ad">e<div class="notice-board">f</div><section id="comments"><h2>g</h2><p>h</p></section><p hidden="until-found">i
+    <div class="wide ad">x1</div><div role="navigation">x2</div><p hidden>x3<p style="color:red; DISPLAY : none">x4</p>
+    <span aria-hidden="true">x5</span></article>"""
+    assert sorted_out(page) == (list("abcdefghi"), [], ["x1", "x2", "x3", "x4", "x5"])
+    assert sorted_out("<div class='sidebar'><p>x</p><main><p>a</main></div>") == (["a"], [], ["x"])
+    page = "<div class='cookie-notice'>x1</div><div id='site-header'>x2</div><ul class='main-nav'>x3</ul><h2 id='share'>a</h2><p id='banner'>b"
+    assert sorted_out(page) == (None, ["a", "b"], ["x1", "x2", "x3"])
+
+
+def test_a_title_alone_tells_no_article():
+    for name in ("post-title", "entry-title"):
+        assert sorted_out(f"<h1 class='{name}'>T</h1><p>one</p><p>two") == (None, ["T", "one", "two"], [])
+        assert sorted_out(f"<main><div class='{name}'>T</div><p>one</p><p>two</main><p>x") == (["T", "one", "two"], [], [])
+        assert sorted_out(f"<h1 class='{name}'>T</h1><div class='entry-content'><p>one</p><ul><li>two</ul></div><li>menu") == (
+            ["T", "one", "two"], [], [])
+    assert sorted_out("<article><p>teaser</article><p>a much longer text") == (None, ["teaser", "a much longer text"], [])
+
+
 def test_repeated_runs_are_boilerplate(spark):
     rng = random.Random(2)
     menu = " ".join(f"menu{i}" for i in range(12))
