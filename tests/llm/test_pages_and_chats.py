@@ -121,6 +121,42 @@ def test_repeated_runs_are_boilerplate(spark):
     assert page_text.extract_text(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
 
 
+def test_quoted_and_copied_passages_stay(spark):
+    rng = random.Random(4)
+
+    def words(n):
+        return " ".join(f"w{rng.randrange(10 ** 6)}" for _ in range(n))
+
+    menu, quote, copied = [words(2) for _ in range(6)], words(12), [words(40), "Short line", words(30)]
+    rows, expected = [], {}
+    for page in range(20):
+        own = [words(5), words(30)]
+        if page < 4:
+            own.insert(1, f"{words(3)} {quote} {words(3)}")  # a quotation within a paragraph
+        if 4 <= page < 7:
+            own.insert(1, quote)  # and as a paragraph
+        if 7 <= page < 10:
+            own += copied
+        # Menu and notice have fewer tokens than a run, and stand apart.
+        html = f"<div>{menu[0]}</div><p>{own[0]}</p><div>All rights reserved</div>" + "".join(f"<p>{p}</p>" for p in own[1:])
+        html += "".join(f"<div>{m} {menu[0]} {m}</div>" for m in menu[1:])
+        rows.append((page, f"http://h.org/{page}", html))
+        expected[page] = "\n\n".join(own)
+    for page in range(30, 36):  # one article at many addresses is one page
+        rows.append((page, f"http://copies.org/{page}", f"<p>{copied[0]}</p><p>{copied[1]}</p>"))
+        expected[page] = "\n\n".join(copied[:2])
+    for page in range(40, 42):  # two pages tell no menu from a copy
+        rows.append((page, f"http://two.org/{page}", f"<p>{copied[0]}</p><p>{page}</p>"))
+        expected[page] = f"{copied[0]}\n\n{page}"
+    # Nine of ten tokens of a block are repeated, or half of them.
+    for page in range(50, 60):
+        own = f"{quote} {words(12)}"
+        rows.append((page, f"http://dates.org/{page}", f"<div>{quote} {quote} day {page}</div><p>{own}</p>"))
+        expected[page] = own
+    found = page_text.extract_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    assert {r["page_id"]: r["text"] for r in found} == expected
+
+
 URLS = [None, "", "x", "http://", "http://Example.ORG", "https://a.example.org/es/x?u#f", "http://example.org/en/12", "ftp://org/", "a://b://c/d",
         "http://xexample.org/es/", "http://example.com/fr/?x", "http://q.example.com/de/1#/fr/", "http://example.net/", "http://a\x02b/c",
         "http://é.ORG/É", "http://org:80/", "http://.org/", "http://a..org/x", "http://" + "a." * 3000 + "org/" + "p" * 5000]
