@@ -9,7 +9,7 @@ with the content of its two buckets before it counts as known. A full filter is
 keys. Digests are hashes, so shards are even; before the shuffle a batch is reduced, with map-side combining, to at most
 ``ARRIVALS`` rows per digest, so a text that a third of all rows share brings no more rows to its shard than any other.
 
-Texts are read once and never shuffled. The digest table is written under ``spark.checkpoint.dir``; the rest is computed from
+``dedup`` reads texts once and never shuffles them. The digest table is written under ``spark.checkpoint.dir``; the rest is computed from
 it and can be computed again when executors are lost.
 
 Defined results: null text counts as empty; empty texts are equal to each other; repeated rows (same doc_id, same text) are
@@ -159,13 +159,19 @@ def normalized(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", "")
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    """Written once: doc_id, digest, n_chars, and copy, which numbers repeated rows."""
+def row_hash(docs: DataFrame) -> Column:
+    """A hash of whole rows; nulls, which hashes skip, are told apart by flags."""
+    values = [F.to_json(F.struct(f"`{f.name}`")) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema]
+    return F.xxhash64(*values, *[F.col(f"`{c}`").isNull() for c in docs.columns])
+
+
+def digests(docs: DataFrame, *ties: Column) -> DataFrame:
+    """Written once: doc_id, digest, n_chars, and copy, which numbers repeated rows: the longest first, then by ``ties``."""
     rows = docs.select(
         "doc_id", F.unhex(F.sha2(normalized(F.col("text")), 256)).alias("digest"),
-        F.length(F.coalesce("text", F.lit(""))).cast("bigint").alias("n_chars"),
+        F.length(F.coalesce("text", F.lit(""))).cast("bigint").alias("n_chars"), *ties,
     )
-    again = Window.partitionBy("doc_id", "digest").orderBy(F.col("n_chars").desc())
+    again = Window.partitionBy("doc_id", "digest").orderBy(F.col("n_chars").desc(), *rows.columns[3:])
     return materialize(rows.withColumn("copy", F.row_number().over(again)), "digests")
 
 
@@ -220,26 +226,33 @@ def live(index: DataFrame) -> DataFrame:
     return index.where(F.col("digest").isNotNull()).select("digest", "group_size", "keep_id", "keep_copy")
 
 
+def judged(rows: DataFrame) -> DataFrame:
+    """``digests`` with keep_id, group_size and kept."""
+    index = insert(arrivals(rows, shards_for(rows)))
+    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == F.col("keep_copy"))
+    return rows.join(live(index), "digest").withColumn("kept", kept)
+
+
 def dedup(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: keep_id, group_size, kept and the digest."""
-    rows = digests(docs)
-    index = insert(arrivals(rows, shards_for(rows)))
-    return rows.join(live(index), "digest").select(
-        "doc_id", "keep_id", "group_size",
-        (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == F.col("keep_copy"))).alias("kept"),
-        F.lower(F.hex("digest")).alias("text_sha256"),
+    return judged(digests(docs)).select(
+        "doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"),
     )
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows that ``dedup`` drops, all columns kept.
 
-    Joined by doc_id and digest, so a large group of copies is spread over all tasks.
+    Rows of one doc_id and length that differ elsewhere are taken in the order of their hashes, so that a retry keeps the same one;
+    only rows that agree in every column are left to choose from. All of this is settled on keys. The texts are shuffled here, to
+    join them by doc_id and hashes, so a large group of copies is spread over all tasks.
     """
     from hiregrid.llm.support import fresh
 
-    mark = fresh("digest", docs)
-    stay = dedup(docs).where("kept").select(F.col("doc_id").alias("_keep_id"), F.unhex("text_sha256").alias("_keep_digest"))
-    marked = docs.withColumn(mark, F.unhex(F.sha2(normalized(F.col("text")), 256)))
-    same = marked["doc_id"].eqNullSafe(stay["_keep_id"]) & (marked[mark] == stay["_keep_digest"])
-    return marked.join(stay, same, "left_semi").dropDuplicates(["doc_id", mark]).drop(mark)
+    stay = judged(digests(docs, row_hash(docs).alias("row"))).where("kept").select(
+        F.col("doc_id").alias("_keep_id"), F.col("digest").alias("_keep_digest"), F.col("row").alias("_keep_row"))
+    mark, row = fresh("digest", docs), fresh("row", docs)
+    marked = docs.withColumns({mark: F.unhex(F.sha2(normalized(F.col("text")), 256)), row: row_hash(docs)})
+    same = (marked["doc_id"].eqNullSafe(stay["_keep_id"]) & (marked[mark] == stay["_keep_digest"])
+            & (marked[row] == stay["_keep_row"]))
+    return marked.join(stay, same, "left_semi").dropDuplicates(["doc_id", mark, row]).drop(mark, row)

@@ -1,6 +1,7 @@
 """The registered queries against their SQL on the smallest tables, and the pipeline."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from checks.compare import connect, difference
@@ -45,6 +46,18 @@ def test_exact_stage_keeps_one_row_per_text(spark):
     assert {k for k, _ in kept} == {g[1] for g in exact_groups(awkward_texts())}
 
 
+def test_exact_stage_keeps_the_longest_row_of_an_id(spark):
+    rows = []
+    for i in range(40):  # the longest text comes late; two rows of that length differ only in their source
+        rows += [(i, f"a b{i}", "x"), (i, f"a  b{i}", "y"), (i, f" a b {i}", None), (i, f" a b {i}", "z"), (i, f"ab{i}", "x")]
+    rows += [(None, "once", "x")] * 3
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    found = [sorted(map(tuple, exact_dedup.keep_first(d).collect()), key=repr)
+             for d in (docs.coalesce(1), docs.orderBy(F.desc("source")).coalesce(1), docs.repartition(7, "text"))]
+    assert found[0] == found[1] == found[2]
+    assert [r[:2] for r in found[0]] == sorted([(i, f" a b {i}") for i in range(40)] + [(None, "once")], key=repr)
+
+
 def test_near_stage_keeps_first_of_component(spark):
     kept = [r["doc_id"] for r in near_dedup.keep_first(awkward_docs(spark)).collect()]
     found = near_components(awkward_texts())
