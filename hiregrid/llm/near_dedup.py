@@ -12,7 +12,9 @@ group. A unit returns a forest over its links, at most one row per member, never
 are the duplicates; the smallest doc_id of each stays.
 
 Two sets of similarity 0.75 share no key with a chance of 1e-4 (0.4375^12 for each collection), of 0.8 with 1e-5; everything
-after the keys is exact, on 64-bit hashes of shingles. Nothing is capped or sampled.
+after the keys is exact, on 64-bit hashes of shingles. Nothing is capped or sampled. Which pairs are compared depends on the size of
+their group: all pairs of a group that is one unit, also those without a shared key, but of a larger group (from about 3,000 members
+of 200 shingles) only pairs that share one. So the chance to miss a pair is that of the keys in large groups, and less in small ones.
 
 Defined results: null or empty text has an empty set, is linked with nothing and its own component; fewer than five words are
 one shingle; rows that repeat a doc_id are one node of the graph; a null doc_id has a null component and stays. An empty
