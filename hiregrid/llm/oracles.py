@@ -154,7 +154,112 @@ exact_found AS (
 
 OP8 = f"WITH {exact('documents')} SELECT *, doc_id = keep_id AS kept FROM exact_found"
 
+#: crc32 of a short text of ASCII characters, bit by bit.
+CRC = """xor(4294967295, list_reduce([4294967295]::BIGINT[] || list_transform(string_split({0}, ''), lambda c: ascii(c)::BIGINT),
+      lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))))"""
+
+
+def way(state: str, cost: str, edit: str, line: str = "") -> str:
+    """The prefix of a state, with one edit more; a null cost is no way."""
+    lines = f"list_append({state}.t, {line})" if line else f"{state}.t"
+    return f"{{'c': {state}.c + {cost}, 'a': {state}.a || '{edit}', 't': {lines}}}"
+
+
+def cheapest(*ways: str) -> str:
+    """The least of several prefixes by cost, then audit; those without a cost don't count."""
+    return f"list_min(list_filter([{', '.join(ways)}], lambda w: w.c IS NOT NULL))"
+
+
+def kept(state: str, initial: str) -> str:
+    return way(state, f"CASE WHEN x.fault IN ('b', 'd') OR x.ini <> '{initial}' THEN NULL WHEN x.fault = 't' THEN 3 ELSE 0 END", "K", "x.line")
+
+
+def reroled(state: str, role: str) -> str:
+    return way(state, "CASE WHEN x.fault IN ('b', 'd') THEN NULL WHEN x.fault = 't' THEN 6 ELSE 3 END", "R", f"'{role}:' || x.text")
+
+
+def inserted(state: str, role: str) -> str:
+    return way(state, "3", "I", f"'{role}:'")
+
+
+# One prefix for each state (nothing yet, after system, user, assistant) is carried from row to row.
+OP11 = rf"""
+WITH RECURSIVE src AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {CRC.format("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS k
+  FROM conversations
+),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN k = 1 THEN '' WHEN k = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE WHEN k = 0 THEN 0 WHEN k = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM src
+),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n FROM damaged),
+seen AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) AS nth FROM numbered),
+f AS (
+  SELECT conv_id, turn, n, left(role, 1) AS ini, role || ':' || text AS line, text, CASE
+    WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b' WHEN nth > 1 THEN 'd'
+    WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 't' ELSE '' END AS fault
+  FROM seen
+),
+walk(conv_id, n, p, q, u, d) AS (
+  SELECT DISTINCT conv_id, 0::BIGINT, {{'c': 0, 'a': '', 't': []::VARCHAR[]}}, {{'c': NULL::INTEGER, 'a': '', 't': []::VARCHAR[]}},
+    {{'c': NULL::INTEGER, 'a': '', 't': []::VARCHAR[]}}, {{'c': NULL::INTEGER, 'a': '', 't': []::VARCHAR[]}} FROM conversations
+  UNION ALL
+  SELECT conv_id, n, p, coalesce(q, z), coalesce(u, z), coalesce(d, z) FROM (
+    SELECT x.conv_id, x.n, {{'c': NULL::INTEGER, 'a': '', 't': []::VARCHAR[]}} AS z, {cheapest(way("y.p", "4", "D"))} AS p,
+      {cheapest(way("y.q", "4", "D"), kept("y.p", "s"))} AS q,
+      {cheapest(way("y.u", "4", "D"), *(g(s, r) for s in ("y.p", "y.q", "y.d") for g, r in ((kept, "u"), (reroled, "user"))))} AS u,
+      {cheapest(way("y.d", "4", "D"), kept("y.u", "a"), reroled("y.u", "assistant"))} AS d
+    FROM (
+      SELECT conv_id, n, p, q, u, {cheapest("d", inserted("u", "assistant"))} AS d FROM (
+        SELECT conv_id, n, p, q, d, {cheapest("u", *(inserted(s, "user") for s in "pqd"))} AS u FROM walk)
+    ) AS y JOIN f AS x ON x.conv_id IS NOT DISTINCT FROM y.conv_id AND x.n = y.n + 1
+  )
+),
+ended AS (
+  SELECT conv_id, {cheapest("p", "d", inserted("u", "assistant"))} AS best
+  FROM (SELECT conv_id, arg_max(p, n) AS p, arg_max(u, n) AS u, arg_max(d, n) AS d FROM walk GROUP BY conv_id)
+),
+pairs AS (SELECT *, lag(ini) OVER (PARTITION BY conv_id ORDER BY n) || ini AS pair FROM f),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank,
+    count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+    count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM pairs GROUP BY conv_id
+)
+SELECT e.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, best.c::BIGINT AS cost, best.a AS audit,
+  sha256(array_to_string(best.t, chr(10))) AS repaired_sha256
+FROM ended AS e LEFT JOIN counts AS c ON e.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+TERMS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+OP13 = f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, {words('text', TERMS)} AS w FROM documents),
+sums AS (SELECT count(*) AS docs, sum(len(w))::BIGINT AS words FROM d WHERE len(w) > 0),
+q AS (
+  SELECT item_id, term, count(*) AS times
+  FROM (SELECT item_id, unnest({words('text', TERMS)}) AS term FROM (SELECT DISTINCT item_id, text FROM benchmark)) GROUP BY ALL
+),
+p AS (
+  SELECT row, doc_id, n, term, count(*) AS tf FROM (SELECT row, doc_id, len(w) AS n, unnest(w) AS term FROM d)
+  WHERE term IN (SELECT term FROM q) GROUP BY ALL
+),
+w AS (
+  SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight FROM p, sums GROUP BY term
+),
+s AS (
+  SELECT item_id, row, doc_id, sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // words))))::BIGINT AS score
+  FROM q JOIN p USING (term) JOIN w USING (term), sums GROUP BY item_id, row, doc_id
+)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 20
+"""
+
 ORACLES = {
     "op1_chat": OP1, "op2_decontaminate": OP2, "op4_substring_dedup": OP4, "op5_near_dedup": OP5, "op6_url_filter": OP6,
-    "op7_secret_scan": OP7, "op8_exact_dedup": OP8,
+    "op7_secret_scan": OP7, "op8_exact_dedup": OP8, "op11_repair": OP11, "op13_search": OP13,
 }

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hiregrid.llm import (
-    chat, decontaminate, exact_dedup, language, mixing, near_dedup, page_text, secret_scan, substring_dedup, url_filter,
+    chat, decontaminate, exact_dedup, language, lexical, mixing, near_dedup, page_text, quality, repair, secret_scan, substring_dedup, url_filter,
 )
+from hiregrid.session import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -120,6 +121,52 @@ def op10_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix(table(spark, sf, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """``conversations`` with rows dropped, emptied, cut, repeated or given to the user, by a hash of their ids."""
+    held = conversations.select(
+        "conv_id", "turn", F.coalesce("role", F.lit(" ")).alias("role"), F.coalesce("text", F.lit(" ")).alias("text"),
+        (F.crc32(F.concat_ws(":", *(F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")))) % 20).alias("k"),
+    )
+    text = F.when(F.col("k") == 1, "").when(F.col("k") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    copies = F.when(F.col("k") == 0, 0).when(F.col("k") == 3, 2).otherwise(1)
+    return held.select(
+        "conv_id", "turn", F.when(F.col("k") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"),
+        F.explode(F.array_repeat(F.lit(0), copies)).alias("copy"),
+    ).drop("copy")
+
+
+@query
+def op11_repair(spark: SparkSession, sf: str) -> DataFrame:
+    conversations = table(spark, sf, "conversations")
+    rows = materialize(damaged(conversations), "damaged")
+    done = repair.repair(rows)
+    span = F.max("turn") - F.min("turn") + 1 - F.count_distinct("turn")
+    gaps = rows.groupBy("conv_id").agg(F.coalesce(span, F.lit(0)).alias("gaps"))
+    frames = (conversations.select("conv_id").distinct(), gaps, done.report, repair.digests(done.messages))
+    joined, *rest = (f.withColumns({"none": F.col("conv_id").isNull(), "conv_id": F.coalesce("conv_id", F.lit(0))}) for f in frames)
+    for frame in rest:
+        joined = joined.join(frame, ["conv_id", "none"], "left")
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return joined.select(
+        F.when(~F.col("none"), F.col("conv_id")).alias("conv_id"), *(F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in counts),
+        F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"),
+    )
+
+
+@query
+def op12_quality(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    forest = quality.learn(docs, table(spark, sf, "labels"))
+    return quality.judge(docs, forest, "judged").select(
+        "doc_id", *(F.col(f"judged.{c}") for c in quality.COUNTS), "judged.base_failed", quality.is_kept("judged").alias("kept"), "judged.score",
+    )
+
+
+@query
+def op13_search(spark: SparkSession, sf: str) -> DataFrame:
+    return lexical.search_documents(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 @query
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     import corpus_pipeline
