@@ -302,7 +302,7 @@ def digest_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     done: list[tuple[int | None, str]] = []
 
     def flushed() -> pa.RecordBatch:
-        batch = pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.int64()), pa.array([d[1] for d in done])], names=["conv_id", "sha256"])
+        batch = pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.int64()), pa.array([d[1] for d in done], pa.string())], names=["conv_id", "sha256"])
         done.clear()
         return batch
 
