@@ -21,5 +21,6 @@ NULLABLE_INTEGERS = {
     "score_upsert": ("candidate_id",),
     "score_merge": ("candidate_id",),
     "recommend": ("candidate_id",),
+    "stream_recommend": ("candidate_id",),
     "category_columns": ("category1_id", "category2_id"),
 }

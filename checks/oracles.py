@@ -463,7 +463,39 @@ ORACLES: dict[str, str] = {
     "recommend_candidates": f"{_RECOMMENDED} SELECT * FROM upserted",
 }
 
-ORACLES["score_merge"] = ORACLES["score_upsert"]
+_FILE_TEXTS = """SELECT conv_id, string_agg(coalesce(text, ''), '' ORDER BY turn, text) AS text FROM conversations GROUP BY conv_id"""
+_BROKEN = "conv_id % 9 = 4"
+_RUNS = "CASE WHEN bool_or({early}) OVER (PARTITION BY {content}) THEN 'first' ELSE 'second' END"
+
+ORACLES |= {
+    "model_store": f"""WITH prompts AS ({ORACLES["prompt_missing"]}), texts AS ({fx.CORPUS}),
+        asked AS (SELECT p.resume_id, p.prompt, length(t.resume_text) AS n, {_RUNS.format(early="p.resume_id % 10 <> 9", content="p.prompt")} AS run
+          FROM prompts p JOIN texts t ON p.resume_id = t.resume_id),
+        answered AS (SELECT *, CASE WHEN prompt IS NULL THEN NULL WHEN n % 4 = 3 THEN ''
+          ELSE '{{"current_location":"' || CAST(n AS VARCHAR) || ' chars","skills":["asked"],"name":""}}' END AS response FROM asked)
+        SELECT resume_id, response, CASE WHEN response <> '' THEN run END AS asked_in, CASE WHEN resume_id % 10 <> 9 THEN response END AS earlier
+        FROM answered""",
+    "corpus_refresh": f"""WITH held AS (
+          SELECT doc_id, text, true AS early FROM documents WHERE doc_id % 10 <> 9 AND doc_id % 7 <> 3
+          UNION ALL SELECT NULL, text || ' aeo', true FROM documents WHERE doc_id % 10 <> 9 AND doc_id % 7 = 3
+          UNION ALL SELECT doc_id, text, false FROM documents),
+        made AS (SELECT DISTINCT doc_id, text, early, {_RUNS.format(early="early", content="text")} AS batch FROM held),
+        counted AS (SELECT doc_id, batch, unnest([0, 1, 2, 3]) AS pos, unnest([1, length(text) - length(replace(text, 'a', '')),
+          length(text) - length(replace(text, 'e', '')), length(text) - length(replace(text, 'o', ''))]) AS n
+          FROM made WHERE NOT early AND text IS NOT NULL),
+        lengths AS (SELECT *, sqrt(sum(n * n) OVER (PARTITION BY doc_id)) AS norm FROM counted)
+        SELECT doc_id, batch, CAST(pos AS INT) AS pos, round(n / norm, 6) AS x FROM lengths""",
+    "stream_jobs": f"""WITH {_ANALYSED}, {_GATED},
+        saved AS (SELECT g.resume_id, CASE WHEN has_category THEN category ELSE '' END AS category_detected, qualifications, requirements
+          FROM gated g JOIN analysed a ON g.resume_id = a.resume_id WHERE reject_reason IS NULL AND NOT (has_category AND category IS NULL)),
+        middle AS (SELECT quantile_disc(resume_id, 0.5) AS m FROM uploads)
+        SELECT resume_id, (SELECT max(item_id) FROM benchmark) + row_number() OVER (ORDER BY resume_id) AS jd_id, category_detected,
+          qualifications, requirements, CASE WHEN resume_id <= m THEN 0 ELSE 1 END AS batch FROM saved, middle""",
+    "stream_files": f"""SELECT conv_id, CASE WHEN {_BROKEN} THEN '' ELSE text END AS text, CASE WHEN {_BROKEN} THEN 'ERROR' END AS log_type,
+        CASE WHEN {_BROKEN} THEN 'PDF parsing failed: not a document' END AS message FROM ({_FILE_TEXTS})""",
+    "stream_recommend": ORACLES["recommend"],
+    "score_merge": ORACLES["score_upsert"],
+}
 
 
 def _with_doubles(sql: str, columns: tuple[str, ...]) -> str:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from checks import fixtures as fx
 from checks.columns import NULLABLE_INTEGERS
@@ -17,7 +19,16 @@ from hiregrid.plans.ingest import analysis_requests, ingest_jobs, job_rows, numb
 from hiregrid.plans.recommend import Recommendation, recommend
 from hiregrid.session import materialize, shared_folder
 from hiregrid.sources import files, tables
+from hiregrid.sources.content import ContentStore
+from hiregrid.sources.corpus import VectorCorpus
+from hiregrid.sources.ranges import IdRanges
+from hiregrid.streaming import ingest as streams
 from hiregrid.streaming.ingest import stream_candidates
+from hiregrid.streaming.recommend import RecommendationTables
+from hiregrid.streaming.recommend import stream_recommend as answer_requests
+
+# Partitions of the score tables here: the tables have up to some ten million rows.
+SCORE_TABLE_BUCKETS = 16
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -133,7 +144,7 @@ def score_wide(spark, sf):
         "qualifications_score", "requirements_score", "reason", "resume_filename", "resume_path",
     )
     folder = new_folder(spark, "score-wide")
-    tables.append(rows.withColumn("bucket", tables.hash_bucket("jd_id", upsert.SCORE_BUCKETS)), folder, partition_by=["bucket"])
+    tables.append(rows.withColumn("bucket", tables.hash_bucket("jd_id", SCORE_TABLE_BUCKETS)), folder, partition_by=["bucket"])
     return spark.read.schema(rows.schema).parquet(folder).drop("bucket")
 
 
@@ -221,20 +232,35 @@ def fill_missing(spark, sf):
     return filled.select("resume_id", *extract.FIELDS[:-1], skills_as_text(), "fill_error")
 
 
+def filling_model(prompts):
+    """Stands for a model: answers from the prompt alone, and fails on some."""
+
+    def answer(prompt):
+        resume = prompt.split("\nResume:\n", 1)[1]
+        if len(resume) % 4 == 3:
+            raise ValueError("no answer")
+        return '{"current_location":"%d chars","skills":["asked"],"name":""}' % len(resume)
+
+    return prompts.map(answer)
+
+
 @query
 def model_hook(spark, sf):
-    def model(prompts):
-        # Stands for a model: answers from the prompt alone, and fails on some.
-        def answer(prompt):
-            resume = prompt.split("\nResume:\n", 1)[1]
-            if len(resume) % 4 == 3:
-                raise ValueError("no answer")
-            return '{"current_location":"%d chars","skills":["asked"],"name":""}' % len(resume)
+    filled = hook.complete_details(corpus_details(spark, sf), "resume_text", filling_model)
+    return filled.select("resume_id", *extract.FIELDS[:-1], skills_as_text(), "fill_error")
 
-        return prompts.map(answer)
 
-    filled = hook.complete_details(corpus_details(spark, sf), "resume_text", model)
-    return filled.select("resume_id", *extract.FIELDS[:-1], skills_as_text(), "fill_error")
+@query
+def model_store(spark, sf):
+    """Two runs over the corpus, the second with a tenth more rows: which run asked for each row, and what it got."""
+    store = ContentStore(spark, new_folder(spark, "responses"), "1", T.StringType(), 16)
+    rows = details.with_missing_fields(corpus_details(spark, sf))
+    asked = materialize(rows.select(
+        "resume_id", missing_fields_prompt(F.col("missing_fields"), F.col("resume_text")).alias("prompt")), "prompts")
+    first = hook.StoredModel(filling_model, store, "first").responses(asked.where("resume_id % 10 <> 9"), "prompt")
+    second = hook.StoredModel(filling_model, store, "second").responses(asked, "prompt")
+    again = first.select("resume_id", F.col("response").alias("earlier"))
+    return second.join(again, "resume_id", "left").select("resume_id", "response", F.col("response_batch").alias("asked_in"), "earlier")
 
 
 # --- text helpers ---
@@ -433,6 +459,24 @@ def embed_documents(spark, sf):
     return unit.select("doc_id", F.posexplode("embedding").alias("pos", "x")).withColumn("x", F.round("x", 6))
 
 
+@query
+def corpus_refresh(spark, sf):
+    """A stored corpus after texts came, changed and went: each document's vector, and the refresh that made it."""
+    def model(texts):
+        return texts.map(lambda text: [1.0, *(float(text.count(letter)) for letter in "aeo")])
+
+    docs = documents(spark, sf).select(F.concat(F.lit("docs/"), "doc_id").alias("path"), "text", "doc_id")
+    other = F.when(F.col("doc_id") % 7 == 3, F.concat("text", F.lit(" aeo"))).otherwise(F.col("text"))
+    gone = F.when(F.col("doc_id") % 11 == 5, F.concat(F.lit("gone/"), "doc_id")).otherwise(F.col("path"))
+    corpus = VectorCorpus(spark, new_folder(spark, "corpus"), "1", model, 16)
+    corpus.refresh(docs.where("doc_id % 10 <> 9").select(gone.alias("path"), other.alias("text")), "first")
+    corpus.refresh(docs.select("path", "text"), "second")
+    unit, _ = similarity.normalized(corpus.read())
+    return unit.select(
+        F.substring_index("path", "/", -1).cast("bigint").alias("doc_id"), "batch", F.posexplode("embedding").alias("pos", "x"),
+    ).withColumn("x", F.round("x", 6))
+
+
 @query
 def resume_topk(spark, sf):
     return similarity.inner_product_topk(category_vectors(spark, sf), corpus_vectors(spark, sf), "label", "vec_id", 5)
@@ -514,8 +558,8 @@ def category_ids(spark, sf):
 @query
 def score_merge(spark, sf):
     path, before = new_folder(spark, "score-table"), fx.load(spark, sf, fx.SCORES)
-    upsert.merge_scores_into(path, before.withColumn("_place", F.lit(0)), "stored", order="_place")
-    upsert.merge_scores_into(path, recommendation(spark, sf).score_batch, "recommended", order="_place")
+    upsert.merge_scores_into(path, before.withColumn("_place", F.lit(0)), "stored", "_place", SCORE_TABLE_BUCKETS)
+    upsert.merge_scores_into(path, recommendation(spark, sf).score_batch, "recommended", "_place", SCORE_TABLE_BUCKETS)
     return spark.read.parquet(path).select(*before.columns)
 
 
@@ -562,6 +606,70 @@ def stream_ingest(spark, sf):
     return candidate_output(snapshot.read())
 
 
+@query
+def stream_jobs(spark, sf):
+    """Uploads that arrive in two batches; job ids go on where the job table ends."""
+    rows, folder = uploads(spark, sf), new_folder(spark, "stream-jobs")
+    middle = rows.agg(F.expr("percentile_approx(resume_id, 0.5)")).first()[0]
+    for part in (rows.where(F.col("resume_id") <= middle), rows.where(F.col("resume_id") > middle)):
+        part.coalesce(1).write.mode("append").parquet(f"{folder}/arriving")
+    arriving = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/arriving")
+    ids = IdRanges(spark, f"{folder}/ids")
+    ids.start_after(jobs(spark, sf).agg(F.max("jd_id")).first()[0])
+
+    def answers(batch):
+        return responses_of(spark, sf, "analysis").join(batch.select("resume_id"), "resume_id", "left_semi")
+
+    streams.stream_jobs(
+        arriving, answers, f"{folder}/jobs", f"{folder}/audit", f"{folder}/checkpoint", "resume_id", lambda batch_id: batch_time(), ids
+    ).awaitTermination()
+    found = spark.read.parquet(f"{folder}/jobs")
+    return found.select("resume_id", "jd_id", "category_detected", "qualifications", "requirements", F.col("batch").cast("int").alias("batch"))
+
+
+@query
+def stream_files(spark, sf):
+    """Conversations as arriving files, one page a turn; every ninth can't be read."""
+    folder = new_folder(spark, "stream-files")
+    pages = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda t: F.coalesce(t["text"], F.lit("")))
+    content = F.hex(F.to_json(pages).cast("binary"))
+    told = table(spark, sf, "conversations").groupBy("conv_id").agg(content.alias("content")).withColumn(
+        "content", F.when(F.col("conv_id") % 9 == 4, F.lit("junk")).otherwise(F.col("content")))
+    told.repartition("conv_id").write.partitionBy("conv_id").option("extension", "pdf").csv(f"{folder}/files")
+
+    def page_reader(content):
+        text = content.decode().strip()
+        if text == "junk":
+            raise ValueError("not a document")
+        return json.loads(bytes.fromhex(text))
+
+    streams.stream_files(
+        files.arriving_files(spark, f"{folder}/files", 400), page_reader, f"{folder}/documents", f"{folder}/audit", f"{folder}/checkpoint"
+    ).awaitTermination()
+    conv_id = F.regexp_extract("path", "conv_id=(-?[0-9]+)", 1).cast("bigint").alias("conv_id")
+    log = spark.read.parquet(f"{folder}/audit").select(conv_id, "log_type", "message")
+    return spark.read.parquet(f"{folder}/documents").select(conv_id, "text").join(log, "conv_id", "left")
+
+
+@query
+def stream_recommend(spark, sf):
+    """The requests arriving in two batches, in the order in which a batch job stores them."""
+    asked, folder = fx.load(spark, sf, fx.REQUESTS), new_folder(spark, "stream-requests")
+    middle = asked.agg(F.expr("percentile_approx(jd_id, 0.5)")).first()[0]
+    early = F.coalesce(F.col("jd_id") <= middle, F.lit(True))
+    for part in (asked.where(early), asked.where(~early)):
+        part.coalesce(1).write.mode("append").parquet(f"{folder}/requests")
+    arriving = spark.readStream.schema(asked.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/requests")
+    before = fx.load(spark, sf, fx.CANDIDATES)
+    known = tables.SnapshotTable(spark, f"{folder}/candidates", before._jdf.schema().toDDL(), "candidate_email", 16, number="candidate_id")
+    known.fill(before, "initial")
+    state = RecommendationTables(spark, f"{folder}/state", known, SCORE_TABLE_BUCKETS)
+    answer_requests(
+        arriving, lambda: jobs(spark, sf), lambda: resumes(spark, sf), state, f"{folder}/checkpoint", lambda batch_id: batch_time(),
+    ).awaitTermination()
+    return state.read("results").drop("batch")
+
+
 @query
 def recommend_resumes(spark, sf):
     return recommendation(spark, sf).results

@@ -14,6 +14,10 @@ CANDIDATE_PARSING = "Candidate_Parsing"
 CANDIDATE_UPSERT = "Candidate_Upsert"
 SCORE_RECOMMENDATION = "Score_Recommendation"
 
+# Log messages about files and candidates.
+UNREADABLE = "PDF parsing failed: "
+NOT_STORED = "Failed candidate upsert: "
+
 COLUMNS = ("log_type", "process", "message")
 
 
@@ -36,6 +40,12 @@ def job_saved_message() -> Column:
     )
 
 
+def unreadable_audit(documents: DataFrame, keep: tuple[str, ...] = ("path",)) -> DataFrame:
+    """One ERROR row per file that could not be read, with the reason; needs ``error``."""
+    broken = documents.where(F.col("error").isNotNull())
+    return audit_rows(broken, ERROR, JD_ANALYSIS, F.concat(F.lit(UNREADABLE), "error"), keep)
+
+
 def upload_audit(gated: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """One INFO row per upload received, one ERROR row per upload refused."""
     received = audit_rows(gated, INFO, JD_ANALYSIS, F.lit("JD upload received"), keep)

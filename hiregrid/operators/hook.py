@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Sequence
+from dataclasses import dataclass
 
 import pandas as pd
 import pyarrow as pa
@@ -13,27 +14,54 @@ from pyspark.sql import types as T
 from hiregrid.functions.extract import missing_fields
 from hiregrid.functions.prompts import missing_fields_prompt
 from hiregrid.operators.details import fill_gaps
+from hiregrid.sources.content import ContentStore
 
-Model = Callable[["pd.Series"], Iterable[str]]
+@dataclass
+class StoredModel:
+    """A model whose responses are kept in ``store``: no run asks again what one has answered.
+
+    It can stand wherever a model can. ``batch`` names the run in the store.
+    """
+
+    ask: Callable[["pd.Series"], Iterable[str]]
+    store: ContentStore
+    batch: str
+
+    def responses(self, rows: DataFrame, prompt: str) -> DataFrame:
+        """``rows`` with ``prompt`` replaced by ``response`` and ``response_batch``, the run that asked."""
+
+        def make(unseen: DataFrame) -> DataFrame:
+            answered = model_responses(unseen, "content", self.ask, failed=None)
+            return answered.withColumnRenamed("response", "value")
+
+        asked = rows.withColumn("_asked", F.col(prompt).isNotNull())
+        answered = self.store.answered(asked, prompt, "response", make, self.batch)
+        return answered.withColumn("response", F.when(F.col("_asked"), F.coalesce("response", F.lit("")))).drop("_asked")
+
+
+Model = Callable[["pd.Series"], Iterable[str]] | StoredModel
 
 
-def model_responses(rows: DataFrame, prompt: str, model: Model) -> DataFrame:
+def model_responses(rows: DataFrame, prompt: str, model: Model, failed: str | None = "") -> DataFrame:
     """``rows`` with the ``prompt`` column replaced by the model's ``response``.
 
     Only prompts go to Python; the other columns stay in the JVM. ``model`` gets
     the distinct prompts of one Arrow batch at a time, without null, whose
     response is null. If it fails, its prompts are halved and tried again, so
     one bad prompt of a thousand costs some twenty calls; only those that fail
-    alone get '' for a response. Calls repeat when a task is retried, so write
-    the result once if they are costly.
+    alone get ``failed`` for a response. Calls of a plain function repeat when a
+    task is retried or the query is run again; a ``StoredModel`` is asked once
+    for each prompt.
     """
+    if isinstance(model, StoredModel):
+        return model.responses(rows, prompt).drop("response_batch")
 
-    def answers(prompts: pd.Series) -> list[str]:
+    def answers(prompts: pd.Series) -> list[str | None]:
         try:
             return list(model(prompts))
         except Exception:
             half = len(prompts) // 2
-            return [*answers(prompts.iloc[:half]), *answers(prompts.iloc[half:])] if half else [""]
+            return [*answers(prompts.iloc[:half]), *answers(prompts.iloc[half:])] if half else [failed]
 
     def ask(prompts: pa.Array) -> pa.Array:
         asked = prompts.drop_null().unique().to_pandas()

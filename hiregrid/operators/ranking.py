@@ -15,19 +15,23 @@ NO_SUMMARY = "No resumes scored for this job description."
 
 
 def number_rows(
-    df: DataFrame, by: list[str], order: list[Column], name: str, window_rows: int = WINDOW_ROWS
+    df: DataFrame, by: list[str], order: list[Column], name: str, window_rows: int = WINDOW_ROWS, at_most: int | None = None
 ) -> DataFrame:
     """Number the rows of each ``by`` group 1, 2, … in ``order``, a total order.
 
-    ``by`` columns are never null. The input is written once. Up to
-    ``window_rows`` rows a window does it, since no task can then hold more.
-    Beyond that, one global sort range-partitions the rows, so that a group of
-    any size is cut into balanced ranges; each row gets its position in its
-    range, and the sizes of the earlier ranges of its group are added.
+    ``by`` columns are never null. Up to ``window_rows`` rows a window does it,
+    since no task can then hold more. Beyond that, one global sort
+    range-partitions the rows, so that a group of any size is cut into balanced
+    ranges; each row gets its position in its range, and the sizes of the
+    earlier ranges of its group are added. The input is written once, to be
+    counted, unless it is known to have ``at_most`` so few rows.
     """
+    number = F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("bigint")
+    if at_most is not None and at_most <= window_rows:
+        return df.withColumn(name, number)
     stored = materialize(df, "unnumbered")
     if stored.count() <= window_rows:
-        return stored.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("bigint"))
+        return stored.withColumn(name, number)
 
     # monotonically_increasing_id numbers each range consecutively; writing fixes it.
     ranges = materialize(
@@ -49,10 +53,12 @@ def number_rows(
     )
 
 
-def rank_resumes(scored: DataFrame, window_rows: int = WINDOW_ROWS, by: tuple[str, ...] = ("jd_id",)) -> DataFrame:
+def rank_resumes(
+    scored: DataFrame, window_rows: int = WINDOW_ROWS, by: tuple[str, ...] = ("jd_id",), at_most: int | None = None
+) -> DataFrame:
     """Per job, or other ``by``: best final score first, null as 0, ties in path order."""
     best_first = F.coalesce(F.col("final_score"), F.lit(0.0)).desc()
-    return number_rows(scored, [*by], [best_first, F.col("resume_path").asc()], "rank", window_rows)
+    return number_rows(scored, [*by], [best_first, F.col("resume_path").asc()], "rank", window_rows, at_most)
 
 
 def summarize(results: DataFrame, asked: DataFrame, by: tuple[str, ...] = ("jd_id",)) -> DataFrame:

@@ -77,7 +77,8 @@ def upsert_candidates(
     current = merged.select(*[updates.get(c, F.col(c)).alias(c) for c in columns])
 
     matched = join_on_key(known.select("_key"), latest.select("_key"), "_key", **unique)
-    fresh = number_rows(latest.join(matched, "_key", "left_anti"), [], [F.col("_seq")], "_n", window_rows)
+    unknown = latest.join(matched, "_key", "left_anti")
+    fresh = number_rows(unknown, [], [F.col("_seq")], "_n", window_rows, at_most=latest.count())
     if last_id is None:
         last_id = max_id(snapshot, "candidate_id")
     created = {

@@ -38,8 +38,12 @@ def job_rows(analysed: DataFrame, at: Column, keep: tuple[str, ...] = ()) -> Dat
 def number_jobs(jobs: DataFrame, rows: DataFrame, order: Column, window_rows: int = WINDOW_ROWS) -> DataFrame:
     """``rows`` with the ids that follow the highest ``jd_id`` of ``jobs``, in ``order``."""
     start = jobs.agg(F.coalesce(F.max("jd_id"), F.lit(0))).first()[0]
-    numbered = number_rows(rows, [], [order], "_n", window_rows)
-    return numbered.withColumn("jd_id", F.lit(start).cast("bigint") + F.col("_n")).drop("_n")
+    return numbered_from(number_rows(rows, [], [order], "_n", window_rows), start + 1)
+
+
+def numbered_from(rows: DataFrame, first: int) -> DataFrame:
+    """``rows`` numbered by ``_n`` from 1 on, with ``jd_id`` from ``first`` on instead."""
+    return rows.withColumn("jd_id", F.lit(first - 1).cast("bigint") + F.col("_n")).drop("_n")
 
 
 def analysis_requests(accepted: DataFrame, categories: DataFrame, key: str) -> DataFrame:

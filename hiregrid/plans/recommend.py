@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -13,6 +14,7 @@ from hiregrid.operators.audit import (
     ERROR,
     INFO,
     JD_ANALYSIS,
+    NOT_STORED,
     SCORE_RECOMMENDATION,
     audit_rows,
     union_audits,
@@ -21,7 +23,7 @@ from hiregrid.operators.details import candidate_details
 from hiregrid.operators.hook import Model, complete_details
 from hiregrid.operators.intake import scan_folder
 from hiregrid.operators.joins import fits_broadcast, join_on_key
-from hiregrid.operators.lookup import lookup_candidates, lookup_jobs
+from hiregrid.operators.lookup import email_key, lookup_candidates, lookup_jobs
 from hiregrid.operators.ranking import rank_resumes, summarize
 from hiregrid.operators.scoring import (
     pair_jobs_with_resumes,
@@ -42,6 +44,7 @@ NO_FOLDER = "Missing resume_folder parameter"
 COMPLETED = "Completed embedding recommendation for jd_id="
 NOT_FOUND = ("Job description ", " not found")
 LOAD_ERROR = "Resume load error: "
+NO_EMAIL = "Cannot upsert candidate without an email."
 
 FILL_FAILED = "The answer for missing fields could not be read: "
 
@@ -54,7 +57,7 @@ class Recommendation:
     refused: DataFrame  # requests without a job id or a folder, with reject_reason
     failed: DataFrame  # pairs whose response could not be used
     candidates: DataFrame  # next candidate snapshot
-    scores: DataFrame  # next score snapshot
+    scores: DataFrame | None  # next score snapshot
     score_batch: DataFrame  # the score rows to store, the later in _place winning: for merge_scores_into(…, order="_place")
     audit: DataFrame  # log rows with the jd_id and folder they are about
 
@@ -67,7 +70,9 @@ def gate_requests(requests: DataFrame) -> DataFrame:
     return requests.select(*REQUEST, reason.alias("reject_reason"))
 
 
-def _audit(found: DataFrame, not_found: DataFrame, refused: DataFrame, failed: DataFrame, unfilled: DataFrame) -> DataFrame:
+def _audit(
+    found: DataFrame, not_found: DataFrame, refused: DataFrame, failed: DataFrame, unfilled: DataFrame, nameless: DataFrame
+) -> DataFrame:
     completed = F.concat(F.lit(COMPLETED), "jd_id")
     missing = F.concat(F.lit(NOT_FOUND[0]), F.col("jd_id"), F.lit(NOT_FOUND[1]))
     broken = F.concat(F.lit(LOAD_ERROR), F.col("error"))
@@ -79,6 +84,7 @@ def _audit(found: DataFrame, not_found: DataFrame, refused: DataFrame, failed: D
         audit_rows(refused, ERROR, SCORE_RECOMMENDATION, F.col("reject_reason"), REQUEST),
         audit_rows(failed, ERROR, JD_ANALYSIS, broken, REQUEST),
         audit_rows(gaps, ERROR, CANDIDATE_PARSING, F.concat(F.lit(FILL_FAILED), "resume_path"), REQUEST),
+        audit_rows(nameless, ERROR, SCORE_RECOMMENDATION, F.lit(NOT_STORED + NO_EMAIL), REQUEST),
     )
 
 
@@ -96,8 +102,8 @@ def recommend(
     requests: DataFrame,
     jobs: DataFrame,
     resumes: DataFrame,
-    candidates: DataFrame,
-    scores: DataFrame,
+    candidates: DataFrame | Callable[[DataFrame], DataFrame],
+    scores: DataFrame | None,
     at: Column,
     responses: DataFrame | None = None,
     model: Model | None = None,
@@ -115,7 +121,10 @@ def recommend(
 
     Stored rows follow the order of storing: of two résumés of one candidate the
     lower-ranked one is stored last and stays, across requests the one of the
-    later job id and folder.
+    later job id and folder. Instead of a snapshot, ``candidates`` may be a
+    function that stores the reached résumés' details (with their first and last
+    place as ``_first`` and ``_last``) and returns the table to find them in;
+    without ``scores`` there is no next score snapshot, only the batch for it.
     """
     gated = materialize(gate_requests(requests), "requests")
     refused = gated.where(F.col("reject_reason").isNotNull())
@@ -125,8 +134,8 @@ def recommend(
     not_found = looked_up.where(~F.col("found")).select(*REQUEST)
 
     small = {"broadcast": fits_broadcast(found)}
-    folders = materialize(found.select("folder").distinct(), "folders")
-    few_folders = fits_broadcast(folders)
+    folders = found.select("folder").distinct()
+    few_folders = small["broadcast"] or fits_broadcast(folders)
     in_scope = scan_folder(resumes)
     # Texts are not shuffled: folders too many to broadcast meet the extracted fields, unless a model is paid by the text.
     early = few_folders or fill_model is not None
@@ -150,15 +159,24 @@ def recommend(
     else:
         pairs = pair_jobs_with_resumes(found.select(*REQUEST), details, **small)
         scored, failed = score_from_responses(pairs, responses, ["jd_id", "resume_path"])
-    ranked = materialize(rank_resumes(result_rows(scored), by=REQUEST), "ranked")
+    pairs_of = found.groupBy("folder").agg(F.count("*").alias("_jobs")).join(
+        extracted.groupBy("folder").agg(F.count("*").alias("_resumes")), "folder")
+    at_most = pairs_of.agg(F.coalesce(F.sum(F.col("_jobs") * F.col("_resumes")), F.lit(0))).first()[0]
+    # The only time that pairs are written: candidate ids are looked up by résumé and joined to them where they are read.
+    ranked = materialize(rank_resumes(result_rows(scored), by=REQUEST, at_most=at_most), "ranked")
 
     # Only ranked résumés reach the candidate table; a result's candidate id is the one its upsert gave, as every result has a path.
-    reached = _ordered(details, ranked)
-    stored = materialize(upsert_candidates(candidates, reached, at, first="_first", last="_last")[0], "candidates")
-    results = materialize(lookup_candidates(ranked, stored, "candidate_email", "resume_path"), "results")
+    reached = materialize(_ordered(details, ranked), "reached")
+    if callable(candidates):
+        stored = candidates(reached)
+    else:
+        stored = materialize(upsert_candidates(candidates, reached, at, first="_first", last="_last")[0], "candidates")
+    ids = materialize(lookup_candidates(reached.select("resume_path", "email"), stored, "email", "resume_path").drop("email"), "ids")
+    results = join_on_key(ranked, ids, "resume_path", "left", row_key="rank", broadcast=fits_broadcast(ids))
 
     place = F.struct("folder", "rank").alias("_place")
     batch = results.select("jd_id", "candidate_id", *SCORE_FIELDS, "reason", place)
+    nameless = ranked.where((F.col("candidate_email") != "") & email_key(F.col("candidate_email")).isNull())
     return Recommendation(
         results=results,
         summary=summarize(results, found, REQUEST),
@@ -166,7 +184,7 @@ def recommend(
         refused=refused,
         failed=failed.select(*REQUEST, "resume_path", "error"),
         candidates=stored,
-        scores=upsert_scores(scores, batch, order="_place"),
+        scores=None if scores is None else upsert_scores(scores, batch, order="_place"),
         score_batch=batch,
-        audit=_audit(found, not_found, refused, failed, extracted.where("fill_error")),
+        audit=_audit(found, not_found, refused, failed, extracted.where("fill_error"), nameless),
     )

@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 if TYPE_CHECKING:
-    import pandas as pd
+    import pyarrow as pa
 
+FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 CATEGORY_SCHEMA = "category_id int, name string, type string"
 
 
@@ -33,23 +34,51 @@ def tree_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_pages(files: DataFrame, page_reader: Callable[[bytes], list[str]]) -> DataFrame:
-    """``(path, page_no, text)`` by a user's reader of one file's bytes.
+    """``(path, page_no, text, error)`` by a user's reader of one file's bytes.
 
-    An unreadable file gives one page with text null.
+    An unreadable file gives one page with text null and the reader's message
+    as ``error``, which is null everywhere else; a file without pages gives one
+    page with text null. One Arrow batch comes out for each that goes in.
     """
 
-    def read(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
-        import pandas as pd
+    def read(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        import pyarrow as pa
 
         for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
+            rows: list[tuple] = []
+            for path, content in zip(batch.column(0), batch.column(1)):
                 try:
-                    texts = list(page_reader(content))
-                except Exception:
-                    texts = [None]
-                yield pd.DataFrame({"path": path, "page_no": range(len(texts)), "text": texts})
+                    texts, error = list(page_reader(content.as_py())) or [None], None
+                except Exception as failure:
+                    texts, error = [None], str(failure) or type(failure).__name__
+                rows += [(path.as_py(), n, text, error) for n, text in enumerate(texts)]
+            kinds = (pa.string(), pa.int64(), pa.string(), pa.string())
+            columns = zip(*rows) if rows else [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["path", "page_no", "text", "error"])
 
-    return files.select("path", "content").mapInPandas(read, "path string, page_no bigint, text string")
+    return files.select("path", "content").mapInArrow(read, "path string, page_no bigint, text string, error string")
+
+
+def documents_of(pages: DataFrame) -> DataFrame:
+    """``(path, text, error)`` of what ``read_pages`` gives: one document per file, an unreadable one with '' and its error."""
+    ordered = F.array_sort(F.collect_list(F.struct("page_no", F.coalesce("text", F.lit("")).alias("_t"))))
+    return pages.groupBy("path").agg(F.array_join(ordered["_t"], "").alias("text"), F.max("error").alias("error"))
+
+
+def arriving_files(spark: SparkSession, folder: str, files_per_batch: int = 10_000) -> DataFrame:
+    """The files of ``tree_files`` as a stream: new files once each, so many in a micro-batch at most.
+
+    Spark's file sources, here and above, pass over files of no bytes.
+    """
+    return (
+        spark.readStream.format("binaryFile")
+        .schema(FILE_SCHEMA)
+        .option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", "*.[pP][dD][fF]")
+        .option("maxFilesPerTrigger", files_per_batch)
+        .load(folder)
+    )
 
 
 def assemble_pages(pages: DataFrame, doc: str, page_no: str, text: str, name: str = "text") -> DataFrame:

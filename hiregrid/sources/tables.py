@@ -90,7 +90,7 @@ class SnapshotTable:
     def _current(self) -> dict[int, str]:
         """Path of each bucket's latest version; at most ``buckets`` rows reach the driver."""
         latest = self._versions().where(F.col("bucket").isNotNull()).groupBy("bucket").agg(F.max_by("path", "version").alias("path"))
-        return {row["bucket"]: row["path"] for row in latest.collect()}
+        return {row["bucket"]: row["path"] for row in latest.where("path IS NOT NULL").collect()}
 
     def read(self, buckets: set[int] | None = None) -> DataFrame:
         """The whole table, or the rows of some buckets."""
@@ -112,10 +112,12 @@ class SnapshotTable:
         target = f"{self.path}/data/{version:08d}-{uuid.uuid4().hex}"
         rows = change(self.read(touched)).withColumn("bucket", self.bucket(F.col(self.key)))
         append(rows, target, partition_by=["bucket"])
-        high = self.spark.read.parquet(target).agg(F.max(self.number)).first()[0] if self.number and touched else None
+        highest = F.max(self.number) if self.number else F.lit(None).cast("bigint")
+        written = stored_or_empty(self.spark, target, rows.schema).groupBy("bucket").agg(highest.alias("high")).collect()
+        high = {row["bucket"]: row["high"] for row in written}  # a bucket that lost its last row has no path
         listed = self.spark.createDataFrame(
-            [(version, batch_id, bucket, f"{target}/bucket={bucket}", high) for bucket in sorted(touched)] or
-            [(version, batch_id, None, None, None)], VERSION_SCHEMA
+            [(version, batch_id, bucket, f"{target}/bucket={bucket}" if bucket in high else None, high.get(bucket)) for bucket in sorted(touched)]
+            or [(version, batch_id, None, None, None)], VERSION_SCHEMA
         )
         listed.coalesce(1).write.mode("append").parquet(f"{self.path}/versions")
 

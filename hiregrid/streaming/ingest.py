@@ -6,15 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from hiregrid.operators.audit import unreadable_audit
 from hiregrid.operators.details import candidate_details
 from hiregrid.operators.lookup import email_key
+from hiregrid.operators.ranking import number_rows
 from hiregrid.operators.upsert import upsert_candidates
-from hiregrid.plans.ingest import ingest_jobs, number_jobs
+from hiregrid.plans.ingest import ingest_jobs, numbered_from
 from hiregrid.session import materialize
-from hiregrid.sources.tables import SnapshotTable, stored_or_empty
+from hiregrid.sources.files import documents_of, read_pages
+from hiregrid.sources.ranges import IdRanges
+from hiregrid.sources.tables import SnapshotTable
 
 
 def run_available(stream: DataFrame, checkpoint: str, on_batch: Callable[[DataFrame, int], None]) -> StreamingQuery:
@@ -58,21 +61,41 @@ def stream_jobs(
     checkpoint: str,
     key: str,
     at: Callable[[int], Column],
+    ids: IdRanges | None = None,
 ) -> StreamingQuery:
     """Ingest arriving job descriptions, ``responses`` supplying each batch's model output.
 
     Rows are written below one directory per batch, replaced when a batch is
     run again, so a retry never doubles them. Job ids follow those of the
-    earlier batches, in ``key`` order.
+    earlier batches, in ``key`` order; they come from ``ids``, which are kept
+    beside the jobs unless given, so no earlier batch is read.
     """
+    ids = ids or IdRanges(uploads.sparkSession, f"{jobs_path.rstrip('/')}-ids")
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         uploads_now = materialize(batch, "uploads")
         done = ingest_jobs(uploads_now, responses(uploads_now), key, at(batch_id))
-        ids = T.StructType([T.StructField("jd_id", T.LongType()), T.StructField("batch", T.LongType())])
-        earlier = stored_or_empty(batch.sparkSession, jobs_path, ids).where(F.col("batch") < batch_id)
-        numbered = number_jobs(earlier, done.jobs, F.col(key))
-        numbered.write.mode("overwrite").parquet(f"{jobs_path}/batch={batch_id}")
+        numbered = materialize(number_rows(done.jobs, [], [F.col(key)], "_n"), "numbered")
+        first = ids.reserve(batch_id, numbered.count())
+        numbered_from(numbered, first).write.mode("overwrite").parquet(f"{jobs_path}/batch={batch_id}")
         done.audit.write.mode("overwrite").parquet(f"{audit_path}/batch={batch_id}")
 
     return run_available(uploads, checkpoint, on_batch)
+
+
+def stream_files(
+    files: DataFrame, page_reader: Callable[[bytes], list[str]], documents_path: str, audit_path: str, checkpoint: str,
+) -> StreamingQuery:
+    """Read arriving ``files`` (see ``arriving_files``) to documents ``(path, text, error)`` and log those that can't be read.
+
+    A file that breaks its reader is a document with an empty text, as it is to
+    the intake gate, and an ERROR row with the reason. Both outputs have one
+    directory per batch, replaced when a batch is run again.
+    """
+
+    def on_batch(batch: DataFrame, batch_id: int) -> None:
+        documents = materialize(documents_of(read_pages(batch, page_reader)), "documents")
+        documents.write.mode("overwrite").parquet(f"{documents_path}/batch={batch_id}")
+        unreadable_audit(documents).write.mode("overwrite").parquet(f"{audit_path}/batch={batch_id}")
+
+    return run_available(files, checkpoint, on_batch)
