@@ -1,7 +1,8 @@
 """Chat formatting: typed content parts to one marked string per conversation, with loss mask and attachments.
 
 A message holds an ordered array of parts. A visitor turns each part into text: text parts are escaped, attachments become
-one placeholder each, and what the placeholder stands for (reference, expanded token count) is recorded in order. Every turn
+one placeholder ``<|part_kind|>`` each, so that no kind can write a string of the template, and what the placeholder stands for
+(reference, expanded token count) is recorded in order. Every turn
 is written as ``<|im_start|>role\\ntext<|im_end|>\\n``.
 
 Escaping is reversible: in texts and roles a backslash is put after every ``<`` that is followed by any number of backslashes
@@ -61,7 +62,7 @@ def is_text(part: Column) -> Column:
 def visit(part: Column) -> Column:
     """The text that stands for a part."""
     return F.when(is_text(part), escape(F.coalesce(part["text"], F.lit("")))).otherwise(
-        F.concat(F.lit("<|"), F.regexp_replace(part["kind"], "[^0-9A-Za-z_]", "_"), F.lit("|>"))
+        F.concat(F.lit("<|part_"), F.regexp_replace(part["kind"], "[^0-9A-Za-z_]", "_"), F.lit("|>"))
     )
 
 

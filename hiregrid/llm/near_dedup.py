@@ -5,16 +5,19 @@ computed, each sub-hash over ``ROWS`` minima. A table key is a pair of one sub-h
 sub-hashes give TABLES * TABLES keys of 2 * ROWS minima each, and only a square root of the minima is computed. A sub-hash
 that no other text has can be part of no shared key; pairs are formed of the shared ones only.
 
-Texts with equal sets are one class. Classes that share a key are candidates; they are gathered and compared on their full
-sets. A group of candidates that is small enough (by the work of comparing it) is one unit, so that each set travels once.
-Larger groups are taken apart by key, and keys with many members into a grid of blocks, so that no task holds an unbounded
-group. A unit returns a forest over its links, at most one row per member, never the pairs. Components of the links
-are the duplicates; the smallest doc_id of each stays.
+Texts with equal sets are one class. Two classes are candidates if they share a key, and linked if, besides, their full sets are
+similar enough: both follow from the pair alone, however large a group it is part of. Components of the links are the duplicates;
+the smallest doc_id of each stays. Comparing goes in two steps, since of a group of many copies most links settle nothing new:
 
-Two sets of similarity 0.75 share no key with a chance of 1e-4 (0.4375^12 for each collection), of 0.8 with 1e-5; everything
-after the keys is exact, on 64-bit hashes of shingles. Nothing is capped or sampled. Which pairs are compared depends on the size of
-their group: all pairs of a group that is one unit, also those without a shared key, but of a larger group (from about 3,000 members
-of 200 shingles) only pairs that share one. So the chance to miss a pair is that of the keys in large groups, and less in small ones.
+* Every class is compared with the least of the classes it shares a key with. Those links make components.
+* Keys that hold classes of several components are still open. Their classes are compared, only where components differ. A group
+  connected by open keys that is small enough (by the work of comparing it) is one unit; a larger one has a unit for each left
+  sub-hash, cut into a grid of blocks if it has very many members. A pair agrees in sub-hashes of both collections exactly if it
+  shares a key, and is compared in the unit of the first left one it agrees in, so once. A unit returns a forest over its links.
+
+Two sets of similarity 0.75 share no key with a chance of 4e-6 (0.4375^16 for each collection), of 0.8 with 2e-7; everything
+after the keys is exact, on 64-bit hashes of shingles. Nothing is capped or sampled, and ``work`` and ``total`` decide only where pairs
+are compared.
 
 Defined results: null or empty text has an empty set, is linked with nothing and its own component; fewer than five words are
 one shingle; rows that repeat a doc_id are one node of the graph; a null doc_id has a null component and stays. An empty
@@ -28,18 +31,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hiregrid.llm.components import connected_components
 from hiregrid.llm.hashing import Words, mix, window_hashes
-from hiregrid.llm.support import WHITE, word_table
+from hiregrid.llm.support import WHITE, fresh, word_table
 from hiregrid.session import materialize
 
 SHINGLE = 5
 PERCENT = 75
-TABLES, ROWS = 12, 2
+TABLES, ROWS = 16, 2
 # Work of a unit: members times shingles in all, and shingles in all (8 bytes each).
 UNIT_WORK, UNIT_SHINGLES = 2_000_000_000, 4_000_000
 TABLE = word_table(WHITE)
@@ -112,33 +115,46 @@ class Forest:
         return x != y
 
 
-def links(sets: list[np.ndarray], sides: list[int]) -> Iterator[tuple[int, int]]:
-    """Links that join all members whose sets are similar enough; of blocks 0 and 1 of a grid only across."""
-    sizes = np.array([len(s) for s in sets], np.int64)
-    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
-    offsets = np.concatenate(([0], np.cumsum(sizes)))
-    side = np.array(sides)
-    across = side.min() != side.max()
-    forest, mark = Forest(len(sets)), np.zeros(int(ids.max()) + 1, bool)
+def links(
+    sets: list[np.ndarray], sides: np.ndarray, left: np.ndarray, right: np.ndarray, labels: np.ndarray, place: int,
+) -> Iterator[tuple[int, int]]:
+    """Links between members of different labels that share a key and whose sets are similar enough, until all that can be are joined.
+
+    Members that are joined already, through others too, are not compared. Of blocks 0 and 1 of a grid pairs are formed only
+    across; with a ``place`` only those whose first equal left sub-hash is there.
+    """
+    forest = Forest(len(sets))
+    heads: dict[int, int] = {}
+    for x, label in enumerate(labels.tolist()):
+        forest.join(heads.setdefault(label, x), x)
+    across = sides.min() != sides.max()
     for x in range(len(sets) - 1):
-        own = ids[offsets[x]:offsets[x + 1]]
-        mark[own] = True
-        shared = np.add.reduceat(mark[ids[offsets[x + 1]:]], offsets[x + 1:-1] - offsets[x + 1], dtype=np.int64)
-        mark[own] = False
-        alike = 100 * shared >= PERCENT * (sizes[x] + sizes[x + 1:] - shared)
+        equal = left[x + 1:] == left[x]
+        candidate = equal.any(axis=1) & (right[x + 1:] == right[x]).any(axis=1) & (labels[x + 1:] != labels[x])
+        if place >= 0:
+            candidate &= equal.argmax(axis=1) == place
         if across:
-            alike &= side[x + 1:] != side[x]
-        for y in np.flatnonzero(alike):
-            if forest.join(x, x + 1 + int(y)):
-                yield x, x + 1 + int(y)
+            candidate &= sides[x + 1:] != sides[x]
+        for y in (x + 1 + np.flatnonzero(candidate)).tolist():
+            if forest.root(x) == forest.root(y):
+                continue
+            n, m = len(sets[x]), len(sets[y])
+            if 100 * min(n, m) < PERCENT * max(n, m):
+                continue
+            shared = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+            if 100 * shared >= PERCENT * (n + m - shared):
+                forest.join(x, y)
+                yield x, y
 
 
 def unit_links(members: pd.DataFrame) -> pd.DataFrame:
-    members = members.drop_duplicates(["id", "part"]).sort_values(["id", "part"])
+    members = members.sort_values("id")
     sets = [np.asarray(s, np.int64) for s in members["shingles"]]
     ids = members["id"].to_numpy()
-    found = [(ids[x], ids[y]) for x, y in links(sets, members["side"].tolist())] if len(sets) > 1 else []
-    return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
+    left, right = (np.array(members[c].tolist(), np.int64).reshape(len(ids), -1) for c in ("left", "right"))
+    place = members["unit"].iloc[0]["place"]
+    found = links(sets, members["side"].to_numpy(), left, right, members["label"].to_numpy(), place)
+    return pd.DataFrame([(ids[x], ids[y]) for x, y in found], columns=["a", "b"], dtype=np.int64)
 
 
 def shared_keys(rows: DataFrame, key: list[str]) -> DataFrame:
@@ -172,34 +188,56 @@ def candidate_links(keys: DataFrame) -> DataFrame:
     return firsts.select(F.explode(F.array_append("firsts", F.col("id"))).alias("a"), "b").where("a <> b").distinct()
 
 
-def units(keys: DataFrame, sizes: DataFrame, work: int, total: int) -> DataFrame:
-    """Where each candidate is to be compared: rows (unit, side, id).
+def star_links(keys: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between each id and the least ``first`` of its keys, if their sets are similar enough."""
+    star = keys.groupBy("id").agg(F.min("first").alias("b")).where("id <> b").withColumnRenamed("id", "a")
+    ours, theirs = (sets.select(F.col("id").alias(c), F.col("shingles").alias(f"{c}_set")) for c in ("a", "b"))
+    shared = F.size(F.array_intersect("a_set", "b_set"))
+    alike = 100 * F.col("shared") >= PERCENT * (F.size("a_set") + F.size("b_set") - F.col("shared"))
+    # One class may be the least of very many: both sides of its join are shuffles, which are split where they are skewed.
+    return materialize(star.join(ours, "a").join(theirs, "b").withColumn("shared", shared).where(alike).select("a", "b"), "star-links")
+
+
+def open_keys(keys: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows (key, id, first, label) of the keys whose ids have different labels; the label of an unlinked id is itself."""
+    rows = keys.select("key", "id").join(labels.select(F.col("node").alias("id"), "component"), "id", "left").select(
+        "key", "id", F.coalesce("component", "id").alias("label"))
+    still = rows.groupBy("key").agg(F.min("id").alias("first"), F.min("label").alias("_least"), F.max("label").alias("_most"))
+    return materialize(rows.join(materialize(still.where("_least < _most").select("key", "first"), "still-open"), "key"), "open-keys")
 
-    A group of candidates within the limits is one unit. Of a larger group every key is a unit, and a key beyond the limits is
-    cut into blocks: one unit for each pair of blocks.
+
+def units(rows: DataFrame, classes: DataFrame, work: int, total: int) -> DataFrame:
+    """Where the candidates in ``rows(key, id, first, label)`` are compared: (unit, side, id, label, left, right).
+
+    A group within the limits is one unit. Of a larger one every left sub-hash that ids of several labels have is a unit, and
+    one beyond the limits is cut into blocks: one unit for each pair of blocks.
     """
-    groups = materialize(connected_components(candidate_links(keys)), "groups")
-    members = groups.withColumnRenamed("node", "id").join(sizes, "id")
+    groups = connected_components(candidate_links(rows))
+    members = materialize(groups.withColumnRenamed("node", "id").join(rows.select("id", "label").distinct(), "id").join(
+        classes.select("id", F.col("n").alias("size"), "left", "right"), "id"), "members")
     measured = materialize(members.groupBy("component").agg(F.count("*").alias("n"), F.sum("size").alias("all")), "measured")
     small = (F.col("n") * F.col("all") <= work) & (F.col("all") <= total)
-    whole = members.join(measured.where(small), "component").select(
-        F.struct(F.lit(0).alias("kind"), F.col("component").alias("key"), F.lit(0).alias("x"), F.lit(0).alias("y")).alias("unit"),
-        F.lit(0).alias("side"), "id",
-    )
-    large = measured.where(~small).select("component")
-    in_large = members.join(large, "component").select("id", "size")
-    rows = keys.select("key", "id").join(in_large, "id")
-    per_key = rows.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("all"))
+
+    def unit(place: Column, key: Column, x: Column, y: Column) -> Column:
+        return F.struct(place.cast("int").alias("place"), key.alias("key"), x.cast("int").alias("x"), y.cast("int").alias("y")).alias("unit")
+
+    zero = F.lit(0)
+    whole = members.join(measured.where(small).select("component"), "component").select(
+        unit(F.lit(-1), F.col("component"), zero, zero), zero.alias("side"), "id", "label", "left", "right")
+    large = members.join(measured.where(~small).select("component"), "component").drop("component")
+    parted = large.select("id", "size", "label", "left", "right", F.posexplode("left").alias("place", "hash"))
+    per_hash = parted.groupBy("place", "hash").agg(
+        F.count("*").alias("n"), F.sum("size").alias("all"), F.min("label").alias("_least"), F.max("label").alias("_most")
+    ).where("_least < _most")
     # Blocks so that two of them are within the limits.
     parts = F.ceil(F.greatest(2 * F.sqrt(F.col("n") * F.col("all") / work), 2 * F.col("all") / total, F.lit(1.0)))
     parts = F.least(parts, F.col("n")).cast("int")
     parts = F.when((F.col("n") * F.col("all") <= work) & (F.col("all") <= total), 1).otherwise(parts)
-    cut = rows.join(per_key.select("key", parts.alias("parts")), "key").withColumn(
-        "block", F.pmod(F.xxhash64("id", "key"), F.col("parts")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    grid = cut.withColumn("other", other).select(
-        F.struct(F.lit(1).alias("kind"), "key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y")).alias("unit"),
-        (F.col("block") > F.col("other")).cast("int").alias("side"), "id",
+    cut = parted.join(materialize(per_hash.select("place", "hash", parts.alias("parts")), "per-hash"), ["place", "hash"]).withColumn(
+        "block", F.pmod(F.xxhash64("id", "hash"), F.col("parts")).cast("int"))
+    grid = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
+        unit(F.col("place"), F.col("hash"), F.least("block", "other"), F.greatest("block", "other")),
+        (F.col("block") > F.col("other")).cast("int").alias("side"), "id", "label", "left", "right",
     )
     return whole.unionByName(grid)
 
@@ -207,14 +245,18 @@ def units(keys: DataFrame, sizes: DataFrame, work: int, total: int) -> DataFrame
 def near_links(docs: DataFrame, classes: DataFrame, work: int = UNIT_WORK, total: int = UNIT_SHINGLES) -> DataFrame:
     """Links (a, b) between ``classes(id, part, n, left, right)`` whose sets are similar enough; enough of them to give all components."""
     keys = table_keys(classes.where("n > 0").select("id", "left", "right"))
-    where = materialize(units(keys, classes.select("id", F.col("n").alias("size")), work, total), "units")
-    wanted = where.select("id").distinct().join(classes.select("id", "part"), "id").withColumnRenamed("part", "_part")
+    wanted = keys.select("id").distinct().join(classes.select("id", "part"), "id").withColumnRenamed("part", "_part")
     texts = docs.join(wanted, (docs["doc_id"] == wanted["id"]) & (docs["part"] == wanted["_part"])).select(
-        "id", "part", shingle_sets(F.col("text")).alias("shingles"))
-    sets = materialize(texts, "shingles")
-    return materialize(
-        where.join(sets, "id").groupBy("unit").applyInPandas(unit_links, "a bigint, b bigint"), "near-links"
-    )
+        "id", shingle_sets(F.col("text")).alias("shingles"))
+    # Rows that repeat a doc_id and its text are one class.
+    sets = materialize(texts.groupBy("id").agg(F.any_value("shingles").alias("shingles")), "shingles")
+    star = star_links(keys, sets)
+    rest = open_keys(keys, connected_components(star))
+    if rest.isEmpty():
+        return star
+    where = materialize(units(rest, classes, work, total), "units")
+    found = where.join(sets, "id").groupBy("unit").applyInPandas(unit_links, "a bigint, b bigint")
+    return materialize(star.unionByName(found), "near-links")
 
 
 def components(docs: DataFrame, work: int = UNIT_WORK, total: int = UNIT_SHINGLES) -> DataFrame:
@@ -240,5 +282,6 @@ def components(docs: DataFrame, work: int = UNIT_WORK, total: int = UNIT_SHINGLE
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows whose component has a smaller doc_id, all columns kept."""
-    gone = components(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone.withColumnRenamed("doc_id", "_gone"), docs["doc_id"] == F.col("_gone"), "left_anti")
+    name = fresh("gone", docs)
+    gone = components(docs).where(~F.col("kept")).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")

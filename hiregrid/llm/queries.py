@@ -45,13 +45,15 @@ def op1_chat(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text").unionByName(injected)
     done = chat.format_chat(rows.select("conv_id", "turn", "role", chat.text_part(F.col("text")).alias("parts")))
     read = done.select(
-        "conv_id", F.length("formatted").cast("bigint").alias("formatted_chars"),
+        "conv_id", F.length("formatted").cast("bigint").alias("formatted_chars"), F.size("attachments").cast("bigint").alias("n_attachments"),
+        "attachment_tokens",
         chat.read_turns(F.col("formatted")).alias("turns"), chat.read_loss(F.col("segments")).alias("loss"),
     )
     lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
     return read.select(
         "conv_id", F.size("turns").cast("bigint").alias("n_turns"), F.sha2(F.array_join(lines, ""), 256).alias("turns_sha256"),
         F.length("loss").cast("bigint").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars",
+        "n_attachments", "attachment_tokens",
     )
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hiregrid.llm.support import LOWER, UPPER, blocks
+from hiregrid.llm.support import LOWER, UPPER, blocks, fresh
 
 A_TO_Z = str.maketrans(UPPER.decode(), LOWER.decode())
 FOUND = "struct<size:int,host_size:int,rule:string,verdict:string>"
@@ -102,8 +102,9 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     ).groupBy("host", "path").agg(F.max("verdict").alias("verdict"))
     hits = [matcher(rows)(F.col(url)) for rows in blocks(clean, F.length("host") + F.length("path") + 64)]
     best = F.array_max(F.array(*hits))
-    judged = pages.select("*", F.struct(url_parts(F.col(url)).alias("parts"), best.alias("best")).alias("_judged"))
+    name = fresh("judged", pages)
+    judged = pages.select("*", F.struct(url_parts(F.col(url)).alias("parts"), best.alias("best")).alias(name))
     return judged.withColumns({
-        "host": F.col("_judged.parts.host"), "path": F.col("_judged.parts.path"), "rule": F.col("_judged.best.rule"),
-        "verdict": F.coalesce("_judged.best.verdict", F.lit(default)),
-    }).drop("_judged")
+        "host": F.col(f"{name}.parts.host"), "path": F.col(f"{name}.parts.path"), "rule": F.col(f"{name}.best.rule"),
+        "verdict": F.coalesce(f"{name}.best.verdict", F.lit(default)),
+    }).drop(name)

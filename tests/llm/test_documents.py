@@ -43,14 +43,78 @@ def test_near_components(docs):
     assert all(r["component_id"] is None and r["kept"] for r in found if r["doc_id"] is None)
 
 
-@pytest.mark.parametrize("work, total", [(200_000, 1_500)])
+@pytest.mark.parametrize("work, total", [(200_000, 1_500), (1, 1)])
 def test_near_components_in_a_grid(docs, work, total):
-    """Groups too large for a unit are taken apart by key and by blocks, with the same result."""
+    """Groups too large for a unit are taken apart by sub-hash and by blocks, with the same result."""
     expected = cases.near_components(cases.awkward_texts())
     found = near_dedup.components(docs, work, total).where("doc_id is not null").collect()
     assert {r["doc_id"]: r["component_id"] for r in found} == expected
 
 
+def near_copies(n):
+    """Copies of one text with so many edits that many pairs are just on either side of the threshold."""
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(5000)}" for _ in range(200)]
+    rows = []
+    for i in range(n):
+        copy = list(base)
+        for _ in range(rng.choice([0, 2, 4, 5, 6, 9])):
+            copy[rng.randrange(200)] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(copy)))
+    return rows
+
+
+def test_near_copies_alike_in_groups_of_any_size(spark, monkeypatch):
+    """Limits decide where pairs are compared, never which are linked; a large group costs little more than a small one."""
+    rows = near_copies(300)
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    expected = cases.near_components(rows)
+    members = []
+    real = near_dedup.units
+
+    def counted(*args):
+        where = real(*args)
+        members.append(where.count())
+        return where
+
+    monkeypatch.setattr(near_dedup, "units", counted)
+    for work, total in ((near_dedup.UNIT_WORK, near_dedup.UNIT_SHINGLES), (2_000_000, 20_000), (50_000, 2_000)):
+        found = near_dedup.components(frame, work, total).collect()
+        assert {r["doc_id"]: r["component_id"] for r in found} == expected
+    assert len(members) == 3 and members[0] <= 300
+
+
+def test_pairs_are_compared_in_one_unit_each():
+    """Of two that agree in several left sub-hashes only the first one's unit compares them, and only if a right one agrees too."""
+    same = [np.arange(10)] * 3
+    left = np.array([[1, 2, 3], [9, 2, 3], [1, 8, 3]])
+    right = np.array([[5, 6, 7], [5, 0, 0], [4, 4, 4]])
+    labels, sides = np.arange(3), np.zeros(3, int)
+    assert [list(near_dedup.links(same, sides, left, right, labels, place)) for place in range(-1, 3)] == [[(0, 1)], [], [(0, 1)], []]
+    assert list(near_dedup.links(same, sides, left, left, np.array([4, 4, 5]), -1)) == [(0, 2)]
+    assert list(near_dedup.links(same, np.array([0, 1, 1]), left, left, labels, -1)) == [(0, 1), (0, 2)]
+
+
+def test_keys_miss_few(spark):
+    """Of pairs near the threshold nearly all share a key: a member of each collection agrees."""
+    rng = random.Random(1)
+    missed = 0
+    for _ in range(300):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+        other = list(words)
+        for at in rng.sample(range(5, 145, 6), 4):
+            other[at] = "x"
+        a, b = (near_dedup.sketch(" ".join(t).encode()) for t in (words, other))
+        missed += not (any(x == y for x, y in zip(a["left"], b["left"])) and any(x == y for x, y in zip(a["right"], b["right"])))
+    assert missed == 0
+
+
+def test_near_stage_with_clashing_names(spark):
+    rows = [(1, "a b c d e f", 1, 2), (2, "a b c d e f", 3, 4), (3, "other words here", 5, 6)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, gone int, _gone int")
+    assert sorted(tuple(r) for r in near_dedup.keep_first(docs).collect()) == [rows[0], rows[2]]
+
+
 @pytest.mark.parametrize("window", [50, 23, 6])
 def test_substrings(docs, window):
     expected = cases.repeats(cases.awkward_texts(), window)

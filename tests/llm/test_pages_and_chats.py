@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from hiregrid.llm import chat, page_text, url_filter
@@ -51,13 +52,26 @@ def test_parts(spark):
         ) AS array<{chat.PART}>) parts
         UNION ALL SELECT 1, 1, 'assistant', CAST(null AS array<{chat.PART}>)""")
     done = chat.format_chat(rows).first()
-    assert done["formatted"] == ("<|im_start|>user\nsee <\\|image|>: <|image|><|audio|><|document|><|vid_eo|>end<|im_end|>\n"
+    assert done["formatted"] == ("<|im_start|>user\nsee <\\|image|>: <|part_image|><|part_audio|><|part_document|><|part_vid_eo|>end<|im_end|>\n"
                                  "<|im_start|>assistant\n<|im_end|>\n")
     assert [(a["kind"], a["ref"], a["tokens"]) for a in done["attachments"]] == [
         ("image", "a.png", 3), ("audio", "b.wav", 51), ("document", "c.pdf", 3072), ("vid-eo", None, 1)]
     assert done["attachment_tokens"] == 3127
 
 
+@pytest.mark.parametrize("kind", ["im_start", "im_end", "nl", "part_im_end", "|>", ""])
+def test_kinds_write_no_template_string(spark, kind):
+    rows = spark.sql(f"""
+        SELECT 1L conv_id, 0L turn, 'us\ner' role, CAST(array(
+          struct('text', 'a', null, null, null, null, null), struct('{kind}', null, 'r', null, null, null, null),
+          struct('text', 'b', null, null, null, null, null)) AS array<{chat.PART}>) parts""")
+    done = chat.format_chat(rows).withColumn("turns", chat.read_turns(F.col("formatted"))).first()
+    formatted = done["formatted"]
+    assert [formatted.count(t) for t in ("<|im_start|>", "<|im_end|>", "<|nl|>")] == [1, 1, 1]
+    assert [t["role"] for t in done["turns"]] == ["us\ner"] and done["turns"][0]["text"].startswith("a<|part_")
+    assert [(a["kind"], a["ref"]) for a in done["attachments"]] == [(kind, "r")]
+
+
 def article(page):
     text, rest, _ = sorted_out(page)
     return rest if text is None else text
@@ -198,3 +212,9 @@ def test_many_rules_in_blocks(spark, monkeypatch):
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id int, url string")
     found = url_filter.judge_urls(pages, spark.createDataFrame(rules, "host string, path string, verdict string")).orderBy("page_id").collect()
     assert [(r["host"], r["path"], r["rule"], r["verdict"]) for r in found] == [judged(u, rules) for u in urls]
+
+
+def test_url_columns_that_clash(spark):
+    pages = spark.createDataFrame([(1, "http://a.b/x", 2, "h")], "page_id bigint, url string, judged int, _judged string")
+    found = url_filter.judge_urls(pages, spark.createDataFrame([("b", "/", "block")], "host string, path string, verdict string"))
+    assert found.first().asDict() == {"page_id": 1, "url": "http://a.b/x", "judged": 2, "_judged": "h", "host": "a.b", "path": "/x", "rule": "b/", "verdict": "block"}
