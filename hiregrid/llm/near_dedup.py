@@ -11,9 +11,10 @@ the smallest doc_id of each stays. Comparing goes in two steps, since of a group
 
 * Every class is compared with the least of the classes it shares a key with. Those links make components.
 * Keys that hold classes of several components are still open. Their classes are compared, only where components differ. A group
-  connected by open keys that is small enough (by the work of comparing it) is one unit; a larger one has a unit for each left
-  sub-hash, cut into a grid of blocks if it has very many members. A pair agrees in sub-hashes of both collections exactly if it
-  shares a key, and is compared in the unit of the first left one it agrees in, so once. A unit returns a forest over its links.
+  connected by open keys that is small enough (by the work of comparing it) is one unit, a larger one is cut into a grid of blocks
+  with a unit for each two; one too large for that has a unit for each left sub-hash, cut in the same way where it is hot. A pair
+  agrees in sub-hashes of both collections exactly if it shares a key. By sub-hash it is compared in the unit of the first left one
+  it agrees in, so once in any case. A unit returns a forest over its links.
 
 Two sets of similarity 0.75 share no key with a chance of 4e-6 (0.4375^16 for each collection), of 0.8 with 2e-7; everything
 after the keys is exact, on 64-bit hashes of shingles. Nothing is capped or sampled, and ``work`` and ``total`` decide only where pairs
@@ -31,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,7 +45,8 @@ SHINGLE = 5
 PERCENT = 75
 TABLES, ROWS = 16, 2
 # Work of a unit: members times shingles in all, and shingles in all (8 bytes each).
-UNIT_WORK, UNIT_SHINGLES = 2_000_000_000, 4_000_000
+UNIT_WORK, UNIT_SHINGLES = 20_000_000, 4_000_000
+GROUP_BLOCKS = 16  # blocks that a group is cut into before it is taken apart by sub-hash; as many as there are left sub-hashes
 TABLE = word_table(WHITE)
 LONGS = T.ArrayType(T.LongType())
 SKETCH = (T.StructType().add("n", T.LongType()).add("low", T.LongType()).add("high", T.LongType()).add("left", LONGS).add("right", LONGS))
@@ -209,37 +211,31 @@ def open_keys(keys: DataFrame, labels: DataFrame) -> DataFrame:
 def units(rows: DataFrame, classes: DataFrame, work: int, total: int) -> DataFrame:
     """Where the candidates in ``rows(key, id, first, label)`` are compared: (unit, side, id, label, left, right).
 
-    A group within the limits is one unit. Of a larger one every left sub-hash that ids of several labels have is a unit, and
-    one beyond the limits is cut into blocks: one unit for each pair of blocks.
+    A group is cut into blocks so that two of them are within the limits, and each pair of blocks is a unit; a group within the
+    limits is one block. Of a group of more than ``GROUP_BLOCKS`` every left sub-hash that ids of several labels have is cut
+    in this way instead.
     """
     groups = connected_components(candidate_links(rows))
     members = materialize(groups.withColumnRenamed("node", "id").join(rows.select("id", "label").distinct(), "id").join(
         classes.select("id", F.col("n").alias("size"), "left", "right"), "id"), "members")
-    measured = materialize(members.groupBy("component").agg(F.count("*").alias("n"), F.sum("size").alias("all")), "measured")
-    small = (F.col("n") * F.col("all") <= work) & (F.col("all") <= total)
-
-    def unit(place: Column, key: Column, x: Column, y: Column) -> Column:
-        return F.struct(place.cast("int").alias("place"), key.alias("key"), x.cast("int").alias("x"), y.cast("int").alias("y")).alias("unit")
-
-    zero = F.lit(0)
-    whole = members.join(measured.where(small).select("component"), "component").select(
-        unit(F.lit(-1), F.col("component"), zero, zero), zero.alias("side"), "id", "label", "left", "right")
-    large = members.join(measured.where(~small).select("component"), "component").drop("component")
-    parted = large.select("id", "size", "label", "left", "right", F.posexplode("left").alias("place", "hash"))
-    per_hash = parted.groupBy("place", "hash").agg(
-        F.count("*").alias("n"), F.sum("size").alias("all"), F.min("label").alias("_least"), F.max("label").alias("_most")
-    ).where("_least < _most")
-    # Blocks so that two of them are within the limits.
-    parts = F.ceil(F.greatest(2 * F.sqrt(F.col("n") * F.col("all") / work), 2 * F.col("all") / total, F.lit(1.0)))
-    parts = F.least(parts, F.col("n")).cast("int")
-    parts = F.when((F.col("n") * F.col("all") <= work) & (F.col("all") <= total), 1).otherwise(parts)
-    cut = parted.join(materialize(per_hash.select("place", "hash", parts.alias("parts")), "per-hash"), ["place", "hash"]).withColumn(
-        "block", F.pmod(F.xxhash64("id", "hash"), F.col("parts")).cast("int"))
-    grid = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
-        unit(F.col("place"), F.col("hash"), F.least("block", "other"), F.greatest("block", "other")),
+    cost = F.col("n") * F.col("all")
+    within = (cost <= work) & (F.col("all") <= total)
+    parts = F.least(F.ceil(F.greatest(2 * F.sqrt(cost / work), 2 * F.col("all") / total, F.lit(1.0))), F.col("n")).cast("int")
+    measure = (F.count("*").alias("n"), F.sum("size").alias("all"))
+    parted = F.when(within, 1).otherwise(parts).alias("parts")
+    measured = materialize(members.groupBy("component").agg(*measure).select("component", parted), "measured")
+    by_group = members.join(measured.where(F.col("parts") <= GROUP_BLOCKS), "component").select(
+        F.lit(-1).alias("place"), F.col("component").alias("hash"), "parts", "id", "label", "left", "right")
+    hashes = members.join(measured.where(F.col("parts") > GROUP_BLOCKS).select("component"), "component").select(
+        "id", "size", "label", "left", "right", F.posexplode("left").alias("place", "hash"))
+    open_hashes = hashes.groupBy("place", "hash").agg(*measure, F.min("label").alias("_least"), F.max("label").alias("_most")).where(
+        "_least < _most").select("place", "hash", parted)
+    by_hash = hashes.join(materialize(open_hashes, "open-hashes"), ["place", "hash"]).select(*by_group.columns)
+    cut = by_group.unionByName(by_hash).withColumn("block", F.pmod(F.xxhash64("id", "hash"), F.col("parts")).cast("int"))
+    return cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
+        F.struct("place", F.col("hash").alias("key"), F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y")).alias("unit"),
         (F.col("block") > F.col("other")).cast("int").alias("side"), "id", "label", "left", "right",
     )
-    return whole.unionByName(grid)
 
 
 def near_links(docs: DataFrame, classes: DataFrame, work: int = UNIT_WORK, total: int = UNIT_SHINGLES) -> DataFrame:

@@ -78,10 +78,10 @@ def test_near_copies_alike_in_groups_of_any_size(spark, monkeypatch):
         return where
 
     monkeypatch.setattr(near_dedup, "units", counted)
-    for work, total in ((near_dedup.UNIT_WORK, near_dedup.UNIT_SHINGLES), (2_000_000, 20_000), (50_000, 2_000)):
+    for work, total in ((10**9, 10**9), (4_000_000, 100_000), (50_000, 2_000)):
         found = near_dedup.components(frame, work, total).collect()
         assert {r["doc_id"]: r["component_id"] for r in found} == expected
-    assert len(members) == 3 and members[0] <= 300
+    assert members[0] <= 300 and members[1] <= near_dedup.GROUP_BLOCKS * members[0] and len(members) == 3
 
 
 def test_pairs_are_compared_in_one_unit_each():
