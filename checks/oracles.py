@@ -493,6 +493,40 @@ ORACLES |= {
           qualifications, requirements, CASE WHEN resume_id <= m THEN 0 ELSE 1 END AS batch FROM saved, middle""",
     "stream_files": f"""SELECT conv_id, CASE WHEN {_BROKEN} THEN '' ELSE text END AS text, CASE WHEN {_BROKEN} THEN 'ERROR' END AS log_type,
         CASE WHEN {_BROKEN} THEN 'PDF parsing failed: not a document' END AS message FROM ({_FILE_TEXTS})""",
+    "category_scores_store": f"""{_RESUMES}, {upserted_ctes('details')}, {_RESPONSES},
+        told AS (SELECT u.candidate_id, d.resume_path, d.resume_id, r.response FROM details d JOIN upserted u ON d.email = u.candidate_email
+          JOIN responses r ON r.resume_id = d.resume_id WHERE r.kind = 'category_array'),
+        arrived AS (SELECT candidate_id, resume_path, 1 AS batch, response FROM told WHERE resume_id % 10 <> 9
+          UNION ALL SELECT candidate_id, resume_path, 2, regexp_replace(response, ',\\{{"category":"Spark".*$', ']') FROM told WHERE resume_id % 4 = 1),
+        final AS (SELECT candidate_id, response FROM arrived
+          QUALIFY row_number() OVER (PARTITION BY candidate_id ORDER BY batch DESC, resume_path DESC) = 1)
+        SELECT candidate_id, json_extract_string(e.value, '$.category') AS category_name, CAST(json_extract(e.value, '$.score') AS DOUBLE) AS score,
+          CAST(json_extract(e.value, '$.weight') AS DOUBLE) AS weight, json_extract_string(e.value, '$.justification') AS justification
+        FROM final f, json_each(f.response) e""",
+    "jd_ingest_jobs": f"""WITH {_ANALYSED}, {_GATED}
+        SELECT g.resume_id, g.jd_text, CASE WHEN has_category THEN category ELSE '' END AS category_detected, '2024-06-01' AS uploaded_at,
+          qualifications, requirements FROM gated g JOIN analysed a ON g.resume_id = a.resume_id
+        WHERE reject_reason IS NULL AND NOT (has_category AND category IS NULL)""",
+    "jd_ingest_failed": f"""WITH {_ANALYSED}, {_GATED} SELECT g.resume_id, 'category is null' AS error
+        FROM gated g JOIN analysed a ON g.resume_id = a.resume_id WHERE reject_reason IS NULL AND has_category AND category IS NULL""",
+    "jd_ingest_audit": f"""WITH {_ANALYSED}, {_GATED},
+        joined AS (SELECT g.resume_id, has_category, category, qualifications, requirements
+          FROM gated g JOIN analysed a ON g.resume_id = a.resume_id WHERE reject_reason IS NULL)
+        SELECT resume_id, 'INFO' AS log_type, 'JD_Analysis' AS process, 'JD upload received' AS message FROM gated
+        UNION ALL SELECT resume_id, 'ERROR', 'JD_Analysis', reject_reason FROM gated WHERE reject_reason IS NOT NULL
+        UNION ALL SELECT resume_id, 'ERROR', 'JD_Analysis', 'Unhandled exception in /upload: category is null' FROM joined
+          WHERE has_category AND category IS NULL
+        UNION ALL SELECT resume_id, 'INFO', 'JD_Analysis', 'JD saved (detected=''' || CASE WHEN has_category THEN category ELSE '' END
+          || ''', quals=''' || coalesce(qualifications, 'None') || ''', reqs=''' || coalesce(requirements, 'None') || ''')' FROM joined
+          WHERE NOT (has_category AND category IS NULL)""",
+    "recommend_responses": f"""WITH {_JOBS}, {_SCORED},
+        pairs AS (SELECT q.jd_id, q.folder, r.resume_id, r.resume_path, s.final_score, s.error, s.resume_id IS NOT NULL AS told
+          FROM {_ACCEPTED} q JOIN jobs j ON q.jd_id = j.jd_id JOIN ({fx.RESUMES}) r ON r.folder = q.folder
+          LEFT JOIN score_fields s ON s.resume_id = r.resume_id WHERE {_SCANNED}),
+        judged AS (SELECT *, CASE WHEN told THEN error ELSE 'no response' END AS trouble FROM pairs)
+        SELECT jd_id, folder, resume_path, CAST(row_number() OVER (PARTITION BY jd_id, folder ORDER BY coalesce(final_score, 0) DESC, resume_path) AS DOUBLE) AS rank,
+          final_score, CAST(NULL AS VARCHAR) AS error FROM judged WHERE trouble IS NULL
+        UNION ALL SELECT jd_id, folder, resume_path, NULL, NULL, trouble FROM judged WHERE trouble IS NOT NULL""",
     "stream_recommend": ORACLES["recommend"],
     "score_merge": ORACLES["score_upsert"],
 }

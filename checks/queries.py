@@ -15,7 +15,7 @@ from checks.columns import NULLABLE_INTEGERS
 from hiregrid.functions import extract, responses, text
 from hiregrid.functions.prompts import missing_fields_prompt, score_prompt
 from hiregrid.operators import analysis, audit, details, hook, intake, lookup, ranking, scoring, similarity, upsert
-from hiregrid.plans.ingest import analysis_requests, ingest_jobs, job_rows, number_jobs
+from hiregrid.plans.ingest import Ingest, analysis_requests, ingest_jobs, job_rows, number_jobs
 from hiregrid.plans.recommend import Recommendation, recommend
 from hiregrid.session import materialize, shared_folder
 from hiregrid.sources import files, tables
@@ -412,6 +412,21 @@ def category_score_rows(spark, sf):
     return analysis.category_score_rows(responses_of(spark, sf, "category_array"))
 
 
+@query
+def category_scores_store(spark, sf):
+    """The category scores of candidates after two batches, the second without a category the first had."""
+    batch = materialize(resume_details(spark, sf).drop("resume_text"), "details")
+    known = materialize(upsert.upsert_candidates(fx.load(spark, sf, fx.CANDIDATES), batch, batch_time())[0], "candidates")
+    told = lookup.lookup_candidates(batch.select("resume_id", "resume_path", "email"), known, "email", "resume_id").join(
+        responses_of(spark, sf, "category_array"), "resume_id")
+    schema = "candidate_id bigint, category_name string, score double, weight double, justification string"
+    stored = tables.SnapshotTable(spark, new_folder(spark, "category-scores"), schema, "candidate_id", 16)
+    upsert.store_category_scores(stored, told.where("resume_id % 10 <> 9"), "resume_path", "first")
+    fewer = told.where("resume_id % 4 = 1").withColumn("response", F.regexp_replace("response", r',\{"category":"Spark".*$', "]"))
+    upsert.store_category_scores(stored, fewer, "resume_path", "second")
+    return stored.read()
+
+
 @query
 def weighted_final(spark, sf):
     rows = analysis.category_score_rows(responses_of(spark, sf, "category_array"))
@@ -591,6 +606,42 @@ def jd_ingest(spark, sf):
     return done.replies.withColumn("categories", F.array_join("categories", ", "))
 
 
+def ingested(spark: SparkSession, sf: str) -> Ingest:
+    return ingest_jobs(uploads(spark, sf), responses_of(spark, sf, "analysis"), "resume_id", batch_time())
+
+
+@query
+def jd_ingest_jobs(spark, sf):
+    return ingested(spark, sf).jobs.withColumn("uploaded_at", F.date_format("uploaded_at", "yyyy-MM-dd"))
+
+
+@query
+def jd_ingest_failed(spark, sf):
+    return ingested(spark, sf).failed
+
+
+@query
+def jd_ingest_audit(spark, sf):
+    return ingested(spark, sf).audit
+
+
+@query
+def recommend_responses(spark, sf):
+    """The recommendation from a table of model responses: results, and the pairs whose response could not be used."""
+    requests = fx.load(spark, sf, fx.REQUESTS)
+    scanned = intake.scan_folder(resumes(spark, sf)).select("resume_id", "folder", "resume_path")
+    pairs = scoring.pair_jobs_with_resumes(requests.where("jd_id IS NOT NULL AND folder <> ''").distinct(), scanned)
+    told = pairs.join(responses_of(spark, sf, "score"), "resume_id").select("jd_id", "resume_path", "response").distinct()
+    done = recommend(
+        requests=requests, jobs=jobs(spark, sf), resumes=resumes(spark, sf), candidates=fx.load(spark, sf, fx.CANDIDATES),
+        scores=None, at=batch_time(), responses=told,
+    )
+    keys, none = ["jd_id", "folder", "resume_path"], F.lit(None)
+    failed = done.failed.select(*keys, none.cast("double").alias("rank"), none.cast("double").alias("final_score"), "error")
+    ranked = done.results.select(*keys, F.col("rank").cast("double").alias("rank"), "final_score", none.cast("string").alias("error"))
+    return ranked.unionByName(failed)
+
+
 @query
 def stream_ingest(spark, sf):
     schema = table(spark, sf, "customer").schema

@@ -12,12 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hiregrid.operators.analysis import SCORE_FIELDS
+from hiregrid.operators.analysis import CATEGORY_SCHEMA, SCORE_FIELDS, category_score_rows
 from hiregrid.operators.joins import fits_broadcast, join_on_key
 from hiregrid.operators.lookup import email_key
 from hiregrid.operators.ranking import WINDOW_ROWS, number_rows
 from hiregrid.session import materialize
-from hiregrid.sources.tables import hash_bucket, stored_or_empty
+from hiregrid.sources.tables import SnapshotTable, hash_bucket, stored_or_empty
 
 # Candidate column <- details field; the company has no producer and stays null.
 CANDIDATE_VALUES = {
@@ -168,6 +168,27 @@ def stored_scores(path: str, like: DataFrame, buckets: list[int]) -> DataFrame:
     return stored_or_empty(like.sparkSession, path, schema).where(F.col("bucket").isin(buckets)).select(*columns)
 
 
+def replace_children(snapshot: DataFrame, parents: DataFrame, children: DataFrame, key: str) -> DataFrame:
+    """``snapshot`` with the rows of every ``key`` in ``parents`` replaced by those of ``children``; a parent without any loses its rows."""
+    gone = parents.select(key).distinct()
+    kept = snapshot.join(F.broadcast(gone) if fits_broadcast(gone) else gone, key, "left_anti")
+    return kept.unionByName(children.select(*snapshot.columns))
+
+
+def store_category_scores(table: SnapshotTable, responses: DataFrame, order: str, batch_id: str) -> None:
+    """Keep the category scores of each candidate, from ``responses(candidate_id, response)``.
+
+    The response that is last in ``order`` counts. Its rows replace all that the candidate had, so categories it does not
+    name disappear; a response that is no array of scores, or has no candidate, changes nothing. ``table`` is keyed by candidate_id.
+    """
+    usable = F.col("candidate_id").isNotNull() & F.from_json("response", CATEGORY_SCHEMA).isNotNull()
+    latest = materialize(
+        responses.where(usable).groupBy("candidate_id").agg(F.max_by("response", order).alias("response")), "latest-responses")
+    table.update(
+        latest, "candidate_id",
+        lambda rows: replace_children(rows, latest, category_score_rows(latest), "candidate_id"), batch_id)
+
+
 def category_ids(categories: DataFrame, incoming: DataFrame) -> DataFrame:
     """``incoming`` with the id its name has in ``categories``, null if it has none."""
     known = categories.select("name", "category_id")
