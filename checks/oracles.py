@@ -96,6 +96,13 @@ _JOBS = f"jobs AS ({fx.JOBS})"
 _RESPONSES = f"responses AS ({fx.RESPONSES})"
 
 
+_JD_LOOKUP = f"""WITH {_JOBS} SELECT e.event_id, e.user_id AS jd_id, j.jd_id IS NOT NULL AS found,
+        length(j.jd_text) AS jd_chars, CASE WHEN j.jd_id IS NOT NULL THEN coalesce(category_detected, '') END AS category_detected,
+        CASE WHEN j.jd_id IS NOT NULL THEN coalesce(qualifications, '') END AS qualifications,
+        CASE WHEN j.jd_id IS NOT NULL THEN coalesce(requirements, '') END AS requirements
+        FROM events e LEFT JOIN jobs j ON e.user_id = j.jd_id"""
+
+
 def keyword_list(x: str) -> str:
     pieces = f"string_split_regex(coalesce({x}, ''), '[,\\n;|/.\\-]+')"
     return f"list_filter(list_transform({pieces}, lambda p: lower({strip('p')})), lambda p: p <> '')"
@@ -336,11 +343,8 @@ ORACLES: dict[str, str] = {
         qualifications_score, requirements_score, reason, resume_filename, resume_path FROM recommended""",
     # filters and lookups
     "nonblank_docs": f"SELECT resume_id FROM ({fx.CORPUS}) WHERE NOT {blank('resume_text')}",
-    "jd_lookup": f"""WITH {_JOBS} SELECT e.event_id, e.user_id AS jd_id, j.jd_id IS NOT NULL AS found,
-        length(j.jd_text) AS jd_chars, CASE WHEN j.jd_id IS NOT NULL THEN coalesce(category_detected, '') END AS category_detected,
-        CASE WHEN j.jd_id IS NOT NULL THEN coalesce(qualifications, '') END AS qualifications,
-        CASE WHEN j.jd_id IS NOT NULL THEN coalesce(requirements, '') END AS requirements
-        FROM events e LEFT JOIN jobs j ON e.user_id = j.jd_id""",
+    "jd_lookup": _JD_LOOKUP,
+    "jd_lookup_stored": _JD_LOOKUP,
     "candidate_lookup": f"""{_CORPUS}, before AS ({fx.CANDIDATES})
         SELECT resume_id, email, candidate_id FROM details LEFT JOIN before ON email = candidate_email""",
     "resolve_candidate": f"""{_RESUMES}, {upserted_ctes('details')}
@@ -425,6 +429,12 @@ ORACLES: dict[str, str] = {
           LEFT JOIN sums s ON s.item_id = b.item_id AND s.doc_id = t.doc_id)
         SELECT * FROM (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank
           FROM scored) WHERE rank <= 5""",
+    "recommend_by_similarity_filled": f"""{_RESUMES}, {_CENTROIDS} SELECT label, d.resume_path, t.score, t.rank,
+        CASE WHEN d.email IS NOT NULL OR length(resume_text) % 3 = 0 THEN d.email
+          ELSE 'chars' || length(resume_text) || '@example.org' END AS email,
+        d.email IS NULL AND length(resume_text) % 3 = 0 AS fill_error
+        FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS rank FROM dots) t
+        JOIN details d ON t.vec_id = d.resume_id WHERE t.rank <= 20""",
     "recommend_by_similarity": f"""{_RESUMES}, {_CENTROIDS} SELECT label, d.email, d.resume_path, t.score, t.rank
         FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS rank FROM dots) t
         JOIN details d ON t.vec_id = d.resume_id WHERE t.rank <= 5""",

@@ -166,6 +166,20 @@ def jd_lookup(spark, sf):
     )
 
 
+@query
+def jd_lookup_stored(spark, sf):
+    """The same lookup against a job table kept in hash buckets, of which only those asked for are read."""
+    folder = new_folder(spark, "jobs")
+    lookup.store_jobs(jobs(spark, sf), folder, SCORE_TABLE_BUCKETS)
+    requests = table(spark, sf, "events").select("event_id", F.col("user_id").alias("jd_id"))
+    known = lookup.asked_jobs(requests, spark.read.parquet(folder), SCORE_TABLE_BUCKETS)
+    found = lookup.lookup_jobs(requests, known, "event_id")
+    return found.select(
+        "event_id", "jd_id", "found", F.length("jd_text").cast("bigint").alias("jd_chars"),
+        "category_detected", "qualifications", "requirements",
+    )
+
+
 @query
 def candidate_lookup(spark, sf):
     known = fx.load(spark, sf, fx.CANDIDATES)
@@ -528,6 +542,23 @@ def recommend_by_similarity(spark, sf):
     return found.select("label", F.col("candidate_email").alias("email"), "resume_path", "score", "rank")
 
 
+@query
+def recommend_by_similarity_filled(spark, sf):
+    """Twenty hits a category; a model is asked for the addresses that no rule finds, and answers some in plain words."""
+    def model(prompts):
+        def answer(prompt):
+            chars = len(prompt.split("Resume:\n", 1)[1])
+            return "unknown" if chars % 3 == 0 else json.dumps({"email": f"chars{chars}@example.org"})
+
+        return prompts.map(answer)
+
+    hits = similarity.inner_product_topk(category_vectors(spark, sf), corpus_vectors(spark, sf), "label", "vec_id", 20)
+    texts = resumes(spark, sf).drop("folder")
+    found = similarity.recommend(
+        hits.withColumnRenamed("vec_id", "resume_id"), texts, "label", "resume_id", "resume_text", fill_model=model)
+    return found.select("label", F.col("candidate_email").alias("email"), "resume_path", "score", "rank", "fill_error")
+
+
 # --- upserts and pipelines ---
 
 

@@ -51,6 +51,14 @@ def fill_gaps(answered: DataFrame) -> DataFrame:
     return parsed.select(*others, *filled, error.alias("fill_error"))
 
 
+def fill_field(answered: DataFrame, column: str, field: str) -> DataFrame:
+    """Fill ``column`` where it is null from ``field`` of the row's ``response``; ``fill_error`` is as for ``fill_gaps``."""
+    parsed = answered.withColumn("_parsed", parse_fenced(F.col("response")))
+    value = _offered(object_fields(F.col("_parsed.json"), (field,))[field])
+    error = F.col(column).isNull() & F.col("response").isNotNull() & ~F.col("_parsed.ok")
+    return parsed.withColumns({column: F.coalesce(column, value), "fill_error": error}).drop("response", "_parsed")
+
+
 def fill_missing(details: DataFrame, responses: DataFrame, on: str) -> DataFrame:
     """Fill from a table of responses with at most one row per ``on``."""
     return fill_gaps(details.join(responses.select(on, "response"), on, "left"))

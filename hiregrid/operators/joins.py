@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hiregrid.session import materialize
+from hiregrid.operators.measured import Written, write_measured
 
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 64 << 20
@@ -13,12 +13,15 @@ TASK_PAIRS = 2_000_000
 NULL_SALTS = 64
 
 
-def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+def fits_broadcast(df: DataFrame | Written, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
     """Whether ``df`` is small enough for every executor, by counting it.
 
-    Rows first, which for a stored table is metadata; only few rows are then
+    What was measured when it was written is not counted again. Of anything else
+    rows come first, which for a stored table is metadata; only few rows are then
     measured, text form standing in for the in-memory size.
     """
+    if isinstance(df, Written):
+        return df.rows <= max_rows and df.bytes <= max_bytes
     if df.count() > max_rows:
         return False
     size = F.coalesce(F.sum(F.length(F.to_json(F.struct("*")))), F.lit(0))
@@ -52,9 +55,8 @@ def join_on_key(
     rows, partners = left.groupBy(on).agg(F.count("*").alias("_n")), right.groupBy(on).agg(F.count("*").alias("_m"))
     pairs = F.col("_n").cast("double") * F.coalesce("_m", F.lit(1))
     salts = F.least(F.ceil(pairs / task_pairs), F.col("_n")).cast("int").alias("_salts")
-    hot = materialize(rows.join(partners, on, "left").where(pairs > task_pairs).select(on, salts), "hot-keys")
-    if fits_broadcast(hot):
-        hot = F.broadcast(hot)
+    written = write_measured(rows.join(partners, on, "left").where(pairs > task_pairs).select(on, salts), "hot-keys")
+    hot = F.broadcast(written.table) if fits_broadcast(written) else written.table
     spread = F.when(F.col(on).isNull(), F.lit(NULL_SALTS)).otherwise(F.coalesce("_salts", F.lit(1)))
     salted_left = left.join(hot, on, "left").withColumn("_salt", F.pmod(F.xxhash64(row_key), spread).cast("int")).drop("_salts")
     every = F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)

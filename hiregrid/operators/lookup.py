@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hiregrid.functions.dialect import strip
-from hiregrid.operators.joins import join_on_key
+from hiregrid.operators.joins import fits_broadcast, join_on_key
+from hiregrid.operators.measured import write_measured
 from hiregrid.operators.scoring import JOB_TEXTS
+from hiregrid.sources.tables import append, hash_bucket
 
 
 def email_key(email: Column) -> Column:
@@ -36,6 +38,23 @@ def lookup_jobs(
     })
 
 
+def store_jobs(jobs: DataFrame, path: str, buckets: int) -> None:
+    """Append ``jobs`` to the table at ``path``, which is partitioned by the hash bucket of the job id."""
+    append(jobs.withColumn("bucket", hash_bucket("jd_id", buckets)), path, partition_by=["bucket"])
+
+
+def asked_jobs(requests: DataFrame, stored: DataFrame, buckets: int) -> DataFrame:
+    """The rows of a job table, as ``store_jobs`` keeps it, that ``requests`` name.
+
+    The distinct ids asked for are measured as they are written. If they fit they are broadcast, and
+    Spark leaves the buckets none of them falls into unread; else it is a plain semi-join.
+    """
+    ids = requests.where(F.col("jd_id").isNotNull()).select("jd_id", hash_bucket("jd_id", buckets).alias("bucket")).distinct()
+    written = write_measured(ids, "asked")
+    asked = written.table.where(F.col("bucket") >= 0)  # all of them: Spark prunes by a side with a comparison only
+    return stored.join(F.broadcast(asked) if fits_broadcast(written) else asked, ["bucket", "jd_id"], "left_semi")
+
+
 def lookup_candidates(
     rows: DataFrame, candidates: DataFrame, email: str, row_key: str, name: str = "candidate_id", **options
 ) -> DataFrame:

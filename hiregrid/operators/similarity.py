@@ -14,10 +14,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hiregrid.functions.extract import email
+from hiregrid.functions.prompts import missing_fields_prompt
 from hiregrid.functions.text import run_lengths, run_starts, sorted_tokens
 from hiregrid.functions.vectors import to_unit
+from hiregrid.operators.details import fill_field
+from hiregrid.operators.hook import Model, model_responses
 from hiregrid.operators.joins import fits_broadcast, join_on_key
-from hiregrid.session import materialize
+from hiregrid.operators.measured import write_measured
 
 if TYPE_CHECKING:
     import pyarrow as pa
@@ -325,16 +328,31 @@ def category_columns(topk: DataFrame, query_id: str, corpus_id: str, k: int = 2)
     return topk.groupBy(query_id).agg(*ranked)
 
 
-def recommend(topk: DataFrame, documents: DataFrame, query_id: str, corpus_id: str, text: str) -> DataFrame:
+def recommend(
+    topk: DataFrame, documents: DataFrame, query_id: str, corpus_id: str, text: str, fill_model: Model | None = None
+) -> DataFrame:
     """Ranked hits with the candidate e-mail of each document.
 
     Only the documents that were hit are extracted. A blank text has no e-mail and
-    stays; hits whose document is absent drop out after ranking.
+    stays; hits whose document is absent drop out after ranking. ``fill_model`` is
+    asked for the e-mail of each document that shows none, once however often it
+    was hit, but not about a null text; a response that is no JSON leaves it null and sets ``fill_error``.
     """
-    topk = materialize(topk, "topk")
-    if fits_broadcast(topk):
-        hits = documents.join(F.broadcast(topk), corpus_id)
-    else:
-        # One document may be a hit of very many queries.
-        hits = join_on_key(topk, documents, corpus_id, row_key=query_id, broadcast=False)
-    return hits.withColumn("candidate_email", email(F.col(text))).drop(text)
+    written = write_measured(topk, "topk")
+    topk, small = written.table, fits_broadcast(written)
+    address = email(F.col(text))
+    if fill_model is None:
+        if small:
+            hits = documents.join(F.broadcast(topk), corpus_id)
+        else:
+            # One document may be a hit of very many queries.
+            hits = join_on_key(topk, documents, corpus_id, row_key=query_id, broadcast=False)
+        return hits.withColumn("candidate_email", address).drop(text)
+
+    wanted = topk.select(corpus_id).distinct()
+    reached = documents.join(F.broadcast(wanted) if small else wanted, corpus_id, "left_semi").withColumn("candidate_email", address)
+    unknown = F.when(F.col("candidate_email").isNull() & F.col(text).isNotNull(), F.array(F.lit("email")))
+    asked = reached.withColumn("_prompt", missing_fields_prompt(unknown, F.col(text))).drop(text)
+    answered = fill_field(model_responses(asked, "_prompt", fill_model), "candidate_email", "email")
+    known = write_measured(answered, "emails")  # a model's answers are not computed twice
+    return join_on_key(topk, known.table, corpus_id, row_key=query_id, broadcast=fits_broadcast(known))

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from hiregrid.operators.analysis import CATEGORY_SCHEMA, SCORE_FIELDS, category_score_rows
 from hiregrid.operators.joins import fits_broadcast, join_on_key
 from hiregrid.operators.lookup import email_key
+from hiregrid.operators.measured import write_measured
 from hiregrid.operators.ranking import WINDOW_ROWS, number_rows
 from hiregrid.session import materialize
 from hiregrid.sources.tables import SnapshotTable, hash_bucket, stored_or_empty
@@ -60,16 +61,17 @@ def upsert_candidates(
         (F.col(source) if source else F.lit(None).cast("string")).alias(target)
         for target, source in CANDIDATE_VALUES.items()
     ]
-    latest = materialize(
+    written = write_measured(
         keyed.where(F.col("_key").isNotNull())
         .groupBy("_key")
         .agg(F.max_by(F.struct(*values), F.col(last)).alias("_new"), F.min(first).alias("_seq")),
         "latest",
     )
+    latest = written.table
     columns = snapshot.columns
     known = snapshot.withColumn("_key", email_key(F.col("candidate_email")))
 
-    unique = {"row_key": "candidate_id", "broadcast": fits_broadcast(latest), "task_pairs": None}
+    unique = {"row_key": "candidate_id", "broadcast": fits_broadcast(written), "task_pairs": None}
     merged = join_on_key(known, latest, "_key", "left", **unique)
     touched = F.col("_new").isNotNull()
     updates = {c: F.when(touched, F.col(f"_new.{c}")).otherwise(F.col(c)) for c in CANDIDATE_VALUES}
@@ -78,7 +80,7 @@ def upsert_candidates(
 
     matched = join_on_key(known.select("_key"), latest.select("_key"), "_key", **unique)
     unknown = latest.join(matched, "_key", "left_anti")
-    fresh = number_rows(unknown, [], [F.col("_seq")], "_n", window_rows, at_most=latest.count())
+    fresh = number_rows(unknown, [], [F.col("_seq")], "_n", window_rows, at_most=written.rows)
     if last_id is None:
         last_id = max_id(snapshot, "candidate_id")
     created = {

@@ -24,6 +24,7 @@ from hiregrid.operators.hook import Model, complete_details
 from hiregrid.operators.intake import scan_folder
 from hiregrid.operators.joins import fits_broadcast, join_on_key
 from hiregrid.operators.lookup import email_key, lookup_candidates, lookup_jobs
+from hiregrid.operators.measured import write_measured
 from hiregrid.operators.ranking import rank_resumes, summarize
 from hiregrid.operators.scoring import (
     pair_jobs_with_resumes,
@@ -129,11 +130,12 @@ def recommend(
     gated = materialize(gate_requests(requests), "requests")
     refused = gated.where(F.col("reject_reason").isNotNull())
     asked = gated.where(F.col("reject_reason").isNull()).select(*REQUEST).distinct()
-    looked_up = materialize(lookup_jobs(asked, jobs.drop("folder"), "folder", columns=()), "looked-up")
+    written = write_measured(lookup_jobs(asked, jobs.drop("folder"), "folder", columns=()), "looked-up")
+    looked_up = written.table
     found = looked_up.where("found").drop("found")
     not_found = looked_up.where(~F.col("found")).select(*REQUEST)
 
-    small = {"broadcast": fits_broadcast(found)}
+    small = {"broadcast": fits_broadcast(written) or fits_broadcast(found)}
     folders = found.select("folder").distinct()
     few_folders = small["broadcast"] or fits_broadcast(folders)
     in_scope = scan_folder(resumes)
@@ -171,8 +173,8 @@ def recommend(
         stored = candidates(reached)
     else:
         stored = materialize(upsert_candidates(candidates, reached, at, first="_first", last="_last")[0], "candidates")
-    ids = materialize(lookup_candidates(reached.select("resume_path", "email"), stored, "email", "resume_path").drop("email"), "ids")
-    results = join_on_key(ranked, ids, "resume_path", "left", row_key="rank", broadcast=fits_broadcast(ids))
+    ids = write_measured(lookup_candidates(reached.select("resume_path", "email"), stored, "email", "resume_path").drop("email"), "ids")
+    results = join_on_key(ranked, ids.table, "resume_path", "left", row_key="rank", broadcast=fits_broadcast(ids))
 
     place = F.struct("folder", "rank").alias("_place")
     batch = results.select("jd_id", "candidate_id", *SCORE_FIELDS, "reason", place)

@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+_RUN: ContextVar[str | None] = ContextVar("run folder", default=None)
+
 
 def build_session(app_name: str = "hiregrid", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings every plan here assumes.
@@ -45,6 +50,28 @@ def shared_folder(spark: SparkSession) -> str:
     return shared_folder(spark)
 
 
+def intermediate_folder(spark: SparkSession) -> str:
+    """Where intermediate tables go: the folder of the run, if there is one, else the shared folder."""
+    return _RUN.get() or shared_folder(spark)
+
+
+@contextmanager
+def run_folder(spark: SparkSession) -> Iterator[str]:
+    """Intermediate tables made inside lie in one folder, which is deleted at the end, also after an error.
+
+    Everything that reads them must be written inside; frames made here can't be read afterwards. Of runs inside one
+    another each has its own folder.
+    """
+    folder = f"{shared_folder(spark)}/run-{uuid.uuid4().hex}"
+    token = _RUN.set(folder)
+    try:
+        yield folder
+    finally:
+        _RUN.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` once under the shared folder and return the written table.
 
@@ -53,6 +80,6 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     however many consumers follow.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{intermediate_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

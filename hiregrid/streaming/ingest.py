@@ -14,16 +14,24 @@ from hiregrid.operators.lookup import email_key
 from hiregrid.operators.ranking import number_rows
 from hiregrid.operators.upsert import upsert_candidates
 from hiregrid.plans.ingest import ingest_jobs, numbered_from
-from hiregrid.session import materialize
+from hiregrid.session import materialize, run_folder
 from hiregrid.sources.files import documents_of, read_pages
 from hiregrid.sources.ranges import IdRanges
 from hiregrid.sources.tables import SnapshotTable
 
 
 def run_available(stream: DataFrame, checkpoint: str, on_batch: Callable[[DataFrame, int], None]) -> StreamingQuery:
-    """Process what has arrived, batch by batch, then stop. Restarts resume at the checkpoint."""
+    """Process what has arrived, batch by batch, then stop. Restarts resume at the checkpoint.
+
+    A batch's intermediate tables are deleted when it is done, so a stream leaves nothing but its sinks.
+    """
+
+    def in_its_folder(batch: DataFrame, batch_id: int) -> None:
+        with run_folder(batch.sparkSession):
+            on_batch(batch, batch_id)
+
     return (
-        stream.writeStream.foreachBatch(on_batch)
+        stream.writeStream.foreachBatch(in_its_folder)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

@@ -74,3 +74,15 @@ def test_topk_limits_before_the_shuffle(plan, spark):
     head = text.split("\n\n")[0]
     assert head.count("WindowGroupLimit") == 2 and head.count("Exchange") == 1
     assert "CartesianProduct" not in text and "NestedLoop" not in text
+
+
+def test_lookup_prunes_the_stored_jobs(plan, spark, stored, tmp_path):
+    known = stored("jobs")
+    lookup.store_jobs(known, str(tmp_path), 8)
+    wanted = [row["jd_id"] for row in known.select("jd_id").orderBy("jd_id").limit(2).collect()]
+    requests = spark.createDataFrame([(n, jd) for n, jd in enumerate([*wanted, wanted[0], -5, None])], "request int, jd_id bigint")
+    asked = lookup.asked_jobs(requests, spark.read.parquet(str(tmp_path)), 8)
+    assert "dynamicpruning" in plan(asked).lower()
+    assert sorted(row["jd_id"] for row in asked.collect()) == wanted
+    found = lookup.lookup_jobs(requests, asked, "request").select("request", "found").collect()
+    assert {r["request"]: r["found"] for r in found} == {0: True, 1: True, 2: True, 3: False, 4: False}
