@@ -50,6 +50,16 @@ def shared_folder(spark: SparkSession) -> str:
     return shared_folder(spark)
 
 
+def _file_system(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), path
+
+
+def folder_exists(spark: SparkSession, folder: str) -> bool:
+    files, path = _file_system(spark, folder)
+    return files.exists(path)
+
+
 def intermediate_folder(spark: SparkSession) -> str:
     """Where intermediate tables go: the folder of the run, if there is one, else the shared folder."""
     return _RUN.get() or shared_folder(spark)
@@ -68,8 +78,8 @@ def run_folder(spark: SparkSession) -> Iterator[str]:
         yield folder
     finally:
         _RUN.reset(token)
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        files, path = _file_system(spark, folder)
+        files.delete(path, True)
 
 
 def materialize(df: DataFrame, label: str = "stage") -> DataFrame:

@@ -11,12 +11,12 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from hiregrid.functions.dialect import strip
+from hiregrid.session import folder_exists
 
 VERSION_SCHEMA = "version bigint, batch_id string, bucket int, path string, high bigint"
 
@@ -41,12 +41,9 @@ def hash_bucket(key: str, buckets: int) -> Column:
 
 def stored_or_empty(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
     """The parquet table at ``path``, or no rows if nothing was written there yet."""
-    try:
+    if folder_exists(spark, path):
         return spark.read.schema(schema).parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
+    return spark.createDataFrame([], schema)
 
 
 def balanced(scan: DataFrame, key: str) -> DataFrame:
