@@ -419,6 +419,10 @@ ORACLES: dict[str, str] = {
         row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS rank FROM dots) WHERE rank <= 5""",
     "category_topk": f"""WITH {_CENTROIDS} SELECT vec_id, label, score, rank FROM (SELECT *,
         row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, label) AS rank FROM dots) WHERE rank <= 2""",
+    "resume_neighbours": f"""WITH {_CENTROIDS}, whole AS (SELECT vec_id, list(x ORDER BY i) AS v FROM unit GROUP BY vec_id),
+        pairs AS (SELECT q.vec_id AS asked_id, c.vec_id, round(list_dot_product(q.v, c.v), 6) AS score FROM whole q CROSS JOIN whole c)
+        SELECT asked_id, vec_id, score, rank FROM (SELECT *,
+          row_number() OVER (PARTITION BY asked_id ORDER BY score DESC, vec_id) AS rank FROM pairs) WHERE rank <= 10""",
     "category_columns": f"""WITH {_CENTROIDS} SELECT vec_id, max(CASE WHEN rank = 1 THEN label END) AS category1_id,
         max(CASE WHEN rank = 2 THEN label END) AS category2_id FROM (SELECT *,
         row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, label) AS rank FROM dots) GROUP BY vec_id""",

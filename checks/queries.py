@@ -516,6 +516,14 @@ def category_topk(spark, sf):
     return similarity.inner_product_topk(corpus_vectors(spark, sf), category_vectors(spark, sf), "vec_id", "label", 2)
 
 
+@query
+def resume_neighbours(spark, sf):
+    """Every vector's ten nearest among all, by the way that leaves out cells by their bound."""
+    return similarity.inner_product_topk(
+        corpus_vectors(spark, sf).withColumnRenamed("vec_id", "asked_id"), corpus_vectors(spark, sf), "asked_id", "vec_id", 10,
+        strategy="bounded")
+
+
 @query
 def category_columns(spark, sf):
     return similarity.category_columns(category_topk(spark, sf), "vec_id", "label")

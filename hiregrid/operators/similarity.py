@@ -17,6 +17,7 @@ from hiregrid.functions.extract import email
 from hiregrid.functions.prompts import missing_fields_prompt
 from hiregrid.functions.text import run_lengths, run_starts, sorted_tokens
 from hiregrid.functions.vectors import to_unit
+from hiregrid.operators.bounded import bounded_hits
 from hiregrid.operators.details import fill_field
 from hiregrid.operators.hook import Model, model_responses
 from hiregrid.operators.joins import fits_broadcast, join_on_key
@@ -86,6 +87,12 @@ def _parts(df: DataFrame, column: str, rows: int, values: int) -> int:
     return max(1, -(-n // rows), -(-total // values))
 
 
+def _width(df: DataFrame) -> int:
+    """Numbers in a dense vector of ``df``; 0 if it has no rows."""
+    row = df.select(F.size("vector").alias("n")).first()
+    return row["n"] if row else 0
+
+
 def _lists():
     """Arrow list columns as numpy: (length of each list, flat Arrow values)."""
 
@@ -231,8 +238,10 @@ def inner_product_topk(
     * ``corpus``: the corpus fits a block; each query row is settled where it is.
     * ``queries``: the queries fit a block; one pass over the corpus, each task
       emitting at most k rows per query.
-    * ``grid``: neither fits; both sides are hashed into blocks, and each pair of
-      blocks is scored by one task that emits at most k rows per query.
+    * ``bounded``: neither fits, dense vectors; each query visits only those cells
+      of the corpus that may hold one of its best (see ``bounded``).
+    * ``grid``: neither fits, term vectors; both sides are hashed into blocks, and each
+      pair of blocks is scored by one task that emits at most k rows per query.
     """
     dense = "tokens" not in corpus.columns
     columns = ["vector"] if dense else ["tokens", "weights"]
@@ -243,7 +252,7 @@ def inner_product_topk(
         elif _fits_block(queries, columns[0]):
             strategy = "queries"
         else:
-            strategy = "grid"
+            strategy = "bounded" if dense else "grid"
 
     scorer = _dense_scorer() if dense else _sparse_scorer()
     best, merge = _selector(k)
@@ -266,6 +275,16 @@ def inner_product_topk(
             "score": pa.array(value, pa.float64()),
         })
 
+    def score_cell(block: pa.Table, cell: pa.Table) -> pa.Table:
+        import numpy as np
+
+        hits = (np.empty(0, "int64"), np_ids(cell.slice(0, 0)), np.empty(0))
+        if len(block) and len(cell):
+            score = scorer(block)
+            for part in slices(cell, len(block)):
+                hits = merge(hits, best(score(part), np_ids(part)))
+        return hits_table(block, cell, hits)
+
     if strategy == "corpus":
         block = corpus.toArrow()  # at most BLOCK_ROWS rows, counted above
 
@@ -292,6 +311,10 @@ def inner_product_topk(
                 yield from hits_table(block, part, hits).to_batches()
 
         found = corpus.mapInArrow(against_queries, schema)
+    elif strategy == "bounded":
+        cell_rows = max(1, min(cell_rows, CELL_VALUES // max(1, _width(corpus))))
+        block_rows = max(1, min(block_rows, BLOCK_VALUES // max(1, _width(corpus))))
+        found = bounded_hits(queries, corpus, query_id, corpus_id, k, score_cell, schema, block_rows, cell_rows)
     else:
         blocks = _parts(queries, columns[0], block_rows, BLOCK_VALUES)
         cells = _parts(corpus, columns[0], cell_rows, CELL_VALUES)
@@ -302,16 +325,6 @@ def inner_product_topk(
                 other, F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))
             )
 
-        def score_cell(block: pa.Table, cell: pa.Table) -> pa.Table:
-            import numpy as np
-
-            hits = (np.empty(0, "int64"), np_ids(cell.slice(0, 0)), np.empty(0))
-            if len(block) and len(cell):
-                score = scorer(block)
-                for part in slices(cell, len(block)):
-                    hits = merge(hits, best(score(part), np_ids(part)))
-            return hits_table(block, cell, hits)
-
         left = spread(queries, query_id, "_block", blocks, "_cell", cells).groupBy("_block", "_cell")
         right = spread(corpus, corpus_id, "_cell", cells, "_block", blocks).groupBy("_block", "_cell")
         found = left.cogroup(right).applyInArrow(lambda block, cell: score_cell(block, cell), schema)

@@ -7,9 +7,10 @@ from collections import Counter
 
 import pytest
 
-from hiregrid.operators import similarity
+from hiregrid.operators import bounded, similarity
 
 STRATEGIES = ["corpus", "queries", "grid"]
+DENSE = [*STRATEGIES, "bounded"]
 
 
 def brute_force(queries, corpus, k):
@@ -27,7 +28,7 @@ def run(queries, corpus, k, strategy):
     return {(r.q, r.c, round(r.score, 6), r["rank"]) for r in topk.collect()}
 
 
-@pytest.mark.parametrize("strategy", STRATEGIES)
+@pytest.mark.parametrize("strategy", DENSE)
 def test_dense(spark, strategy):
     rng = random.Random(1)
     # Coarse values make ties; string ids on the corpus side.
@@ -41,7 +42,7 @@ def test_dense(spark, strategy):
     assert found == brute_force(queries, corpus, 5)
 
 
-@pytest.mark.parametrize("strategy", STRATEGIES)
+@pytest.mark.parametrize("strategy", DENSE)
 def test_fewer_than_k(spark, strategy):
     queries = spark.createDataFrame([(1, [1.0, 0.0])], "q int, vector array<double>")
     corpus = spark.createDataFrame([(1, [0.5, 0.0]), (2, [-0.5, 0.0])], "c int, vector array<double>")
@@ -50,6 +51,28 @@ def test_fewer_than_k(spark, strategy):
     assert run(queries.limit(0), corpus, 5, strategy) == set()
 
 
+def test_bounds_leave_out_cells(spark):
+    """Vectors around twenty centres, a third of them equal: most cells are not visited, and nothing is lost."""
+    rng = random.Random(5)
+    centres = [[rng.gauss(0, 1) for _ in range(8)] for _ in range(20)]
+
+    def near(centre):
+        return [x + rng.gauss(0, 0.05) for x in centre]
+
+    corpus = {i: centres[0] if i % 3 == 0 else near(centres[i % 20]) for i in range(600)}
+    queries = {i: near(centres[i % 20]) for i in range(40)}
+    asked = spark.createDataFrame(list(queries.items()), "q int, vector array<double>")
+    known = spark.createDataFrame(list(corpus.items()), "c int, vector array<double>").repartition(5)
+    assert run(asked, known, 5, "bounded") == brute_force(queries, corpus, 5)
+
+    cells = bounded.cut_into_cells(known, "c")
+    assert len(cells.pivots) == 25 and cells.sizes.sum() == 600 and cells.rows.count() == 600
+    floors = {q: sorted((sum(a * b for a, b in zip(v, x)) for x in corpus.values()), reverse=True)[4] for q, v in queries.items()}
+    floored = asked.join(spark.createDataFrame(list(floors.items()), "q int, floor double"), "q")
+    visited = bounded.visits(floored, cells, 5, first=False).count() + bounded.visits(asked, cells, 5, first=True).count()
+    assert visited <= 0.5 * len(queries) * (cells.sizes > 0).sum()
+
+
 def terms(text):
     counts = Counter(re.findall(r"\w+", text.lower()))
     norm = math.sqrt(sum(n * n for n in counts.values()))
