@@ -238,10 +238,11 @@ def inner_product_topk(
     * ``corpus``: the corpus fits a block; each query row is settled where it is.
     * ``queries``: the queries fit a block; one pass over the corpus, each task
       emitting at most k rows per query.
-    * ``bounded``: neither fits, dense vectors; each query visits only those cells
-      of the corpus that may hold one of its best (see ``bounded``).
-    * ``grid``: neither fits, term vectors; both sides are hashed into blocks, and each
-      pair of blocks is scored by one task that emits at most k rows per query.
+    * ``grid``: neither fits; both sides are hashed into blocks, and each pair of
+      blocks is scored by one task that emits at most k rows per query.
+    * ``bounded``: only if asked for, dense vectors; each query visits those cells of
+      the corpus that may hold one of its best (see ``bounded``). It pays where
+      vectors lie in clusters; where they don't, every cell is visited.
     """
     dense = "tokens" not in corpus.columns
     columns = ["vector"] if dense else ["tokens", "weights"]
@@ -252,7 +253,7 @@ def inner_product_topk(
         elif _fits_block(queries, columns[0]):
             strategy = "queries"
         else:
-            strategy = "bounded" if dense else "grid"
+            strategy = "grid"
 
     scorer = _dense_scorer() if dense else _sparse_scorer()
     best, merge = _selector(k)
