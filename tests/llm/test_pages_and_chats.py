@@ -93,6 +93,28 @@ def test_blocks():
     assert article("<" * 20_000) == ["<" * 20_000]
 
 
+SAID = ["ad-slot", "related-posts", "cookie-notice", "comment-list", "wp-comments-area", "side-bar", "post__comments", "share-buttons"]
+UNSAID = ["has-sidebar", "no-comments", "notice-board", "related-work", "social-impact", "code-comment", "entry-content", "shared-memory"]
+
+
+@pytest.mark.parametrize("around", ["<article>{}</article>", "<main>{}</main>", "<div class=post>{}</div>", "<div>{}</div>", "{}"])
+def test_names_of_several_words(around):
+    """No block of such a class stays and no other block goes, wherever the page says that its article is, or not at all."""
+    parts = [f"<div class='wide {name}'><p>x{n}</p><ul><li>x{n}</ul></div><p>text {n} of the page</p>" for n, name in enumerate(SAID)]
+    parts += [f"<section class='{name}'><h2 class='ad-title'>h{n}</h2><p>kept {n}</section>" for n, name in enumerate(UNSAID)]
+    parts.append("<div class='comment-list'><article><p>" + "a long reply " * 200 + "</article></div>")
+    found = article(around.format("".join(parts)))
+    assert found == [f"text {n} of the page" for n in range(len(SAID))] + [t for n in range(len(UNSAID)) for t in (f"h{n}", f"kept {n}")]
+
+
+def test_parts_of_names_do_not_mark_most_of_a_page():
+    assert article("<article><div class='widget-body'><p>all of the text</p><nav>n</nav></div><p>b</article>") == ["all of the text", "b"]
+    assert article("<div class='menu-page'><main><p>a</main></div><p>c") == ["a"]
+    assert article("<div class='ad-hoc'><p>one two three</div>") == ["one two three"]
+    page = "<article><p>a<a class='share-link'>b</a> c</p><p>d<div id='ad-hoc'>e</div></article>"
+    assert article(page) == ["ab c", "d", "e"]
+
+
 def test_names_do_not_mark_articles():
     body = "<article class='social'><p>one</p><section id='related-work'><h2 id='social-impact'>two</h2><p>three</section></article>"
     for top in ("<html class='has-sidebar'><body class='single has-sidebar menu'>", "<body id='comments' class='nav'><main class='widget'>",
