@@ -41,7 +41,7 @@ RULES = (
     Rule("access", r"AKIA[A-Z0-9]{16,}", 20),
     Rule("hex", r"[0-9a-f]{24,}", 24),
 )
-FINDINGS = "blob string, rule int, kind string, start bigint, end bigint"
+FINDINGS = "blob string, kind string, start bigint, end bigint, version int"
 SCANNED = "blob string, kind string, version int"
 
 
@@ -63,7 +63,7 @@ class Ledger:
         return self.read(spark, "scanned", SCANNED)
 
     def findings(self, spark) -> DataFrame:
-        return self.read(spark, "findings", FINDINGS + ", version int")
+        return self.read(spark, "findings", FINDINGS)
 
 
 def new_ledger(spark) -> Ledger:
@@ -101,7 +101,7 @@ def scan(blobs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     kind = F.element_at(F.array(*[F.lit(r.kind) for r in rules]), F.col("rule") + 1)
     version = F.element_at(F.array(*[F.lit(r.version) for r in rules]), F.col("rule") + 1)
     return rows.withColumn("end", F.sum(F.col("gap") + F.col("long")).over(so_far)).where(F.col("judged") >= least).select(
-        "blob", "rule", kind.alias("kind"), (F.col("end") - F.col("long")).alias("start"), "end", version.alias("version")
+        "blob", kind.alias("kind"), (F.col("end") - F.col("long")).alias("start"), "end", version.alias("version")
     )
 
 
@@ -131,7 +131,9 @@ def findings_by_path(docs: DataFrame, ledger: Ledger, rules: tuple[Rule, ...] =
     """``docs(doc_id, text)``, one row each: spans (rule, kind, start, end) in order of start, then rule."""
     spark = docs.sparkSession
     current = F.array(*[F.lit(f"{r.kind}:{r.version}") for r in rules])
-    found = ledger.findings(spark).where(F.array_contains(current, F.concat_ws(":", "kind", "version")))
+    # A finding is stored under its kind and version; its place among the rules is that of the list given now.
+    number = (F.array_position(current, F.concat_ws(":", "kind", "version")) - 1).cast("int")
+    found = ledger.findings(spark).withColumn("rule", number).where("rule >= 0")
     by_blob = found.groupBy("blob").agg(F.array_sort(F.collect_set(F.struct("start", "rule", "kind", "end"))).alias("spans"))
     paths = docs.select("doc_id", blob_id(F.col("text")).alias("blob"))
     empty = F.array().cast("array<struct<start:bigint,rule:int,kind:string,end:bigint>>")
