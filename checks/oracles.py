@@ -37,6 +37,7 @@ def after_header(lines: str, words: str) -> str:
     return f"CASE WHEN coalesce({at}, 0) > 0 THEN {lines}[{at} + 1:] END"
 
 
+# The field patterns and header words of the extraction rules.
 _PHONE = rf"(\+?1[-.{SPACE}]?)?(\(?\p{{Nd}}{{3}}\)?[-.{SPACE}]?)?\p{{Nd}}{{3}}[-.{SPACE}]?\p{{Nd}}{{4}}"
 _PROFILE = r"https?://(www\.)?linkedin\.com/in/[A-Za-z0-9\-_]+"
 _DEGREES = (

@@ -63,6 +63,7 @@ PROFILE = r"https?://(?:www\.)?linkedin\.com/in/[A-Za-z0-9\-_]+"
 LOCATION_LINES = 10
 SKILL_LENGTH_LIMIT = 40
 
+# What counts as an address, a telephone number, a span of years and a profile link.
 _ADDRESS = rf"[{WORD}.+-]"
 _EMAIL = rf"(?<!{_ADDRESS}){_ADDRESS}++@[{WORD}-]+\.[{WORD}.-]+"
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The keys a response must have. The wording around them is free.
 FIELD_HINTS = (
     ("name", "full name"),
     ("email", "e-mail address"),

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 INFO, ERROR = "INFO", "ERROR"
 JD_ANALYSIS = "JD_Analysis"
 CANDIDATE_PARSING = "Candidate_Parsing"
-CANDIDATE_UPSERT = "Candidate_Upsert"
 SCORE_RECOMMENDATION = "Score_Recommendation"
 
 # Log messages about files and candidates.
@@ -32,7 +31,7 @@ def union_audits(*audits: DataFrame) -> DataFrame:
 
 
 def job_saved_message() -> Column:
-    """Message of a saved job; needs categories, qualifications, requirements."""
+    """Message of a saved job; needs categories, qualifications, requirements. Its wording is a fixed value."""
     return F.concat(
         F.lit("JD saved (detected='"), F.array_join("categories", ","),
         F.lit("', quals='"), F.coalesce("qualifications", F.lit("None")),

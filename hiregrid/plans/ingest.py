@@ -17,6 +17,8 @@ from hiregrid.operators.ranking import WINDOW_ROWS, number_rows
 from hiregrid.session import materialize
 
 NO_CATEGORY = "category is null"
+# Fixed value: the start of the message about an upload that cannot be saved.
+UNHANDLED = "Unhandled exception in /upload: "
 
 
 @dataclass
@@ -75,7 +77,7 @@ def ingest_jobs(uploads: DataFrame, responses: DataFrame, key: str, at: Column)
     audit = union_audits(
         upload_audit(gated, (key,)),
         audit_rows(saved, INFO, JD_ANALYSIS, job_saved_message(), (key,)),
-        audit_rows(failed, ERROR, JD_ANALYSIS, F.lit(f"Unhandled exception in /upload: {NO_CATEGORY}"), (key,)),
+        audit_rows(failed, ERROR, JD_ANALYSIS, F.lit(UNHANDLED + NO_CATEGORY), (key,)),
     )
     return Ingest(
         replies=saved.select(key, "categories", "qualifications", "requirements"),
