@@ -312,11 +312,19 @@ SELECT d.resume_id, {", ".join(_filled(f) for f in FIELDS)},
 FROM details d LEFT JOIN answers a ON d.resume_id = a.resume_id"""
 
 
-_SCORE_PROMPTS = f"""{_RESUMES}, {_JOBS} SELECT jd_id, resume_id,
+
+
+def _score_prompts(columns: str, jobs: str, folder: str) -> str:
+    return f"""{_RESUMES}, {_JOBS} SELECT {columns},
         'Rate from 0 (none) to 10 (full) how well the resume fits each part of the job.'{_NL}'Category:'{_NL}coalesce(category_detected, '')
         {_NL}'Requirements:'{_NL}coalesce(requirements, ''){_NL}'Qualifications:'{_NL}coalesce(qualifications, ''){_NL}'Resume:'{_NL}
         {strip('array_to_string(skills, chr(32))')}{_NL}'Answer with one JSON object with the numbers "category_score", "requirements_score", "qualifications_score" and "final_score", and a short "reason".' AS prompt
-        FROM jobs j JOIN details d ON j.folder = d.folder WHERE {_SCANNED}"""
+        FROM {jobs} JOIN details d ON {folder} = d.folder WHERE {_SCANNED}"""
+
+
+_SCORE_PROMPTS = _score_prompts("jd_id, resume_id", "jobs j", "j.folder")
+_REQUEST_PROMPTS = _score_prompts(
+    "jd_id, q.folder, resume_path", f"{_ACCEPTED} q JOIN (SELECT * EXCLUDE (folder) FROM jobs) j USING (jd_id)", "q.folder")
 
 _HOOK_MEMBERS = f"""
 found AS (SELECT resume_id, CASE WHEN length(resume_text) % 4 = 3 THEN '' ELSE '{{"current_location":"'
@@ -542,6 +550,10 @@ ORACLES |= {
         SELECT jd_id, folder, resume_path, CAST(row_number() OVER (PARTITION BY jd_id, folder ORDER BY coalesce(final_score, 0) DESC, resume_path) AS DOUBLE) AS rank,
           final_score, CAST(NULL AS VARCHAR) AS error FROM judged WHERE trouble IS NULL
         UNION ALL SELECT jd_id, folder, resume_path, NULL, NULL, trouble FROM judged WHERE trouble IS NOT NULL""",
+    "recommend_model": f"""WITH rated AS (SELECT *, length(prompt) AS n FROM ({_REQUEST_PROMPTS}))
+        SELECT jd_id, folder, resume_path, CAST(row_number() OVER (PARTITION BY jd_id, folder ORDER BY n % 11 DESC, resume_path) AS DOUBLE) AS rank,
+          CAST(n % 11 AS DOUBLE) AS final_score, CAST(n AS VARCHAR) AS reason, CAST(NULL AS VARCHAR) AS error FROM rated WHERE n % 7 <> 6
+        UNION ALL SELECT jd_id, folder, resume_path, NULL, NULL, NULL, 'no JSON in response' FROM rated WHERE n % 7 = 6""",
     "stream_recommend": ORACLES["recommend"],
     "score_merge": ORACLES["score_upsert"],
 }

@@ -384,19 +384,21 @@ def score_from_responses(spark, sf):
     return scored.select("jd_id", "resume_id", *analysis.SCORE_FIELDS, "reason")
 
 
-@query
-def score_model(spark, sf):
-    def model(prompts):
-        # Stands for a model: rates by the length of the prompt, and fails on some.
-        def answer(prompt):
-            if len(prompt) % 7 == 6:
-                raise ValueError("no answer")
-            return 'Rated: {"final_score":%d,"reason":"%d"}' % (len(prompt) % 11, len(prompt))
+def rating_model(prompts):
+    """Stands for a model: rates by the length of the prompt, and fails on some."""
+
+    def answer(prompt):
+        if len(prompt) % 7 == 6:
+            raise ValueError("no answer")
+        return 'Rated: {"final_score":%d,"reason":"%d"}' % (len(prompt) % 11, len(prompt))
+
+    return prompts.map(answer)
 
-        return prompts.map(answer)
 
+@query
+def score_model(spark, sf):
     known = intake.scan_folder(resume_details(spark, sf)).drop("resume_text")
-    scored, failed = scoring.score_by_model(jobs(spark, sf), known, model)
+    scored, failed = scoring.score_by_model(jobs(spark, sf), known, rating_model)
     keys = ["jd_id", "resume_id", "final_score", "reason"]
     return scored.select(*keys, F.lit(None).cast("string").alias("error")).unionByName(failed.select(*keys, "error"))
 
@@ -681,6 +683,21 @@ def recommend_responses(spark, sf):
     return ranked.unionByName(failed)
 
 
+@query
+def recommend_model(spark, sf):
+    """The recommendation from a user's model: results, and the pairs that it could not rate."""
+    done = recommend(
+        requests=fx.load(spark, sf, fx.REQUESTS), jobs=jobs(spark, sf), resumes=resumes(spark, sf),
+        candidates=fx.load(spark, sf, fx.CANDIDATES), scores=None, at=batch_time(), model=rating_model,
+    )
+    keys, none = ["jd_id", "folder", "resume_path"], F.lit(None)
+    failed = done.failed.select(
+        *keys, none.cast("double").alias("rank"), none.cast("double").alias("final_score"), none.cast("string").alias("reason"), "error")
+    ranked = done.results.select(
+        *keys, F.col("rank").cast("double").alias("rank"), "final_score", "reason", none.cast("string").alias("error"))
+    return ranked.unionByName(failed)
+
+
 @query
 def stream_ingest(spark, sf):
     schema = table(spark, sf, "customer").schema
