@@ -113,7 +113,9 @@ def update(docs: DataFrame, ledger: Ledger, rules: tuple[Rule, ...] = RULES) ->
     none = F.array().cast("array<string>")
     names = [f"{r.kind}:{r.version}" for r in rules]
     if done is not None:
-        seen = done.groupBy("blob").agg(F.collect_set(F.concat_ws(":", "kind", "version")).alias("seen"))
+        # Only the batch's blobs are grouped; a small batch is broadcast to the ledger, which is then read but not shuffled.
+        asked = done.join(texts.select("blob").distinct(), "blob", "left_semi")
+        seen = asked.groupBy("blob").agg(F.collect_set(F.concat_ws(":", "kind", "version")).alias("seen"))
         texts = texts.join(seen, "blob", "left").withColumn("seen", F.coalesce("seen", none)).where(
             F.size(F.array_except(F.array(*map(F.lit, names)), F.col("seen"))) > 0
         )
