@@ -19,18 +19,19 @@ def number_rows(
 ) -> DataFrame:
     """Number the rows of each ``by`` group 1, 2, … in ``order``, a total order.
 
-    ``by`` columns are never null. Up to ``window_rows`` rows a window does it,
-    since no task can then hold more. Beyond that, one global sort
-    range-partitions the rows, so that a group of any size is cut into balanced
-    ranges; each row gets its position in its range, and the sizes of the
-    earlier ranges of its group are added. The input is written once, to be
-    counted, unless it is known to have ``at_most`` so few rows.
+    ``by`` columns are never null. While no group has more than ``window_rows``
+    rows a window does it: the rows are shuffled once, and a task never holds
+    more than a group. Beyond that, one global sort range-partitions the rows,
+    so that a group of any size is cut into balanced ranges; each row gets its
+    position in its range, and the sizes of the earlier ranges of its group are
+    added. The input is written once, to count its largest group, unless groups
+    are known to have ``at_most`` so few rows.
     """
     number = F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("bigint")
     if at_most is not None and at_most <= window_rows:
         return df.withColumn(name, number)
     stored = materialize(df, "unnumbered")
-    if stored.count() <= window_rows:
+    if stored.count() <= window_rows or by and _largest_group(stored, by) <= window_rows:
         return stored.withColumn(name, number)
 
     # monotonically_increasing_id numbers each range consecutively; writing fixes it.
@@ -53,6 +54,10 @@ def number_rows(
     )
 
 
+def _largest_group(df: DataFrame, by: list[str]) -> int:
+    return df.groupBy(*by).agg(F.count("*").alias("_n")).agg(F.coalesce(F.max("_n"), F.lit(0))).first()[0]
+
+
 def rank_resumes(
     scored: DataFrame, window_rows: int = WINDOW_ROWS, by: tuple[str, ...] = ("jd_id",), at_most: int | None = None
 ) -> DataFrame:

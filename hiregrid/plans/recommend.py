@@ -161,9 +161,10 @@ def recommend(
     else:
         pairs = pair_jobs_with_resumes(found.select(*REQUEST), details, **small)
         scored, failed = score_from_responses(pairs, responses, ["jd_id", "resume_path"])
-    pairs_of = found.groupBy("folder").agg(F.count("*").alias("_jobs")).join(
-        extracted.groupBy("folder").agg(F.count("*").alias("_resumes")), "folder")
-    at_most = pairs_of.agg(F.coalesce(F.sum(F.col("_jobs") * F.col("_resumes")), F.lit(0))).first()[0]
+    # A request is one group of the ranking: at most the résumés of its folder, once for each job of that id.
+    jobs_of = found.groupBy(*REQUEST).agg(F.count("*").alias("_jobs")).groupBy("folder").agg(F.max("_jobs").alias("_jobs"))
+    groups = jobs_of.join(extracted.groupBy("folder").agg(F.count("*").alias("_resumes")), "folder")
+    at_most = groups.agg(F.coalesce(F.max(F.col("_jobs") * F.col("_resumes")), F.lit(0))).first()[0]
     # The only time that pairs are written: candidate ids are looked up by résumé and joined to them where they are read.
     ranked = materialize(rank_resumes(result_rows(scored), by=REQUEST, at_most=at_most), "ranked")
 
