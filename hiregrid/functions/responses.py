@@ -7,6 +7,8 @@ Each policy yields a struct ``(ok boolean, is_object boolean, json string)``:
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,12 +17,19 @@ from hiregrid.functions.dialect import first_match, strip
 
 _JSON = {"allowSingleQuotes": "false"}
 _SENTINEL = "#end"
+JSON_SPACE = " \t\n\r"
+SCALAR_STARTS = "-+0123456789tfnNI"  # numbers, with those Spark takes that are none, and true, false, null
 
 # Response fences and the characters trimmed around a fenced body.
 FENCES = ("```json", "```")
 FENCE_TRIM = "` \n"
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of ``value``, which is computed once however often ``use`` refers to it: Catalyst would inline it each time."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def is_json(text: Column) -> Column:
     """Whether the whole text is one JSON value.
 
@@ -30,8 +39,14 @@ def is_json(text: Column) -> Column:
     wrapped = F.from_json(
         F.concat(F.lit("["), text, F.lit(f',"{_SENTINEL}"]')), "array<string>", _JSON
     )
-    ends = (F.size(wrapped) == 2) & (F.try_element_at(wrapped, F.lit(2)) == _SENTINEL)
-    return F.coalesce(ends, F.lit(False))
+    valid = once(wrapped, lambda w: F.coalesce((F.size(w) == 2) & (F.try_element_at(w, F.lit(2)) == _SENTINEL), F.lit(False)))
+    return F.when(once(F.btrim(text, F.lit(JSON_SPACE)), _may_be_json), valid).otherwise(F.lit(False))
+
+
+def _may_be_json(body: Column) -> Column:
+    """Whether trimmed text begins and ends as a JSON value does: parsing prose only to fail costs an exception a row."""
+    closed = [body.startswith(first) & body.endswith(last) for first, last in ("{}", "[]", '""')]
+    return closed[0] | closed[1] | closed[2] | F.substr(body, F.lit(1), F.lit(1)).isin(*SCALAR_STARTS)
 
 
 def is_object(json: Column) -> Column:
@@ -55,11 +70,11 @@ def has_key(json: Column, key: str) -> Column:
 
 
 def _outcome(json: Column) -> Column:
-    return F.struct(
-        json.isNotNull().alias("ok"),
-        is_object(json).alias("is_object"),
-        json.alias("json"),
-    )
+    return once(json, lambda j: F.struct(
+        j.isNotNull().alias("ok"),
+        is_object(j).alias("is_object"),
+        j.alias("json"),
+    ))
 
 
 def _valid(text: Column) -> Column:
@@ -78,16 +93,16 @@ def unfence(text: Column) -> Column:
 
 def parse_fenced(response: Column) -> Column:
     """Candidate policy: a fence may surround the JSON, nothing else may."""
-    return _outcome(_valid(unfence(response)))
+    return _outcome(once(unfence(response), _valid))
 
 
 def parse_first_object(response: Column) -> Column:
     """Analysis policy: strict, else the shortest ``{…}``, else an empty object."""
     shortest = first_match(response, r"\A[^{]*+(\{[^}]*+\})", 1)
-    return _outcome(F.coalesce(_valid(strip(response)), _valid(shortest), F.lit("{}")))
+    return _outcome(F.coalesce(_valid(strip(response)), once(shortest, _valid), F.lit("{}")))
 
 
 def parse_widest_object(response: Column) -> Column:
     """Score policy: strict, else from the first ``{`` to the last ``}``."""
     widest = first_match(response, r"(?s)\A[^{]*+(\{.*\})", 1)
-    return _outcome(F.coalesce(_valid(response), _valid(widest)))
+    return _outcome(F.coalesce(_valid(response), once(widest, _valid)))
