@@ -102,8 +102,10 @@ def stream_files(
     """
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        documents = materialize(documents_of(read_pages(batch, page_reader)), "documents")
-        documents.write.mode("overwrite").parquet(f"{documents_path}/batch={batch_id}")
-        unreadable_audit(documents).write.mode("overwrite").parquet(f"{audit_path}/batch={batch_id}")
+        documents, target = documents_of(read_pages(batch, page_reader)), f"{documents_path}/batch={batch_id}"
+        documents.write.mode("overwrite").parquet(target)
+        # The log is made from what was written, so a file is read once.
+        written = batch.sparkSession.read.schema(documents.schema).parquet(target)
+        unreadable_audit(written).write.mode("overwrite").parquet(f"{audit_path}/batch={batch_id}")
 
     return run_available(files, checkpoint, on_batch)
