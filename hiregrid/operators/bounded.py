@@ -3,8 +3,9 @@
 Rows of the corpus, some square root of their number, serve as pivots; every row belongs to the cell of its nearest one. For a
 query q, a pivot c and a row x of its cell, q·x = q·c + q·(x - c) is at most q·c + |q| r, with r the cell's greatest distance
 |x - c|. A query first visits the cell whose pivot suits it best; the k-th score found there is a floor, and of the other cells
-it visits those whose bound reaches it. Only visited cells are shuffled, to as many tasks as their visitors need, and a cell of
-many rows, as of equal vectors, is cut into parts.
+it visits those whose bound reaches it. Neighbouring cells travel in packs: a query goes once to each pack in which it visits a
+cell and is scored against the whole pack, so its copies grow with the packs, not with the cells. Packs without a visitor stay
+where they are, and a cell of many rows, as of equal vectors, is cut into parts.
 """
 
 from __future__ import annotations
@@ -92,10 +93,25 @@ def cut_into_cells(corpus: DataFrame, corpus_id: str, pivots: int | None = None)
     return Cells(rows.drop("distance"), chosen, sizes, radii)
 
 
-def visits(queries: DataFrame, cells: Cells, k: int, first: bool) -> DataFrame:
-    """``queries(id, vector, …)`` once for each ``cell`` to visit.
+def packed(cells: Cells, rows: int) -> np.ndarray:
+    """The pack of each cell: neighbours together, of about ``rows`` rows unless one cell alone has more."""
+    import numpy as np
+
+    packs = max(1, -(-int(cells.sizes.sum()) // rows))
+    heads = cells.pivots[:packs]
+    near = np.argmax(cells.pivots @ heads.T - (heads**2).sum(axis=1) / 2, axis=1)
+    pack_of, pack, held = np.zeros(len(cells.sizes), dtype="int64"), 0, 0
+    for cell in np.argsort(near, kind="stable"):  # at most a step for each pivot
+        if held and held + cells.sizes[cell] > rows:
+            pack, held = pack + 1, 0
+        pack_of[cell], held = pack, held + cells.sizes[cell]
+    return pack_of
+
+
+def visits(queries: DataFrame, cells: Cells, k: int, first: bool, pack_of: np.ndarray | None = None) -> DataFrame:
+    """``queries(id, vector, …)`` once for each ``cell`` to visit, or for each pack that has such a cell.
 
-    ``first`` asks for the one cell whose pivot has the best score. Otherwise it is the other cells whose bound reaches
+    ``first`` asks for the one cell whose pivot has the best score, or for its whole pack. Otherwise it is the other cells whose bound reaches
     the floor: the query's ``floor``, null if it has none, or its k-th score among the pivots, which are rows too.
     """
     matrix, slices = _arrays()
@@ -123,6 +139,12 @@ def visits(queries: DataFrame, cells: Cells, k: int, first: bool) -> DataFrame:
                 open_ = (bound >= floor[:, None]) & (sizes > 0)
                 open_[np.arange(len(q)), best] = False
                 query, cell = np.nonzero(open_)
+            if pack_of is not None:
+                packs = int(pack_of.max()) + 1
+                query, cell = np.divmod(np.unique(query * packs + pack_of[cell]), packs)
+                if not first:  # the pack of the best cell was visited as a whole
+                    other = cell != pack_of[best[query]]
+                    query, cell = query[other], cell[other]
             for start in range(0, len(query), 10_000):
                 taken = part.take(pa.array(query[start : start + 10_000], pa.int64()))
                 yield pa.RecordBatch.from_arrays(
@@ -133,22 +155,31 @@ def visits(queries: DataFrame, cells: Cells, k: int, first: bool) -> DataFrame:
 
 
 def _visit(
-    visiting: DataFrame, cells: Cells, query_id: str, corpus_id: str, score_cell: Callable, schema: str, block_rows: int, cell_rows: int
+    visiting: DataFrame, cells: Cells, pack_of: np.ndarray, query_id: str, corpus_id: str, score_cell: Callable, schema: str,
+    block_rows: int, cell_rows: int,
 ) -> DataFrame:
-    """The hits of ``visiting(id, vector, cell)``: parts of a cell meet groups of its visitors."""
-    visiting = materialize(visiting, "visits")
-    loads = [  # at most a row for each pivot
-        (row["cell"], max(1, -(-int(cells.sizes[row["cell"]]) // cell_rows)), max(1, -(-row["n"] // block_rows)))
+    """The hits of ``visiting(id, vector, cell)``, whose cells are packs: parts of a pack meet groups of its visitors.
+
+    Visitors are counted without being written: choosing them again is cheaper than their vectors, once for each pack.
+    """
+    import numpy as np
+
+    spark = visiting.sparkSession
+    sizes = np.bincount(pack_of, weights=cells.sizes)
+    loads = [  # at most a row for each pack
+        (row["cell"], max(1, -(-int(sizes[row["cell"]]) // cell_rows)), max(1, -(-row["n"] // block_rows)))
         for row in visiting.groupBy("cell").agg(F.count("*").alias("n")).collect()
     ]
-    plan = F.broadcast(visiting.sparkSession.createDataFrame(loads, "cell int, _parts int, _groups int"))
+    plan = F.broadcast(spark.createDataFrame(loads, "cell int, _parts int, _groups int"))
+    packs = F.broadcast(spark.createDataFrame(list(enumerate(pack_of.tolist())), "cell int, _pack int"))
+    held = cells.rows.join(packs, "cell").drop("cell").withColumnRenamed("_pack", "cell")
 
     def spread(df: DataFrame, key: str, own: str, n: str, other: str, copies: str) -> DataFrame:
         placed = df.join(plan, "cell").withColumn(own, F.pmod(F.xxhash64(key), F.col(n)).cast("int"))
         return placed.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(copies) - 1))).drop("_parts", "_groups")
 
     left = spread(visiting.select(query_id, "vector", "cell"), query_id, "_group", "_groups", "_part", "_parts")
-    right = spread(cells.rows, corpus_id, "_part", "_parts", "_group", "_groups")
+    right = spread(held, corpus_id, "_part", "_parts", "_group", "_groups")
     place = ["cell", "_part", "_group"]
     return left.groupBy(*place).cogroup(right.groupBy(*place)).applyInArrow(lambda block, cell: score_cell(block, cell), schema)
 
@@ -164,10 +195,12 @@ def bounded_hits(
     cells = cut_into_cells(corpus, corpus_id, pivots)
     if cells is None:
         return queries.sparkSession.createDataFrame([], schema)
-    options = (cells, query_id, corpus_id, score_cell, schema, block_rows, cell_rows)
+    # A query goes once to each pack of cells that it visits, not once to each cell, and brings back its k best of a pack.
+    pack_of = packed(cells, cell_rows)
+    options = (cells, pack_of, query_id, corpus_id, score_cell, schema, block_rows, cell_rows)
     best_first = Window.partitionBy(query_id).orderBy(F.col("score").desc(), F.col(corpus_id))
-    found = _visit(visits(queries, cells, k, first=True), *options)
+    found = _visit(visits(queries, cells, k, True, pack_of), *options)
     near = materialize(found.withColumn("_rank", F.row_number().over(best_first)).where(F.col("_rank") <= k), "near")
     floors = near.where(F.col("_rank") == k).select(query_id, F.col("score").alias("floor"))
     asked = queries.join(floors, query_id, "left")
-    return near.drop("_rank").unionByName(_visit(visits(asked, cells, k, first=False), *options))
+    return near.drop("_rank").unionByName(_visit(visits(asked, cells, k, False, pack_of), *options))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from hiregrid.functions.responses import is_json, parse_widest_object
-from hiregrid.operators import ranking
+from hiregrid.operators import bounded, ranking, similarity
 from hiregrid.sources.files import arriving_files
 from hiregrid.streaming import ingest
 
@@ -65,3 +66,21 @@ def test_arriving_files_are_written_once(spark, tmp_path, monkeypatch):
     documents = spark.read.parquet(f"{tmp_path}/documents").orderBy("path").collect()
     assert [(r.text, r.error) for r in documents] == [("one", None), ("", "not a document")]
     assert [r.message for r in spark.read.parquet(f"{tmp_path}/audit").collect()]
+
+
+def test_a_query_is_copied_by_pack_not_by_cell(spark):
+    rng = np.random.default_rng(5)
+    vectors = [rng.normal(size=6).tolist() for _ in range(400)]
+    known = spark.createDataFrame(list(enumerate(vectors)), "c bigint, vector array<double>")
+    asked = known.withColumnRenamed("c", "q")
+    cells = bounded.cut_into_cells(known, "c")
+    packs = bounded.packed(cells, 100)
+    assert len(cells.sizes) == 20 and packs.max() < 8  # two packs next to each other have more than 100 rows
+    assert np.bincount(packs, weights=cells.sizes).sum() == 400
+    floored = asked.withColumn("floor", F.lit(-1e9))
+    seen = bounded.visits(asked, cells, 5, True, packs).unionByName(bounded.visits(floored, cells, 5, False, packs).drop("floor"))
+    assert seen.count() <= 400 * (packs.max() + 1)
+    assert seen.groupBy("q", "cell").count().where("count > 1").count() == 0
+    found = similarity.inner_product_topk(asked, known, "q", "c", 5, strategy="bounded", cell_rows=100)
+    plain = similarity.inner_product_topk(asked, known, "q", "c", 5, strategy="grid")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, plain.collect()))
