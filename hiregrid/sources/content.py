@@ -10,6 +10,7 @@ two writers answer one content, the least answer is read by everybody.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hiregrid.operators.joins import fits_broadcast, join_on_key
-from hiregrid.session import materialize
+from hiregrid.session import intermediate_folder, materialize
 from hiregrid.sources.tables import append, stored_or_empty
 
 WAVE = 100_000  # contents made between two writes
@@ -65,8 +66,11 @@ class ContentStore:
         unseen = materialize(asked.join(known, "digest", "left_anti"), "unseen")
         count = unseen.count()
         waves = math.ceil(count / self.wave)
+        parts = f"{intermediate_folder(self.spark)}/waves-{uuid.uuid4().hex}"
+        if waves > 1:  # laid out once, so that a wave reads its own contents and not those of all
+            append(unseen.withColumn("wave", F.pmod(F.xxhash64("digest"), F.lit(waves)).cast("int")), parts, partition_by=["wave"])
         for wave in range(waves):
-            part = unseen.where(F.pmod(F.xxhash64("digest"), F.lit(waves)) == wave)
+            part = stored_or_empty(self.spark, f"{parts}/wave={wave}", unseen.schema) if waves > 1 else unseen
             made = make(part.select("digest", "content")).where(F.col("value").isNotNull()).select(
                 "digest", "value", F.lit(batch).alias("batch"), F.lit(self.version).alias("version"), self.bucket(F.col("digest")).alias("bucket"))
             append(made, self.path, partition_by=["version", "bucket"])

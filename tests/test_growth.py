@@ -5,9 +5,11 @@ from __future__ import annotations
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hiregrid.functions.responses import is_json, parse_widest_object
 from hiregrid.operators import bounded, ranking, similarity
+from hiregrid.sources.content import ContentStore, content_digest
 from hiregrid.sources.files import arriving_files
 from hiregrid.streaming import ingest
 
@@ -84,3 +86,17 @@ def test_a_query_is_copied_by_pack_not_by_cell(spark):
     found = similarity.inner_product_topk(asked, known, "q", "c", 5, strategy="bounded", cell_rows=100)
     plain = similarity.inner_product_topk(asked, known, "q", "c", 5, strategy="grid")
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, plain.collect()))
+
+
+def test_a_wave_reads_its_own_contents_only(spark, tmp_path):
+    store = ContentStore(spark, str(tmp_path / "store"), "1", T.StringType(), 4, wave=20)
+    contents = spark.range(100).select(content_digest(F.col("id").cast("string")).alias("digest"), F.col("id").cast("string").alias("content"))
+    read = []
+
+    def make(part):
+        read.append(set(part.inputFiles()))
+        return part.select("digest", F.concat(F.lit("v"), "content").alias("value"))
+
+    assert store.complete(contents, make, "first") == 100
+    assert len(read) == 5 and sum(map(len, read)) == len(set().union(*read))
+    assert {r.value for r in store.read(contents.select("digest")).collect()} == {f"v{i}" for i in range(100)}
