@@ -215,8 +215,8 @@ def blocks(page: str) -> list[tuple[int, str, int]]:
     return out
 
 
-def sorted_out(page: str | None) -> tuple[list[str] | None, list[str], list[str]]:
-    """The article if the markup tells it (else None), the other blocks if it doesn't, and the blocks said to be something else.
+def judged_by_markup(page: str | None) -> tuple[bool, list[tuple[str, int]], list[str]]:
+    """Whether the markup tells an article, its blocks and their shapes (else all that are open), and those said to be something else.
 
     The markup tells an article if what it names as such holds at least half of the text in paragraphs (or, on pages without
     any, of all text); a named title alone doesn't. Blocks that a part of a name marks are something else, unless they hold most
@@ -235,7 +235,14 @@ def sorted_out(page: str | None) -> tuple[list[str] | None, list[str], list[str]
     weighed = [block for block in rest if block[2] == PARAGRAPH] or rest
     whole = sum(len(text) for _, text, _ in weighed)
     for wanted in ({ARTICLE}, {ARTICLE, MAIN}):
-        own = [text for kind, text, _ in rest if kind in wanted]
+        own = [(text, shape) for kind, text, shape in rest if kind in wanted]
         if own and 2 * sum(len(text) for kind, text, _ in weighed if kind in wanted) >= whole:
-            return own, [], marked
-    return None, [text for _, text, _ in rest], marked
+            return True, own, marked
+    return False, [(text, shape) for _, text, shape in rest], marked
+
+
+def sorted_out(page: str | None) -> tuple[list[str] | None, list[str], list[str]]:
+    """The article if the markup tells it (else None), the other blocks if it doesn't, and the blocks said to be something else."""
+    told, own, marked = judged_by_markup(page)
+    texts = [text for text, _ in own]
+    return (texts, [], marked) if told else (None, texts, marked)

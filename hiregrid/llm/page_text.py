@@ -1,17 +1,24 @@
 """HTML extraction with a suffix array per host.
 
-Pages are cut into blocks, and their markup sorts out what it can: blocks in an article (else in a main part) are the text,
-blocks in menus, footers, forms and the like are not. On pages whose markup tells no article, the open blocks are judged by
-repetition: the token streams of a host's pages are concatenated, a suffix array finds runs of ``RUN`` tokens, and those that
-stand on at least ``SHARE`` of the host's distinct pages, and on ``LEAST``, are repeated. So is a block of fewer than ``RUN``
-tokens that stands as a whole on so many. A block that repeated runs cover to ``COVER`` is removed as a whole; all others are
-kept whole, so a passage that some pages quote or copy stays. Blocks that the markup names as something else are part of the
-streams, as evidence, but are never kept. Article blocks are exempt (see the README).
-
-The array is cut off at ``RUN`` tokens, since a longer common run is a chain of them. Each task sorts the suffixes of the
-streams in its batch by prefix doubling and returns one row per distinct prefix; Spark combines these by (host, prefix), so
-that a host with a third of all pages is spread over all tasks, and a menu on all its pages is reduced within each task.
-Pages are parsed once, and what was parsed is written under ``spark.checkpoint.dir``.
+Pages are cut into blocks, and their markup sorts out what it can: blocks in menus, footers, forms and the like go, and what
+is left in an article (else in a main part) is a told article; on pages whose markup tells none, all blocks left are open.
+Then every page is judged by repetition: the token streams of a host's pages are concatenated, a suffix array finds runs of
+``RUN`` tokens, and those that stand on at least ``SHARE`` of the host's distinct pages, and on ``LEAST``, are repeated. A block
+that repeated runs cover to ``COVER`` is removed as a whole; all others are kept whole, so a passage that some pages quote or
+copy stays.
+
+* Told articles are compared with the told articles of the host only, each distinct one counting once, so neither a title in
+  a menu nor one article at many addresses is repeated. Headings stay, and all of an article stays if half of its tokens or
+  more would go: that is a copy, not a notice within an article.
+* Open blocks are compared with the open and the marked blocks of all the host's distinct pages. There a block of fewer than
+  ``RUN`` tokens that stands as a whole on so many is repeated too.
+
+The array is cut off at ``RUN`` tokens, since a longer common run is a chain of them. Spark brings the streams of a host
+together, those of a host of more than ``PART`` pages in parts chosen by hash. Each task sorts the suffixes of one host's
+streams by prefix doubling, a piece of ``PIECE`` pages at a time, and returns the prefixes that can be repeated: of a host in
+one piece exactly those that are; of several pieces, each a sample by hash, those not eight standard deviations rarer in
+it than ``SHARE``. Spark adds up the pieces. A page is parsed once for its stream and once for its text, so only streams
+are shuffled and no text is written in between.
 
 Defined results: null html is empty; a page without blocks has empty text; pages of a host with equal blocks (repeated rows, one
 article at two addresses) are one page, so that they don't make each other boilerplate; pages without a host are pages of the
@@ -20,7 +27,9 @@ empty host.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hiregrid.llm.hashing import Words, window_hashes
-from hiregrid.llm.html_blocks import sorted_out
+from hiregrid.llm.html_blocks import HEADING, judged_by_markup
 from hiregrid.llm.support import WHITE
 from hiregrid.llm.url_filter import url_parts
 from hiregrid.session import materialize
@@ -39,19 +48,46 @@ SHARE, LEAST = 0.5, 3  # of a host's distinct pages, and pages, that a repeated
 COVER = 0.9  # of a block's tokens
 JOINT = "\n\n"
 TABLE = bytes(32 if byte in WHITE else byte for byte in range(256))
-STRINGS = T.ArrayType(T.StringType())
-PARSED = T.StructType().add("text", T.StringType()).add("open", STRINGS).add("marked", STRINGS)
-PARSED_ARROW = pa.struct([("text", pa.string()), ("open", pa.list_(pa.string())), ("marked", pa.list_(pa.string()))])
-PREFIXES = "host string, prefix bigint, pages bigint"
-
-
-@F.arrow_udf(PARSED)
-def parsed(pages: pa.Array) -> pa.Array:
-    out = []
-    for page in pages:
-        article, rest, marked = sorted_out(page.as_py())
-        out.append({"text": None if article is None else JOINT.join(article), "open": rest, "marked": marked})
-    return pa.array(out, PARSED_ARROW)
+PART = 256  # pages of a host that one task takes
+PIECE, PIECE_CHARS = 1_024, 64 << 20  # pages, and characters of their blocks, that one array holds
+SLICE = 256  # rows of a batch taken at once
+#: Of which pool a stream is (told articles, or other blocks), how many parts its host has, whether its page is open, and a hash of
+#: what makes it distinct: the article, or the whole page.
+STREAMS = "host string, told boolean, parts bigint, content bigint, open boolean, blocks array<string>"
+STREAMS_ARROW = pa.schema([
+    ("host", pa.string()), ("told", pa.bool_()), ("parts", pa.int64()), ("content", pa.int64()), ("open", pa.bool_()),
+    ("blocks", pa.list_(pa.string()))])
+PREFIXES = "host string, told boolean, prefix bigint, pages bigint"
+Key = tuple[str, bool, int]  # host, told, content
+
+
+def content_hash(told: bool, *parts: list[str]) -> int:
+    """Of lists of blocks, which are never empty and have no line ends."""
+    text = f"{told}\n\n" + "\n\n".join("\n".join(blocks) for blocks in parts)
+    return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "little", signed=True)
+
+
+def page_streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of (host, parts, html) to ``STREAMS``: a page's other blocks, and its told article; copies in a batch once."""
+    for batch in batches:
+        pages, seen = set(), set()
+        for at in range(0, batch.num_rows, SLICE):
+            rows = []
+            for host, parts, page in zip(*(column.to_pylist() for column in batch.slice(at, SLICE).columns)):
+                digest = hashlib.blake2b((page or "").encode(), digest_size=16).digest()
+                if (host, digest) in pages:
+                    continue
+                pages.add((host, digest))
+                told, own, marked = judged_by_markup(page)
+                texts = [text for text, _ in own]
+                found = [(host, False, parts, content_hash(told, texts, marked), not told, marked if told else texts + marked)]
+                if told:
+                    found.append((host, True, parts, content_hash(told, texts), False, texts))
+                rows += [row for row in found if row[:4] not in seen]
+                seen.update(row[:4] for row in found)
+            if rows:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(column, field.type) for column, field in zip(zip(*rows), STREAMS_ARROW)], schema=STREAMS_ARROW)
 
 
 def suffix_ranks(tokens: np.ndarray, depth: int) -> np.ndarray:
@@ -89,90 +125,120 @@ class Stream:
         return places, hashes
 
 
-def repeated_prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of (host, blocks), each a distinct page: per host and distinct run or short block, on how many pages it stands."""
-    for batch in batches:
-        by_host: dict[str, list[list[str]]] = {}
-        for host, blocks in zip(*(batch.column(i).to_pylist() for i in range(2))):
-            by_host.setdefault(host, []).append(blocks)
-        for host, pages in by_host.items():
-            streams = [Stream(blocks) for blocks in pages]
-            short, on = np.unique(np.concatenate([np.unique(s.short()[1]) for s in streams]), return_counts=True)
-            lengths = [len(s.hashes) for s in streams]
-            owner = np.repeat(np.arange(len(streams)), lengths)
-            # Each page's tokens end in a mark of its own, so that no run goes over the end of a page.
-            left = np.concatenate([np.arange(n, 0, -1) for n in lengths])
-            whole = left >= RUN
-            if whole.any():
-                tokens = np.concatenate([s.hashes for s in streams])
-                order = np.argsort(suffix_ranks(tokens, RUN), kind="stable")
-                order = order[whole[order]]
-                prefixes = np.concatenate([np.pad(s.runs(), (0, min(len(s.hashes), RUN - 1))) for s in streams])[order]
-                new = np.concatenate(([True], prefixes[1:] != prefixes[:-1]))
-                starts = np.flatnonzero(new)
-                # Equal prefixes stand in the order of their pages.
-                pages_sorted = owner[order]
-                other_page = new | np.concatenate(([True], pages_sorted[1:] != pages_sorted[:-1]))
-                short, on = np.append(short, prefixes[starts]), np.append(on, np.add.reduceat(other_page, starts, dtype=np.int64))
-            yield pa.RecordBatch.from_arrays([
-                pa.array([host] * len(short), pa.string()), pa.array(short.view(np.int64)), pa.array(on, pa.int64()),
-            ], names=["host", "prefix", "pages"])
-
-
-def own_prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of (host, page, blocks) to one row per run and short block: host, prefix, page, position.
-
-    The position is the run's first token, or -1 less the number of the block.
-    """
+def prefixes_of(pages: list[list[str]], short_too: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Of one host's distinct pages, each distinct run (and short block), and on how many pages it stands."""
+    streams = [Stream(blocks) for blocks in pages]
+    short, on = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    if short_too:
+        short, on = np.unique(np.concatenate([np.unique(s.short()[1]) for s in streams]), return_counts=True)
+    lengths = [len(s.hashes) for s in streams]
+    owner = np.repeat(np.arange(len(streams)), lengths)
+    # No run goes over the end of a page.
+    left = np.concatenate([np.arange(n, 0, -1) for n in lengths])
+    whole = left >= RUN
+    if not whole.any():
+        return short, on
+    tokens = np.concatenate([s.hashes for s in streams])
+    order = np.argsort(suffix_ranks(tokens, RUN), kind="stable")
+    order = order[whole[order]]
+    prefixes = np.concatenate([np.pad(s.runs(), (0, min(len(s.hashes), RUN - 1))) for s in streams])[order]
+    new = np.concatenate(([True], prefixes[1:] != prefixes[:-1]))
+    starts = np.flatnonzero(new)
+    # Equal prefixes stand in the order of their pages.
+    pages_sorted = owner[order]
+    other_page = new | np.concatenate(([True], pages_sorted[1:] != pages_sorted[:-1]))
+    return np.append(short, prefixes[starts]), np.append(on, np.add.reduceat(other_page, starts, dtype=np.int64))
+
+
+def counted(host: str, told: bool, streams: list[list[str]], whole: bool) -> Iterator[pa.RecordBatch]:
+    """The prefixes that can be repeated, and the number of pages beside a null prefix."""
+    n = len(streams)
+    if whole and n < LEAST:
+        return
+    prefixes, on = prefixes_of(streams, short_too=not told)
+    least = max(LEAST, SHARE * n) if whole else SHARE * n - 4 * n ** 0.5
+    prefixes, on = prefixes[on >= least], on[on >= least]
+    yield pa.RecordBatch.from_arrays([
+        pa.array([host] * (len(on) + 1), pa.string()), pa.array([told] * (len(on) + 1), pa.bool_()),
+        pa.array([None, *prefixes.view(np.int64).tolist()], pa.int64()), pa.array([n, *on.tolist()], pa.int64()),
+    ], names=["host", "told", "prefix", "pages"])
+
+
+def possible_prefixes(batches: Iterator[pa.RecordBatch], piece: int) -> Iterator[pa.RecordBatch]:
+    """Batches of ``STREAMS``, sorted by host, told and content, to ``PREFIXES``."""
+    streams: list[list[str]] = []
+    last: Key | None = None
+    any_open, chars, whole = False, 0, True
+
+    def done() -> Iterator[pa.RecordBatch]:
+        # Other blocks are only needed of hosts that have an open page, which may be in another piece.
+        if streams and (last[1] or any_open or not whole):
+            yield from counted(last[0], last[1], streams, whole)
+
     for batch in batches:
-        for host, page, blocks in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            own = Stream(blocks)
-            runs, (places, short) = own.runs(), own.short()
-            n = len(runs) + len(short)
-            yield pa.RecordBatch.from_arrays([
-                pa.array([host] * n, pa.string()), pa.array(np.append(runs, short).view(np.int64)), pa.array([page] * n, pa.int64()),
-                pa.array(np.append(np.arange(len(runs)), -1 - places)),
-            ], names=["host", "prefix", "page", "position"])
-
-
-def unrepeated(blocks: list[str], positions: list[int]) -> str:
-    """The blocks that the runs at ``positions`` don't cover and that aren't short blocks there."""
-    own = Stream(blocks)
-    at = np.array(positions, np.int64)
+        for at in range(0, batch.num_rows, SLICE):
+            for host, told, parts, content, is_open, blocks in zip(*(column.to_pylist() for column in batch.slice(at, SLICE).columns)):
+                if last is None or (host, told) != last[:2]:
+                    yield from done()
+                    streams, any_open, chars, whole = [], False, 0, parts == 1
+                elif (host, told, content) == last:
+                    continue
+                elif len(streams) >= piece or chars >= PIECE_CHARS:
+                    whole = False
+                    yield from done()
+                    streams, chars = [], 0
+                streams.append(blocks)
+                any_open, chars, last = any_open or is_open, chars + sum(map(len, blocks)), (host, told, content)
+    yield from done()
+
+
+def unrepeated(blocks: list[tuple[str, int]], told: bool, repeated: np.ndarray) -> str:
+    """The blocks that the repeated runs don't cover and that aren't repeated short blocks."""
+    texts = [text for text, _ in blocks]
+    if not texts or not len(repeated):
+        return JOINT.join(texts)
+    own = Stream(texts)
+    at = np.flatnonzero(np.isin(own.runs(), repeated))
     covered = np.zeros(len(own.hashes) + 1, bool)
     for i in range(RUN):
-        covered[at[at >= 0] + i] = True
+        covered[at + i] = True
     sums = np.concatenate(([0], np.cumsum(covered)))
     gone = sums[own.firsts + own.lengths] - sums[own.firsts] >= COVER * own.lengths
-    gone[-1 - at[at < 0]] = True
-    return JOINT.join(block for block, out in zip(blocks, gone) if not out)
+    if told:
+        gone &= np.array([shape != HEADING for _, shape in blocks])
+        if 2 * own.lengths[gone].sum() >= len(own.hashes):
+            gone[:] = False
+    else:
+        places, short = own.short()
+        gone[places[np.isin(short, repeated)]] = True
+    return JOINT.join(text for text, out in zip(texts, gone) if not out)
 
 
 @F.arrow_udf(T.StringType())
-def stripped(blocks: pa.Array, positions: pa.Array) -> pa.Array:
-    return pa.array([unrepeated(b.as_py() or [], p.as_py() or []) for b, p in zip(blocks, positions)], pa.string())
+def main_text(pages: pa.Array, in_articles: pa.Array, in_others: pa.Array) -> pa.Array:
+    """The text of each page, given the repeated prefixes of its host's told articles and of its other blocks."""
+    out = []
+    for page, *repeated in zip(pages, in_articles, in_others):
+        told, own, _ = judged_by_markup(page.as_py())
+        prefixes = repeated[0 if told else 1].values
+        out.append(unrepeated(own, told, np.array([] if prefixes is None else prefixes, np.int64).view(np.uint64)))
+    return pa.array(out, pa.string())
 
 
-def extract_text(pages: DataFrame) -> DataFrame:
+def extract_text(pages: DataFrame, piece: int = PIECE) -> DataFrame:
     """``pages(page_id, url, html)`` to page_id, url and the main text."""
-    keyed = pages.select(
-        "page_id", "url", url_parts(F.col("url"))["host"].alias("host"),
-        F.xxhash64("page_id", "url", "html").alias("page"), parsed(F.col("html")).alias("p"),
-    )
-    rows = materialize(keyed.select("page_id", "url", "host", "page", F.xxhash64("host", "p").alias("content"), "p.*"), "parsed-pages")
-    told = rows.where(F.col("text").isNotNull()).select("page_id", "url", "text")
-    open_pages = rows.where(F.col("text").isNull())
-    # Streams are only needed of hosts that have a page to judge.
-    hosts = open_pages.select("host").distinct()
-    same = rows.join(hosts, "host", "left_semi")
-    sizes = same.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("size"))
-    streams = same.groupBy("host", "content").agg(F.any_value(F.concat("open", "marked")).alias("blocks")).select("host", "blocks")
-    found = streams.mapInArrow(repeated_prefixes, PREFIXES).groupBy("host", "prefix").agg(F.sum("pages").alias("pages"))
-    repeated = found.where(F.col("pages") >= LEAST).join(sizes, "host").where(F.col("pages") >= SHARE * F.col("size"))
-    own = open_pages.select("host", "page", F.col("open").alias("blocks")).mapInArrow(
-        own_prefixes, "host string, prefix bigint, page bigint, position bigint").distinct()
-    positions = own.join(repeated.select("host", "prefix"), ["host", "prefix"]).groupBy("page").agg(
-        F.collect_set("position").alias("positions"))
-    judged = open_pages.join(positions, "page", "left").select(
-        "page_id", "url", stripped(F.col("open"), F.col("positions")).alias("text"))
-    return told.unionByName(judged)
+    keyed = pages.select("page_id", "url", url_parts(F.col("url"))["host"].alias("host"), "html")
+    large = materialize(keyed.groupBy("host").agg(F.ceil(F.count("*") / PART).alias("parts")).where(F.col("parts") > 1), "large-hosts")
+    streams = keyed.join(large, "host", "left").select("host", F.coalesce("parts", F.lit(1)).alias("parts"), "html").mapInArrow(
+        page_streams, STREAMS)
+    gathered = streams.repartition(F.col("host"), F.col("told"), F.pmod("content", "parts")).sortWithinPartitions("host", "told", "content")
+    found = materialize(gathered.mapInArrow(partial(possible_prefixes, piece=piece), PREFIXES).groupBy("host", "told", "prefix").agg(
+        F.sum("pages").alias("pages")), "page-prefixes")
+    sizes = found.where(F.col("prefix").isNull()).select("host", "told", F.col("pages").alias("size"))
+    repeated = found.where(F.col("prefix").isNotNull() & (F.col("pages") >= LEAST)).join(sizes, ["host", "told"]).where(
+        F.col("pages") >= SHARE * F.col("size"))
+    by_host = materialize(repeated.groupBy("host").agg(
+        F.collect_list(F.when(F.col("told"), F.col("prefix"))).alias("in_articles"),
+        F.collect_list(F.when(~F.col("told"), F.col("prefix"))).alias("in_others")), "repeated-prefixes")
+    return keyed.join(by_host, "host", "left").select(
+        "page_id", "url", main_text(F.col("html"), F.col("in_articles"), F.col("in_others")).alias("text"))

@@ -193,6 +193,71 @@ def test_quoted_and_copied_passages_stay(spark):
     assert {r["page_id"]: r["text"] for r in found} == expected
 
 
+def articles(pages):
+    """Rows (page_id, url, html) of pages (url, blocks of the article, menu), and the plain verdict on each by counting runs."""
+    rows = [(n, url, f"<nav>{menu}</nav><article><h1>{own[0]}</h1>" + "".join(f"<p>{p}</p>" for p in own[1:]) + "</article>")
+            for n, (url, own, menu) in enumerate(pages)]
+    expected = {}
+    for n, (url, own, _) in enumerate(pages):
+        distinct = {tuple(o) for u, o, _ in pages if u.split("/")[2] == url.split("/")[2]}
+        streams = [" ".join(o).split() for o in distinct]
+        sets = [{tuple(s[i:i + 8]) for i in range(len(s) - 7)} for s in streams]
+        tokens = " ".join(own).split()
+        covered = set()
+        for i in range(len(tokens) - 7):
+            on = sum(tuple(tokens[i:i + 8]) in runs for runs in sets)
+            if on >= 3 and 2 * on >= len(distinct):
+                covered.update(range(i, i + 8))
+        kept, gone, at = [own[0]], 0, len(own[0].split())
+        for block in own[1:]:
+            size = len(block.split())
+            if sum(i in covered for i in range(at, at + size)) >= 0.9 * size:
+                gone += size
+            else:
+                kept.append(block)
+            at += size
+        expected[n] = "\n\n".join(own if 2 * gone >= len(tokens) else kept)
+    return rows, expected
+
+
+def told_pages():
+    rng = random.Random(9)
+
+    def words(n):
+        return " ".join(f"w{rng.randrange(10 ** 6)}" for _ in range(n))
+
+    notice, title, copied, quote = words(12), words(9), [words(8), words(40), words(30)], words(12)
+    pages = [(f"http://notices.org/{n}", [title, words(30), notice, words(20), *([quote] if n < 5 else [])], title) for n in range(12)]
+    pages += [(f"http://copies.org/{n}", [*copied, *([words(9)] if n % 2 else [])], words(9)) for n in range(8)]
+    pages += [(f"http://menus.org/{n}", [words(9), words(30), "See also", "Notes"], pages[0][1][1]) for n in range(5)]
+    pages += [(f"http://two.org/{n}", [words(9), notice, words(30)], notice) for n in range(2)]
+    return pages, notice
+
+
+def test_told_articles_are_judged_by_repetition(spark):
+    """A notice within the articles of a host goes, though the markup tells an article; titles, quotations and copies stay."""
+    pages, notice = told_pages()
+    rows, expected = articles(pages)
+    found = {r["page_id"]: r["text"] for r in page_text.extract_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert found == expected
+    for n, (url, own, _) in enumerate(pages):
+        assert found[n] == "\n\n".join(block for block in own if block != notice or "notices" not in url)
+
+
+def test_hosts_in_parts_and_pieces(spark, monkeypatch):
+    """The same text, however the pages of a host are divided."""
+    pages, _ = told_pages()
+    rows, expected = articles(pages)
+    rows += [(100 + n, f"http://open.org/{n}", f"<div>the menu of all</div><p>page {n} has its own</p><div class=nav>{n}</div>") for n in range(20)]
+    rows += rows[::3]
+    expected |= {100 + n: f"page {n} has its own" for n in range(20)}
+    for part, piece in ((3, 2048), (4096, 2), (5, 3)):
+        monkeypatch.setattr(page_text, "PART", part)
+        frame = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+        found = page_text.extract_text(frame, piece=piece).collect()
+        assert len(found) == len(rows) and {r["page_id"]: r["text"] for r in found} == expected
+
+
 URLS = [None, "", "x", "http://", "http://Example.ORG", "https://a.example.org/es/x?u#f", "http://example.org/en/12", "ftp://org/", "a://b://c/d",
         "http://xexample.org/es/", "http://example.com/fr/?x", "http://q.example.com/de/1#/fr/", "http://example.net/", "http://a\x02b/c",
         "http://é.ORG/É", "http://org:80/", "http://.org/", "http://a..org/x", "http://" + "a." * 3000 + "org/" + "p" * 5000]
