@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+import os
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +19,7 @@ from hiregrid.functions.prompts import missing_fields_prompt, score_prompt
 from hiregrid.operators import analysis, audit, details, hook, intake, lookup, ranking, scoring, similarity, upsert
 from hiregrid.plans.ingest import Ingest, analysis_requests, ingest_jobs, job_rows, number_jobs
 from hiregrid.plans.recommend import Recommendation, recommend
-from hiregrid.session import materialize, shared_folder
+from hiregrid.session import local_path, materialize, shared_folder
 from hiregrid.sources import files, tables
 from hiregrid.sources.content import ContentStore
 from hiregrid.sources.corpus import VectorCorpus
@@ -27,6 +29,11 @@ from hiregrid.streaming.ingest import stream_candidates
 from hiregrid.streaming.recommend import RecommendationTables
 from hiregrid.streaming.recommend import stream_recommend as answer_requests
 
+if TYPE_CHECKING:
+    import pyarrow as pa
+
+# Folders of the files here: there may be some hundred thousand of them.
+FILE_FOLDERS = 256
 # Partitions of the score tables here: the tables have up to some ten million rows.
 SCORE_TABLE_BUCKETS = 16
 
@@ -734,6 +741,31 @@ def stream_jobs(spark, sf):
     return found.select("resume_id", "jd_id", "category_detected", "qualifications", "requirements", F.col("batch").cast("int").alias("batch"))
 
 
+def write_files(rows: DataFrame, folder: str) -> None:
+    """A file ``conv_id=….pdf`` for each of ``rows(conv_id, content)``.
+
+    On a local file system Spark's writers start a process or two for each file, to set its mode, so there the tasks write it
+    themselves, some folders sharing the files; elsewhere Spark writes a folder for each. A file appears whole or not at all.
+    """
+    local = local_path(rows.sparkSession, folder)
+    if local is None:
+        rows.repartition("conv_id").write.partitionBy("conv_id").option("extension", "pdf").csv(folder)
+        return
+
+    def write(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for batch in batches:
+            for conv_id, place, content in zip(*(column.to_pylist() for column in batch.columns)):
+                os.makedirs(f"{local}/{place}", exist_ok=True)
+                hidden = f"{local}/{place}/.{uuid.uuid4().hex}"
+                with open(hidden, "w") as file:
+                    file.write(f"{content}\n")
+                os.replace(hidden, f"{local}/{place}/conv_id={conv_id}.pdf")
+            yield batch.slice(0, 0)
+
+    placed = rows.select("conv_id", F.pmod(F.xxhash64("conv_id"), F.lit(FILE_FOLDERS)).alias("place"), "content")
+    placed.mapInArrow(write, placed.schema).write.format("noop").mode("overwrite").save()
+
+
 @query
 def stream_files(spark, sf):
     """Conversations as arriving files, one page a turn; every ninth can't be read."""
@@ -742,7 +774,7 @@ def stream_files(spark, sf):
     content = F.hex(F.to_json(pages).cast("binary"))
     told = table(spark, sf, "conversations").groupBy("conv_id").agg(content.alias("content")).withColumn(
         "content", F.when(F.col("conv_id") % 9 == 4, F.lit("junk")).otherwise(F.col("content")))
-    told.repartition("conv_id").write.partitionBy("conv_id").option("extension", "pdf").csv(f"{folder}/files")
+    write_files(told, f"{folder}/files")
 
     def page_reader(content):
         text = content.decode().strip()

@@ -34,6 +34,20 @@ def build_session(app_name: str = "hiregrid", master: str | None = None, **conf:
     return builder.getOrCreate()
 
 
+def session_with(spark: SparkSession, conf: dict[str, str]) -> SparkSession:
+    """A session like ``spark``, with its settings and views, in which ``conf`` holds besides; ``spark`` itself stays as it is."""
+    other = type(spark)(spark.sparkContext, spark._jsparkSession.cloneSession())
+    for key, value in conf.items():
+        other.conf.set(key, value)
+    return other
+
+
+def in_session(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """``df`` of another session as one of ``spark``; what reads its sources keeps the settings that it was made with."""
+    dataset = spark._jvm.org.apache.spark.sql.classic.Dataset
+    return DataFrame(dataset.ofRows(spark._jsparkSession, df._jdf.logicalPlan()), spark)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder for intermediate tables: ``spark.checkpoint.dir`` of the session.
 
@@ -60,6 +74,13 @@ def folder_exists(spark: SparkSession, folder: str) -> bool:
     return files.exists(path)
 
 
+def local_path(spark: SparkSession, folder: str) -> str | None:
+    """``folder`` as a path of this machine's file system; None if it lies in another."""
+    files, path = _file_system(spark, folder)
+    uri = files.makeQualified(path).toUri()
+    return uri.getPath() if uri.getScheme() == "file" else None
+
+
 def intermediate_folder(spark: SparkSession) -> str:
     """Where intermediate tables go: the folder of the run, if there is one, else the shared folder."""
     return _RUN.get() or shared_folder(spark)

@@ -8,12 +8,22 @@ from typing import TYPE_CHECKING
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hiregrid.session import in_session, session_with
+
 if TYPE_CHECKING:
     import pyarrow as pa
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 CATEGORY_SCHEMA = "category_id int, name string, type string"
 
+LISTING_TASKS = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+MIN_LISTING_TASKS = 32
+OPEN_COST = "spark.sql.files.openCostInBytes"
+SMALL_FILE = 256 * 1024  # bytes that a task could read while it opens a file
+LOG_INTERVAL = "spark.sql.streaming.fileSource.log.compactInterval"
+MAX_LOG_INTERVAL = 100  # batches
+LOGGED_FILES = 100_000  # about so many files are logged, and held by the driver, before the log is compacted
+
 
 def folder_files(spark: SparkSession, folder: str) -> DataFrame:
     """``(path, modificationTime, length, content)`` of ``<folder>/*.pdf``, not below.
@@ -66,19 +76,37 @@ def documents_of(pages: DataFrame) -> DataFrame:
     return pages.groupBy("path").agg(F.array_join(ordered["_t"], "").alias("text"), F.max("error").alias("error"))
 
 
+def _for_many_files(spark: SparkSession, files_per_batch: int) -> SparkSession:
+    """A session to list a stream of many files in small batches.
+
+    Spark lists the folders, and again the files of each batch, with a task for each path up to 10,000 of them, which costs far
+    more than the listing; here it is some tasks for each core. A task reads few small files, since opening one counts as 4 MB;
+    here it may read more, but no more bytes. Every few batches Spark rewrites its log of all files seen; the smaller the
+    batches, the more of them lie between.
+    """
+    tasks = max(MIN_LISTING_TASKS, 2 * spark.sparkContext.defaultParallelism)
+    interval = min(MAX_LOG_INTERVAL, LOGGED_FILES // max(1, files_per_batch))
+    return session_with(spark, {
+        LISTING_TASKS: str(min(tasks, int(spark.conf.get(LISTING_TASKS)))),
+        OPEN_COST: str(min(SMALL_FILE, spark._jsparkSession.sessionState().conf().filesOpenCostInBytes())),
+        LOG_INTERVAL: str(max(interval, int(spark.conf.get(LOG_INTERVAL)))),
+    })
+
+
 def arriving_files(spark: SparkSession, folder: str, files_per_batch: int = 10_000) -> DataFrame:
     """The files of ``tree_files`` as a stream: new files once each, so many in a micro-batch at most.
 
     Spark's file sources, here and above, pass over files of no bytes.
     """
-    return (
-        spark.readStream.format("binaryFile")
+    stream = (
+        _for_many_files(spark, files_per_batch).readStream.format("binaryFile")
         .schema(FILE_SCHEMA)
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", "*.[pP][dD][fF]")
         .option("maxFilesPerTrigger", files_per_batch)
         .load(folder)
     )
+    return in_session(spark, stream)  # whose queries and listeners are those of ``spark``
 
 
 def assemble_pages(pages: DataFrame, doc: str, page_no: str, text: str, name: str = "text") -> DataFrame:
